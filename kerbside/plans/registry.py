@@ -1,0 +1,83 @@
+"""Registered queries: one Spark plan and one DuckDB oracle text per operator.
+
+Every query reads the driver's test tables (through ``fixtures``) over whole
+tables; request sets are derived from the same tables.  Column names are
+identical on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kerbside import fixtures as fx
+from kerbside.plans import feeds
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, QueryFn] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None):
+    def wrap(fn: QueryFn) -> QueryFn:
+        QUERIES[name] = fn
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return fn
+
+    return wrap
+
+
+# Reused oracle fragments ----------------------------------------------------
+EXISTING_JOBS_SQL = "existing_jobs AS (SELECT * FROM jobs WHERE premises_id IN (SELECT id FROM premises))"
+NUMBERED_JOBS_SQL = (
+    "numbered AS (SELECT premises_id, date, bin, id AS job_id, "
+    "row_number() OVER (PARTITION BY premises_id ORDER BY date, bin, id) - 1 AS seq FROM existing_jobs)"
+)
+ISO_MILLIS_SQL = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%gZ')"
+
+
+# --------------------------------------------------------------------------- SNK7
+@register(
+    "snk7_csv_feed_lines",
+    fx.oracle(
+        """
+SELECT id AS premises_id, 0 AS part, CAST(0 AS BIGINT) AS seq, 0 AS sub, 'Date,Bin' AS line FROM premises
+UNION ALL
+SELECT premises_id, 1, seq, 0, CAST(date AS VARCHAR) || ',' || bin FROM numbered
+""",
+        EXISTING_JOBS_SQL + ",\n" + NUMBERED_JOBS_SQL,
+    ),
+)
+def q_csv_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fx.load(spark, sf_dir)
+    return feeds.csv_lines(t.premises, t.jobs)
+
+
+# --------------------------------------------------------------------------- JOIN2 + SNK8
+_JSON_HEAD_SQL = (
+    "regexp_replace(to_json(struct_pack(id := id, addressRoom := address_room, addressNumber := address_number, "
+    "addressStreet := address_street, addressLocality := address_locality, addressCity := address_city, "
+    "addressPostcode := address_postcode, updatedAt := " + ISO_MILLIS_SQL.format(c="updated_at") + ")), '}$', '') "
+    "|| ',\"jobs\":['"
+)
+
+
+@register(
+    "snk8_json_feed_lines",
+    fx.oracle(
+        f"""
+SELECT id AS premises_id, 0 AS part, CAST(0 AS BIGINT) AS seq, 0 AS sub, {_JSON_HEAD_SQL} AS line FROM premises
+UNION ALL
+SELECT premises_id, 1, seq, 0,
+       CASE WHEN seq > 0 THEN ',' ELSE '' END || to_json(struct_pack(date := date, bin := bin)) FROM numbered
+UNION ALL
+SELECT id, 2, CAST(0 AS BIGINT), 0, ']}}' FROM premises
+""",
+        EXISTING_JOBS_SQL + ",\n" + NUMBERED_JOBS_SQL,
+    ),
+)
+def q_json_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fx.load(spark, sf_dir)
+    return feeds.json_lines(t.premises, t.jobs)
