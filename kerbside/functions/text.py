@@ -77,5 +77,5 @@ def ical_fold(c: Column) -> Column:
     # of the continued text (the leading space counts towards the 75).
     head = F.substring(c, 1, 75)
     tail = F.substring(c, 76, 1 << 30)
-    folded_tail = F.regexp_replace(tail, "(.{74})(?=.)", "$1\r\n ")
+    folded_tail = F.regexp_replace(F.regexp_replace(tail, "(.{74})", "$1\r\n "), "\r\n $", "")
     return F.when(F.length(c) <= 75, c).otherwise(F.concat(head, F.lit("\r\n "), folded_tail))

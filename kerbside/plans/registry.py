@@ -81,3 +81,550 @@ SELECT id, 2, CAST(0 AS BIGINT), 0, ']}}' FROM premises
 def q_json_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fx.load(spark, sf_dir)
     return feeds.json_lines(t.premises, t.jobs)
+
+
+# =========================================================================== shared
+from pyspark.sql import functions as F  # noqa: E402
+
+from kerbside.functions import address as A  # noqa: E402
+from kerbside.functions import dates as D  # noqa: E402
+from kerbside.functions import text as TX  # noqa: E402
+from kerbside.operators import calendar as CAL  # noqa: E402
+from kerbside.operators import changes as CHG  # noqa: E402
+from kerbside.operators import geo as GEO  # noqa: E402
+from kerbside.operators import lookup as LK  # noqa: E402
+from kerbside.operators import merge as MG  # noqa: E402
+from kerbside.plans import tools as TOOLS  # noqa: E402
+
+import datetime as _dt  # noqa: E402
+
+AS_OF = fx.AS_OF
+
+AS_OF_TS = _dt.datetime(2000, 6, 1, 0, 0, 0)
+BUILD_TIME = _dt.datetime(2000, 5, 1, 12, 0, 0)
+BASE = TX.DEFAULT_BASE_URL
+
+
+def cc_sql(x: str) -> str:
+    """capital_case as DuckDB SQL."""
+    s = (
+        f"regexp_replace(regexp_replace(regexp_replace({x}, '([\\p{{Ll}}0-9])(\\p{{Lu}})', '\\1 \\2', 'g'), "
+        f"'(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g'), '[^\\p{{L}}0-9]+', ' ', 'g')"
+    )
+    return f"array_to_string(list_transform(string_split(trim({s}), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+def nz(x: str) -> str:
+    return f"nullif({x}, '')"
+
+
+PARTS = A.PARTS
+FULL_SQL = "concat_ws(chr(10), " + ", ".join(nz(p) for p in PARTS) + ")"
+ONE_LINE_SQL = "concat_ws(', ', " + ", ".join(nz(p) for p in PARTS) + ")"
+SUMMARY_SQL = "concat_ws(' ', " + ", ".join(nz(p) for p in PARTS[:3]) + ")"
+PRESENTABLE_SQL = "concat_ws(chr(10), " + ", ".join([nz(cc_sql(p)) for p in PARTS[:5]] + [nz("upper(address_postcode)")]) + ")"
+TWO_LINE_SQL = (
+    "concat_ws(' ', "
+    + ", ".join([nz(cc_sql(p)) for p in PARTS[:3]] + ["chr(10)"] + [nz(cc_sql(p)) for p in PARTS[3:5]] + [nz("upper(address_postcode)")])
+    + ")"
+)
+LEADING_INT_SQL = "coalesce(TRY_CAST(nullif(regexp_extract(address_number, '^\\s*([+-]?[0-9]+)', 1), '') AS DECIMAL(38,0)), 0)"
+RESULT_SQL = (
+    "id, address_room AS addressRoom, address_number AS addressNumber, address_street AS addressStreet, "
+    "address_locality AS addressLocality, address_city AS addressCity, address_postcode AS addressPostcode, "
+    "updated_at AS updatedAt"
+)
+
+
+def ical_escape_sql(x: str) -> str:
+    return (
+        f"replace(replace(replace(replace(replace({x}, '\\', '\\\\'), ';', '\\;'), ',', '\\,'), "
+        f"chr(13) || chr(10), '\\n'), chr(10), '\\n')"
+    )
+
+
+def ical_fold_sql(x: str) -> str:
+    crlf_sp = "chr(13) || chr(10) || ' '"
+    return (
+        f"CASE WHEN length({x}) <= 75 THEN {x} ELSE substr({x}, 1, 75) || {crlf_sp} || "
+        f"regexp_replace(regexp_replace(substr({x}, 76), '(.{{74}})', '\\1' || {crlf_sp}, 'g'), {crlf_sp} || '$', '') END"
+    )
+
+
+# =========================================================================== FIL1 / SRT1 / SRT2
+SEARCH_REQUESTS_SQL = """
+pcs AS (SELECT DISTINCT address_postcode FROM premises WHERE address_postcode IS NOT NULL),
+requests AS (
+  SELECT address_postcode AS request_id, address_postcode AS postcode FROM pcs
+  UNION ALL
+  SELECT 'lc:' || address_postcode, lower(replace(address_postcode, ' ', '')) FROM pcs
+  UNION ALL
+  SELECT 'miss:' || address_postcode, replace(address_postcode, 'aB', 'zz') FROM pcs)
+"""
+
+
+def search_requests(t: fx.Tables):
+    pcs = t.premises.where(F.col("address_postcode").isNotNull()).select("address_postcode").distinct()
+    a = pcs.select(F.col("address_postcode").alias("request_id"), F.col("address_postcode").alias("postcode"))
+    b = pcs.select(F.concat(F.lit("lc:"), "address_postcode").alias("request_id"), F.lower(F.replace("address_postcode", F.lit(" "), F.lit(""))).alias("postcode"))
+    c = pcs.select(F.concat(F.lit("miss:"), "address_postcode").alias("request_id"), F.replace("address_postcode", F.lit("aB"), F.lit("zz")).alias("postcode"))
+    return a.unionByName(b).unionByName(c)
+
+
+def _search_oracle(limit: int) -> str:
+    return fx.oracle(
+        f"""
+SELECT request_id, postcode, rank, {RESULT_SQL} FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
+      CASE WHEN n <= {limit} THEN {LEADING_INT_SQL} ELSE 0 END,
+      address_room ASC NULLS LAST, address_number ASC NULLS LAST, address_street ASC NULLS LAST, id) - 1 AS rank
+  FROM (SELECT r.request_id, r.postcode, p.*, count(*) OVER (PARTITION BY r.request_id) AS n
+        FROM requests r JOIN premises p ON upper(replace(r.postcode, ' ', '')) = p.search_postcode) h) x
+""",
+        SEARCH_REQUESTS_SQL,
+    )
+
+
+@register("fil1_srt2_search_premises", _search_oracle(100))
+def q_search_premises(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return LK.search_premises(t.premises, search_requests(t))
+
+
+@register("srt1_search_premises_over_limit", _search_oracle(20))
+def q_search_premises_limit20(spark, sf_dir):
+    """The same search with the re-sort limit at 20, so requests with more
+    hits take the plain text order (SRT1) branch."""
+    t = fx.load(spark, sf_dir)
+    return LK.search_premises(t.premises, search_requests(t), sort_limit=20)
+
+
+@register(
+    "fil9_search_tool_text",
+    fx.oracle(
+        f"""
+SELECT request_id, CAST(rank AS BIGINT) AS seq, false AS is_error, CAST(id AS VARCHAR) || ': ' || {ONE_LINE_SQL} AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
+      CASE WHEN n <= 100 THEN {LEADING_INT_SQL} ELSE 0 END,
+      address_room ASC NULLS LAST, address_number ASC NULLS LAST, address_street ASC NULLS LAST, id) - 1 AS rank
+  FROM (SELECT r.request_id, r.postcode, p.*, count(*) OVER (PARTITION BY r.request_id) AS n
+        FROM requests r JOIN premises p ON upper(replace(r.postcode, ' ', '')) = p.search_postcode) h) x
+UNION ALL
+SELECT request_id, CAST(0 AS BIGINT), true, 'No address matching with postcode ' || postcode || ' found'
+FROM requests r WHERE NOT EXISTS (SELECT 1 FROM premises p WHERE p.search_postcode = upper(replace(r.postcode, ' ', '')))
+""",
+        SEARCH_REQUESTS_SQL,
+    ),
+)
+def q_search_tool(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return TOOLS.search_tool_lines(t.premises, search_requests(t))
+
+
+# =========================================================================== FIL2 / FIL9 / tools by id
+ID_REQUESTS_SQL = "requests AS (SELECT DISTINCT premises_id AS request_id, premises_id FROM jobs)"
+
+
+def id_requests(t: fx.Tables):
+    return t.jobs.select(F.col("premises_id").alias("request_id"), "premises_id").distinct()
+
+
+@register(
+    "fil2_premises_by_id",
+    fx.oracle(
+        f"""
+SELECT r.request_id, r.premises_id, p.id IS NOT NULL AS found,
+  p.id, p.address_room AS addressRoom, p.address_number AS addressNumber, p.address_street AS addressStreet,
+  p.address_locality AS addressLocality, p.address_city AS addressCity, p.address_postcode AS addressPostcode,
+  p.updated_at AS updatedAt,
+  CASE WHEN p.id IS NULL THEN 'Address not found (bad premisesId of ' || CAST(r.premises_id AS VARCHAR) || ')' END AS message
+FROM requests r LEFT JOIN premises p ON r.premises_id = p.id
+""",
+        ID_REQUESTS_SQL,
+    ),
+)
+def q_premises_by_id(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    res = LK.premises_by_id(t.premises, id_requests(t))
+    return res.withColumn("message", F.when(~F.col("found"), LK.miss_id_message(F.col("premises_id"))))
+
+
+@register(
+    "tool_jobs_text",
+    fx.oracle(
+        f"""
+SELECT r.request_id, CAST(0 AS BIGINT) AS seq, false AS is_error, 'Full Address:' || chr(10) || {FULL_SQL} AS text
+FROM requests r JOIN premises p ON r.premises_id = p.id
+UNION ALL
+SELECT r.request_id, row_number() OVER (PARTITION BY r.request_id ORDER BY j.date, j.bin, j.id), false,
+  CAST(j.date AS VARCHAR) || ' (' || CASE WHEN j.date < {fx.AS_OF_SQL} THEN 'Expired' WHEN j.date > {fx.AS_OF_SQL} THEN 'Upcoming' ELSE 'Today' END
+  || '): ' || j.bin || ' bin'
+FROM requests r JOIN premises p ON r.premises_id = p.id JOIN jobs j ON j.premises_id = p.id
+UNION ALL
+SELECT r.request_id, CAST(0 AS BIGINT), true, 'Address not found (bad premisesId of ' || CAST(r.premises_id AS VARCHAR) || ')'
+FROM requests r WHERE r.premises_id NOT IN (SELECT id FROM premises)
+""",
+        ID_REQUESTS_SQL,
+    ),
+)
+def q_jobs_tool(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return TOOLS.jobs_tool_lines(t.premises, t.jobs, id_requests(t), AS_OF)
+
+
+@register(
+    "tool_permalink_text",
+    fx.oracle(
+        f"""
+SELECT r.request_id, CAST(0 AS BIGINT) AS seq, false AS is_error,
+  'Permalink to the premises page:' || chr(10) || '{BASE}/premises/' || CAST(r.premises_id AS VARCHAR) AS text
+FROM requests r JOIN premises p ON r.premises_id = p.id
+UNION ALL
+SELECT r.request_id, CAST(0 AS BIGINT), true, 'Address not found (bad premisesId of ' || CAST(r.premises_id AS VARCHAR) || ')'
+FROM requests r WHERE r.premises_id NOT IN (SELECT id FROM premises)
+""",
+        ID_REQUESTS_SQL,
+    ),
+)
+def q_permalink_tool(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return TOOLS.permalink_tool_lines(t.premises, id_requests(t))
+
+
+# =========================================================================== FIL3 / JOIN1 / AGG1
+PC_REQUESTS_SQL = """
+requests AS (
+  SELECT DISTINCT address_city AS request_id, address_postcode AS postcode FROM premises WHERE address_postcode IS NOT NULL
+  UNION ALL
+  SELECT 'ALL', address_postcode FROM premises WHERE address_postcode IS NOT NULL),
+sizes AS (SELECT request_id, count(*) AS n FROM requests GROUP BY request_id)
+"""
+
+
+def postcode_requests(t: fx.Tables):
+    pc = t.premises.where(F.col("address_postcode").isNotNull())
+    per_city = pc.select(F.col("address_city").alias("request_id"), F.col("address_postcode").alias("postcode")).distinct()
+    every = pc.select(F.lit("ALL").alias("request_id"), F.col("address_postcode").alias("postcode"))
+    return per_city.unionByName(every)
+
+
+@register(
+    "fil3_join1_postcode_jobs",
+    fx.oracle(
+        """
+SELECT DISTINCT r.request_id, p.address_postcode AS postcode, j.date, j.bin
+FROM requests r JOIN sizes s ON r.request_id = s.request_id AND s.n < 150
+JOIN premises p ON p.address_postcode = r.postcode
+JOIN jobs j ON p.id = j.premises_id
+""",
+        PC_REQUESTS_SQL,
+    ),
+)
+def q_postcode_jobs(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return LK.postcode_jobs(t.premises, t.jobs, postcode_requests(t))
+
+
+# =========================================================================== JOIN2 (flattened)
+@register(
+    "join2_premises_jobs",
+    fx.oracle(
+        f"""
+SELECT {RESULT_SQL}, n.seq, n.date, n.bin
+FROM premises p LEFT JOIN numbered n ON n.premises_id = p.id
+""",
+        EXISTING_JOBS_SQL + ",\n" + NUMBERED_JOBS_SQL,
+    ),
+)
+def q_premises_jobs(spark, sf_dir):
+    """JOIN2 as rows: each premises with its jobs in (date, bin, id) order
+    (``seq``); a premises without jobs keeps one row with NULLs."""
+    t = fx.load(spark, sf_dir)
+    num = feeds.numbered_jobs(t.premises, t.jobs)
+    p = t.premises.select(*LK.premises_result_columns())
+    return p.join(num, p["id"] == num["premises_id"], "left").select(*[p[c] for c in p.columns], "seq", "date", "bin")
+
+
+# =========================================================================== SNK9
+def _ical_oracle() -> str:
+    name = f"'Bin Days for ' || {SUMMARY_SQL}"
+    desc = (
+        f"'Bin collection dates for your household' || chr(10) || chr(10) || {FULL_SQL} || chr(10) || chr(10) || 'ID: ' || "
+        f"CAST(id AS VARCHAR) || chr(10) || chr(10) || 'Generated by {BASE}'"
+    )
+    head = [
+        "'BEGIN:VCALENDAR'",
+        "'VERSION:2.0'",
+        f"'PRODID:{feeds.DEFAULT_PRODID}'",
+        f"'NAME:' || {ical_escape_sql(name)}",
+        f"'X-WR-CALNAME:' || {ical_escape_sql(name)}",
+        f"'DESCRIPTION:' || {ical_escape_sql(desc)}",
+        f"'X-WR-CALDESC:' || {ical_escape_sql(desc)}",
+        f"'TIMEZONE-ID:{feeds.ICAL_TIMEZONE}'",
+        f"'X-WR-TIMEZONE:{feeds.ICAL_TIMEZONE}'",
+    ]
+    head_sql = " UNION ALL ".join(
+        f"SELECT id AS premises_id, 0 AS part, CAST(0 AS BIGINT) AS seq, {i} AS sub, {ical_fold_sql('(' + v + ')')} AS line FROM premises"
+        for i, v in enumerate(head)
+    )
+    uid = "CAST(n.premises_id AS VARCHAR) || '_' || CAST(n.date AS VARCHAR) || '_' || n.bin"
+    ymd = "strftime(n.date, '%Y%m%d')"
+    full_p = FULL_SQL
+    events = [
+        "'BEGIN:VEVENT'",
+        f"'UID:' || {ical_escape_sql(uid)}",
+        "'SEQUENCE:0'",
+        "'DTSTAMP:20000601T000000Z'",
+        f"'DTSTART;VALUE=DATE:' || {ymd}",
+        f"'DTEND;VALUE=DATE:' || {ymd}",
+        "'X-MICROSOFT-CDO-ALLDAYEVENT:TRUE'",
+        "'X-MICROSOFT-MSNCALENDAR-ALLDAYEVENT:TRUE'",
+        f"'SUMMARY:' || {ical_escape_sql(cc_sql('n.bin') + " || ' Bin Collection'")}",
+        f"'LOCATION:' || {ical_escape_sql(full_p)}",
+        f"'URL;VALUE=URI:{BASE}/premises/' || CAST(n.premises_id AS VARCHAR) || '?date=' || CAST(n.date AS VARCHAR) || '&bin=' || n.bin",
+        "'END:VEVENT'",
+    ]
+    ev_sql = " UNION ALL ".join(
+        f"SELECT n.premises_id, 1, n.seq, {i}, {ical_fold_sql('(' + v + ')')} FROM numbered n JOIN premises p ON n.premises_id = p.id"
+        for i, v in enumerate(events)
+    )
+    foot = "SELECT id, 2, CAST(0 AS BIGINT), 0, 'END:VCALENDAR' FROM premises"
+    return fx.oracle(f"{head_sql}\nUNION ALL\n{ev_sql}\nUNION ALL\n{foot}", EXISTING_JOBS_SQL + ",\n" + NUMBERED_JOBS_SQL)
+
+
+@register("snk9_ical_feed_lines", _ical_oracle())
+def q_ical_feed_lines(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return feeds.ical_lines(t.premises, t.jobs, AS_OF_TS, BASE)
+
+
+# =========================================================================== SNK10 / EXP1 / AGG2 / SNK11
+@register(
+    "snk10_exp1_sitemap_rows",
+    fx.oracle(
+        f"""
+SELECT CAST(floor(rn / 50000) AS BIGINT) AS page, rn AS seq, id, '{BASE}/premises/' || CAST(id AS VARCHAR) AS url,
+  {ISO_MILLIS_SQL.format(c='updated_at')} AS lastmod
+FROM (SELECT id, updated_at, row_number() OVER (ORDER BY id) - 1 AS rn FROM premises) x
+"""
+    ),
+)
+def q_sitemap_rows(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return feeds.sitemap_rows(t.premises, BASE)
+
+
+@register(
+    "agg2_sitemap_page_count",
+    fx.oracle("SELECT count(*) AS n, CAST(ceil(count(*) / 50000) AS BIGINT) AS pages FROM premises"),
+)
+def q_sitemap_pages(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return feeds.sitemap_page_count(t.premises)
+
+
+@register(
+    "snk11_sitemap_index_entries",
+    fx.oracle(
+        f"""
+SELECT pos, loc, lastmod,
+  chr(10) || '  <sitemap>' || chr(10) || '    <loc>' || loc || '</loc>' || chr(10) || '    ' ||
+  CASE WHEN lastmod IS NOT NULL THEN '<lastmod>' || lastmod || '</lastmod>' ELSE '' END ||
+  chr(10) || '  </sitemap>' || chr(10) || '    ' AS xml
+FROM (
+  SELECT CAST(0 AS BIGINT) AS pos, '{BASE}/sitemap.xml' AS loc, '2000-05-01T12:00:00.000Z' AS lastmod
+  UNION ALL SELECT CAST(1 AS BIGINT), '{BASE}/docs/sitemap.xml', '2000-05-01T12:00:00.000Z'
+  UNION ALL SELECT CAST(g + 2 AS BIGINT), '{BASE}/premises/sitemap/' || CAST(g AS VARCHAR) || '.xml', NULL
+  FROM (SELECT unnest(range(CAST(ceil((SELECT count(*) FROM premises) / 50000) AS BIGINT))) AS g) r) e
+"""
+    ),
+)
+def q_sitemap_index(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return feeds.sitemap_index_entries(t.premises, BUILD_TIME, BASE)
+
+
+# =========================================================================== AGG4 / FIL4
+@register(
+    "agg4_fil4_upcoming_by_bin",
+    fx.oracle(
+        f"""
+SELECT u.premises_id, r.bin_rank, u.bin, {cc_sql('u.bin')} AS title,
+  CASE u.bin WHEN 'BLACK' THEN 'bg-gray-900 text-gray-50' WHEN 'GREEN' THEN 'bg-green-700 text-gray-50'
+             WHEN 'BROWN' THEN 'bg-amber-900 text-gray-50' ELSE '' END AS style,
+  u.date, strftime(u.date, '%d %B %Y') AS long_date
+FROM up u JOIN (
+  SELECT premises_id, bin, row_number() OVER (PARTITION BY premises_id ORDER BY
+      CASE bin WHEN 'BLACK' THEN 0 WHEN 'GREEN' THEN 1 WHEN 'BROWN' THEN 2 ELSE -1 END, min(date), bin) - 1 AS bin_rank
+  FROM up GROUP BY premises_id, bin) r ON u.premises_id = r.premises_id AND u.bin = r.bin
+""",
+        f"up AS (SELECT premises_id, bin, date FROM jobs WHERE date > {fx.AS_OF_SQL})",
+    ),
+)
+def q_upcoming_by_bin(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return CAL.upcoming_by_bin(t.jobs, AS_OF)
+
+
+# =========================================================================== AGG6 / AGG5 / CAL1 / DAT4
+@register(
+    "agg6_max_dates",
+    fx.oracle(
+        f"""
+SELECT p.id AS premises_id, greatest(coalesce(m.mx, {fx.AS_OF_SQL}), {fx.AS_OF_SQL}) AS max_date
+FROM premises p LEFT JOIN (SELECT premises_id, max(date) AS mx FROM jobs GROUP BY premises_id) m ON p.id = m.premises_id
+"""
+    ),
+)
+def q_max_dates(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return CAL.max_dates(t.premises, t.jobs, AS_OF)
+
+
+DOT_CLASS_SQL = "CASE {b} WHEN 'BLACK' THEN 'bg-gray-900/90' WHEN 'BROWN' THEN 'bg-amber-900/90' WHEN 'GREEN' THEN 'bg-green-600/90' ELSE '' END"
+
+
+@register(
+    "agg5_bins_by_date",
+    fx.oracle(
+        f"""
+SELECT premises_id, date, string_agg(bin, ',' ORDER BY bin) AS bins,
+  string_agg({DOT_CLASS_SQL.format(b='bin')}, ',' ORDER BY bin) AS classes
+FROM jobs GROUP BY premises_id, date
+"""
+    ),
+)
+def q_bins_by_date(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    b = CAL.bins_by_date(t.jobs)
+    return b.select("premises_id", "date", F.array_join("bins", ",").alias("bins"), F.array_join("classes", ",").alias("classes"))
+
+
+@register(
+    "cal1_calendar_grid",
+    fx.oracle(
+        f"""
+SELECT d.premises_id, d.day, d.day = {fx.AS_OF_SQL} AS is_today,
+  coalesce(string_agg(j.bin, ',' ORDER BY j.bin), '') AS bins,
+  coalesce(string_agg({DOT_CLASS_SQL.format(b='j.bin')}, ',' ORDER BY j.bin), '') AS classes
+FROM (
+  SELECT e.premises_id, CAST(unnest(generate_series(CAST(date_trunc('week', {fx.AS_OF_SQL} - INTERVAL 7 DAY) AS DATE), e.last_day, INTERVAL 1 DAY)) AS DATE) AS day
+  FROM (SELECT p.id AS premises_id,
+          least(greatest(greatest(coalesce(m.mx, {fx.AS_OF_SQL}), {fx.AS_OF_SQL}), CAST({fx.AS_OF_SQL} + INTERVAL 7 DAY AS DATE)),
+                CAST(date_trunc('week', {fx.AS_OF_SQL} + INTERVAL 28 DAY) + INTERVAL 6 DAY AS DATE)) AS last_day
+        FROM premises p LEFT JOIN (SELECT premises_id, max(date) AS mx FROM jobs GROUP BY premises_id) m ON p.id = m.premises_id) e
+) d LEFT JOIN jobs j ON j.premises_id = d.premises_id AND j.date = d.day
+GROUP BY d.premises_id, d.day
+"""
+    ),
+)
+def q_calendar_grid(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    g = CAL.calendar_grid(t.premises, t.jobs, AS_OF)
+    return g.select("premises_id", "day", "is_today", F.array_join("bins", ",").alias("bins"), F.array_join("classes", ",").alias("classes"))
+
+
+@register(
+    "dat4_calendar_bounds",
+    fx.oracle(
+        """
+SELECT date AS today, CAST(date_trunc('week', date - INTERVAL 7 DAY) AS DATE) AS start_day,
+  CAST(date_trunc('week', date + INTERVAL 28 DAY) + INTERVAL 6 DAY AS DATE) AS last_day
+FROM (SELECT DISTINCT date FROM jobs) d
+"""
+    ),
+)
+def q_calendar_bounds(spark, sf_dir):
+    """DAT4 for every job date taken as 'today'."""
+    t = fx.load(spark, sf_dir)
+    d = t.jobs.select(F.col("date").alias("today")).distinct()
+    return d.select("today", D.calendar_start(F.col("today")).alias("start_day"), D.calendar_last_day(F.col("today")).alias("last_day"))
+
+
+# =========================================================================== DAT1-3 / STR10
+@register(
+    "dat1_3_job_status",
+    fx.oracle(
+        f"""
+SELECT id, premises_id, date, bin,
+  CASE WHEN date < {fx.AS_OF_SQL} THEN 'Expired' WHEN date > {fx.AS_OF_SQL} THEN 'Upcoming' ELSE 'Today' END AS status,
+  strftime(date, '%d %B %Y') AS long_date, strftime(date, '%a, %b %-d') AS short_date,
+  CAST(date AS VARCHAR) || ' (' || CASE WHEN date < {fx.AS_OF_SQL} THEN 'Expired' WHEN date > {fx.AS_OF_SQL} THEN 'Upcoming' ELSE 'Today' END
+    || '): ' || bin || ' bin' AS line
+FROM jobs
+"""
+    ),
+)
+def q_job_status(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    st = D.job_status("date", AS_OF)
+    return t.jobs.select(
+        "id", "premises_id", "date", "bin", st.alias("status"), D.long_date("date").alias("long_date"),
+        D.short_date("date").alias("short_date"), TX.job_line("date", st, "bin").alias("line"),
+    )
+
+
+# =========================================================================== STR1-11
+@register(
+    "str1_11_address_text",
+    fx.oracle(
+        f"""
+SELECT id, {FULL_SQL} AS full_address, {PRESENTABLE_SQL} AS presentable, {ONE_LINE_SQL} AS one_line,
+  {SUMMARY_SQL} AS summary, {TWO_LINE_SQL} AS two_line,
+  split_part({TWO_LINE_SQL}, chr(10), 1) AS line1, split_part({TWO_LINE_SQL}, chr(10), 2) AS line2,
+  'Bin Days for ' || {cc_sql(SUMMARY_SQL)} || ' at ' || coalesce(address_postcode, 'null') AS title,
+  'View the scheduled bin collection days for ' || {cc_sql(SUMMARY_SQL)} || ' at ' || coalesce(address_postcode, 'null') AS description,
+  '{BASE}/premises/' || CAST(id AS VARCHAR) AS url,
+  '{BASE}/api/jobs?premises=' || CAST(id AS VARCHAR) || '&format=ical' AS ical_url,
+  CAST(id AS VARCHAR) || ': ' || {ONE_LINE_SQL} AS list_line,
+  search_postcode, upper(replace(address_postcode, ' ', '')) AS normalized,
+  CAST({LEADING_INT_SQL} AS BIGINT) AS house_number
+FROM premises
+"""
+    ),
+)
+def q_address_text(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    two = A.two_line_address()
+    l1, l2 = A.two_line_split(two)
+    return t.premises.select(
+        "id",
+        A.full_address().alias("full_address"),
+        A.presentable_address().alias("presentable"),
+        A.one_line_address().alias("one_line"),
+        A.summary_address().alias("summary"),
+        two.alias("two_line"),
+        l1.alias("line1"),
+        l2.alias("line2"),
+        TX.page_title().alias("title"),
+        TX.page_description().alias("description"),
+        TX.premises_url("id", BASE).alias("url"),
+        TX.ical_feed_url("id", BASE).alias("ical_url"),
+        TX.premises_line().alias("list_line"),
+        "search_postcode",
+        A.normalize_postcode("address_postcode").alias("normalized"),
+        A.leading_int("address_number").cast("long").alias("house_number"),
+    )
+
+
+@register(
+    "str12_bin_styles",
+    fx.oracle(
+        f"""
+SELECT bin, {cc_sql('bin')} AS title,
+  CASE bin WHEN 'BLACK' THEN 0 WHEN 'GREEN' THEN 1 WHEN 'BROWN' THEN 2 ELSE -1 END AS bin_order,
+  bin IN ('BLACK', 'GREEN', 'BROWN') AS is_supported,
+  CASE bin WHEN 'BLACK' THEN 'bg-gray-900 text-gray-50' WHEN 'GREEN' THEN 'bg-green-700 text-gray-50'
+           WHEN 'BROWN' THEN 'bg-amber-900 text-gray-50' ELSE '' END AS style,
+  {DOT_CLASS_SQL.format(b='bin')} AS dot_class, count(*) AS jobs
+FROM jobs GROUP BY bin
+"""
+    ),
+)
+def q_bin_styles(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return t.jobs.groupBy("bin").agg(F.count(F.lit(1)).alias("jobs")).select(
+        "bin", A.capital_case("bin").alias("title"), A.bin_order("bin").alias("bin_order"),
+        A.is_supported_bin("bin").alias("is_supported"), A.bin_list_class("bin").alias("style"),
+        A.bin_dot_class("bin").alias("dot_class"), "jobs",
+    )
