@@ -27,7 +27,7 @@ def snapshot_marker(df: DataFrame, cols: list[str]) -> DataFrame:
     """A content marker of a snapshot (stands in for an HTTP ETag): row count
     and an order-independent sum of a 32-bit digest of each row.  A one-row
     aggregate; partial sums combine map-side."""
-    row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
+    row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in cols])
     digest = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
     return df.agg(
         F.concat(F.count(F.lit(1)).cast("string"), F.lit("-"), F.sum(digest).cast("string")).alias("etag")

@@ -628,3 +628,406 @@ def q_bin_styles(spark, sf_dir):
         A.is_supported_bin("bin").alias("is_supported"), A.bin_list_class("bin").alias("style"),
         A.bin_dot_class("bin").alias("dot_class"), "jobs",
     )
+
+
+# =========================================================================== NEAR1 / JOIN3 / JOIN4 / AGG7 / AGG8 / FIL7
+HAV_SQL = (
+    "2 * 6371000.0 * asin(sqrt(least(pow(sin((radians(p.latitude) - radians(o.latitude)) / 2), 2) + "
+    "cos(radians(o.latitude)) * cos(radians(p.latitude)) * pow(sin((radians(p.longitude) - radians(o.longitude)) / 2), 2), 1.0)))"
+)
+NEAR_SQL = f"""
+near AS (
+  SELECT * FROM (
+    SELECT origin, postcode, latitude, longitude, distance,
+      row_number() OVER (PARTITION BY origin ORDER BY distance, postcode <> origin, postcode) - 1 AS rank
+    FROM (SELECT o.id AS origin, p.id AS postcode, p.latitude, p.longitude, {HAV_SQL} AS distance
+          FROM postcodes o, postcodes p) pairs
+    WHERE distance <= 2000.0) r
+  WHERE rank < 100)
+"""
+NEARBY_JOBS_SQL = (
+    NEAR_SQL
+    + """,
+pj AS (SELECT DISTINCT n.origin, n.postcode, j.date, j.bin
+       FROM near n JOIN premises p ON p.address_postcode = n.postcode JOIN jobs j ON j.premises_id = p.id),
+nj AS (SELECT n.origin, n.rank, n.postcode, n.latitude, n.longitude, n.distance, pj.date, pj.bin
+       FROM near n LEFT JOIN pj ON n.origin = pj.origin AND n.postcode = pj.postcode)
+"""
+)
+
+
+def _near(t: fx.Tables):
+    return GEO.nearest_postcodes(t.postcodes)
+
+
+@register(
+    "near1_nearest_postcodes",
+    fx.oracle("SELECT origin, rank, postcode, round(distance, 3) AS distance FROM near", NEAR_SQL),
+)
+def q_nearest(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return _near(t).select("origin", F.col("rank").cast("long").alias("rank"), "postcode", F.round("distance", 3).alias("distance"))
+
+
+@register(
+    "join4_nearby_jobs",
+    fx.oracle("SELECT origin, rank, postcode, round(distance, 3) AS distance, date, bin FROM nj", NEARBY_JOBS_SQL),
+)
+def q_nearby_jobs(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    nj = GEO.nearby_jobs(_near(t), t.premises, t.jobs)
+    return nj.select("origin", F.col("rank").cast("long").alias("rank"), "postcode", F.round("distance", 3).alias("distance"), "date", "bin")
+
+
+@register("agg7_date_facets", fx.oracle("SELECT DISTINCT origin, date FROM nj WHERE date IS NOT NULL", NEARBY_JOBS_SQL))
+def q_date_facets(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return GEO.date_facets(GEO.nearby_jobs(_near(t), t.premises, t.jobs))
+
+
+AGG8_SQL = f"""
+SELECT origin, coalesce(min(CASE WHEN rank = 0 AND date >= {fx.AS_OF_SQL} THEN date END), min(date)) AS default_date
+FROM nj GROUP BY origin
+"""
+
+
+@register("agg8_default_dates", fx.oracle(AGG8_SQL, NEARBY_JOBS_SQL))
+def q_default_dates(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return GEO.default_dates(GEO.nearby_jobs(_near(t), t.premises, t.jobs), AS_OF)
+
+
+@register(
+    "fil7_map_markers",
+    fx.oracle(
+        f"""
+SELECT nj.origin, d.default_date AS selected_date, nj.rank, nj.postcode, nj.distance = 0 AS is_self,
+  string_agg(nj.bin, ',' ORDER BY nj.bin) AS bins,
+  string_agg({DOT_CLASS_SQL.format(b='nj.bin')}, ',' ORDER BY nj.bin) AS classes
+FROM nj JOIN ({AGG8_SQL}) d ON nj.origin = d.origin AND nj.date = d.default_date
+GROUP BY nj.origin, d.default_date, nj.rank, nj.postcode, nj.distance
+""",
+        NEARBY_JOBS_SQL,
+    ),
+)
+def q_map_markers(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    nj = GEO.nearby_jobs(_near(t), t.premises, t.jobs)
+    sel = GEO.default_dates(nj, AS_OF).select("origin", F.col("default_date").alias("selected_date"))
+    m = GEO.map_markers(nj, sel)
+    return m.select(
+        "origin", "selected_date", F.col("rank").cast("long").alias("rank"), "postcode", "is_self",
+        F.array_join("bins", ",").alias("bins"), F.array_join("classes", ",").alias("classes"),
+    )
+
+
+@register(
+    "join3_pending_geocodes",
+    fx.oracle(
+        """
+SELECT address_postcode AS postcode, count(*) AS premises_count FROM premises
+WHERE address_postcode IS NOT NULL AND address_postcode NOT IN (SELECT id FROM postcodes)
+GROUP BY address_postcode
+"""
+    ),
+)
+def q_pending_geocodes(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return GEO.pending_geocodes(t.premises, t.postcodes)
+
+
+@register("lim1_random_premises")
+def q_random_premises(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return LK.random_premises(t.premises, k=1, seed=7)
+
+
+@register("lim2_random_pending_geocode")
+def q_random_pending(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    return GEO.random_pending_geocodes(t.premises, t.postcodes, k=1, seed=7)
+
+
+# =========================================================================== SNK2-6 / JOIN6 / CHG1 / JOIN5
+SNAP_SQL = """
+old_s AS (SELECT * FROM premises WHERE id % 10 <> 0),
+new_s AS (SELECT id, address_room, address_number, address_street,
+                 CASE WHEN id % 8 = 0 THEN 'X' ELSE address_locality END AS address_locality, address_city, address_postcode
+          FROM premises_src WHERE id % 10 <> 1)
+"""
+_ADDR = A.PARTS
+_DISTINCT_SQL = " OR ".join(f"o.{c} IS DISTINCT FROM n.{c}" for c in _ADDR)
+
+
+@register(
+    "snk2_join6_snapshot_diff",
+    fx.oracle(
+        f"""
+SELECT coalesce(n.id, o.id) AS id,
+  CASE WHEN n.id IS NULL THEN 'delete' WHEN o.id IS NULL THEN 'insert' WHEN {_DISTINCT_SQL} THEN 'update' ELSE 'unchanged' END AS op,
+  {", ".join(f"CASE WHEN n.id IS NULL THEN o.{c} ELSE n.{c} END AS {c}" for c in _ADDR)}
+FROM old_s o FULL OUTER JOIN new_s n ON o.id = n.id
+""",
+        SNAP_SQL,
+    ),
+)
+def q_snapshot_diff(spark, sf_dir):
+    old, new = fx.premises_snapshots(spark, sf_dir)
+    return MG.snapshot_diff(old, new)
+
+
+MERGE_TS_SQL = "TIMESTAMP '2000-06-01 03:00:00'"
+
+
+@register(
+    "snk3_merge_premises",
+    fx.oracle(
+        f"""
+SELECT n.id, {", ".join(f"n.{c}" for c in _ADDR)}, upper(replace(n.address_postcode, ' ', '')) AS search_postcode,
+  CASE WHEN o.id IS NOT NULL THEN o.created_at ELSE {MERGE_TS_SQL} END AS created_at,
+  CASE WHEN o.id IS NOT NULL AND NOT ({_DISTINCT_SQL}) THEN o.updated_at ELSE {MERGE_TS_SQL} END AS updated_at
+FROM new_s n LEFT JOIN old_s o ON o.id = n.id
+""",
+        SNAP_SQL,
+    ),
+)
+def q_merge_premises(spark, sf_dir):
+    old, new = fx.premises_snapshots(spark, sf_dir)
+    return MG.merge_premises(old, new, fx.MERGE_TS)
+
+
+@register(
+    "snk4_merge_jobs",
+    fx.oracle(
+        """
+SELECT o.premises_id, o.bin, o.date, 'kept' AS origin FROM old_j o
+WHERE EXISTS (SELECT 1 FROM new_j n WHERE n.premises_id = o.premises_id AND n.bin = o.bin AND n.date = o.date)
+UNION ALL
+SELECT premises_id, bin, date, 'inserted' FROM (
+  SELECT DISTINCT premises_id, bin, date FROM new_j
+  EXCEPT SELECT premises_id, bin, date FROM old_j) x
+""",
+        "old_j AS (SELECT * FROM jobs WHERE id % 10 <> 0),\nnew_j AS (SELECT * FROM jobs WHERE id % 10 <> 1)",
+    ),
+)
+def q_merge_jobs(spark, sf_dir):
+    old, new = fx.jobs_snapshots(spark, sf_dir)
+    return MG.merge_jobs(old, new).select("premises_id", "bin", "date", "origin")
+
+
+GEOCODE_BATCH_SQL = """
+batch AS (
+  SELECT id, latitude + 0.001 AS latitude, longitude FROM postcodes WHERE id LIKE '% 0aB'
+  UNION ALL
+  SELECT postcode AS id,
+    53.8 + CAST(regexp_extract(postcode, '^LS([0-9]+) ', 1) AS INTEGER) * 0.004 AS latitude,
+    -1.55 + CAST(regexp_extract(postcode, ' ([0-9]+)aB$', 1) AS INTEGER) * 0.006 AS longitude
+  FROM (SELECT DISTINCT address_postcode AS postcode FROM premises
+        WHERE address_postcode IS NOT NULL AND address_postcode NOT IN (SELECT id FROM postcodes)) pend)
+"""
+
+
+def geocode_batch(t: fx.Tables):
+    moved = t.postcodes.where(F.col("id").like("% 0aB")).select("id", (F.col("latitude") + F.lit(0.001)).alias("latitude"), "longitude")
+    pend = GEO.pending_geocodes(t.premises, t.postcodes).select("postcode")
+    n = F.regexp_extract("postcode", r"^LS([0-9]+) ", 1).cast("int")
+    k = F.regexp_extract("postcode", r" ([0-9]+)aB$", 1).cast("int")
+    fresh = pend.select(
+        F.col("postcode").alias("id"), (F.lit(53.8) + n * F.lit(0.004)).alias("latitude"), (F.lit(-1.55) + k * F.lit(0.006)).alias("longitude")
+    )
+    return moved.unionByName(fresh)
+
+
+@register(
+    "snk5_upsert_postcodes",
+    fx.oracle(
+        f"""
+SELECT coalesce(b.id, o.id) AS id, round(coalesce(b.latitude, o.latitude), 6) AS latitude,
+  round(coalesce(b.longitude, o.longitude), 6) AS longitude,
+  coalesce(o.created_at, {MERGE_TS_SQL}) AS created_at, coalesce(o.updated_at, {MERGE_TS_SQL}) AS updated_at
+FROM postcodes o FULL OUTER JOIN batch b ON o.id = b.id
+""",
+        GEOCODE_BATCH_SQL,
+    ),
+)
+def q_upsert_postcodes(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    m = MG.upsert_postcodes(t.postcodes, geocode_batch(t), fx.MERGE_TS)
+    return m.select("id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "created_at", "updated_at")
+
+
+# Change markers: stored = markers of the old snapshots, observed = markers of
+# the new ones (premises changed, jobs unchanged, postcodes probe failed,
+# geocodes new).
+DL = "https://example.org/downloads"
+URLS = {
+    "premises": f"{DL}/dm_premises.csv",
+    "jobs": f"{DL}/dm_jobs.csv",
+    "postcodes": f"{DL}/postcodes.csv",
+    "geocodes": f"{DL}/geocodes.json",
+}
+
+
+def marker_sql(table: str, cols: list[str]) -> str:
+    row = "concat_ws(chr(1), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(2))" for c in cols) + ")"
+    return f"(SELECT CAST(count(*) AS VARCHAR) || '-' || CAST(sum(('0x' || substr(md5({row}), 1, 8))::BIGINT) AS VARCHAR) FROM {table})"
+
+
+P_COLS = ["id"] + list(A.PARTS)
+J_COLS = ["id", "premises_id", "bin", "date"]
+MARKERS_SQL = f"""
+{SNAP_SQL},
+old_j AS (SELECT * FROM jobs WHERE id % 10 <> 0),
+pend AS (SELECT DISTINCT address_postcode AS postcode FROM premises
+         WHERE address_postcode IS NOT NULL AND address_postcode NOT IN (SELECT id FROM postcodes)),
+markers AS (
+  SELECT '{URLS['premises']}' AS url, {marker_sql('old_s', P_COLS)} AS etag, {fx.LOAD_TS_SQL} AS checked_at, {fx.LOAD_TS_SQL} AS created_at, {fx.LOAD_TS_SQL} AS updated_at
+  UNION ALL SELECT '{URLS['jobs']}', {marker_sql('old_j', J_COLS)}, {fx.LOAD_TS_SQL}, {fx.LOAD_TS_SQL}, {fx.LOAD_TS_SQL}
+  UNION ALL SELECT '{URLS['postcodes']}', {marker_sql('postcodes', ['id'])}, {fx.LOAD_TS_SQL}, {fx.LOAD_TS_SQL}, {fx.LOAD_TS_SQL}),
+obs AS (
+  SELECT '{URLS['premises']}' AS url, {marker_sql('new_s', P_COLS)} AS etag, {MERGE_TS_SQL} AS last_modified, {MERGE_TS_SQL} AS checked_at
+  UNION ALL SELECT '{URLS['jobs']}', {marker_sql('old_j', J_COLS)}, {MERGE_TS_SQL}, {MERGE_TS_SQL}
+  UNION ALL SELECT '{URLS['postcodes']}', NULL, NULL, {MERGE_TS_SQL}
+  UNION ALL SELECT '{URLS['geocodes']}', {marker_sql('pend', ['postcode'])}, {MERGE_TS_SQL}, {MERGE_TS_SQL}),
+gate AS (
+  SELECT b.url, b.etag, m.etag AS stored_etag,
+    CASE WHEN b.etag IS NULL OR b.last_modified IS NULL THEN 'unknown'
+         WHEN m.url IS NOT NULL AND b.etag IS NOT DISTINCT FROM m.etag THEN 'unchanged' ELSE 'changed' END AS decision,
+    b.last_modified, b.checked_at
+  FROM obs b LEFT JOIN markers m ON b.url = m.url),
+merged AS (
+  SELECT coalesce(g.url, m.url) AS url,
+    CASE WHEN g.url IS NOT NULL THEN g.etag ELSE m.etag END AS etag,
+    CASE WHEN g.url IS NOT NULL THEN g.checked_at ELSE m.checked_at END AS checked_at,
+    coalesce(m.created_at, {MERGE_TS_SQL}) AS created_at,
+    CASE WHEN g.url IS NOT NULL THEN g.last_modified ELSE m.updated_at END AS updated_at
+  FROM markers m FULL OUTER JOIN (SELECT * FROM gate WHERE decision <> 'unknown') g ON m.url = g.url)
+"""
+
+
+def marker_tables(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    old_p, new_p = fx.premises_snapshots(spark, sf_dir)
+    old_j, _ = fx.jobs_snapshots(spark, sf_dir)
+    pend = GEO.pending_geocodes(t.premises, t.postcodes)
+    load, now = fx.LOAD_TS, fx.MERGE_TS
+    stored = [
+        CHG.marker_rows(CHG.snapshot_marker(old_p, P_COLS), URLS["premises"], load, load),
+        CHG.marker_rows(CHG.snapshot_marker(old_j, J_COLS), URLS["jobs"], load, load),
+        CHG.marker_rows(CHG.snapshot_marker(t.postcodes, ["id"]), URLS["postcodes"], load, load),
+    ]
+    markers = stored[0].unionByName(stored[1]).unionByName(stored[2]).select(
+        "url", "etag", "checked_at", F.col("checked_at").alias("created_at"), F.col("last_modified").alias("updated_at")
+    )
+    failed = CHG.snapshot_marker(t.postcodes, ["id"]).select(
+        F.lit(URLS["postcodes"]).alias("url"), F.lit(None).cast("string").alias("etag"),
+        F.lit(None).cast("timestamp").alias("last_modified"), F.lit(now).cast("timestamp").alias("checked_at"),
+    )
+    obs = (
+        CHG.marker_rows(CHG.snapshot_marker(new_p, P_COLS), URLS["premises"], now, now)
+        .unionByName(CHG.marker_rows(CHG.snapshot_marker(old_j, J_COLS), URLS["jobs"], now, now))
+        .unionByName(failed)
+        .unionByName(CHG.marker_rows(CHG.snapshot_marker(pend, ["postcode"]), URLS["geocodes"], now, now))
+    )
+    return markers, obs
+
+
+@register("chg1_change_gate", fx.oracle("SELECT url, etag, stored_etag, decision FROM gate", MARKERS_SQL))
+def q_change_gate(spark, sf_dir):
+    markers, obs = marker_tables(spark, sf_dir)
+    return CHG.change_gate(obs, markers).select("url", "etag", "stored_etag", "decision")
+
+
+@register("snk6_upsert_markers", fx.oracle("SELECT url, etag, checked_at, created_at, updated_at FROM merged", MARKERS_SQL))
+def q_upsert_markers(spark, sf_dir):
+    markers, obs = marker_tables(spark, sf_dir)
+    gate = CHG.change_gate(obs, markers).where(F.col("decision") != "unknown")
+    return MG.upsert_markers(markers, gate, fx.MERGE_TS)
+
+
+@register(
+    "join5_dataset_status",
+    fx.oracle(
+        f"""
+SELECT d.key, d.name, d.url,
+  CASE WHEN m.url IS NOT NULL THEN strftime(m.checked_at, '%Y-%m-%dT%H:%M:%S.%gZ') ELSE 'N/A' END AS last_checked,
+  CASE WHEN m.url IS NOT NULL THEN strftime(m.updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') ELSE 'N/A' END AS last_updated,
+  coalesce(m.etag, 'N/A') AS etag
+FROM (SELECT 'jobs' AS key, 'Jobs' AS name, '{URLS['jobs']}' AS url
+      UNION ALL SELECT 'premises', 'Premises', '{URLS['premises']}'
+      UNION ALL SELECT 'geocodes', 'Geocodes', '{URLS['geocodes']}'
+      UNION ALL SELECT 'streets', 'Streets', '{DL}/streets.csv') d
+LEFT JOIN merged m ON d.url = m.url
+""",
+        MARKERS_SQL,
+    ),
+)
+def q_dataset_status(spark, sf_dir):
+    markers, obs = marker_tables(spark, sf_dir)
+    gate = CHG.change_gate(obs, markers).where(F.col("decision") != "unknown")
+    merged = MG.upsert_markers(markers, gate, fx.MERGE_TS)
+    datasets = CHG.dataset_list(spark, DL).unionByName(
+        spark.createDataFrame([("geocodes", "Geocodes", URLS["geocodes"]), ("streets", "Streets", f"{DL}/streets.csv")], "key string, name string, url string")
+    )
+    return CHG.dataset_status(datasets, merged)
+
+
+# =========================================================================== WIN1 / JSN1
+RECENTS_SQL = """
+adds AS (SELECT user_id, event_id % 1500 AS pid, ts, event_id FROM events WHERE event_type <> 'error'),
+last_add AS (SELECT user_id, pid, max(ts) AS last_ts, max(event_id) AS last_ev FROM adds GROUP BY user_id, pid),
+recents AS (SELECT * FROM (
+  SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, last_ev DESC, pid) - 1 AS INTEGER) AS position,
+         pid, last_ts FROM last_add) r WHERE position < 10)
+"""
+
+
+def _adds(spark, sf_dir):
+    return fx.recents_log(spark, sf_dir).where(F.col("op") == "add")
+
+
+@register("win1_recents_add_only", fx.oracle("SELECT user_id, position, pid, last_ts FROM recents", RECENTS_SQL))
+def q_recents_add_only(spark, sf_dir):
+    from kerbside.operators.recents import recents_add_only
+
+    return recents_add_only(_adds(spark, sf_dir))
+
+
+@register(
+    "jsn1_saved_list_parse",
+    fx.oracle(
+        """
+SELECT r.user_id, r.position, r.pid AS id, p.address_room AS addressRoom, p.address_number AS addressNumber,
+  p.address_street AS addressStreet, p.address_locality AS addressLocality, p.address_city AS addressCity,
+  p.address_postcode AS addressPostcode
+FROM recents r LEFT JOIN premises p ON r.pid = p.id
+WHERE r.user_id % 5 <> 0
+""",
+        RECENTS_SQL,
+    ),
+)
+def q_saved_list(spark, sf_dir):
+    """Saved lists written as JSON from the add-only recents, with the lists of
+    users whose id is a multiple of 5 corrupted (an id turned into text): the
+    parser must return those as empty."""
+    from kerbside.operators.recents import parse_saved_list, recents_add_only, saved_list_json
+
+    t = fx.load(spark, sf_dir)
+    docs = saved_list_json(recents_add_only(_adds(spark, sf_dir)), t.premises)
+    bad = F.regexp_replace("document", r'^\{"premises":\[\{"id":([0-9]+)', '{"premises":[{"id":"$1"')
+    docs = docs.select("user_id", F.when(F.col("user_id") % 5 == 0, bad).otherwise(F.col("document")).alias("document"))
+    return parse_saved_list(docs)
+
+
+@register("win1_recents_fold_stream")
+def q_recents_fold(spark, sf_dir):
+    from kerbside.streaming.recents import run_recents
+
+    def to_log(raw):
+        return raw.select(
+            "user_id", "ts", "event_id",
+            F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"),
+            (F.col("event_id") % 1500).alias("pid"),
+        )
+
+    return run_recents(spark, sf_dir, "events.parquet", to_log)

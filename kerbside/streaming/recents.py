@@ -1,0 +1,112 @@
+"""WIN1 with removes as a Structured Streaming stateful operator.
+
+The saved list is a fold over a user's operations in arrival order: ``add``
+moves an id to the front (distinct, capped at 10), ``remove`` drops it,
+``clear`` empties the list.  An entry pushed out by the cap never returns,
+so the list is not a window over surviving adds.
+
+``applyInPandasWithState`` keeps one small state per user (≤ 10 ids) across
+micro-batches; each trigger hands a user's new events to the fold, so memory
+is bounded by the trigger size (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``),
+never by the user's whole history.  The query checkpoints its state to the
+shared checkpoint folder, so a lost executor resumes from the last batch.
+
+Each batch emits the full current list of every user it touched (an empty
+list as one row with position -1); the sink keeps the latest batch per user.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from kerbside.operators.recents import MAX_SAVED
+from kerbside.session import ensure_checkpoint_dir
+
+OUTPUT_SCHEMA = T.StructType(
+    [
+        T.StructField("user_id", T.LongType()),
+        T.StructField("position", T.IntegerType()),
+        T.StructField("pid", T.LongType()),
+    ]
+)
+STATE_SCHEMA = T.StructType([T.StructField("pids", T.ArrayType(T.LongType()))])
+
+
+def apply_ops(current: list[int], ops: pd.DataFrame, limit: int = MAX_SAVED) -> list[int]:
+    """Fold one user's operations (already in arrival order) into the list."""
+    for op, pid in zip(ops["op"].tolist(), ops["pid"].tolist()):
+        if op == "add":
+            current = ([pid] + [p for p in current if p != pid])[:limit]
+        elif op == "remove":
+            current = [p for p in current if p != pid]
+        elif op == "clear":
+            current = []
+    return current
+
+
+def _fold(limit: int):
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (user_id,) = key
+        current = list(state.get[0]) if state.exists else []
+        events = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        current = apply_ops(current, events, limit)
+        state.update((current,))
+        if current:
+            yield pd.DataFrame({"user_id": [user_id] * len(current), "position": list(range(len(current))), "pid": current})
+        else:
+            yield pd.DataFrame({"user_id": [user_id], "position": [-1], "pid": pd.array([None], dtype="Int64")})
+
+    return fold
+
+
+def recents_stream(log: DataFrame, limit: int = MAX_SAVED) -> DataFrame:
+    """Streaming recents: ``log`` is a streaming DataFrame of (user_id, ts,
+    event_id, op, pid); the result emits each touched user's current list."""
+    return log.groupBy("user_id").applyInPandasWithState(
+        _fold(limit), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def latest_lists(sink: DataFrame) -> DataFrame:
+    """The current list per user from the sink rows (batch_id, user_id,
+    position, pid): the rows of each user's latest batch."""
+    w = Window.partitionBy("user_id")
+    latest = sink.withColumn("_last", F.max("batch_id").over(w)).where(F.col("batch_id") == F.col("_last"))
+    return latest.where(F.col("position") >= 0).select("user_id", "position", "pid")
+
+
+def run_recents(spark: SparkSession, source_dir: str, file_glob: str, to_log, limit: int = MAX_SAVED, files_per_trigger: int = 1) -> DataFrame:
+    """Drive the stream over files in ``source_dir`` until caught up
+    (availableNow), writing every batch to a sink folder under the shared
+    checkpoint folder; return the current lists.  ``to_log`` maps the raw
+    stream to (user_id, ts, event_id, op, pid)."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kerbside-recents-{uuid.uuid4().hex}"
+    sink_path, chk = f"{root}/sink", f"{root}/state"
+    schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{file_glob}").schema
+    raw = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", file_glob)
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .parquet(source_dir)
+    )
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink_path)
+
+    query = (
+        recents_stream(to_log(raw), limit)
+        .writeStream.outputMode("update")
+        .foreachBatch(write_batch)
+        .option("checkpointLocation", chk)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return latest_lists(spark.read.parquet(sink_path))
