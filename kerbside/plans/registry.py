@@ -1031,3 +1031,90 @@ def q_recents_fold(spark, sf_dir):
         )
 
     return run_recents(spark, sf_dir, "events.parquet", to_log)
+
+
+# =========================================================================== SRC1-3 / SRC5 / ING1-9 round trips
+# Each query exports data Spark derives from the tables in the source file
+# format to a scratch folder under the shared checkpoint folder, then ingests
+# it with the readers, so the whole ingest path runs over whole tables.
+import uuid as _uuid  # noqa: E402
+
+from kerbside.session import ensure_checkpoint_dir as _ckpt  # noqa: E402
+from kerbside.sources import ingest as ING  # noqa: E402
+
+_CSV_OUT = {"header": "false", "quote": '"', "escape": '"', "sep": ",", "lineSep": "\n"}
+
+
+def _scratch(spark, tag: str) -> str:
+    return f"{_ckpt(spark).rstrip('/')}/kerbside-stage/{tag}-{_uuid.uuid4().hex}"
+
+
+def _export_premises_csv(spark, sf_dir) -> str:
+    path = _scratch(spark, "premises-csv")
+    fx.premises_source(spark, sf_dir).select("id", *A.PARTS).write.options(**_CSV_OUT).csv(path)
+    return path
+
+
+_INGEST_PREMISES_SQL = f"SELECT id, {', '.join(A.PARTS)}, search_postcode, {fx.LOAD_TS_SQL} AS created_at FROM premises"
+
+
+@register("src1_ing_premises_csv", fx.oracle(_INGEST_PREMISES_SQL))
+def q_ingest_premises(spark, sf_dir):
+    path = _export_premises_csv(spark, sf_dir)
+    return ING.read_premises_csv(spark, path, fx.LOAD_TS).select("id", *A.PARTS, "search_postcode", "created_at")
+
+
+@register(
+    "src5_sqlite_premises_layout",
+    fx.oracle(
+        "SELECT id, address_room AS address_1, address_number AS address_2, address_street AS address_3, "
+        "address_locality AS locality, address_city AS city, address_postcode AS postcode FROM premises"
+    ),
+)
+def q_ingest_sqlite_layout(spark, sf_dir):
+    path = _export_premises_csv(spark, sf_dir)
+    return ING.read_sqlite_premises(spark, path, fx.LOAD_TS).select(*fx.schemas_sqlite_columns())
+
+
+def _export_jobs_csv(spark, sf_dir, with_duplicates: bool = False) -> str:
+    path = _scratch(spark, "jobs-csv")
+    j = fx.jobs_source(spark, sf_dir)
+    line = j.select("premises_id", "bin", F.date_format("date", "d/M/yy").alias("date"))
+    if with_duplicates:  # every line of a premises divisible by 4 appears twice
+        line = line.unionByName(line.where(F.col("premises_id") % 4 == 0))
+    line.write.options(**_CSV_OUT).csv(path)
+    return path
+
+
+@register("src2_ing4_jobs_csv", fx.oracle("SELECT premises_id, bin, date FROM jobs"))
+def q_ingest_jobs(spark, sf_dir):
+    return ING.read_jobs_csv(spark, _export_jobs_csv(spark, sf_dir)).select("premises_id", "bin", "date")
+
+
+@register("ing5_jobs_line_dedupe", fx.oracle("SELECT DISTINCT premises_id, bin, date FROM jobs"))
+def q_ingest_jobs_dedupe(spark, sf_dir):
+    """Legacy path: identical raw lines keep one (duplicates injected on export)."""
+    path = _export_jobs_csv(spark, sf_dir, with_duplicates=True)
+    return ING.read_jobs_csv(spark, path, dedupe=True).select("premises_id", "bin", "date")
+
+
+@register(
+    "src3_geocode_documents",
+    fx.oracle(
+        "SELECT postcode, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, round(distance, 3) AS distance FROM near",
+        NEAR_SQL,
+    ),
+)
+def q_geocode_documents(spark, sf_dir):
+    """Nearby answers written as response documents (JSON Lines), plus a
+    not-found body per pending postcode, read back by the geocode reader."""
+    t = fx.load(spark, sf_dir)
+    near = _near(t)
+    path = _scratch(spark, "geocodes-json")
+    item = F.struct("postcode", "longitude", "latitude", "distance")
+    docs = near.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("e")))).alias("_r"))  # ≤ 100 per origin
+    ok = docs.select(F.to_json(F.struct(F.transform("_r", lambda x: x["e"]).alias("result"))).alias("value"))
+    missing = GEO.pending_geocodes(t.premises, t.postcodes).select(F.lit('{"status":404,"error":"Postcode not found"}').alias("value"))
+    ok.unionByName(missing).write.text(path)
+    g = ING.read_geocodes(spark, path, multi_line=False)
+    return g.select("postcode", F.round("longitude", 6).alias("longitude"), F.round("latitude", 6).alias("latitude"), F.round("distance", 3).alias("distance"))

@@ -54,23 +54,24 @@ def parse_csv_lines(clean: DataFrame, columns: Sequence[str], strict: bool = Tru
 
 
 def _field_count_check(clean: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Raise on rows whose field count differs from the schema.
+    """Raise on rows whose field count differs from the schema, or with a
+    field that opens a quote and never closes it.
 
-    Counting is done on the line with a CSV-aware split: commas inside
-    double-quoted sections do not count.
+    The check is folded into the ``value`` column itself, so every parse of
+    the line depends on it and column pruning cannot drop it.  Commas inside
+    double-quoted sections (doubled quotes allowed) do not count.
     """
     n = len(columns)
-    # Remove quoted sections (with doubled quotes inside) then count commas.
-    unquoted = F.regexp_replace(F.col("value"), '"([^"]|"")*"', "")
+    value = F.col("value")
+    unquoted = F.regexp_replace(value, '"([^"]|"")*"', "")
     fields = F.length(unquoted) - F.length(F.regexp_replace(unquoted, ",", "")) + 1
-    bad_quote = F.length(unquoted) - F.length(F.regexp_replace(unquoted, '"', "")) > 0
-    return clean.where(F.col("value") != "").select(
-        "value",
-        F.when(bad_quote, F.raise_error(F.concat(F.lit("unterminated quote in line: "), F.col("value"))))
-        .when(fields != n, F.raise_error(F.concat(F.lit(f"expected {n} fields in line: "), F.col("value"))))
-        .otherwise(F.lit(True))
-        .alias("_ok"),
+    open_quote = unquoted.rlike('(^|,)"')
+    checked = (
+        F.when(open_quote, F.raise_error(F.concat(F.lit("unterminated quote in line: "), value)))
+        .when(fields != n, F.raise_error(F.concat(F.lit(f"expected {n} fields in line: "), value)))
+        .otherwise(value)
     )
+    return clean.where(value != "").select(checked.alias("value"))
 
 
 def read_csv_text(
@@ -86,7 +87,7 @@ def read_csv_text(
         raw = dedupe_lines(raw)
     clean = strip_cr(strip_nul(raw))
     if strict:
-        clean = _field_count_check(clean, columns).select("value")
+        clean = _field_count_check(clean, columns)
     return parse_csv_lines(clean, columns, strict=strict)
 
 
@@ -180,16 +181,20 @@ def read_sqlite_premises(spark: SparkSession, paths: str | Sequence[str], load_t
     return read_premises_csv(spark, paths, load_ts, names=schemas.SQLITE_PREMISES_COLUMNS)
 
 
-def read_geocodes(spark: SparkSession, paths: str | Sequence[str], on_invalid: str = "raise") -> DataFrame:
+def read_geocodes(
+    spark: SparkSession, paths: str | Sequence[str], on_invalid: str = "raise", multi_line: bool = True
+) -> DataFrame:
     """SRC3: flatten geocode documents to (postcode, longitude, latitude, distance).
 
     Every field is required; one bad element rejects its whole document
     (``on_invalid='raise'`` fails the job, ``'drop'`` skips the document).  A
     payload without ``result`` (e.g. a 404 body) is an empty list.
+    ``multi_line=True`` reads one document per file (a saved response body);
+    ``False`` reads JSON Lines, one document per line (bulk archives).
     """
     docs = (
         spark.read.schema(schemas.GEOCODE_DOCUMENT)
-        .option("multiLine", "true")
+        .option("multiLine", "true" if multi_line else "false")
         .option("mode", "PERMISSIVE")
         .json(paths if isinstance(paths, str) else list(paths))
         .withColumn("_doc", F.input_file_name())
