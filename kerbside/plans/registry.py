@@ -296,7 +296,7 @@ PC_REQUESTS_SQL = """
 requests AS (
   SELECT DISTINCT address_city AS request_id, address_postcode AS postcode FROM premises WHERE address_postcode IS NOT NULL
   UNION ALL
-  SELECT 'ALL', address_postcode FROM premises WHERE address_postcode IS NOT NULL),
+  SELECT address_street, address_postcode FROM premises WHERE address_postcode IS NOT NULL),
 sizes AS (SELECT request_id, count(*) AS n FROM requests GROUP BY request_id)
 """
 
@@ -304,7 +304,8 @@ sizes AS (SELECT request_id, count(*) AS n FROM requests GROUP BY request_id)
 def postcode_requests(t: fx.Tables):
     pc = t.premises.where(F.col("address_postcode").isNotNull())
     per_city = pc.select(F.col("address_city").alias("request_id"), F.col("address_postcode").alias("postcode")).distinct()
-    every = pc.select(F.lit("ALL").alias("request_id"), F.col("address_postcode").alias("postcode"))
+    # every premises' postcode per street, duplicates counted: long lists (≥ 150) get nothing
+    every = pc.select(F.col("address_street").alias("request_id"), F.col("address_postcode").alias("postcode"))
     return per_city.unionByName(every)
 
 
