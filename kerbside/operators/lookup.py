@@ -93,20 +93,27 @@ def postcode_jobs(
     ``max_postcodes`` or more postcodes (duplicates counted) gets nothing.
 
     The premises are cut down to requested postcodes *before* the jobs join,
-    so the large jobs table only meets matching premises ids.
+    so the large jobs table only meets matching premises ids; (postcode,
+    date, bin) is made distinct once, before it fans out to the requests
+    (partial aggregation absorbs a hot postcode), and the fan-out join then
+    yields distinct rows by construction.
     """
     sizes = requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-    allowed = requests.join(sizes.where(F.col("_n") < max_postcodes), "request_id", "left_semi").select(
-        "request_id", F.col(postcode_col).alias("_rq")
+    allowed = (
+        requests.join(sizes.where(F.col("_n") < max_postcodes), "request_id", "left_semi")
+        .select("request_id", F.col(postcode_col).alias("_rq"))
+        .dropDuplicates(["request_id", "_rq"])
     )
     wanted = premises.select("id", "address_postcode").join(
         allowed.select("_rq").distinct(), F.col("address_postcode") == F.col("_rq"), "left_semi"
     )
-    pj = wanted.join(jobs.select("premises_id", "bin", "date"), F.col("id") == F.col("premises_id"))
-    matched = allowed.join(pj, F.col("_rq") == F.col("address_postcode"))
-    return matched.select("request_id", F.col("address_postcode").alias("postcode"), "date", "bin").dropDuplicates(
-        ["request_id", "postcode", "date", "bin"]
+    pj = (
+        wanted.join(jobs.select("premises_id", "bin", "date"), F.col("id") == F.col("premises_id"))
+        .select("address_postcode", "date", "bin")
+        .dropDuplicates(["address_postcode", "date", "bin"])
     )
+    matched = allowed.join(pj, F.col("_rq") == F.col("address_postcode"))
+    return matched.select("request_id", F.col("address_postcode").alias("postcode"), "date", "bin")
 
 
 # --------------------------------------------------------------------------- JOIN2

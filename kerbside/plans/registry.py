@@ -1119,3 +1119,66 @@ def q_geocode_documents(spark, sf_dir):
     ok.unionByName(missing).write.text(path)
     g = ING.read_geocodes(spark, path, multi_line=False)
     return g.select("postcode", F.round("longitude", 6).alias("longitude"), F.round("latitude", 6).alias("latitude"), F.round("distance", 3).alias("distance"))
+
+
+# =========================================================================== FIL8
+RAW_REQUESTS_SQL = """
+raw AS (SELECT o_orderkey AS request_id,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'abc'
+       WHEN o_orderkey % 7 = 0 THEN CAST(o_custkey AS VARCHAR) || '.5'
+       WHEN o_orderkey % 11 = 0 THEN ' ' || CAST(o_custkey AS VARCHAR)
+       ELSE CAST(o_custkey AS VARCHAR) END AS premises,
+  CASE o_orderstatus WHEN 'F' THEN 'csv' WHEN 'O' THEN NULL ELSE 'xml' END AS format
+FROM orders)
+"""
+
+
+def raw_requests(spark, sf_dir):
+    o = fx.read_table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    return o.select(
+        k.alias("request_id"),
+        F.when(k % 13 == 0, F.lit("abc")).when(k % 7 == 0, F.concat(c, F.lit(".5"))).when(k % 11 == 0, F.concat(F.lit(" "), c)).otherwise(c).alias("premises"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("csv")).when(F.col("o_orderstatus") == "O", F.lit(None).cast("string")).otherwise(F.lit("xml")).alias("format"),
+    )
+
+
+@register(
+    "fil8_validate_requests",
+    fx.oracle(
+        """
+SELECT request_id, premises_id, fmt AS format,
+  CASE WHEN premises_id IS NULL THEN 'premises: expected a number'
+       WHEN fmt NOT IN ('json', 'csv', 'ical') THEN 'format: expected one of json, csv, ical' END AS error
+FROM (SELECT request_id, coalesce(format, 'json') AS fmt,
+        CASE WHEN regexp_matches(trim(premises), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(premises) AS BIGINT) END AS premises_id
+      FROM raw) v
+""",
+        RAW_REQUESTS_SQL,
+    ),
+)
+def q_validate_requests(spark, sf_dir):
+    return LK.validate_job_requests(raw_requests(spark, sf_dir))
+
+
+@register(
+    "fil8_validate_tool_ids",
+    fx.oracle(
+        """
+SELECT request_id, CASE WHEN ok THEN CAST(v AS BIGINT) END AS premises_id,
+  CASE WHEN NOT ok THEN 'premisesId: expected a non-negative integer' END AS error
+FROM (SELECT request_id, v, v >= 0 AND v = trunc(v) AS ok FROM (
+  SELECT id AS request_id,
+    CASE WHEN id % 7 = 0 THEN premises_id + 0.5 WHEN id % 11 = 0 THEN -1.0 * premises_id ELSE 1.0 * premises_id END AS v
+  FROM jobs) a) b
+"""
+    ),
+)
+def q_validate_tool_ids(spark, sf_dir):
+    t = fx.load(spark, sf_dir)
+    p = F.col("premises_id").cast("double")
+    raw = t.jobs.select(
+        F.col("id").alias("request_id"),
+        F.when(F.col("id") % 7 == 0, p + 0.5).when(F.col("id") % 11 == 0, -p).otherwise(p).alias("premisesId"),
+    )
+    return LK.validate_tool_ids(raw)
