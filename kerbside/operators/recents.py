@@ -35,8 +35,10 @@ def recents_add_only(log: DataFrame, limit: int = MAX_SAVED, salts: int = SALTS)
     w1 = Window.partitionBy("user_id", "_salt").orderBy(*order)
     local = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= limit)
     w2 = Window.partitionBy("user_id").orderBy(*order)
-    top = local.withColumn("position", F.row_number().over(w2) - 1).where(F.col("position") < limit)
-    return top.select("user_id", F.col("position").cast("int").alias("position"), "pid", "last_ts")
+    # filter on the row number itself so Spark adds a partial (map-side)
+    # WindowGroupLimit before each shuffle
+    top = local.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= limit)
+    return top.select("user_id", (F.col("_rn") - 1).cast("int").alias("position"), "pid", "last_ts")
 
 
 def saved_list_json(recents: DataFrame, premises: DataFrame) -> DataFrame:

@@ -1182,3 +1182,42 @@ def q_validate_tool_ids(spark, sf_dir):
         F.when(F.col("id") % 7 == 0, p + 0.5).when(F.col("id") % 11 == 0, -p).otherwise(p).alias("premisesId"),
     )
     return LK.validate_tool_ids(raw)
+
+
+# =========================================================================== SNK1 / SRC4 / AGG3 / CHG2 / CHG3
+from kerbside.plans.refresh import Dataset, refresh  # noqa: E402
+from kerbside.sources.tables import TableStore  # noqa: E402
+
+
+@register("snk1_src4_guarded_replace", fx.oracle(f"SELECT id, {', '.join(A.PARTS)}, search_postcode FROM premises"))
+def q_guarded_replace(spark, sf_dir):
+    """Stage the premises into a versioned table, then offer an empty
+    snapshot: the guard keeps the first version current; read it back."""
+    t = fx.load(spark, sf_dir)
+    store = TableStore(spark, _scratch(spark, "store"))
+    assert store.replace_if_nonempty(t.premises, "premises") is True
+    assert store.replace_if_nonempty(t.premises.where(F.lit(False)), "premises") is False
+    return store.load("premises").select("id", *A.PARTS, "search_postcode")
+
+
+@register("chg2_chg3_refresh_runs")
+def q_refresh_runs(spark, sf_dir):
+    """Two refresh runs over CSV snapshots exported from the tables: the first
+    loads both datasets (changed), the second finds them unchanged; returns
+    the run records and the loaded row counts."""
+    store = TableStore(spark, _scratch(spark, "refresh"))
+    p_path, j_path = _export_premises_csv(spark, sf_dir), _export_jobs_csv(spark, sf_dir)
+    datasets = [
+        Dataset("premises", URLS["premises"], lambda s: ING.read_premises_csv(s, p_path, fx.LOAD_TS)),
+        Dataset("jobs", URLS["jobs"], lambda s: ING.read_jobs_csv(s, j_path)),
+    ]
+    obs = CHG.marker_rows(CHG.snapshot_marker(fx.premises_source(spark, sf_dir), P_COLS), URLS["premises"], fx.MERGE_TS, fx.MERGE_TS).unionByName(
+        CHG.marker_rows(CHG.snapshot_marker(fx.jobs_source(spark, sf_dir), J_COLS), URLS["jobs"], fx.MERGE_TS, fx.MERGE_TS)
+    )
+    clock = lambda: fx.MERGE_TS
+    refresh(spark, store, datasets, obs, now=clock)
+    refresh(spark, store, datasets, obs, now=clock)
+    counts = store.load("premises").agg(F.count(F.lit(1)).alias("n")).select(F.lit("premises").alias("dataset"), "n").unionByName(
+        store.load("jobs").agg(F.count(F.lit(1)).alias("n")).select(F.lit("jobs").alias("dataset"), "n")
+    )
+    return store.load_appended("runs").join(counts, "dataset").select("dataset", "decision", "error", "n")
