@@ -17,7 +17,10 @@ Dense areas therefore close after one or two small rings instead of pairing
 every point of a radius-sized 3×3 block.  Top-``limit`` selection is two
 phase: first per (origin, cell, salt) then per origin, so no window partition
 holds more than ``limit × cells × salts`` rows even when one cell holds a
-third of all points.  Each round's state is checkpointed.
+third of all points.  Postcodes sharing one exact point are cut to the
+``limit`` smallest names per point before pairing (the rest can never rank),
+so a point holding a third of all postcodes costs O(origins × limit) pairs.
+Each round's state is checkpointed.
 
 Not handled: the antimeridian and the poles (longitude cells assume
 |latitude| < 89.9°).
@@ -107,6 +110,12 @@ def nearest_postcodes(
             .select("origin", F.col("latitude").alias("olat"), F.col("longitude").alias("olon"), F.col("cy").alias("ocy"), F.col("cx").alias("ocx"))
         )
     order = [F.col("distance").asc(), (F.col("postcode") != F.col("origin")).asc(), F.col("postcode").asc()]
+    # Postcodes sharing one exact point tie on distance for every origin and
+    # break by name, so only the ``limit`` smallest names of a point can ever
+    # rank; keep those (a map-side limited window) and add each origin's own
+    # row explicitly.  Bounds the pairs of a point holding many postcodes.
+    at_point = Window.partitionBy("latitude", "longitude").orderBy("postcode")
+    targets = cells.withColumn("_n", F.row_number().over(at_point)).where(F.col("_n") <= limit).drop("_n")
     rings = math.ceil(radius_m / cell_m)
     pending = org.checkpoint(eager=True)
     best = None
@@ -117,10 +126,17 @@ def nearest_postcodes(
             "origin", "olat", "olon", (F.col("ocy") + F.col("_o.dy")).alias("cy"), (F.col("ocx") + F.col("_o.dx")).alias("cx")
         )
         cand = (
-            probe.join(cells, ["cy", "cx"])
+            probe.join(targets, ["cy", "cx"])
+            .where(F.col("postcode") != F.col("origin"))
             .select("origin", "postcode", "latitude", "longitude", "cy", "cx", haversine_m(F.col("olat"), F.col("olon"), F.col("latitude"), F.col("longitude")).alias("distance"))
             .where(F.col("distance") <= radius_m)
         )
+        if r == 0:
+            own = pending.select(
+                "origin", F.col("origin").alias("postcode"), F.col("olat").alias("latitude"), F.col("olon").alias("longitude"),
+                F.col("ocy").alias("cy"), F.col("ocx").alias("cx"), F.lit(0.0).alias("distance"),
+            )
+            cand = cand.unionByName(own)
         # phase 1: per (origin, cell, salt); phase 2: per origin with the kept state
         salted = cand.withColumn("_salt", F.pmod(F.xxhash64("postcode"), F.lit(salts)))
         local = _topk(salted, limit, order, ["origin", "cy", "cx", "_salt"]).drop("cy", "cx", "_salt")

@@ -77,6 +77,20 @@ def test_nearest_equals_brute_force(spark):
     assert got_map == want
 
 
+def test_nearest_with_many_postcodes_at_one_point(spark):
+    rnd = random.Random(5)
+    pts = [(f"S{i:04d}", 53.8, -1.55) for i in range(300)]  # one point holds most rows
+    pts += [(f"P{i:04d}", 53.79 + rnd.random() * 0.02, -1.56 + rnd.random() * 0.02) for i in range(60)]
+    df = spark.createDataFrame(pts, "id string, latitude double, longitude double")
+    got = {(r.origin, r.postcode): r.rank for r in GEO.nearest_postcodes(df, limit=100).select("origin", "rank", "postcode").collect()}
+    want = {}
+    for o in pts:
+        cand = sorted(c for c in ((_haversine((o[1], o[2]), (p[1], p[2])), p[0] != o[0], p[0]) for p in pts) if c[0] <= 2000.0)[:100]
+        for k, c in enumerate(cand):
+            want[(o[0], c[2])] = k
+    assert got == want
+
+
 def test_nearest_plan_has_no_cartesian(spark):
     df = spark.createDataFrame([("A", 53.8, -1.5), ("B", 53.801, -1.5)], "id string, latitude double, longitude double")
     plan = GEO.nearest_postcodes(df)._jdf.queryExecution().executedPlan().toString()
