@@ -20,7 +20,7 @@ holds more than ``limit × cells × salts`` rows even when one cell holds a
 third of all points.  Postcodes sharing one exact point are cut to the
 ``limit`` smallest names per point before pairing (the rest can never rank),
 so a point holding a third of all postcodes costs O(origins × limit) pairs.
-Each round's state is checkpointed.
+Each round's state is written to the shared checkpoint folder.
 
 Not handled: the antimeridian and the poles (longitude cells assume
 |latitude| < 89.9°).
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from kerbside.functions.address import bin_dot_class
 from kerbside.functions.dates import as_date
 from kerbside.operators.lookup import postcode_jobs
-from kerbside.session import ensure_checkpoint_dir
+from kerbside.plans.stage import materialize
 
 # Fixed values of the nearby search.
 NEARBY_LIMIT = 100
@@ -85,7 +85,6 @@ def nearest_postcodes(
     distance) with 0-based ``rank``.
     """
     spark = postcodes.sparkSession
-    ensure_checkpoint_dir(spark)
     cell_m = cell_m or radius_m / 4.0
     dlat = cell_m / METRES_PER_DEGREE
     pts = postcodes.select(F.col("id").alias("postcode"), "latitude", "longitude")
@@ -117,7 +116,7 @@ def nearest_postcodes(
     at_point = Window.partitionBy("latitude", "longitude").orderBy("postcode")
     targets = cells.withColumn("_n", F.row_number().over(at_point)).where(F.col("_n") <= limit).drop("_n")
     rings = math.ceil(radius_m / cell_m)
-    pending = org.checkpoint(eager=True)
+    pending = materialize(org, "near-open")
     best = None
     finished: list[DataFrame] = []
     for r in range(rings + 1):
@@ -141,7 +140,7 @@ def nearest_postcodes(
         salted = cand.withColumn("_salt", F.pmod(F.xxhash64("postcode"), F.lit(salts)))
         local = _topk(salted, limit, order, ["origin", "cy", "cx", "_salt"]).drop("cy", "cx", "_salt")
         merged = local if best is None else best.unionByName(local)
-        best = _topk(merged, limit, order, ["origin"]).checkpoint(eager=True)
+        best = materialize(_topk(merged, limit, order, ["origin"]), "near-best")
         if r == rings:
             finished.append(best)
             break
@@ -149,7 +148,7 @@ def nearest_postcodes(
         stats = best.groupBy("origin").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_far"))
         closed = stats.where((F.col("_n") >= limit) & (F.col("_far") <= covered)).select("origin")
         finished.append(best.join(closed, "origin", "left_semi"))
-        pending = pending.join(closed, "origin", "left_anti").checkpoint(eager=True)
+        pending = materialize(pending.join(closed, "origin", "left_anti"), "near-open")
         best = best.join(closed, "origin", "left_anti")
         if pending.isEmpty():
             break

@@ -9,9 +9,10 @@ keys, unique tie-breaker), so a hot group is spread over many tasks.  After a
 local sort, each row's position inside its partition plus the number of rows
 in earlier partitions is its global rank.  The per-partition count table has
 one row per partition: its size is bounded by the partition count, so it is
-safe to broadcast.  The sorted, tagged rows are checkpointed once to the
-shared checkpoint folder, so every later pass reads the same numbering and a
-lost executor only recomputes from that checkpoint.
+safe to broadcast.  The sorted, tagged rows are written once as Parquet to
+the shared checkpoint folder (``plans.stage.materialize``), so every later
+pass reads the same numbering and a lost executor re-reads instead of
+recomputing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.session import ensure_checkpoint_dir
+from kerbside.plans.stage import materialize
 
 _P, _I, _OFF, _G = "_kb_part", "_kb_pos", "_kb_off", "_kb_rank"
 
@@ -48,11 +49,10 @@ def tag_sorted(
     the partition); ``offsets`` has one row per partition with the number of
     rows in all earlier partitions.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     keys = [_as_order(k) for k in sort_keys]
     n = _partitions(df, num_partitions)
     part = F.spark_partition_id()
-    tagged = (
+    tagged = materialize(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .select(
@@ -60,8 +60,8 @@ def tag_sorted(
             part.alias(_P),
             # monotonically_increasing_id = (partition << 33) + row index in partition
             (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias(_I),
-        )
-        .checkpoint(eager=True)
+        ),
+        "ordered",
     )
     counts = tagged.groupBy(_P).agg(F.count(F.lit(1)).alias("_kb_n"))
     before = Window.orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)  # ≤ n rows

@@ -1038,16 +1038,16 @@ def q_recents_fold(spark, sf_dir):
 # Each query exports data Spark derives from the tables in the source file
 # format to a scratch folder under the shared checkpoint folder, then ingests
 # it with the readers, so the whole ingest path runs over whole tables.
-import uuid as _uuid  # noqa: E402
 
-from kerbside.session import ensure_checkpoint_dir as _ckpt  # noqa: E402
 from kerbside.sources import ingest as ING  # noqa: E402
 
 _CSV_OUT = {"header": "false", "quote": '"', "escape": '"', "sep": ",", "lineSep": "\n"}
 
 
 def _scratch(spark, tag: str) -> str:
-    return f"{_ckpt(spark).rstrip('/')}/kerbside-stage/{tag}-{_uuid.uuid4().hex}"
+    from kerbside.plans.stage import stage_path
+
+    return stage_path(spark, tag)
 
 
 def _export_premises_csv(spark, sf_dir) -> str:
