@@ -7,11 +7,12 @@ plan is written as an equi-join on grid cells with *ring expansion*:
 
 * cells are ``cell_m`` metres on a side (latitude exact; longitude widened by
   the data's largest |latitude| so a cell is never narrower than ``cell_m``);
-* round r joins the still-open origins with the points of the cells at
-  Chebyshev distance exactly r (8r cells; 1 for r = 0);
-* after round r every point within r·cell_m of the origin has been seen, so
-  an origin closes as soon as it holds ``limit`` candidates no farther than
-  that; otherwise it closes after the round that covers the radius.
+* a round joins the still-open origins with the points of the cells at
+  Chebyshev distance first..r (rings 0-1 first, then the rest);
+* after a round ending at ring r every point within r·cell_m of the origin
+  has been seen, so an origin closes as soon as it holds ``limit``
+  candidates no farther than that; otherwise it closes after the round that
+  covers the radius.
 
 Dense areas therefore close after one or two small rings instead of pairing
 every point of a radius-sized 3×3 block.  Top-``limit`` selection is two
@@ -57,10 +58,16 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def _ring_offsets(r: int) -> list[tuple[int, int]]:
-    if r == 0:
-        return [(0, 0)]
-    return [(dx, dy) for dx in range(-r, r + 1) for dy in range(-r, r + 1) if max(abs(dx), abs(dy)) == r]
+def _ring_offsets(first: int, last: int) -> list[tuple[int, int]]:
+    """Cell offsets at Chebyshev distance first..last (inclusive)."""
+    return [(dx, dy) for dx in range(-last, last + 1) for dy in range(-last, last + 1) if first <= max(abs(dx), abs(dy)) <= last]
+
+
+def _ring_batches(rings: int, early: int) -> list[tuple[int, int]]:
+    """Rounds of rings: 0..early first (dense areas close there), then the rest."""
+    if rings <= early:
+        return [(0, rings)]
+    return [(0, early), (early + 1, rings)]
 
 
 def _topk(df: DataFrame, k: int, order: list[Column], group: list[str]) -> DataFrame:
@@ -75,6 +82,7 @@ def nearest_postcodes(
     radius_m: float = NEARBY_RADIUS_M,
     cell_m: float | None = None,
     salts: int = TOPK_SALTS,
+    early_rings: int = 1,
 ) -> DataFrame:
     """Up to ``limit`` postcodes within ``radius_m`` of each origin, nearest
     first (ties by postcode), the origin itself first at distance 0.
@@ -82,7 +90,8 @@ def nearest_postcodes(
     ``postcodes``: (id, latitude, longitude).  ``origins``: a DataFrame with a
     ``postcode`` column (default: every postcode).  Origins without a geocode
     get no rows.  Output: (origin, rank, postcode, latitude, longitude,
-    distance) with 0-based ``rank``.
+    distance) with 0-based ``rank``.  Rings 0..``early_rings`` form the first
+    round; origins still open then take the remaining rings in one more round.
     """
     spark = postcodes.sparkSession
     cell_m = cell_m or radius_m / 4.0
@@ -119,8 +128,9 @@ def nearest_postcodes(
     pending = materialize(org, "near-open")
     best = None
     finished: list[DataFrame] = []
-    for r in range(rings + 1):
-        offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _ring_offsets(r)])
+    batches = _ring_batches(rings, early_rings)
+    for first, r in batches:
+        offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _ring_offsets(first, r)])
         probe = pending.select("*", F.explode(offsets).alias("_o")).select(
             "origin", "olat", "olon", (F.col("ocy") + F.col("_o.dy")).alias("cy"), (F.col("ocx") + F.col("_o.dx")).alias("cx")
         )
@@ -130,7 +140,7 @@ def nearest_postcodes(
             .select("origin", "postcode", "latitude", "longitude", "cy", "cx", haversine_m(F.col("olat"), F.col("olon"), F.col("latitude"), F.col("longitude")).alias("distance"))
             .where(F.col("distance") <= radius_m)
         )
-        if r == 0:
+        if first == 0:
             own = pending.select(
                 "origin", F.col("origin").alias("postcode"), F.col("olat").alias("latitude"), F.col("olon").alias("longitude"),
                 F.col("ocy").alias("cy"), F.col("ocx").alias("cx"), F.lit(0.0).alias("distance"),
@@ -141,7 +151,7 @@ def nearest_postcodes(
         local = _topk(salted, limit, order, ["origin", "cy", "cx", "_salt"]).drop("cy", "cx", "_salt")
         merged = local if best is None else best.unionByName(local)
         best = materialize(_topk(merged, limit, order, ["origin"]), "near-best")
-        if r == rings:
+        if r >= rings:
             finished.append(best)
             break
         covered = r * cell_m
