@@ -82,7 +82,13 @@ def read_csv_text(
     strict: bool = True,
 ) -> DataFrame:
     """Raw CSV route shared by SRC1/SRC2: lines → ING5? → ING1 → ING2 → parse."""
-    raw = lines(spark, paths)
+    return csv_from_lines(lines(spark, paths), columns, dedupe=dedupe, strict=strict)
+
+
+def csv_from_lines(raw: DataFrame, columns: Sequence[str], dedupe: bool = False, strict: bool = True) -> DataFrame:
+    """The CSV route on a DataFrame of raw lines (column ``value``), e.g. a
+    micro-batch of a file stream."""
+    raw = raw.select("value")
     if dedupe:
         raw = dedupe_lines(raw)
     clean = strip_cr(strip_nul(raw))
@@ -157,7 +163,12 @@ def read_premises_csv(
     Validation errors surface when the staged rows are written (SNK1 writes
     every column, so no check is pruned away).
     """
-    text = read_csv_text(spark, paths, schemas.PREMISES_CSV_COLUMNS)
+    return premises_from_lines(lines(spark, paths), load_ts, names)
+
+
+def premises_from_lines(raw: DataFrame, load_ts: dt.datetime, names: Sequence[str] | None = None) -> DataFrame:
+    """SRC1 on a DataFrame of raw lines."""
+    text = csv_from_lines(raw, schemas.PREMISES_CSV_COLUMNS)
     typed = text.select(strict_int(F.col("id"), "id").alias("id"), *schemas.ADDRESS_COLUMNS)
     staged = with_load_ts(null_if_empty(with_search_postcode(typed), schemas.ADDRESS_COLUMNS), load_ts)
     if names is not None:  # SRC5: alternate column names of the same file
@@ -167,7 +178,12 @@ def read_premises_csv(
 
 def read_jobs_csv(spark: SparkSession, paths: str | Sequence[str], dedupe: bool = False) -> DataFrame:
     """SRC2 (+ ING1-4, ING8): the jobs snapshot; '' bins stay ''."""
-    text = read_csv_text(spark, paths, schemas.JOBS_CSV_COLUMNS, dedupe=dedupe)
+    return jobs_from_lines(lines(spark, paths), dedupe=dedupe)
+
+
+def jobs_from_lines(raw: DataFrame, dedupe: bool = False) -> DataFrame:
+    """SRC2 on a DataFrame of raw lines."""
+    text = csv_from_lines(raw, schemas.JOBS_CSV_COLUMNS, dedupe=dedupe)
     typed = text.select(
         strict_int(F.col("premises_id"), "premises_id").alias("premises_id"),
         F.col("bin"),

@@ -1,0 +1,45 @@
+"""Streaming operators: file-arrival refresh and the recents fold."""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+
+from kerbside.sources import ingest as ING
+from kerbside.sources.tables import TableStore
+from kerbside.streaming.snapshots import start_snapshot_refresh
+
+T1 = dt.datetime(2024, 3, 1, 3, 0)
+URL = "https://example.org/dm_premises.csv"
+COLS = ["id", "address_room", "address_number", "address_street", "address_locality", "address_city", "address_postcode"]
+
+
+def _land(folder: str, name: str, data: bytes) -> None:
+    tmp = os.path.join(folder, f".{name}.tmp")
+    with open(tmp, "wb") as f:
+        f.write(data)
+    os.rename(tmp, os.path.join(folder, name))  # appear atomically in the landing folder
+
+
+def test_snapshot_refresh_stream(spark, tmp_dir):
+    landing = os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+    store = TableStore(spark, os.path.join(tmp_dir, "store"))
+    chk = os.path.join(tmp_dir, "chk")
+
+    def run():
+        q = start_snapshot_refresh(spark, landing, store, "premises", URL, ING.premises_from_lines, COLS, chk, now=lambda: T1)
+        q.awaitTermination()
+
+    _land(landing, "s1.csv", b"1,,2,HIGH STREET,,LEEDS,LS6 2SE\n2,,3,HIGH STREET,,LEEDS,LS6 2SE\n")
+    run()
+    assert sorted(r.id for r in store.load("premises").collect()) == [1, 2]
+    first_etag = store.load("markers").first().etag
+    _land(landing, "s2.csv", b"3,,4,LOW STREET,,LEEDS,LS6 2SF\n")
+    run()  # only the new file is a snapshot
+    assert [r.id for r in store.load("premises").collect()] == [3]
+    assert store.load("markers").first().etag != first_etag
+    _land(landing, "s3.csv", b"")
+    run()  # empty snapshot keeps the old rows
+    assert [r.id for r in store.load("premises").collect()] == [3]
+    assert store.load_appended("runs").count() == 3

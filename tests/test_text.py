@@ -104,3 +104,27 @@ def test_bin_styles(spark):
     got = df.select(A.bin_order("bin"), A.bin_list_class("bin"), A.bin_dot_class("bin")).collect()
     assert [tuple(r) for r in got] == [(0, "bg-gray-900 text-gray-50", "bg-gray-900/90"), (-1, "", "")]
     assert F is not None
+
+
+def test_write_documents_keeps_documents_contiguous(spark, tmp_dir):
+    from kerbside import fixtures as fx
+    from tests.conftest import SF001
+
+    t = fx.load(spark, SF001)
+    lines = feeds.csv_lines(t.premises, t.jobs)
+    out = f"{tmp_dir}/docs"
+    feeds.write_documents(lines, out, num_partitions=6)
+    files = sorted(f for f in __import__("os").listdir(out) if f.endswith(".parquet"))
+    import pyarrow.parquet as pq
+
+    ranges = []
+    for f in files:
+        tbl = pq.read_table(f"{out}/{f}").to_pandas()
+        if len(tbl):
+            keys = list(zip(tbl.premises_id, tbl.part, tbl.seq, tbl["sub"]))
+            assert keys == sorted(keys)  # sorted inside the file
+            ranges.append((keys[0], keys[-1]))
+    ranges.sort()
+    for (a0, a1), (b0, b1) in zip(ranges, ranges[1:]):
+        assert a1 < b0  # files hold disjoint, ordered key ranges
+    assert sum(len(pq.read_table(f"{out}/{f}")) for f in files) == lines.count()
