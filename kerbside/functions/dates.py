@@ -8,6 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ts_lit(v: dt.datetime | Column) -> Column:
+    """A timestamp literal read in the *session* time zone.
+
+    ``F.lit(datetime)`` converts a naive Python datetime with the Python
+    process's local zone; text cast to timestamp uses the session zone
+    (UTC here), whatever the process zone is.
+    """
+    if isinstance(v, Column):
+        return v
+    return F.lit(v.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+
+
 def as_date(as_of: dt.date | str | Column) -> Column:
     if isinstance(as_of, Column):
         return as_of.cast("date")

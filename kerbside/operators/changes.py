@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbside.functions.dates import ts_lit
+
 # The two datasets and the status table's placeholder.
 DATASETS = [
     ("jobs", "Jobs", "dm_jobs.csv"),
@@ -92,5 +94,5 @@ def marker_rows(marker: DataFrame, url: str | Column, last_modified: dt.datetime
     """An observation row from a one-row snapshot marker."""
     u = url if isinstance(url, Column) else F.lit(url)
     return marker.select(
-        u.alias("url"), "etag", F.lit(last_modified).cast("timestamp").alias("last_modified"), F.lit(checked_at).cast("timestamp").alias("checked_at")
+        u.alias("url"), "etag", ts_lit(last_modified).alias("last_modified"), ts_lit(checked_at).alias("checked_at")
     )

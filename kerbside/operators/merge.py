@@ -14,13 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.functions.dates import ts_lit
 from kerbside.schemas import ADDRESS_COLUMNS
 
 JOB_TRIPLE = ["premises_id", "bin", "date"]
 
 
 def _ts(v: dt.datetime | Column) -> Column:
-    return v if isinstance(v, Column) else F.lit(v).cast("timestamp")
+    return ts_lit(v)
 
 
 def _any(cols: Sequence[Column]) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.address import capital_case, full_address, summary_address
+from kerbside.functions.dates import ts_lit
 from kerbside.functions.text import DEFAULT_BASE_URL, event_url, ical_escape, ical_fold
 from kerbside.plans.ordering import global_sequence, sequence_within
 from kerbside.schemas import RESULT_NAMES
@@ -101,7 +102,7 @@ def json_lines(premises: DataFrame, jobs: DataFrame, numbered: DataFrame | None
 
 # --------------------------------------------------------------------------- SNK9
 def _ical_stamp(as_of: dt.datetime) -> Column:
-    return F.date_format(F.lit(as_of).cast("timestamp"), "yyyyMMdd'T'HHmmss'Z'")
+    return F.date_format(ts_lit(as_of), "yyyyMMdd'T'HHmmss'Z'")
 
 
 def ical_lines(
@@ -230,7 +231,7 @@ def sitemap_index_entries(
     """SNK11 entries: two static sitemaps with lastmod, then one per page
     without; ``pos`` orders them and ``xml`` is the entry's text."""
     spark = premises.sparkSession
-    lastmod = F.date_format(F.lit(build_time).cast("timestamp"), ISO_MILLIS)
+    lastmod = F.date_format(ts_lit(build_time), ISO_MILLIS)
     static = spark.range(2).select(
         F.col("id").cast("long").alias("pos"),
         F.when(F.col("id") == 0, F.lit(f"{base_url}/sitemap.xml")).otherwise(F.lit(f"{base_url}/docs/sitemap.xml")).alias("loc"),

@@ -32,12 +32,6 @@ def _as_order(c: Column | str) -> Column:
     return F.col(c).asc_nulls_last() if isinstance(c, str) else c
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or "200")
-
-
 def tag_sorted(
     df: DataFrame,
     sort_keys: Sequence[Column | str],
@@ -50,11 +44,13 @@ def tag_sorted(
     rows in all earlier partitions.
     """
     keys = [_as_order(k) for k in sort_keys]
-    n = _partitions(df, num_partitions)
+    # Without an explicit count the range exchange uses spark.sql.shuffle.partitions
+    # and AQE may merge adjacent small ranges; merged partitions stay contiguous
+    # and in key order, so partition ids remain monotone in the sort key.
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     part = F.spark_partition_id()
     tagged = materialize(
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
+        ranged.sortWithinPartitions(*keys)
         .select(
             "*",
             part.alias(_P),

@@ -922,7 +922,7 @@ def marker_tables(spark, sf_dir):
     )
     failed = CHG.snapshot_marker(t.postcodes, ["id"]).select(
         F.lit(URLS["postcodes"]).alias("url"), F.lit(None).cast("string").alias("etag"),
-        F.lit(None).cast("timestamp").alias("last_modified"), F.lit(now).cast("timestamp").alias("checked_at"),
+        F.lit(None).cast("timestamp").alias("last_modified"), D.ts_lit(now).alias("checked_at"),
     )
     obs = (
         CHG.marker_rows(CHG.snapshot_marker(new_p, P_COLS), URLS["premises"], now, now)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbside import schemas
+from kerbside.functions.dates import ts_lit
 
 INT_PATTERN = "^[+-]?[0-9]+$"
 INT32_MIN, INT32_MAX = -(2**31), 2**31 - 1
@@ -147,7 +148,7 @@ def with_job_id(df: DataFrame) -> DataFrame:
 
 def with_load_ts(df: DataFrame, load_ts: dt.datetime) -> DataFrame:
     """ING9: created_at / updated_at are the load instant on every reload."""
-    ts = F.lit(load_ts).cast("timestamp")
+    ts = ts_lit(load_ts)
     return df.withColumn("created_at", ts).withColumn("updated_at", ts)
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kerbside.functions.dates import ts_lit
 from kerbside.operators.changes import run_record, snapshot_marker
 from kerbside.operators.merge import upsert_markers
 from kerbside.plans.stage import stage_path
@@ -63,8 +64,8 @@ def start_snapshot_refresh(
             obs = snapshot_marker(current, marker_cols).select(
                 F.lit(url).alias("url"),
                 "etag",
-                F.lit(start).cast("timestamp").alias("last_modified"),
-                F.lit(start).cast("timestamp").alias("checked_at"),
+                ts_lit(start).alias("last_modified"),
+                ts_lit(start).alias("checked_at"),
             )
             store.replace_if_nonempty(upsert_markers(store.load("markers"), obs, start), "markers")
         store.append(run_record(spark, name, start, now(), "changed", error), "runs")
