@@ -193,3 +193,30 @@ def miss_postcode_message(postcode: Column) -> Column:
 def miss_id_message(premises_id: Column) -> Column:
     """FIL9 for an unknown premises id."""
     return F.concat(F.lit("Address not found (bad premisesId of "), premises_id.cast("string"), F.lit(")"))
+
+
+# --------------------------------------------------------------------------- ARR1
+def jobs_with_status(nested: DataFrame, as_of, jobs_col: str = "jobs") -> DataFrame:
+    """ARR1 map: each nested job gains its DAT1 status (``transform``)."""
+    from kerbside.functions.dates import as_date
+
+    today = as_date(as_of)
+    status = lambda d: F.when(d < today, "Expired").when(d > today, "Upcoming").otherwise("Today")
+    return nested.withColumn(
+        jobs_col,
+        F.transform(jobs_col, lambda j: F.struct(j["date"].alias("date"), j["bin"].alias("bin"), status(j["date"]).alias("status"))),
+    )
+
+
+def first_upcoming(nested: DataFrame, as_of, jobs_col: str = "jobs") -> DataFrame:
+    """ARR1 find: the first nested job on or after today, or NULL (``filter`` +
+    ``element_at`` on the already ordered array)."""
+    from kerbside.functions.dates import as_date
+
+    today = as_date(as_of)
+    return nested.withColumn("next_job", F.try_element_at(F.filter(jobs_col, lambda j: j["date"] >= today), F.lit(1)))
+
+
+def jobs_of_postcode(nested: DataFrame, postcode_col: str = "postcode", jobs_col: str = "jobs") -> DataFrame:
+    """ARR1 filter: keep the nested jobs whose postcode is the row's postcode."""
+    return nested.withColumn(jobs_col, F.filter(jobs_col, lambda j: j["postcode"] == F.col(postcode_col)))
