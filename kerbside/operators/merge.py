@@ -80,8 +80,13 @@ def merge_jobs(old: DataFrame, new: DataFrame) -> DataFrame:
     is still present are kept (duplicates and ids included); triples new to
     the table are inserted once each with fresh ids; the rest are deleted.
     Adds ``origin``: 'kept' or 'inserted'."""
-    keep = old.join(new.select(*JOB_TRIPLE).distinct(), JOB_TRIPLE, "left_semi")
-    fresh = new.select(*JOB_TRIPLE).distinct().join(old.select(*JOB_TRIPLE), JOB_TRIPLE, "left_anti")
+    # Both sides of each membership test are made distinct first (partial
+    # aggregation absorbs a triple copied many times), so the build side of
+    # the semi/anti join holds one row per triple; AQE can split the streamed
+    # side if one premises dominates.
+    new_triples = new.select(*JOB_TRIPLE).distinct()
+    keep = old.join(new_triples, JOB_TRIPLE, "left_semi")
+    fresh = new_triples.join(old.select(*JOB_TRIPLE).distinct(), JOB_TRIPLE, "left_anti")
     # ids continue after the largest existing one (a scalar from a one-row aggregate)
     base = old.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_base")).first()["_base"]
     inserted = fresh.select((F.lit(base + 1) + F.monotonically_increasing_id()).alias("id"), *JOB_TRIPLE)
