@@ -139,3 +139,23 @@ def test_add_only_window_equals_fold(spark):
     for r in sorted(recents_add_only(log, salts=4).collect(), key=lambda r: (r.user_id, r.position)):
         got.setdefault(r.user_id, []).append(r.pid)
     assert got == want
+
+
+def test_hot_premises_spreads_over_partitions(spark):
+    """One premises holds a third of all jobs: the ordering step still gives
+    every partition a similar share and numbers the hot premises densely."""
+    from kerbside.plans.ordering import tag_sorted
+
+    n = 30_000
+    jobs = spark.range(n).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 997 + 2).alias("premises_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("BLACK")).otherwise(F.lit("GREEN")).alias("bin"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("date"),
+    )
+    tagged, _ = tag_sorted(jobs, ["premises_id", "date", "bin", "id"], num_partitions=8)
+    sizes = [r["count"] for r in tagged.groupBy("_kb_part").count().collect()]
+    assert max(sizes) <= 2 * n / 8, sizes
+    seq = sequence_within(jobs, ["premises_id"], ["date", "bin", "id"], num_partitions=8)
+    hot = sorted(r.seq for r in seq.where("premises_id = 1").select("seq").collect())
+    assert hot == list(range(n // 3))
