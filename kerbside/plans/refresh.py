@@ -41,7 +41,7 @@ def refresh(
     store: TableStore,
     datasets: list[Dataset],
     observations: DataFrame,
-    now: Callable[[], dt.datetime] = dt.datetime.utcnow,
+    now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
 ) -> list[Outcome]:
     """Run the refresh for every dataset, in order; returns one outcome each.
 

@@ -38,7 +38,7 @@ def start_snapshot_refresh(
     parse: Callable[[DataFrame, dt.datetime], DataFrame],
     marker_cols: list[str],
     checkpoint_location: str | None = None,
-    now: Callable[[], dt.datetime] = dt.datetime.utcnow,
+    now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
     available_now: bool = True,
 ) -> StreamingQuery:
     """Start the refresh stream for one dataset.

@@ -68,3 +68,24 @@ def test_random_premises(spark):
     p = samples.premises(spark)
     assert LK.random_premises(p, k=2, seed=1).count() == 2
     assert "TakeOrderedAndProject" in LK.random_premises(p, k=1, seed=1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_form_trim(spark):
+    p = samples.premises(spark)
+    req = spark.createDataFrame([("a", "  ls6 2se "), ("b", "   "), ("c", "LS6 2SE")], "request_id string, postcode string")
+    # normalising drops every U+0020, so padding never matters; a blank request
+    # normalises to '' and, through the API, finds the premises whose postcode
+    # was empty (its search key is '', derived before ''→NULL)
+    api = {(r.request_id, r.id) for r in LK.search_premises(p, req).collect()}
+    assert {rid for rid, _ in api} == {"a", "b", "c"} and ("b", 8) in api
+    # the web form trims and requires a non-empty postcode
+    assert {r.request_id for r in LK.search_premises(p, req, trim=True).collect()} == {"a", "c"}
+
+
+def test_sitemap_page_not_found(spark):
+    from kerbside.plans import feeds
+
+    p = samples.premises(spark)
+    assert [r.id for r in feeds.sitemap_page(p, 0, page_size=3).orderBy("id").collect()] == [7, 8, 842278]
+    assert [r.id for r in feeds.sitemap_page(p, 1, page_size=3).collect()] == [884874]
+    assert feeds.sitemap_page(p, 2, page_size=3).isEmpty()
