@@ -125,7 +125,9 @@ def nearest_postcodes(
     at_point = Window.partitionBy("latitude", "longitude").orderBy("postcode")
     targets = cells.withColumn("_n", F.row_number().over(at_point)).where(F.col("_n") <= limit).drop("_n")
     rings = math.ceil(radius_m / cell_m)
-    pending = materialize(org, "near-open")
+    # open origins: recomputed from the scan minus the closed ones (lineage of
+    # at most two rounds); the carried top-k state is what gets written
+    pending = org
     best = None
     finished: list[DataFrame] = []
     batches = _ring_batches(rings, early_rings)
@@ -158,7 +160,7 @@ def nearest_postcodes(
         stats = best.groupBy("origin").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_far"))
         closed = stats.where((F.col("_n") >= limit) & (F.col("_far") <= covered)).select("origin")
         finished.append(best.join(closed, "origin", "left_semi"))
-        pending = materialize(pending.join(closed, "origin", "left_anti"), "near-open")
+        pending = pending.join(closed, "origin", "left_anti")
         best = best.join(closed, "origin", "left_anti")
         if pending.isEmpty():
             break
