@@ -35,7 +35,7 @@ def upcoming_by_bin(jobs: DataFrame, as_of: dt.date | str | Column) -> DataFrame
     up = upcoming(jobs, as_of).select("premises_id", "bin", "date")
     firsts = up.groupBy("premises_id", "bin").agg(F.min("date").alias("_first"))
     w = Window.partitionBy("premises_id").orderBy(bin_order("bin"), F.col("_first"), F.col("bin"))
-    ranks = firsts.select("premises_id", "bin", (F.row_number().over(w) - 1).alias("bin_rank"))
+    ranks = firsts.select("premises_id", "bin", (F.row_number().over(w) - 1).cast("long").alias("bin_rank"))
     return up.join(ranks, ["premises_id", "bin"]).select(
         "premises_id",
         "bin_rank",
