@@ -6,7 +6,13 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF001, SF0001
-from tests.oracle_compare import compare
+from tests.oracle_compare import compare, duck
+
+# Spark simple type → DuckDB type name
+DUCK_TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE", "boolean": "BOOLEAN",
+}
 
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()
@@ -24,6 +30,9 @@ def test_matches_oracle(spark, name):
     assert s[1] == d[1], f"columns differ: {s[1]} vs {d[1]}"
     assert s[0] == d[0], f"row counts differ: {s[0]} vs {d[0]}"
     assert s[2] == d[2], "values differ"
+    spark_types = {f.name: DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in duck(SF001).execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
+    assert spark_types == duck_types
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
