@@ -12,8 +12,8 @@ from kerbside.functions.dates import ts_lit
 
 # The two datasets and the status table's placeholder.
 DATASETS = [
-    ("jobs", "Jobs", "dm_jobs.csv"),
-    ("premises", "Premises", "dm_premises.csv"),
+    ("jobs", "Jobs", "jobs.csv"),
+    ("premises", "Premises", "premises.csv"),
 ]
 NOT_AVAILABLE = "N/A"
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"

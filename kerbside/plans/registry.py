@@ -862,8 +862,8 @@ def q_upsert_postcodes(spark, sf_dir):
 # geocodes new).
 DL = "https://example.org/downloads"
 URLS = {
-    "premises": f"{DL}/dm_premises.csv",
-    "jobs": f"{DL}/dm_jobs.csv",
+    "premises": f"{DL}/premises.csv",
+    "jobs": f"{DL}/jobs.csv",
     "postcodes": f"{DL}/postcodes.csv",
     "geocodes": f"{DL}/geocodes.json",
 }

@@ -11,9 +11,9 @@ LOAD = dt.datetime(2024, 7, 1, 3, 0, 0)
 
 def premises(spark):
     rows = [
-        (884874, None, "1", "SHARP MEWS", "MEANWOOD", "LEEDS", "LS6 2SE", "LS62SE", LOAD, LOAD),
-        (842278, None, "2", "SHARP MEWS", "MEANWOOD", "LEEDS", "LS6 2SE", "LS62SE", LOAD, LOAD),
-        (7, "FLAT 1", "12A", "ST. JOHN'S ROAD", "", None, "LS1 1AA", "LS11AA", LOAD, LOAD),
+        (1001, None, "1", "ELM MEWS", "WESTFIELD", "NORTHTOWN", "AB1 2CD", "AB12CD", LOAD, LOAD),
+        (1002, None, "2", "ELM MEWS", "WESTFIELD", "NORTHTOWN", "AB1 2CD", "AB12CD", LOAD, LOAD),
+        (7, "FLAT 1", "12A", "ST. JOHN'S ROAD", "", None, "AB9 9ZZ", "AB99ZZ", LOAD, LOAD),
         (8, None, None, None, None, None, None, "", LOAD, LOAD),
     ]
     return spark.createDataFrame(rows, schemas.PREMISES)
@@ -22,12 +22,12 @@ def premises(spark):
 def jobs(spark):
     d = dt.date
     rows = [
-        (1, 884874, "BROWN", d(2024, 7, 26)),
-        (2, 884874, "GREEN", d(2024, 7, 29)),
-        (3, 884874, "BLACK", d(2024, 8, 5)),
-        (4, 884874, "BROWN", d(2024, 8, 9)),
-        (5, 842278, "FOOD", d(2024, 7, 26)),
-        (6, 842278, "BLACK", d(2024, 7, 26)),
+        (1, 1001, "BROWN", d(2024, 7, 26)),
+        (2, 1001, "GREEN", d(2024, 7, 29)),
+        (3, 1001, "BLACK", d(2024, 8, 5)),
+        (4, 1001, "BROWN", d(2024, 8, 9)),
+        (5, 1002, "FOOD", d(2024, 7, 26)),
+        (6, 1002, "BLACK", d(2024, 7, 26)),
         (7, 99, "BLACK", d(2024, 7, 26)),  # orphan
     ]
     return spark.createDataFrame(rows, schemas.JOBS)

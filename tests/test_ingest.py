@@ -20,12 +20,12 @@ def write(tmp_dir: str, name: str, data: bytes) -> str:
 
 
 PREMISES = (
-    b"1,FLAT 1,12A,HIGH\x00 STREET,MEANWOOD,LEEDS,LS6 2SE\n"
-    b'2,,"3","CHURCH ROAD, EAST",,LEEDS,ls6 2se\r\n'
+    b"1,FLAT 1,12A,HIGH\x00 STREET,WESTFIELD,NORTHTOWN,AB1 2CD\n"
+    b'2,,"3","CHURCH ROAD, EAST",,NORTHTOWN,ab1 2cd\r\n'
     b"\n"
-    b'3,"","","SAY ""HI"" LANE",,LEEDS,\n'
-    b"4\x00,,5, SPACE ROAD,,LEEDS,LS1 1AA\n"
-    b'5,\x00"X",6,BACKSLASH \\ ROAD,,LEEDS,LS1 1AA'  # no final newline
+    b'3,"","","SAY ""HI"" LANE",,NORTHTOWN,\n'
+    b"4\x00,,5, SPACE ROAD,,NORTHTOWN,AB9 9ZZ\n"
+    b'5,\x00"X",6,BACKSLASH \\ ROAD,,NORTHTOWN,AB9 9ZZ'  # no final newline
 )
 
 
@@ -34,10 +34,10 @@ def test_premises_csv_clean(spark, tmp_dir):
     rows = {r["id"]: r.asDict() for r in ING.read_premises_csv(spark, path, LOAD).collect()}
     assert sorted(rows) == [1, 2, 3, 4, 5]
     assert rows[1]["address_street"] == "HIGH STREET"  # NUL stripped
-    assert rows[1]["search_postcode"] == "LS62SE"
+    assert rows[1]["search_postcode"] == "AB12CD"
     assert rows[2]["address_street"] == "CHURCH ROAD, EAST"
     assert rows[2]["address_room"] is None and rows[2]["address_locality"] is None
-    assert rows[2]["search_postcode"] == "LS62SE"  # upper, spaces removed; CR stripped
+    assert rows[2]["search_postcode"] == "AB12CD"  # upper, spaces removed; CR stripped
     assert rows[3]["address_room"] is None and rows[3]["address_number"] is None  # quoted-empty
     assert rows[3]["address_street"] == 'SAY "HI" LANE'
     assert rows[3]["address_postcode"] is None and rows[3]["search_postcode"] == ""  # ING7 before ING6
@@ -106,10 +106,10 @@ def test_jobs_bad_dates(spark, tmp_dir, line):
 
 
 def test_geocodes(spark, tmp_dir):
-    good = write(tmp_dir, "a.json", b'{"result":[{"postcode":"LS6 2SE","longitude":-1.5,"latitude":53.8,"distance":0,"x":1}]}')
+    good = write(tmp_dir, "a.json", b'{"result":[{"postcode":"AB1 2CD","longitude":-1.5,"latitude":53.8,"distance":0,"x":1}]}')
     write(tmp_dir, "b.json", b'{"status":404,"error":"Postcode not found"}')
     rows = ING.read_geocodes(spark, tmp_dir).collect()
-    assert [(r.postcode, r.distance) for r in rows] == [("LS6 2SE", 0.0)]
+    assert [(r.postcode, r.distance) for r in rows] == [("AB1 2CD", 0.0)]
     del good
 
 

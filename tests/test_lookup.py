@@ -12,11 +12,11 @@ from tests import samples
 
 def test_validate_job_requests(spark):
     raw = spark.createDataFrame(
-        [(1, "884874", None), (2, " 12 ", "csv"), (3, "1.5", "json"), (4, "", "ical"), (5, None, None), (6, "7", "xml"), (7, "-3", "ical")],
+        [(1, "1001", None), (2, " 12 ", "csv"), (3, "1.5", "json"), (4, "", "ical"), (5, None, None), (6, "7", "xml"), (7, "-3", "ical")],
         "request_id int, premises string, format string",
     )
     got = {r.request_id: (r.premises_id, r.format, r.error) for r in LK.validate_job_requests(raw).collect()}
-    assert got[1] == (884874, "json", None)
+    assert got[1] == (1001, "json", None)
     assert got[2] == (12, "csv", None)
     assert got[3][2] and got[4][2] and got[5][2]
     assert got[6] == (7, "xml", "format: expected one of json, csv, ical")
@@ -28,37 +28,37 @@ def test_validate_job_requests(spark):
 def test_search_orders_by_house_number_then_text(spark):
     p = samples.premises(spark)
     extra = spark.createDataFrame(
-        [(20, None, "10", "A ROAD", None, "LEEDS", "LS6 2SE", "LS62SE", samples.LOAD, samples.LOAD),
-         (21, "FLAT 2", "3", "A ROAD", None, "LEEDS", "LS6 2SE", "LS62SE", samples.LOAD, samples.LOAD),
-         (22, None, "THE MEWS", "A ROAD", None, "LEEDS", "LS6 2SE", "LS62SE", samples.LOAD, samples.LOAD)],
+        [(20, None, "10", "A ROAD", None, "NORTHTOWN", "AB1 2CD", "AB12CD", samples.LOAD, samples.LOAD),
+         (21, "FLAT 2", "3", "A ROAD", None, "NORTHTOWN", "AB1 2CD", "AB12CD", samples.LOAD, samples.LOAD),
+         (22, None, "THE MEWS", "A ROAD", None, "NORTHTOWN", "AB1 2CD", "AB12CD", samples.LOAD, samples.LOAD)],
         p.schema,
     )
-    req = spark.createDataFrame([("r", "ls6 2se")], "request_id string, postcode string")
+    req = spark.createDataFrame([("r", "ab1 2cd")], "request_id string, postcode string")
     rows = LK.search_premises(p.unionByName(extra), req).orderBy("rank").collect()
     # sorter: THE MEWS→0, 1, 2, 3, 10; ties keep room/number/street/id order
-    assert [r.id for r in rows] == [22, 884874, 842278, 21, 20]
+    assert [r.id for r in rows] == [22, 1001, 1002, 21, 20]
     rows = LK.search_premises(p.unionByName(extra), req, sort_limit=3).orderBy("rank").collect()
     # over the limit: plain text order, NULL rooms last
-    assert [r.id for r in rows] == [21, 884874, 20, 842278, 22]
+    assert [r.id for r in rows] == [21, 1001, 20, 1002, 22]
 
 
 def test_postcode_jobs_guard(spark):
     p, j = samples.premises(spark), samples.jobs(spark)
-    req = spark.createDataFrame([("a", "LS6 2SE"), ("a", "LS6 2SE"), ("b", "LS6 2SE"), ("b", "LS1 1AA"), ("b", "X")], "request_id string, postcode string")
+    req = spark.createDataFrame([("a", "AB1 2CD"), ("a", "AB1 2CD"), ("b", "AB1 2CD"), ("b", "AB9 9ZZ"), ("b", "X")], "request_id string, postcode string")
     got = LK.postcode_jobs(p, j, req, max_postcodes=3).collect()
     assert {r.request_id for r in got} == {"a"}  # b lists 3 postcodes: refused
     assert len(got) == 6  # distinct (postcode, date, bin) of both premises (4 + 2)
-    assert LK.postcode_jobs(p, j, req.where("postcode = 'ls6 2se'")).count() == 0  # exact, case-sensitive
+    assert LK.postcode_jobs(p, j, req.where("postcode = 'ab1 2cd'")).count() == 0  # exact, case-sensitive
 
 
 def test_nested_array_functions(spark):
     p, j = samples.premises(spark), samples.jobs(spark)
-    nested = LK.premises_with_jobs(p, j, spark.createDataFrame([(884874,), (8,), (5,)], "premises_id long"))
-    assert sorted(r.id for r in nested.collect()) == [8, 884874]  # unknown id 5: no row
+    nested = LK.premises_with_jobs(p, j, spark.createDataFrame([(1001,), (8,), (5,)], "premises_id long"))
+    assert sorted(r.id for r in nested.collect()) == [8, 1001]  # unknown id 5: no row
     st = {r.id: [x.status for x in r.jobs] for r in LK.jobs_with_status(nested, dt.date(2024, 7, 29)).collect()}
-    assert st[884874] == ["Expired", "Today", "Upcoming", "Upcoming"] and st[8] == []
+    assert st[1001] == ["Expired", "Today", "Upcoming", "Upcoming"] and st[8] == []
     nxt = {r.id: r.next_job for r in LK.first_upcoming(nested, dt.date(2024, 7, 30)).collect()}
-    assert nxt[884874].date == dt.date(2024, 8, 5) and nxt[8] is None
+    assert nxt[1001].date == dt.date(2024, 8, 5) and nxt[8] is None
     arr = spark.createDataFrame([("A", [("A", 1), ("B", 2)])], "postcode string, jobs array<struct<postcode:string,n:int>>")
     assert [x.n for x in LK.jobs_of_postcode(arr).first().jobs] == [1]
     assert F is not None
@@ -72,7 +72,7 @@ def test_random_premises(spark):
 
 def test_search_form_trim(spark):
     p = samples.premises(spark)
-    req = spark.createDataFrame([("a", "  ls6 2se "), ("b", "   "), ("c", "LS6 2SE")], "request_id string, postcode string")
+    req = spark.createDataFrame([("a", "  ab1 2cd "), ("b", "   "), ("c", "AB1 2CD")], "request_id string, postcode string")
     # normalising drops every U+0020, so padding never matters; a blank request
     # normalises to '' and, through the API, finds the premises whose postcode
     # was empty (its search key is '', derived before ''→NULL)
@@ -86,6 +86,6 @@ def test_sitemap_page_not_found(spark):
     from kerbside.plans import feeds
 
     p = samples.premises(spark)
-    assert [r.id for r in feeds.sitemap_page(p, 0, page_size=3).orderBy("id").collect()] == [7, 8, 842278]
-    assert [r.id for r in feeds.sitemap_page(p, 1, page_size=3).collect()] == [884874]
+    assert [r.id for r in feeds.sitemap_page(p, 0, page_size=3).orderBy("id").collect()] == [7, 8, 1001]
+    assert [r.id for r in feeds.sitemap_page(p, 1, page_size=3).collect()] == [1002]
     assert feeds.sitemap_page(p, 2, page_size=3).isEmpty()

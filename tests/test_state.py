@@ -64,12 +64,12 @@ def test_merge_premises_timestamps(spark):
     new = old.where("id <> 8").withColumn("address_locality", F.when(F.col("id") == 7, F.lit("X")).otherwise(F.col("address_locality")))
     new = new.unionByName(old.where("id = 8").withColumn("id", F.lit(9).cast("long")))
     got = {r.id: r for r in MG.merge_premises(old, new, T1).collect()}
-    assert sorted(got) == [7, 9, 842278, 884874]
-    assert got[884874].updated_at == samples.LOAD and got[884874].created_at == samples.LOAD
+    assert sorted(got) == [7, 9, 1001, 1002]
+    assert got[1001].updated_at == samples.LOAD and got[1001].created_at == samples.LOAD
     assert got[7].updated_at == T1 and got[7].created_at == samples.LOAD
     assert got[9].created_at == T1 and got[9].search_postcode is None
     diff = {r.id: r.op for r in MG.snapshot_diff(old, new).collect()}
-    assert diff == {7: "update", 8: "delete", 9: "insert", 842278: "unchanged", 884874: "unchanged"}
+    assert diff == {7: "update", 8: "delete", 9: "insert", 1002: "unchanged", 1001: "unchanged"}
 
 
 def test_upsert_postcodes(spark):
@@ -85,7 +85,7 @@ def test_upsert_postcodes(spark):
 
 def test_merge_jobs(spark):
     old = samples.jobs(spark)
-    new = old.where("id <> 1").unionByName(spark.createDataFrame([(50, 884874, "GREEN", dt.date(2024, 9, 1))], schemas.JOBS))
+    new = old.where("id <> 1").unionByName(spark.createDataFrame([(50, 1001, "GREEN", dt.date(2024, 9, 1))], schemas.JOBS))
     got = MG.merge_jobs(old, new).collect()
     assert sorted(r.origin for r in got).count("inserted") == 1
     assert all(r.id != 1 for r in got)
@@ -98,13 +98,13 @@ def test_refresh_job(spark, tmp_dir):
     store = TableStore(spark, os.path.join(tmp_dir, "store"))
     good = os.path.join(src, "good.csv")
     with open(good, "wb") as f:
-        f.write(b"1,,2,HIGH STREET,,LEEDS,LS6 2SE\n")
+        f.write(b"1,,2,HIGH STREET,,NORTHTOWN,AB1 2CD\n")
     bad = os.path.join(src, "bad.csv")
     with open(bad, "wb") as f:
-        f.write(b"x,,2,HIGH STREET,,LEEDS,LS6 2SE\n")
+        f.write(b"x,,2,HIGH STREET,,NORTHTOWN,AB1 2CD\n")
     empty = os.path.join(src, "empty.csv")
     open(empty, "wb").close()
-    url = "https://example.org/dm_premises.csv"
+    url = "https://example.org/premises.csv"
     obs = lambda e: spark.createDataFrame([(url, e, T1, T1)], "url string, etag string, last_modified timestamp, checked_at timestamp")
 
     def ds(path):

@@ -10,7 +10,7 @@ from kerbside.sources.tables import TableStore
 from kerbside.streaming.snapshots import start_snapshot_refresh
 
 T1 = dt.datetime(2024, 3, 1, 3, 0)
-URL = "https://example.org/dm_premises.csv"
+URL = "https://example.org/premises.csv"
 COLS = ["id", "address_room", "address_number", "address_street", "address_locality", "address_city", "address_postcode"]
 
 
@@ -31,11 +31,11 @@ def test_snapshot_refresh_stream(spark, tmp_dir):
         q = start_snapshot_refresh(spark, landing, store, "premises", URL, ING.premises_from_lines, COLS, chk, now=lambda: T1)
         q.awaitTermination()
 
-    _land(landing, "s1.csv", b"1,,2,HIGH STREET,,LEEDS,LS6 2SE\n2,,3,HIGH STREET,,LEEDS,LS6 2SE\n")
+    _land(landing, "s1.csv", b"1,,2,HIGH STREET,,NORTHTOWN,AB1 2CD\n2,,3,HIGH STREET,,NORTHTOWN,AB1 2CD\n")
     run()
     assert sorted(r.id for r in store.load("premises").collect()) == [1, 2]
     first_etag = store.load("markers").first().etag
-    _land(landing, "s2.csv", b"3,,4,LOW STREET,,LEEDS,LS6 2SF\n")
+    _land(landing, "s2.csv", b"3,,4,LOW STREET,,NORTHTOWN,AB1 2CF\n")
     run()  # only the new file is a snapshot
     assert [r.id for r in store.load("premises").collect()] == [3]
     assert store.load("markers").first().etag != first_etag

@@ -40,21 +40,21 @@ def test_address_formats(spark):
         A.two_line_address().alias("two"),
         TX.page_title().alias("title"),
     ).collect()}
-    assert out[884874]["full"] == "1\nSHARP MEWS\nMEANWOOD\nLEEDS\nLS6 2SE"
-    assert out[884874]["one"] == "1, SHARP MEWS, MEANWOOD, LEEDS, LS6 2SE"
-    assert out[884874]["two"] == "1 Sharp Mews \n Meanwood Leeds LS6 2SE"
-    assert out[7]["one"] == "FLAT 1, 12A, ST. JOHN'S ROAD, LS1 1AA"  # '' and NULL both dropped
-    assert out[7]["pres"] == "Flat 1\n12 A\nSt John S Road\nLS1 1AA"
+    assert out[1001]["full"] == "1\nELM MEWS\nWESTFIELD\nNORTHTOWN\nAB1 2CD"
+    assert out[1001]["one"] == "1, ELM MEWS, WESTFIELD, NORTHTOWN, AB1 2CD"
+    assert out[1001]["two"] == "1 Elm Mews \n Westfield Northtown AB1 2CD"
+    assert out[7]["one"] == "FLAT 1, 12A, ST. JOHN'S ROAD, AB9 9ZZ"  # '' and NULL both dropped
+    assert out[7]["pres"] == "Flat 1\n12 A\nSt John S Road\nAB9 9ZZ"
     assert out[7]["summary"] == "FLAT 1 12A ST. JOHN'S ROAD"
     assert out[8]["full"] == "" and out[8]["title"] == "Bin Days for  at null"
-    assert out[884874]["title"] == "Bin Days for 1 Sharp Mews at LS6 2SE"
+    assert out[1001]["title"] == "Bin Days for 1 Elm Mews at AB1 2CD"
 
 
 def test_csv_document(spark):
     p, j = samples.premises(spark), samples.jobs(spark)
     docs = {r[0]: r[1] for r in feeds.assemble_documents(feeds.csv_lines(p, j), "\n").collect()}
-    assert docs[884874] == "Date,Bin\n2024-07-26,BROWN\n2024-07-29,GREEN\n2024-08-05,BLACK\n2024-08-09,BROWN"
-    assert docs[842278] == "Date,Bin\n2024-07-26,BLACK\n2024-07-26,FOOD"
+    assert docs[1001] == "Date,Bin\n2024-07-26,BROWN\n2024-07-29,GREEN\n2024-08-05,BLACK\n2024-08-09,BROWN"
+    assert docs[1002] == "Date,Bin\n2024-07-26,BLACK\n2024-07-26,FOOD"
     assert docs[8] == "Date,Bin"
     assert 99 not in docs
 
@@ -62,12 +62,12 @@ def test_csv_document(spark):
 def test_json_document(spark):
     p, j = samples.premises(spark), samples.jobs(spark)
     docs = {r[0]: r[1] for r in feeds.assemble_documents(feeds.json_lines(p, j), "").collect()}
-    doc = json.loads(docs[884874])
+    doc = json.loads(docs[1001])
     assert doc["addressRoom"] is None and doc["updatedAt"] == "2024-07-01T03:00:00.000Z"
     assert [x["bin"] for x in doc["jobs"]] == ["BROWN", "GREEN", "BLACK", "BROWN"]
     assert json.loads(docs[8])["jobs"] == []
     nested = {r["id"]: r["jobs"] for r in premises_with_jobs(p, j).collect()}
-    assert [x["bin"] for x in nested[884874]] == ["BROWN", "GREEN", "BLACK", "BROWN"]
+    assert [x["bin"] for x in nested[1001]] == ["BROWN", "GREEN", "BLACK", "BROWN"]
     assert nested[8] == []
 
 
@@ -75,17 +75,17 @@ def test_ical_document(spark):
     p, j = samples.premises(spark), samples.jobs(spark)
     lines = feeds.ical_lines(p, j, dt.datetime(2024, 7, 1), "https://example.org")
     docs = {r[0]: r[1] for r in feeds.assemble_documents(lines, "\r\n").collect()}
-    ics = docs[884874]
+    ics = docs[1001]
     assert ics.startswith("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n") and ics.endswith("END:VEVENT\r\nEND:VCALENDAR")
-    assert "UID:884874_2024-07-26_BROWN" in ics
+    assert "UID:1001_2024-07-26_BROWN" in ics
     assert "SUMMARY:Brown Bin Collection" in ics
     assert "DTSTART;VALUE=DATE:20240726" in ics
-    assert "URL;VALUE=URI:https://example.org/premises/884874?date=2024-07-26&bin=BROWN" in ics
-    assert "LOCATION:1\\nSHARP MEWS\\nMEANWOOD\\nLEEDS\\nLS6 2SE" in ics
+    assert "URL;VALUE=URI:https://example.org/premises/1001?date=2024-07-26&bin=BROWN" in ics
+    assert "LOCATION:1\\nELM MEWS\\nWESTFIELD\\nNORTHTOWN\\nAB1 2CD" in ics
     for line in ics.split("\r\n"):
         assert len(line) <= 75
     unfolded = ics.replace("\r\n ", "")
-    assert "DESCRIPTION:Bin collection dates for your household\\n\\n1\\nSHARP MEWS" in unfolded
+    assert "DESCRIPTION:Bin collection dates for your household\\n\\n1\\nELM MEWS" in unfolded
     assert ics.count("BEGIN:VEVENT") == 4
     assert docs[8].count("BEGIN:VEVENT") == 0
 
