@@ -1221,3 +1221,36 @@ def q_refresh_runs(spark, sf_dir):
         store.load("jobs").agg(F.count(F.lit(1)).alias("n")).select(F.lit("jobs").alias("dataset"), "n")
     )
     return store.load_appended("runs").join(counts, "dataset").select("dataset", "decision", "error", "n")
+
+
+# =========================================================================== oracles for the stateful queries
+# The saved-list fold (WIN1 with removes) as a recursive SQL fold over each
+# user's events in (ts, event_id) order: add = prepend + de-duplicate + cap at
+# 10, remove = drop.  Checks the streaming operator value for value.
+ORACLES["win1_recents_fold_stream"] = """
+WITH RECURSIVE ev AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+         CASE WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS op, event_id % 1500 AS pid
+  FROM events),
+fold(user_id, k, lst) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM ev
+  UNION ALL
+  SELECT f.user_id, e.k,
+    CASE WHEN e.op = 'add' THEN list_slice(list_prepend(e.pid, list_filter(f.lst, lambda x: x <> e.pid)), 1, 10)
+         ELSE list_filter(f.lst, lambda x: x <> e.pid) END
+  FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.k = f.k + 1),
+final AS (SELECT user_id, lst FROM fold WHERE (user_id, k) IN (SELECT user_id, max(k) FROM fold GROUP BY user_id))
+SELECT user_id, CAST(i - 1 AS INTEGER) AS position, lst[i] AS pid
+FROM final, unnest(range(1, len(lst) + 1)) AS t(i)
+"""
+
+# Two refresh runs over exported snapshots: first both datasets change and
+# load every row, then both are unchanged.
+ORACLES["chg2_chg3_refresh_runs"] = fx.oracle(
+    """
+SELECT d.dataset, r.decision, CAST(NULL AS VARCHAR) AS error, d.n
+FROM (SELECT 'premises' AS dataset, (SELECT count(*) FROM premises) AS n
+      UNION ALL SELECT 'jobs', (SELECT count(*) FROM jobs)) d,
+     (SELECT 'changed' AS decision UNION ALL SELECT 'unchanged') r
+"""
+)
