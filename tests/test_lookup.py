@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from kerbside.operators import lookup as LK
 from tests import samples
 
@@ -61,7 +59,6 @@ def test_nested_array_functions(spark):
     assert nxt[1001].date == dt.date(2024, 8, 5) and nxt[8] is None
     arr = spark.createDataFrame([("A", [("A", 1), ("B", 2)])], "postcode string, jobs array<struct<postcode:string,n:int>>")
     assert [x.n for x in LK.jobs_of_postcode(arr).first().jobs] == [1]
-    assert F is not None
 
 
 def test_random_premises(spark):

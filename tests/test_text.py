@@ -5,8 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
-
 from kerbside.functions import address as A
 from kerbside.functions import text as TX
 from kerbside.operators.lookup import premises_with_jobs
@@ -103,7 +101,6 @@ def test_bin_styles(spark):
     df = spark.createDataFrame([("BLACK",), ("FOOD",)], "bin string")
     got = df.select(A.bin_order("bin"), A.bin_list_class("bin"), A.bin_dot_class("bin")).collect()
     assert [tuple(r) for r in got] == [(0, "bg-gray-900 text-gray-50", "bg-gray-900/90"), (-1, "", "")]
-    assert F is not None
 
 
 def test_write_documents_keeps_documents_contiguous(spark, tmp_dir):
