@@ -1254,3 +1254,47 @@ FROM (SELECT 'premises' AS dataset, (SELECT count(*) FROM premises) AS n
      (SELECT 'changed' AS decision UNION ALL SELECT 'unchanged') r
 """
 )
+
+
+# =========================================================================== sinks over whole tables
+@register(
+    "snk7_export_documents",
+    fx.oracle(
+        """
+SELECT id AS premises_id, 0 AS part, CAST(0 AS BIGINT) AS seq, 0 AS sub, 'Date,Bin' AS line FROM premises
+UNION ALL
+SELECT premises_id, 1, seq, 0, CAST(date AS VARCHAR) || ',' || bin FROM numbered
+""",
+        EXISTING_JOBS_SQL + ",\n" + NUMBERED_JOBS_SQL,
+    ),
+)
+def q_export_documents(spark, sf_dir):
+    """Bulk CSV feed export: line rows written range-sorted as Parquet, read back."""
+    t = fx.load(spark, sf_dir)
+    path = _scratch(spark, "feed-export")
+    feeds.write_documents(feeds.csv_lines(t.premises, t.jobs), path)
+    return spark.read.parquet(path)
+
+
+@register(
+    "snk11_sitemap_index_xml",
+    fx.oracle(
+        f"""
+SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '  <sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || '  '
+  || string_agg(xml, chr(10) ORDER BY pos) || chr(10) || '</sitemapindex>' || chr(10) || '  ' AS xml
+FROM (
+  SELECT pos, chr(10) || '  <sitemap>' || chr(10) || '    <loc>' || loc || '</loc>' || chr(10) || '    ' ||
+    CASE WHEN lastmod IS NOT NULL THEN '<lastmod>' || lastmod || '</lastmod>' ELSE '' END ||
+    chr(10) || '  </sitemap>' || chr(10) || '    ' AS xml
+  FROM (
+    SELECT CAST(0 AS BIGINT) AS pos, '{BASE}/sitemap.xml' AS loc, '2000-05-01T12:00:00.000Z' AS lastmod
+    UNION ALL SELECT CAST(1 AS BIGINT), '{BASE}/docs/sitemap.xml', '2000-05-01T12:00:00.000Z'
+    UNION ALL SELECT CAST(g + 2 AS BIGINT), '{BASE}/premises/sitemap/' || CAST(g AS VARCHAR) || '.xml', NULL
+    FROM (SELECT unnest(range(CAST(ceil((SELECT count(*) FROM premises) / 50000) AS BIGINT))) AS g) r) e) x
+"""
+    ),
+)
+def q_sitemap_index_xml(spark, sf_dir):
+    """The sitemap index as one XML document (its size is bounded by the page count)."""
+    t = fx.load(spark, sf_dir)
+    return feeds.sitemap_index_document(feeds.sitemap_index_entries(t.premises, BUILD_TIME, BASE))
