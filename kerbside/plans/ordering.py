@@ -118,3 +118,36 @@ def sequence_within(
     return r.join(pp, cond).select(
         *[F.col(f"r.{c}") for c in df.columns], (F.col(f"r.{_G}") - F.col("pp._kb_start")).alias(out)
     )
+
+
+def running_sum_within(
+    df: DataFrame,
+    group_keys: Sequence[str],
+    order_keys: Sequence[Column | str],
+    value_col: str,
+    out: str = "running",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Inclusive running sum of ``value_col`` inside each group, in
+    ``order_keys`` order, without a per-group task.
+
+    Equals ``sum(value) OVER (PARTITION BY g ORDER BY o ROWS UNBOUNDED
+    PRECEDING)`` for unique keys.  Rows are range-partitioned as in
+    ``sequence_within``; the running sum inside one (partition, group) run is a
+    window whose partition is bounded by the partition size, and the carry of
+    a group from earlier partitions comes from one total per (partition,
+    group), summed over at most ``num_partitions`` rows per group.
+    """
+    keys = [F.col(g).asc_nulls_last() for g in group_keys] + [_as_order(k) for k in order_keys]
+    tagged, _ = tag_sorted(df, keys, num_partitions)
+    upto = Window.partitionBy(_P, *group_keys).orderBy(_I).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tagged.withColumn("_kb_local", F.sum(value_col).over(upto))
+    totals = tagged.groupBy(_P, *group_keys).agg(F.sum(value_col).alias("_kb_tot"))
+    earlier = Window.partitionBy(*group_keys).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(_P, *group_keys, F.coalesce(F.sum("_kb_tot").over(earlier), F.lit(0)).alias("_kb_carry"))
+    lo = local.alias("l")
+    ca = carry.alias("c")
+    cond = (F.col(f"l.{_P}") == F.col(f"c.{_P}")) & _null_safe_on(lo, ca, group_keys)
+    return lo.join(ca, cond).select(
+        *[F.col(f"l.{c}") for c in df.columns], (F.col("c._kb_carry") + F.col("l._kb_local")).alias(out)
+    )

@@ -1298,3 +1298,11 @@ def q_sitemap_index_xml(spark, sf_dir):
     """The sitemap index as one XML document (its size is bounded by the page count)."""
     t = fx.load(spark, sf_dir)
     return feeds.sitemap_index_document(feeds.sitemap_index_entries(t.premises, BUILD_TIME, BASE))
+
+
+@register("win1_recents_fold_batch", ORACLES["win1_recents_fold_stream"])
+def q_recents_fold_batch(spark, sf_dir):
+    """WIN1 with removes as an exact batch plan (no per-user task)."""
+    from kerbside.operators.recents import recents_fold
+
+    return recents_fold(fx.recents_log(spark, sf_dir))

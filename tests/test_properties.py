@@ -159,3 +159,37 @@ def test_hot_premises_spreads_over_partitions(spark):
     seq = sequence_within(jobs, ["premises_id"], ["date", "bin", "id"], num_partitions=8)
     hot = sorted(r.seq for r in seq.where("premises_id = 1").select("seq").collect())
     assert hot == list(range(n // 3))
+
+
+def test_running_sum_within_equals_window(spark):
+    from kerbside.plans.ordering import running_sum_within
+
+    df = skewed(spark).withColumn("v", (F.col("u") % 7) - 3)
+    got = running_sum_within(df, ["g"], ["o", "u"], "v", num_partitions=7)
+    w = Window.partitionBy("g").orderBy("o", "u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.withColumn("running", F.sum("v").over(w))
+    assert sorted(map(tuple, got.select("g", "u", "running").collect())) == sorted(map(tuple, want.select("g", "u", "running").collect()))
+
+
+def test_recents_fold_batch_random_logs(spark):
+    """Exact batch fold vs a plain replay: few ids (many re-adds, removes and
+    cap evictions), clears, and one user holding most events."""
+    import datetime as dt
+
+    from kerbside.operators.recents import recents_fold
+
+    rnd = random.Random(11)
+    rows, eid = [], 0
+    t0 = dt.datetime(2024, 1, 1)
+    for user, n in [(1, 3000), (2, 40), (3, 15), (4, 200)]:
+        for _ in range(n):
+            eid += 1
+            r = rnd.random()
+            op = "add" if r < 0.6 else ("remove" if r < 0.97 else "clear")
+            rows.append((user, t0 + dt.timedelta(seconds=rnd.randrange(0, 5000)), eid, op, rnd.randrange(0, 25)))
+    log = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, op string, pid long")
+    want = _python_replay(pd.DataFrame(rows, columns=["user_id", "ts", "event_id", "op", "pid"]))
+    got: dict = {}
+    for r in sorted(recents_fold(log).collect(), key=lambda r: (r.user_id, r.position)):
+        got.setdefault(r.user_id, []).append(r.pid)
+    assert got == want
