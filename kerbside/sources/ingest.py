@@ -243,3 +243,33 @@ def read_geocodes(
         F.col("e.latitude").alias("latitude"),
         F.col("e.distance").alias("distance"),
     )
+
+
+# --------------------------------------------------------------------------- diagnostics
+def bad_lines(spark: SparkSession, paths: str | Sequence[str], kind: str) -> DataFrame:
+    """Every line the strict readers would reject, with the first reason, instead
+    of aborting on the first one: (file, value, reason).
+
+    ``kind``: 'premises' or 'jobs'.  Reasons: 'unterminated quote', 'field
+    count', 'integer <column>', 'date'.
+    """
+    columns = schemas.PREMISES_CSV_COLUMNS if kind == "premises" else schemas.JOBS_CSV_COLUMNS
+    raw = lines(spark, paths).select("value", F.input_file_name().alias("file"))
+    clean = raw.select(F.regexp_replace(F.translate("value", "\u0000", ""), "\r$", "").alias("value"), "file").where(
+        F.col("value") != ""
+    )
+    unquoted = F.regexp_replace(F.col("value"), '"([^"]|"")*"', "")
+    fields = F.length(unquoted) - F.length(F.regexp_replace(unquoted, ",", "")) + 1
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+    parsed = F.from_csv(F.col("value"), schema.simpleString(), {"mode": "PERMISSIVE", "escape": '"', "quote": '"', "sep": ","})
+    first_int = columns[0]
+    int_text = F.coalesce(parsed[first_int], F.lit(""))
+    int_ok = int_text.rlike(INT_PATTERN) & int_text.try_cast("decimal(38,0)").between(F.lit(INT32_MIN), F.lit(INT32_MAX))
+    reason = (
+        F.when(unquoted.rlike('(^|,)"'), F.lit("unterminated quote"))
+        .when(fields != len(columns), F.lit("field count"))
+        .when(~F.coalesce(int_ok, F.lit(False)), F.lit(f"integer {first_int}"))
+    )
+    if kind == "jobs":
+        reason = reason.when(parse_dmy(F.coalesce(parsed["date"], F.lit(""))).isNull(), F.lit("date"))
+    return clean.select("file", "value", reason.alias("reason")).where(F.col("reason").isNotNull())

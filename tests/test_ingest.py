@@ -119,3 +119,20 @@ def test_geocodes_bad_element_rejects_document(spark, tmp_dir):
     assert [r.postcode for r in ING.read_geocodes(spark, tmp_dir, on_invalid="drop").collect()] == ["C"]
     with pytest.raises(Exception):
         ING.read_geocodes(spark, tmp_dir).collect()
+
+
+def test_bad_lines_lists_every_rejected_line(spark, tmp_dir):
+    data = b"9,a,b,c,d,e,f\n" + b"".join(BAD_PREMISES[k] for k in sorted(BAD_PREMISES))
+    path = write(tmp_dir, "bad.csv", data)
+    got = sorted((r.value, r.reason) for r in ING.bad_lines(spark, path, "premises").collect())
+    assert got == sorted([
+        (",a,b,c,d,e,f", "integer id"),
+        ("1,a,b,c,d,e", "field count"),
+        ("1,a,b,c,d,e,f,g", "field count"),
+        ("x1,a,b,c,d,e,f", "integer id"),
+        (" 5,a,b,c,d,e,f", "integer id"),
+        ("3000000000,a,b,c,d,e,f", "integer id"),
+        ('1,"abc,b,c,d,e,f', "unterminated quote"),
+    ])
+    jobs = write(tmp_dir, "jobs.csv", JOBS + b"1,BLACK,31/02/24\n1,BLACK,\n")
+    assert sorted(r.value for r in ING.bad_lines(spark, jobs, "jobs").collect()) == ["1,BLACK,", "1,BLACK,31/02/24"]
