@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions.address import bin_dot_class
 from kerbside.functions.dates import as_date
-from kerbside.operators.lookup import postcode_jobs
+from kerbside.operators.lookup import MAX_POSTCODES, postcode_job_set
 from kerbside.plans.stage import materialize
 
 # Fixed values of the nearby search.
@@ -198,14 +198,20 @@ def random_pending_geocodes(premises: DataFrame, postcodes: DataFrame, k: int =
 
 
 # --------------------------------------------------------------------------- JOIN4
-def nearby_jobs(near: DataFrame, premises: DataFrame, jobs: DataFrame) -> DataFrame:
+def nearby_jobs(near: DataFrame, premises: DataFrame, jobs: DataFrame, max_postcodes: int = MAX_POSTCODES) -> DataFrame:
     """JOIN4: every nearby postcode with its distinct (date, bin) jobs; a
-    neighbour without jobs keeps one row with NULL date and bin."""
-    requests = near.select(F.col("origin").alias("request_id"), "postcode")
-    pj = postcode_jobs(premises, jobs, requests).withColumnRenamed("request_id", "origin")
-    return near.join(pj, ["origin", "postcode"], "left").select(
-        "origin", "rank", "postcode", "latitude", "longitude", "distance", "date", "bin"
-    )
+    neighbour without jobs keeps one row with NULL date and bin.
+
+    The nearby set is itself the postcode request of each origin, so the job
+    set (JOIN1) is joined to it once on postcode.  FIL3's guard still applies:
+    an origin with ``max_postcodes`` or more neighbours gets no jobs (it
+    cannot trigger while NEAR1's limit is below it).
+    """
+    sizes = near.groupBy("origin").agg(F.count(F.lit(1)).alias("_n"))  # one row per origin
+    flagged = near.join(sizes, "origin").withColumn("_ok", F.col("_n") < max_postcodes)
+    pj = postcode_job_set(premises, jobs, near.select("postcode")).withColumnRenamed("postcode", "_pjc")
+    joined = flagged.join(pj, (F.col("postcode") == F.col("_pjc")) & F.col("_ok"), "left")
+    return joined.select("origin", "rank", "postcode", "latitude", "longitude", "distance", "date", "bin")
 
 
 # --------------------------------------------------------------------------- AGG7 / AGG8 / FIL7

@@ -104,16 +104,23 @@ def postcode_jobs(
         .select("request_id", F.col(postcode_col).alias("_rq"))
         .dropDuplicates(["request_id", "_rq"])
     )
+    pj = postcode_job_set(premises, jobs, allowed.select(F.col("_rq").alias("postcode")))
+    matched = allowed.join(pj, F.col("_rq") == F.col("postcode"))
+    return matched.select("request_id", "postcode", "date", "bin")
+
+
+def postcode_job_set(premises: DataFrame, jobs: DataFrame, postcodes: DataFrame) -> DataFrame:
+    """Distinct (postcode, date, bin) of the jobs of premises at the given
+    postcodes.  Premises are cut to those postcodes before the jobs join, and
+    the distinct runs once, before any fan-out to requests."""
     wanted = premises.select("id", "address_postcode").join(
-        allowed.select("_rq").distinct(), F.col("address_postcode") == F.col("_rq"), "left_semi"
+        postcodes.select(F.col("postcode").alias("_pc")).distinct(), F.col("address_postcode") == F.col("_pc"), "left_semi"
     )
-    pj = (
+    return (
         wanted.join(jobs.select("premises_id", "bin", "date"), F.col("id") == F.col("premises_id"))
-        .select("address_postcode", "date", "bin")
-        .dropDuplicates(["address_postcode", "date", "bin"])
+        .select(F.col("address_postcode").alias("postcode"), "date", "bin")
+        .dropDuplicates(["postcode", "date", "bin"])
     )
-    matched = allowed.join(pj, F.col("_rq") == F.col("address_postcode"))
-    return matched.select("request_id", F.col("address_postcode").alias("postcode"), "date", "bin")
 
 
 # --------------------------------------------------------------------------- JOIN2

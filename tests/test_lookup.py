@@ -86,3 +86,18 @@ def test_sitemap_page_not_found(spark):
     assert [r.id for r in feeds.sitemap_page(p, 0, page_size=3).orderBy("id").collect()] == [7, 8, 1001]
     assert [r.id for r in feeds.sitemap_page(p, 1, page_size=3).collect()] == [1002]
     assert feeds.sitemap_page(p, 2, page_size=3).isEmpty()
+
+
+def test_nearby_jobs_guard(spark):
+    from kerbside.operators.geo import nearby_jobs
+
+    p, j = samples.premises(spark), samples.jobs(spark)
+    near = spark.createDataFrame(
+        [("A", 0, "AB1 2CD", 0.0, 0.0, 0.0), ("A", 1, "AB9 9ZZ", 0.0, 0.0, 10.0), ("B", 0, "AB1 2CD", 0.0, 0.0, 0.0)],
+        "origin string, rank int, postcode string, latitude double, longitude double, distance double",
+    )
+    rows = nearby_jobs(near, p, j).collect()
+    assert sum(1 for r in rows if r.origin == "B") == 6  # 6 distinct (date, bin) at AB1 2CD
+    assert [r.date for r in rows if r.postcode == "AB9 9ZZ"] == [None]  # no jobs: one NULL row
+    guarded = nearby_jobs(near, p, j, max_postcodes=2).collect()  # A lists 2 postcodes: refused
+    assert all(r.date is None for r in guarded if r.origin == "A") and sum(1 for r in guarded if r.origin == "A") == 2
