@@ -125,3 +125,15 @@ def test_write_documents_keeps_documents_contiguous(spark, tmp_dir):
     for (a0, a1), (b0, b1) in zip(ranges, ranges[1:]):
         assert a1 < b0  # files hold disjoint, ordered key ranges
     assert sum(len(pq.read_table(f"{out}/{f}")) for f in files) == lines.count()
+
+
+def test_calendar_bounds_and_formats(spark):
+    from kerbside.functions import dates as D
+
+    df = spark.createDataFrame([(dt.date(2026, 12, 1),), (dt.date(1995, 1, 2),)], "d date")
+    got = df.select(
+        D.calendar_start(df["d"]), D.calendar_last_day(df["d"]),
+        D.long_date("d"), D.short_date("d"), D.job_status("d", dt.date(2026, 12, 1)),
+    ).collect()
+    assert tuple(got[0]) == (dt.date(2026, 11, 23), dt.date(2027, 1, 3), "01 December 2026", "Tue, Dec 1", "Today")
+    assert tuple(got[1])[2:] == ("02 January 1995", "Mon, Jan 2", "Expired")
