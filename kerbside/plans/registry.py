@@ -7,12 +7,26 @@ identical on both sides.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kerbside import fixtures as fx
+from kerbside.functions import address as A
+from kerbside.functions import dates as D
+from kerbside.functions import text as TX
+from kerbside.operators import calendar as CAL
+from kerbside.operators import changes as CHG
+from kerbside.operators import geo as GEO
+from kerbside.operators import lookup as LK
+from kerbside.operators import merge as MG
 from kerbside.plans import feeds
+from kerbside.plans import tools as TOOLS
+from kerbside.plans.refresh import Dataset, refresh
+from kerbside.sources import ingest as ING
+from kerbside.sources.tables import TableStore
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -84,19 +98,7 @@ def q_json_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # =========================================================================== shared
-from pyspark.sql import functions as F  # noqa: E402
 
-from kerbside.functions import address as A  # noqa: E402
-from kerbside.functions import dates as D  # noqa: E402
-from kerbside.functions import text as TX  # noqa: E402
-from kerbside.operators import calendar as CAL  # noqa: E402
-from kerbside.operators import changes as CHG  # noqa: E402
-from kerbside.operators import geo as GEO  # noqa: E402
-from kerbside.operators import lookup as LK  # noqa: E402
-from kerbside.operators import merge as MG  # noqa: E402
-from kerbside.plans import tools as TOOLS  # noqa: E402
-
-import datetime as _dt  # noqa: E402
 
 AS_OF = fx.AS_OF
 
@@ -1039,7 +1041,6 @@ def q_recents_fold(spark, sf_dir):
 # format to a scratch folder under the shared checkpoint folder, then ingests
 # it with the readers, so the whole ingest path runs over whole tables.
 
-from kerbside.sources import ingest as ING  # noqa: E402
 
 _CSV_OUT = {"header": "false", "quote": '"', "escape": '"', "sep": ",", "lineSep": "\n"}
 
@@ -1185,8 +1186,6 @@ def q_validate_tool_ids(spark, sf_dir):
 
 
 # =========================================================================== SNK1 / SRC4 / AGG3 / CHG2 / CHG3
-from kerbside.plans.refresh import Dataset, refresh  # noqa: E402
-from kerbside.sources.tables import TableStore  # noqa: E402
 
 
 @register("snk1_src4_guarded_replace", fx.oracle(f"SELECT id, {', '.join(A.PARTS)}, search_postcode FROM premises"))
