@@ -71,11 +71,20 @@ def ical_escape(c: Column) -> Column:
 
 
 def ical_fold(c: Column) -> Column:
-    """RFC 5545 line folding: lines longer than 75 characters continue on the
-    next line after CRLF + space (counted in characters for ASCII text)."""
-    # Insert the fold marker after every 75th character, then after every 74th
-    # of the continued text (the leading space counts towards the 75).
-    head = F.substring(c, 1, 75)
-    tail = F.substring(c, 76, 1 << 30)
-    folded_tail = F.regexp_replace(F.regexp_replace(tail, "(.{74})", "$1\r\n "), "\r\n $", "")
-    return F.when(F.length(c) <= 75, c).otherwise(F.concat(head, F.lit("\r\n "), folded_tail))
+    """RFC 5545 line folding: no physical line longer than 75 octets (UTF-8);
+    a continued line starts with one space, which counts.  Characters are
+    never split: the text is walked code point by code point (``aggregate``)
+    only when it is longer than 75 octets."""
+    chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), 1)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
+
+    def step(acc: Column, ch: Column) -> Column:
+        size = F.octet_length(ch)
+        wrap = acc["n"] + size > 75
+        return F.struct(
+            F.when(wrap, F.concat(acc["out"], F.lit("\r\n "), ch)).otherwise(F.concat(acc["out"], ch)).alias("out"),
+            F.when(wrap, size + 1).otherwise(acc["n"] + size).alias("n"),
+        )
+
+    folded = F.aggregate(chars, start, step, lambda acc: acc["out"])
+    return F.when(F.octet_length(c) <= 75, c).otherwise(folded)

@@ -146,6 +146,8 @@ def ical_escape_sql(x: str) -> str:
 
 
 def ical_fold_sql(x: str) -> str:
+    """Folding in SQL by characters: equal to the octet rule on the ASCII fixtures
+    (non-ASCII folding is covered by a unit test)."""
     crlf_sp = "chr(13) || chr(10) || ' '"
     return (
         f"CASE WHEN length({x}) <= 75 THEN {x} ELSE substr({x}, 1, 75) || {crlf_sp} || "

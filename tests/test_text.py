@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from kerbside.functions import address as A
 from kerbside.functions import text as TX
 from kerbside.operators.lookup import premises_with_jobs
@@ -137,3 +139,16 @@ def test_calendar_bounds_and_formats(spark):
     ).collect()
     assert tuple(got[0]) == (dt.date(2026, 11, 23), dt.date(2027, 1, 3), "01 December 2026", "Tue, Dec 1", "Today")
     assert tuple(got[1])[2:] == ("02 January 1995", "Mon, Jan 2", "Expired")
+
+
+def test_ical_fold_counts_octets(spark):
+    from kerbside.functions.text import ical_fold
+
+    texts = ["A" * 80, "É" * 50, "x" + "😀" * 30, "short"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for src, out in zip(texts, [r[0] for r in df.select(ical_fold(F.col("s"))).collect()]):
+        lines = out.split("\r\n")
+        assert all(len(line.encode("utf-8")) <= 75 for line in lines)
+        assert all(line.startswith(" ") for line in lines[1:])
+        assert "".join([lines[0]] + [line[1:] for line in lines[1:]]) == src
+    assert df.select(ical_fold(F.col("s"))).collect()[0][0] == "A" * 75 + "\r\n " + "A" * 5
