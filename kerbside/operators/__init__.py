@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: lookups, calendar, nearest postcodes, merges, change gate, recents."""

@@ -1,0 +1 @@
+"""Composed plans: skew-safe ordering, staging, feeds, tools, refresh job, registered queries."""

@@ -54,7 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     session (tests, the single-machine smoke check) may fall back to a fresh
     folder under /tmp.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext, only the conf
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder for staged data") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

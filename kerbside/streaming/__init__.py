@@ -1,0 +1 @@
+"""Structured Streaming operators: the recents fold and the file-arrival snapshot refresh."""

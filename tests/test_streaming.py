@@ -43,3 +43,25 @@ def test_snapshot_refresh_stream(spark, tmp_dir):
     run()  # empty snapshot keeps the old rows
     assert [r.id for r in store.load("premises").collect()] == [3]
     assert store.load_appended("runs").count() == 3
+
+
+def test_snapshot_refresh_bad_snapshot_commits_nothing(spark, tmp_dir):
+    import pytest
+
+    landing = os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+    store = TableStore(spark, os.path.join(tmp_dir, "store"))
+    chk = os.path.join(tmp_dir, "chk")
+
+    def run():
+        start_snapshot_refresh(spark, landing, store, "premises", URL, ING.premises_from_lines, COLS, chk, now=lambda: T1).awaitTermination()
+
+    _land(landing, "s1.csv", b"1,,2,HIGH STREET,,NORTHTOWN,AB1 2CD\n")
+    run()
+    etag = store.load("markers").first().etag
+    _land(landing, "s2.csv", b"x,,2,HIGH STREET,,NORTHTOWN,AB1 2CD\n")  # bad id: the load aborts
+    with pytest.raises(Exception):
+        run()
+    assert [r.id for r in store.load("premises").collect()] == [1]
+    assert store.load("markers").first().etag == etag
+    assert [r.error is not None for r in store.load_appended("runs").orderBy("start").collect()].count(True) == 1
