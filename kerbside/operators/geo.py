@@ -21,6 +21,12 @@ holds more than ``limit × cells × salts`` rows even when one cell holds a
 third of all points.  Postcodes sharing one exact point are cut to the
 ``limit`` smallest names per point before pairing (the rest can never rank),
 so a point holding a third of all postcodes costs O(origins × limit) pairs.
+Origins in coarse cells holding ≥ ``limit`` points are resolved first at
+their own fine level (``_resolve_dense``): cells are halved until the cell
+around the origin would hold fewer than ``limit`` points, and one join with
+the (2R+1)² cells of that level answers the origin exactly, so a dense
+cluster of distinct points costs about (2R+1)² × 4 × ``limit`` pairs per
+origin (for locally even density) instead of the whole cluster.
 Each round's state is written to the shared checkpoint folder.
 
 Not handled: the antimeridian and the poles (longitude cells assume
@@ -75,6 +81,86 @@ def _topk(df: DataFrame, k: int, order: list[Column], group: list[str]) -> DataF
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
+MAX_LEVELS = 20  # finest level: cell side = coarse side / 2**20 (under a millimetre at radius/4)
+
+
+def _resolve_dense(
+    targets: DataFrame,
+    org: DataFrame,
+    limit: int,
+    radius_m: float,
+    widest: float,
+    order: list[Column],
+    salts: int,
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Exact answers for origins in dense coarse cells, with bounded pairs.
+
+    Cells are halved level by level (cell id at level l is floor(x · 2**l) of
+    the same grid coordinate x, so levels nest).  For an origin in a coarse
+    cell holding ≥ ``limit`` points, take the finest level L whose cell around
+    the origin still holds ≥ ``limit`` points: its ``limit`` nearest (itself
+    included) lie within that cell's diagonal, hence within rings 0..R at
+    level L where R·side ≥ diagonal.  One join with those (2R+1)² cells
+    resolves the origin exactly, however dense the cluster, pairing it with
+    about (2R+1)² cells of about ``limit`` points instead of the whole area.
+    Only points of dense coarse cells and their neighbours enter the pyramid.
+    Returns (answers, resolved origins), or (None, None) when no cell is dense.
+    """
+    coarse = targets.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("_cn"))
+    dense = coarse.where(F.col("_cn") >= limit).select("cy", "cx")
+    if dense.isEmpty():  # one-row decision
+        return None, None
+    reach = math.ceil(math.sqrt(1.0 + widest * widest) * 1.001)
+    # rings of reach R at level ≥ 1 extend at most ceil(R/2) coarse cells, so
+    # the pyramid holds the points of dense cells and of their neighbours
+    spill = math.ceil(reach / 2)
+    spread = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _ring_offsets(0, spill)])
+    around = dense.select(F.explode(spread).alias("_o"), "cy", "cx").select(
+        (F.col("cy") + F.col("_o.dy")).alias("cy"), (F.col("cx") + F.col("_o.dx")).alias("cx")
+    ).distinct()
+    levels = F.sequence(F.lit(1), F.lit(MAX_LEVELS))
+    scale = F.pow(F.lit(2.0), F.col("lv"))
+    pyramid = materialize(
+        targets.join(around, ["cy", "cx"], "left_semi")
+        .select("postcode", "latitude", "longitude", "_gy", "_gx", F.explode(levels).alias("lv"))
+        .select(
+            "postcode", "latitude", "longitude", "lv",
+            F.floor(F.col("_gy") * scale).alias("fy"), F.floor(F.col("_gx") * scale).alias("fx"),
+        ),
+        "near-pyramid",
+    )
+    counts = pyramid.groupBy("lv", "fy", "fx").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit)
+    dense_org = org.join(dense.select(F.col("cy").alias("ocy"), F.col("cx").alias("ocx")), ["ocy", "ocx"], "left_semi")
+    own = dense_org.select("origin", "ogy", "ogx", F.explode(levels).alias("lv")).select(
+        "origin", "lv", F.floor(F.col("ogy") * scale).alias("fy"), F.floor(F.col("ogx") * scale).alias("fx")
+    )
+    finest = own.join(counts, ["lv", "fy", "fx"]).groupBy("origin").agg(F.max("lv").alias("lv"))
+    chosen = dense_org.join(finest, "origin").select(
+        "origin", "olat", "olon", "lv",
+        F.floor(F.col("ogy") * scale).alias("ofy"), F.floor(F.col("ogx") * scale).alias("ofx"),
+    )
+    chosen = materialize(chosen, "near-fine-origins")
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _ring_offsets(0, reach)])
+    probe = chosen.select("*", F.explode(offsets).alias("_o")).select(
+        "origin", "olat", "olon", "lv", (F.col("ofy") + F.col("_o.dy")).alias("fy"), (F.col("ofx") + F.col("_o.dx")).alias("fx")
+    )
+    cand = (
+        probe.join(pyramid, ["lv", "fy", "fx"])
+        .where(F.col("postcode") != F.col("origin"))
+        .select("origin", "postcode", "latitude", "longitude", "fy", "fx",
+                haversine_m(F.col("olat"), F.col("olon"), F.col("latitude"), F.col("longitude")).alias("distance"))
+        .where(F.col("distance") <= radius_m)
+    )
+    self_rows = chosen.select(
+        "origin", F.col("origin").alias("postcode"), F.col("olat").alias("latitude"), F.col("olon").alias("longitude"),
+        F.col("ofy").alias("fy"), F.col("ofx").alias("fx"), F.lit(0.0).alias("distance"),
+    )
+    salted = cand.unionByName(self_rows).withColumn("_salt", F.pmod(F.xxhash64("postcode"), F.lit(salts)))
+    local = _topk(salted, limit, order, ["origin", "fy", "fx", "_salt"]).drop("fy", "fx", "_salt")
+    answers = materialize(_topk(local, limit, order, ["origin"]), "near-fine")
+    return answers, chosen.select("origin")
+
+
 def nearest_postcodes(
     postcodes: DataFrame,
     origins: DataFrame | None = None,
@@ -97,26 +183,28 @@ def nearest_postcodes(
     cell_m = cell_m or radius_m / 4.0
     dlat = cell_m / METRES_PER_DEGREE
     pts = postcodes.select(F.col("id").alias("postcode"), "latitude", "longitude")
-    # One scalar from a one-row aggregate decides the longitude cell width.
-    max_abs_lat = pts.agg(F.max(F.abs("latitude")).alias("m")).first()["m"]
-    if max_abs_lat is None:
+    # Two scalars from a one-row aggregate decide the longitude cell width.
+    lat_range = pts.agg(F.max(F.abs("latitude")).alias("hi"), F.min(F.abs("latitude")).alias("lo")).first()
+    if lat_range["hi"] is None:
         return spark.createDataFrame([], "origin string, rank int, postcode string, latitude double, longitude double, distance double")
-    phi = min(max_abs_lat + radius_m / METRES_PER_DEGREE, 89.9)
+    phi = min(lat_range["hi"] + radius_m / METRES_PER_DEGREE, 89.9)
     dlon = dlat / math.cos(math.radians(phi)) * LON_PAD
+    # widest longitude cell relative to its height, over the data's latitudes
+    widest = math.cos(math.radians(lat_range["lo"])) / math.cos(math.radians(phi)) * LON_PAD
     cells = pts.select(
         "*",
-        F.floor(F.col("latitude") / dlat).alias("cy"),
-        F.floor(F.col("longitude") / dlon).alias("cx"),
-    )
+        (F.col("latitude") / dlat).alias("_gy"),
+        (F.col("longitude") / dlon).alias("_gx"),
+    ).select("postcode", "latitude", "longitude", "_gy", "_gx", F.floor("_gy").alias("cy"), F.floor("_gx").alias("cx"))
+    origin_cols = [
+        F.col("postcode").alias("origin"), F.col("latitude").alias("olat"), F.col("longitude").alias("olon"),
+        F.col("_gy").alias("ogy"), F.col("_gx").alias("ogx"), F.col("cy").alias("ocy"), F.col("cx").alias("ocx"),
+    ]
     if origins is None:
-        org = cells.select(F.col("postcode").alias("origin"), F.col("latitude").alias("olat"), F.col("longitude").alias("olon"), F.col("cy").alias("ocy"), F.col("cx").alias("ocx"))
+        org = cells.select(*origin_cols)
     else:
-        org = (
-            origins.select(F.col("postcode").alias("origin"))
-            .distinct()
-            .join(cells, F.col("origin") == F.col("postcode"))
-            .select("origin", F.col("latitude").alias("olat"), F.col("longitude").alias("olon"), F.col("cy").alias("ocy"), F.col("cx").alias("ocx"))
-        )
+        wanted = origins.select(F.col("postcode").alias("_want")).distinct()
+        org = cells.join(wanted, F.col("postcode") == F.col("_want"), "left_semi").select(*origin_cols)
     order = [F.col("distance").asc(), (F.col("postcode") != F.col("origin")).asc(), F.col("postcode").asc()]
     # Postcodes sharing one exact point tie on distance for every origin and
     # break by name, so only the ``limit`` smallest names of a point can ever
@@ -125,11 +213,16 @@ def nearest_postcodes(
     at_point = Window.partitionBy("latitude", "longitude").orderBy("postcode")
     targets = cells.withColumn("_n", F.row_number().over(at_point)).where(F.col("_n") <= limit).drop("_n")
     rings = math.ceil(radius_m / cell_m)
+    finished: list[DataFrame] = []
+    # Dense areas first: origins resolved exactly at their own fine level.
+    fine_done, fine_origins = _resolve_dense(targets, org, limit, radius_m, widest, order, salts)
+    if fine_done is not None:
+        finished.append(fine_done)
+        org = org.join(fine_origins, "origin", "left_anti")
     # open origins: recomputed from the scan minus the closed ones (lineage of
     # at most two rounds); the carried top-k state is what gets written
     pending = org
     best = None
-    finished: list[DataFrame] = []
     batches = _ring_batches(rings, early_rings)
     for first, r in batches:
         offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _ring_offsets(first, r)])

@@ -193,3 +193,32 @@ def test_recents_fold_batch_random_logs(spark):
     for r in sorted(recents_fold(log).collect(), key=lambda r: (r.user_id, r.position)):
         got.setdefault(r.user_id, []).append(r.pid)
     assert got == want
+
+
+def _brute_nearest(pts, limit=100, radius=2000.0):
+    import numpy as np
+
+    names = [p[0] for p in pts]
+    lat = np.radians([p[1] for p in pts])
+    lon = np.radians([p[2] for p in pts])
+    want = {}
+    for i, o in enumerate(names):
+        h = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat) * np.sin((lon - lon[i]) / 2) ** 2
+        d = 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+        cand = sorted((float(d[j]), names[j] != o, names[j]) for j in range(len(names)) if d[j] <= radius)[:limit]
+        for k, c in enumerate(cand):
+            want[(o, c[2])] = k
+    return want
+
+
+def test_nearest_dense_cluster_of_distinct_points(spark):
+    """2,000 distinct points within ~40 m (most of the data) next to sparse
+    points: origins in the cluster are resolved at a fine level."""
+    rnd = random.Random(7)
+    pts = [(f"C{i:05d}", 53.8 + rnd.random() * 0.0004, -1.55 + rnd.random() * 0.0006) for i in range(2000)]
+    pts += [(f"S{i:04d}", 53.79 + rnd.random() * 0.03, -1.57 + rnd.random() * 0.04) for i in range(300)]
+    # a ring of points just outside the cluster, in the neighbouring coarse cells
+    pts += [(f"R{i:04d}", 53.8 + 0.0002 + 0.0045 * math.sin(i), -1.55 + 0.0003 + 0.007 * math.cos(i)) for i in range(200)]
+    df = spark.createDataFrame(pts, "id string, latitude double, longitude double")
+    got = {(r.origin, r.postcode): r.rank for r in GEO.nearest_postcodes(df).select("origin", "rank", "postcode").collect()}
+    assert got == _brute_nearest(pts)
