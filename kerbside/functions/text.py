@@ -73,8 +73,8 @@ def ical_escape(c: Column) -> Column:
 def ical_fold(c: Column) -> Column:
     """RFC 5545 line folding: no physical line longer than 75 octets (UTF-8);
     a continued line starts with one space, which counts.  Characters are
-    never split: the text is walked code point by code point (``aggregate``)
-    only when it is longer than 75 octets."""
+    never split: non-ASCII text longer than 75 octets is walked code point by
+    code point (``aggregate``); ASCII text is folded by a regex."""
     chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), 1)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
 
@@ -87,4 +87,8 @@ def ical_fold(c: Column) -> Column:
         )
 
     folded = F.aggregate(chars, start, step, lambda acc: acc["out"])
-    return F.when(F.octet_length(c) <= 75, c).otherwise(folded)
+    # ASCII text (one octet per character): the same folding by regex
+    ascii_tail = F.regexp_replace(F.regexp_replace(F.substring(c, 76, 1 << 30), "(.{74})", "$1\r\n "), "\r\n $", "")
+    ascii_folded = F.concat(F.substring(c, 1, 75), F.lit("\r\n "), ascii_tail)
+    octets = F.octet_length(c)
+    return F.when(octets <= 75, c).when(octets == F.length(c), ascii_folded).otherwise(folded)
