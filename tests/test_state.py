@@ -123,3 +123,12 @@ def test_refresh_job(spark, tmp_dir):
     assert store.load("markers").first().etag == "e3"  # empty snapshot still commits the marker
     assert store.load("premises").count() == 1
     assert store.load_appended("runs").count() == 4
+
+
+def test_clear_stages(spark):
+    from kerbside.plans.stage import clear_stages, materialize
+
+    staged = materialize(spark.range(5), "probe")
+    assert staged.count() == 5
+    assert clear_stages(spark) is True
+    assert clear_stages(spark) is False
