@@ -30,7 +30,10 @@ def recents_add_only(log: DataFrame, limit: int = MAX_SAVED, salts: int = SALTS)
 
     Output: (user_id, position, pid, last_ts), position 0 = most recent.
     """
-    last = log.groupBy("user_id", "pid").agg(F.max("ts").alias("last_ts"), F.max("event_id").alias("_last_ev"))
+    # the last add of each premises, as one (ts, event_id) pair
+    last = log.groupBy("user_id", "pid").agg(F.max(F.struct("ts", "event_id")).alias("_last")).select(
+        "user_id", "pid", F.col("_last.ts").alias("last_ts"), F.col("_last.event_id").alias("_last_ev")
+    )
     order = [F.col("last_ts").desc(), F.col("_last_ev").desc(), F.col("pid").asc()]
     salted = last.withColumn("_salt", F.pmod(F.xxhash64("pid"), F.lit(salts)))
     w1 = Window.partitionBy("user_id", "_salt").orderBy(*order)

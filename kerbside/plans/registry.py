@@ -980,7 +980,8 @@ def q_dataset_status(spark, sf_dir):
 # =========================================================================== WIN1 / JSN1
 RECENTS_SQL = """
 adds AS (SELECT user_id, event_id % 1500 AS pid, ts, event_id FROM events WHERE event_type <> 'error'),
-last_add AS (SELECT user_id, pid, max(ts) AS last_ts, max(event_id) AS last_ev FROM adds GROUP BY user_id, pid),
+last_add AS (SELECT user_id, pid, ts AS last_ts, event_id AS last_ev FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, pid ORDER BY ts DESC, event_id DESC) AS rn FROM adds) a WHERE rn = 1),
 recents AS (SELECT * FROM (
   SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, last_ev DESC, pid) - 1 AS INTEGER) AS position,
          pid, last_ts FROM last_add) r WHERE position < 10)

@@ -222,3 +222,15 @@ def test_nearest_dense_cluster_of_distinct_points(spark):
     df = spark.createDataFrame(pts, "id string, latitude double, longitude double")
     got = {(r.origin, r.postcode): r.rank for r in GEO.nearest_postcodes(df).select("origin", "rank", "postcode").collect()}
     assert got == _brute_nearest(pts)
+
+
+def test_add_only_uses_the_last_add_as_a_pair(spark):
+    """Event ids need not follow time: order by the last add's own (ts, id)."""
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t + dt.timedelta(seconds=10), 1, "add", 7), (1, t + dt.timedelta(seconds=5), 99, "add", 7),
+            (1, t + dt.timedelta(seconds=10), 50, "add", 8)]  # ties pid 7's last add in time
+    log = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, op string, pid long")
+    got = [r.pid for r in sorted(recents_add_only(log).collect(), key=lambda r: r.position)]
+    assert got == _python_replay(pd.DataFrame(rows, columns=["user_id", "ts", "event_id", "op", "pid"]))[1] == [8, 7]
