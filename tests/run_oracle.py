@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -15,7 +16,13 @@ from tests.oracle_compare import compare  # noqa: E402
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
-    spark = build_session("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):
+        # a plain session, as a caller of the driver contract may build it
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = build_session("local[8]", 8)
     qs, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in qs.items():
