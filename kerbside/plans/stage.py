@@ -29,16 +29,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def clear_stages(spark: SparkSession) -> bool:
-    """Delete every staged folder under the checkpoint folder.
+def clear_stages(spark: SparkSession) -> None:
+    """Drop every staged folder under the checkpoint folder.
 
     Staged data backs DataFrames returned earlier (they read it lazily), so
-    call this once a job's results have been consumed.  Uses the session's
-    Hadoop FileSystem, so it works on any shared store.  Returns True when
-    something was removed.
+    call this once a job's results have been consumed.  Done by overwriting
+    the stage root with an empty dataset (public write API, any store).
     """
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kerbside-stage"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(path) and fs.delete(path, True))
+    spark.createDataFrame([], "cleared int").write.mode("overwrite").parquet(root)

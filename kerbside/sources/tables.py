@@ -1,24 +1,27 @@
 """Versioned Parquet tables with a guarded full replace (SNK1) and typed
 scans (SRC4).
 
-A table is a folder of immutable version folders plus a pointer folder:
+A table is a folder of immutable version folders plus a pointer dataset:
 
     <root>/<name>/v=000000000007/part-*.parquet
-    <root>/<name>/_pointer/000000000007.ptr
+    <root>/<name>/pointer/part-*.parquet      one row (version, committed_at) per commit
 
 ``replace_if_nonempty`` writes the staged rows, every column, to a new
 version folder (which is what runs the strict typing checks: nothing is
-pruned away), and only if that version holds at least one row creates the
-next pointer file.  Creating a new file is atomic on HDFS/object stores, and
-readers resolve the highest pointer once, so a reader never sees a half
-written table and nothing is overwritten while it may be read.  An empty
-snapshot leaves the previous version current and still succeeds.
+pruned away), and only if that version holds at least one row appends its
+number to the pointer dataset.  A one-row append commits as a single file,
+so readers, which take the highest committed version once, never see a half
+written table, and nothing is overwritten while it may be read.  An empty
+snapshot leaves the previous version current and still succeeds.  Only
+public DataFrame reads and writes are used, so any Hadoop-compatible store
+works.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,8 @@ TABLE_SCHEMAS: dict[str, T.StructType] = {
     "postcodes": schemas.POSTCODES,
     "markers": schemas.MARKERS,
 }
+MAX_VERSION_TRIES = 100
+
 # Sort order of the files of each table: equality lookups then prune row
 # groups by min/max (the reference's secondary indexes).
 TABLE_SORT: dict[str, list[str]] = {
@@ -48,32 +53,19 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    # -- file system helpers (Hadoop FileSystem through the session) --------
-    def _path(self, p: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs, path
-
-    def _list_numbers(self, folder: str, prefix: str = "", suffix: str = "") -> list[int]:
-        fs, path = self._path(folder)
-        if not fs.exists(path):
-            return []
-        out = []
-        for st in fs.listStatus(path):
-            name = st.getPath().getName()
-            if name.startswith(prefix) and name.endswith(suffix):
-                core = name[len(prefix) : len(name) - len(suffix) if suffix else None]
-                if core.isdigit():
-                    out.append(int(core))
-        return out
-
     def version_path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v={version:012d}"
 
+    def _pointer_path(self, name: str) -> str:
+        return f"{self.root}/{name}/pointer"
+
     def current_version(self, name: str) -> int | None:
-        versions = self._list_numbers(f"{self.root}/{name}/_pointer", suffix=".ptr")
-        return max(versions) if versions else None
+        """Highest committed version (a one-row aggregate), or None."""
+        try:
+            pointer = self.spark.read.parquet(self._pointer_path(name))
+        except AnalysisException:  # nothing committed yet
+            return None
+        return pointer.agg(F.max("version").alias("v")).first()["v"]
 
     # -- SRC4 ----------------------------------------------------------------
     def load(self, name: str, schema: T.StructType | None = None) -> DataFrame:
@@ -95,21 +87,29 @@ class TableStore:
     ) -> bool:
         """Write ``staged`` as the next version; make it current only if it has
         rows.  Returns True when the table was replaced."""
-        existing = self._list_numbers(f"{self.root}/{name}", prefix="v=")
-        current = self.current_version(name) or 0
-        version = max(existing + [current]) + 1
-        path = self.version_path(name, version)
         keys = list(sort_by if sort_by is not None else TABLE_SORT.get(name, []))
         out = staged
         if keys:
             n = num_partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions") or "200")
             out = staged.repartitionByRange(n, *[F.col(k).asc_nulls_last() for k in keys]).sortWithinPartitions(*keys)
-        out.write.mode("errorifexists").parquet(path)
+        version = (self.current_version(name) or 0) + 1
+        for _ in range(MAX_VERSION_TRIES):
+            path = self.version_path(name, version)
+            try:
+                out.write.mode("errorifexists").parquet(path)
+                break
+            except AnalysisException as exc:
+                if "already exists" not in str(exc).lower() and "PATH_ALREADY_EXISTS" not in str(exc):
+                    raise
+                version += 1  # left over by an interrupted writer: take the next number
+        else:
+            raise RuntimeError(f"no free version folder for table {name}")
         if self.spark.read.parquet(path).isEmpty():  # one-row decision
             return False
-        fs, ptr = self._path(f"{self.root}/{name}/_pointer/{version:012d}.ptr")
-        stream = fs.create(ptr, False)  # fails if another writer took this version
-        stream.close()
+        commit = self.spark.createDataFrame([(version,)], "version long").select(
+            "version", F.current_timestamp().alias("committed_at")
+        )
+        commit.coalesce(1).write.mode("append").parquet(self._pointer_path(name))
         return True
 
     def append(self, rows: DataFrame, name: str) -> None:
