@@ -175,6 +175,17 @@ def validate_job_requests(raw: DataFrame, premises_col: str = "premises", format
     return raw.select(*others, pid.alias("premises_id"), fmt.alias("format"), error.alias("error"))
 
 
+def validate_postcode_requests(raw: DataFrame, postcode_col: str = "postcode") -> DataFrame:
+    """FIL8 for the premises search: a postcode string is required (any text,
+    even empty); a missing one is an error row."""
+    others = [c for c in raw.columns if c != postcode_col]
+    return raw.select(
+        *others,
+        F.col(postcode_col).alias("postcode"),
+        F.when(F.col(postcode_col).isNull(), F.lit("postcode: required")).alias("error"),
+    )
+
+
 def validate_tool_ids(raw: DataFrame, id_col: str = "premisesId") -> DataFrame:
     """FIL8 for the tool inputs: an integer ≥ 0, else an error row."""
     v = F.col(id_col)

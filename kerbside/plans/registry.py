@@ -1308,3 +1308,20 @@ def q_recents_fold_batch(spark, sf_dir):
     from kerbside.operators.recents import recents_fold
 
     return recents_fold(fx.recents_log(spark, sf_dir))
+
+
+@register(
+    "fil8_validate_postcode_requests",
+    fx.oracle(
+        """
+SELECT id AS request_id, address_postcode AS postcode,
+  CASE WHEN address_postcode IS NULL THEN 'postcode: required' END AS error
+FROM premises
+"""
+    ),
+)
+def q_validate_postcode_requests(spark, sf_dir):
+    """One postcode search request per premises (missing postcodes are errors)."""
+    t = fx.load(spark, sf_dir)
+    raw = t.premises.select(F.col("id").alias("request_id"), F.col("address_postcode").alias("postcode"))
+    return LK.validate_postcode_requests(raw)
