@@ -185,8 +185,3 @@ def oracle(body: str, extra_ctes: str = "") -> str:
     more = f",\n{extra_ctes}" if extra_ctes.strip() else ""
     return f"WITH {ORACLE_CTES}{more}\n{body}"
 
-
-def schemas_sqlite_columns() -> list[str]:
-    from kerbside.schemas import SQLITE_PREMISES_COLUMNS
-
-    return list(SQLITE_PREMISES_COLUMNS)

@@ -25,6 +25,7 @@ from kerbside.operators import merge as MG
 from kerbside.plans import feeds
 from kerbside.plans import tools as TOOLS
 from kerbside.plans.refresh import Dataset, refresh
+from kerbside.schemas import SQLITE_PREMISES_COLUMNS
 from kerbside.sources import ingest as ING
 from kerbside.sources.tables import TableStore
 
@@ -1078,7 +1079,7 @@ def q_ingest_premises(spark, sf_dir):
 )
 def q_ingest_sqlite_layout(spark, sf_dir):
     path = _export_premises_csv(spark, sf_dir)
-    return ING.read_sqlite_premises(spark, path, fx.LOAD_TS).select(*fx.schemas_sqlite_columns())
+    return ING.read_sqlite_premises(spark, path, fx.LOAD_TS).select(*SQLITE_PREMISES_COLUMNS)
 
 
 def _export_jobs_csv(spark, sf_dir, with_duplicates: bool = False) -> str:
