@@ -6,6 +6,7 @@ import math
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,10 @@ def skewed(spark, n=3000):
     return spark.createDataFrame(rows, "g long, o long, u long")
 
 
-def test_sequence_within_equals_row_number(spark):
+@pytest.mark.parametrize("parts", [1, 7, 13])
+def test_sequence_within_equals_row_number(spark, parts):
     df = skewed(spark)
-    got = sequence_within(df, ["g"], ["o", "u"], num_partitions=7)
+    got = sequence_within(df, ["g"], ["o", "u"], num_partitions=parts)
     w = Window.partitionBy("g").orderBy("o", "u")
     want = df.withColumn("seq", F.row_number().over(w) - 1)
     assert sorted(map(tuple, got.select("g", "u", "seq").collect())) == sorted(map(tuple, want.select("g", "u", "seq").collect()))
@@ -161,11 +163,12 @@ def test_hot_premises_spreads_over_partitions(spark):
     assert hot == list(range(n // 3))
 
 
-def test_running_sum_within_equals_window(spark):
+@pytest.mark.parametrize("parts", [1, 7, 13])
+def test_running_sum_within_equals_window(spark, parts):
     from kerbside.plans.ordering import running_sum_within
 
     df = skewed(spark).withColumn("v", (F.col("u") % 7) - 3)
-    got = running_sum_within(df, ["g"], ["o", "u"], "v", num_partitions=7)
+    got = running_sum_within(df, ["g"], ["o", "u"], "v", num_partitions=parts)
     w = Window.partitionBy("g").orderBy("o", "u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = df.withColumn("running", F.sum("v").over(w))
     assert sorted(map(tuple, got.select("g", "u", "running").collect())) == sorted(map(tuple, want.select("g", "u", "running").collect()))
