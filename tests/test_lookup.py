@@ -101,3 +101,26 @@ def test_nearby_jobs_guard(spark):
     assert [r.date for r in rows if r.postcode == "AB9 9ZZ"] == [None]  # no jobs: one NULL row
     guarded = nearby_jobs(near, p, j, max_postcodes=2).collect()  # A lists 2 postcodes: refused
     assert all(r.date is None for r in guarded if r.origin == "A") and sum(1 for r in guarded if r.origin == "A") == 2
+
+
+def test_saved_list_validation(spark):
+    from kerbside.operators.recents import parse_saved_list
+
+    ok = '{"id":1,"addressRoom":null,"addressNumber":"1","addressStreet":"A","addressLocality":null,"addressCity":"B","addressPostcode":"C"}'
+    extra = ok[:-1] + ',"note":"x"}'
+    missing = '{"id":2,"addressNumber":"1","addressStreet":"A","addressLocality":null,"addressCity":"B","addressPostcode":"C"}'
+    text_id = ok.replace('"id":1', '"id":"1"')
+    docs = spark.createDataFrame(
+        [
+            (1, '{"premises":[' + ok + "," + extra + "]}"),  # extra keys are dropped
+            (2, '{"premises":[' + ok + "," + missing + "]}"),  # a missing key empties the list
+            (3, '{"premises":[' + text_id + "]}"),  # a non-numeric id empties the list
+            (4, "not json"),
+            (5, '{"other":[]}'),
+        ],
+        "user_id int, document string",
+    )
+    got = {}
+    for r in parse_saved_list(docs).collect():
+        got.setdefault(r.user_id, []).append((r.position, r.id, r.addressRoom))
+    assert got == {1: [(0, 1, None), (1, 1, None)]}
