@@ -20,7 +20,13 @@ def main() -> int:
         # a plain session, as a caller of the driver contract may build it
         from pyspark.sql import SparkSession
 
-        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate()
+        spark = (
+            SparkSession.builder.master("local[8]")
+            .config("spark.sql.shuffle.partitions", "8")
+            .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+            .getOrCreate()
+        )
     else:
         spark = build_session("local[8]", 8)
     qs, oracles = entry.queries(), entry.oracle_sql()
