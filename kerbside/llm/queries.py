@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbside.llm import bpe, token_counts, token_store
+from kerbside.llm import bpe, decontaminate, quality, token_counts, token_store
 from kerbside.llm.common import table
 
 
@@ -14,13 +14,23 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality.measure(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_decontaminate": op6_decontaminate,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
