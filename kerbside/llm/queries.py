@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbside.llm import bpe, decontaminate, quality, token_counts, token_store
+from kerbside.llm import bpe, decontaminate, jaccard, quality, token_counts, token_store
 from kerbside.llm.common import table
 
 
@@ -26,11 +26,16 @@ def op9_quality_rules(spark, sf_dir):
     return quality.measure(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
