@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from kerbside.llm import bpe, decontaminate, jaccard, quality, token_counts, token_store
-from kerbside.llm.common import table
+from pyspark.sql import functions as F
+
+from kerbside.llm import bpe, decontaminate, jaccard, langid, quality, substrings, token_counts, token_store, toxicity
+from kerbside.llm.common import doc_text, split_of, table
+
+
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = split_of(F.col("doc_id"), 4) == 2
+    found = langid.identify(docs, F.coalesce(~held_out, F.lit(False)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_token_store(spark, sf_dir):
@@ -14,10 +23,22 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = doc_text(table(spark, sf_dir, "documents"))
+    held_out = split_of(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & ~held_out).select("doc_id", "toxic")
+    fitted = toxicity.fit(docs.join(labels.distinct(), "doc_id"), docs)
+    return toxicity.score(docs, fitted).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -31,9 +52,12 @@ def op10_ngram_jaccard(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_token_store": op2_token_store,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
