@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, decontaminate, jaccard, langid, quality, substrings, token_counts, token_store, toxicity
+from kerbside.llm import bpe, decontaminate, jaccard, langid, pii, quality, substrings, token_counts, token_store, toxicity
 from kerbside.llm.common import doc_text, split_of, table
 
 
@@ -19,6 +19,10 @@ def op2_token_store(spark, sf_dir):
     return token_store.store(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_ngram_jaccard(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_store": op2_token_store,
+    "op3_personal_data": op3_personal_data,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
