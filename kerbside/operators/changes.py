@@ -27,12 +27,13 @@ def dataset_list(spark: SparkSession, base_url: str) -> DataFrame:
 
 def snapshot_marker(df: DataFrame, cols: list[str]) -> DataFrame:
     """A content marker of a snapshot (stands in for an HTTP ETag): row count
-    and an order-independent sum of a 32-bit digest of each row.  A one-row
-    aggregate; partial sums combine map-side."""
+    and an order-independent sum of a 60-bit digest of each row, exact in a
+    decimal of 38 digits at any row count.  A one-row aggregate; partial sums
+    combine map-side."""
     row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in cols])
-    digest = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
+    digest = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(
-        F.concat(F.count(F.lit(1)).cast("string"), F.lit("-"), F.sum(digest).cast("string")).alias("etag")
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit("-"), F.sum(digest).cast("decimal(38,0)").cast("string")).alias("etag")
     )
 
 
@@ -57,9 +58,8 @@ def change_gate(observations: DataFrame, markers: DataFrame) -> DataFrame:
 
 def dataset_status(datasets: DataFrame, markers: DataFrame) -> DataFrame:
     """JOIN5: each dataset with last checked / updated instants and etag, or
-    ``N/A`` where nothing is stored (an etag of NULL also shows N/A).  The
-    marker side is one row per url of a fixed list: a bounded broadcast."""
-    m = markers.join(F.broadcast(datasets.select("url")), "url", "left_semi")
+    ``N/A`` where nothing is stored (an etag of NULL also shows N/A)."""
+    m = markers.join(datasets.select("url"), "url", "left_semi")
     j = datasets.join(m, "url", "left")
     has = F.col("created_at").isNotNull()
     return j.select(

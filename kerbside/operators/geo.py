@@ -36,6 +36,7 @@ Not handled: the antimeridian and the poles (longitude cells assume
 from __future__ import annotations
 
 import datetime as dt
+import random
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions.address import bin_dot_class
 from kerbside.functions.dates import as_date
-from kerbside.operators.lookup import MAX_POSTCODES, postcode_job_set
+from kerbside.operators.lookup import postcode_job_set
 from kerbside.plans.stage import materialize
 
 # Fixed values of the nearby search.
@@ -281,47 +282,46 @@ def pending_geocodes(premises: DataFrame, postcodes: DataFrame) -> DataFrame:
 def random_pending_geocodes(premises: DataFrame, postcodes: DataFrame, k: int = 1, seed: int | None = None, weighted: bool = True) -> DataFrame:
     """LIM2: k random postcodes from the backlog (weighted by premises count
     by default, as a random premises row is drawn)."""
-    r = F.rand(seed) if seed is not None else F.rand()
-    if weighted:
-        rows = premises.where(F.col("address_postcode").isNotNull()).join(
-            postcodes.select(F.col("id").alias("_pc")), F.col("address_postcode") == F.col("_pc"), "left_anti"
-        )
-        return rows.select(F.col("address_postcode").alias("postcode")).orderBy(r).limit(k).distinct()
-    return pending_geocodes(premises, postcodes).select("postcode").orderBy(r).limit(k)
+    seed = random.getrandbits(62) if seed is None else seed
+    # an even draw u in (0, 1) from a hash of (seed, postcode); the smallest
+    # -ln(u) / weight is each postcode's with probability proportional to its weight
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("postcode"))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    weight = F.col("premises_count") if weighted else F.lit(1)
+    return pending_geocodes(premises, postcodes).orderBy(-F.log(u) / weight, "postcode").select("postcode").limit(k)
 
 
 # --------------------------------------------------------------------------- JOIN4
-def nearby_jobs(near: DataFrame, premises: DataFrame, jobs: DataFrame, max_postcodes: int = MAX_POSTCODES) -> DataFrame:
+def nearby_jobs(near: DataFrame, premises: DataFrame, jobs: DataFrame) -> DataFrame:
     """JOIN4: every nearby postcode with its distinct (date, bin) jobs; a
     neighbour without jobs keeps one row with NULL date and bin.
 
     The nearby set is itself the postcode request of each origin, so the job
-    set (JOIN1) is joined to it once on postcode.  FIL3's guard still applies:
-    an origin with ``max_postcodes`` or more neighbours gets no jobs (it
-    cannot trigger while NEAR1's limit is below it).
+    set (JOIN1) is joined to it once on postcode.
     """
-    sizes = near.groupBy("origin").agg(F.count(F.lit(1)).alias("_n"))  # one row per origin
-    flagged = near.join(sizes, "origin").withColumn("_ok", F.col("_n") < max_postcodes)
     pj = postcode_job_set(premises, jobs, near.select("postcode")).withColumnRenamed("postcode", "_pjc")
-    joined = flagged.join(pj, (F.col("postcode") == F.col("_pjc")) & F.col("_ok"), "left")
+    joined = near.join(pj, F.col("postcode") == F.col("_pjc"), "left")
     return joined.select("origin", "rank", "postcode", "latitude", "longitude", "distance", "date", "bin")
 
 
 # --------------------------------------------------------------------------- AGG7 / AGG8 / FIL7
-def date_facets(nj: DataFrame) -> DataFrame:
-    """AGG7: the distinct job dates across each origin's nearby set."""
-    return nj.where(F.col("date").isNotNull()).select("origin", "date").distinct()
+def date_facets(near: DataFrame, premises: DataFrame, jobs: DataFrame) -> DataFrame:
+    """AGG7: the distinct job dates across each origin's nearby set.  A
+    postcode's dates are made distinct before they meet the origins."""
+    days = postcode_job_set(premises, jobs, near.select("postcode")).select("postcode", "date").distinct()
+    return near.select("origin", "postcode").join(days, "postcode").select("origin", "date").distinct()
 
 
-def default_dates(nj: DataFrame, as_of: dt.date | str | Column) -> DataFrame:
+def default_dates(near: DataFrame, premises: DataFrame, jobs: DataFrame, as_of: dt.date | str | Column) -> DataFrame:
     """AGG8: the nearest postcode's first date on or after today, else the
-    first date of the whole set, else NULL."""
+    first date of the whole set, else NULL.  Each postcode is cut down to its
+    two candidate dates before it meets the origins."""
     today = as_date(as_of)
-    return nj.groupBy("origin").agg(
-        F.coalesce(
-            F.min(F.when((F.col("rank") == 0) & (F.col("date") >= today), F.col("date"))),
-            F.min("date"),
-        ).alias("default_date")
+    first = postcode_job_set(premises, jobs, near.select("postcode")).groupBy("postcode").agg(
+        F.min("date").alias("_first"), F.min(F.when(F.col("date") >= today, F.col("date"))).alias("_next")
+    )
+    return near.join(first, "postcode", "left").groupBy("origin").agg(
+        F.coalesce(F.min(F.when(F.col("rank") == 0, F.col("_next"))), F.min("_first")).alias("default_date")
     )
 
 

@@ -7,6 +7,8 @@ sort-merge at run time, and AQE splits a skewed (hot) key.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,7 @@ from kerbside.functions.address import leading_int, normalize_postcode
 from kerbside.plans.ordering import sequence_within
 from kerbside.schemas import RESULT_NAMES
 
-# Operating limits of the lookups.
-HOUSE_NUMBER_SORT_LIMIT = 100  # re-sort by house number only up to this many hits
-MAX_POSTCODES = 150  # a postcode list of this length or more returns nothing
+# The result formats.
 RESULT_FORMATS = ["json", "csv", "ical"]
 
 
@@ -30,15 +30,15 @@ def search_premises(
     premises: DataFrame,
     requests: DataFrame,
     postcode_col: str = "postcode",
-    sort_limit: int = HOUSE_NUMBER_SORT_LIMIT,
+    by_number: bool = True,
     trim: bool = False,
 ) -> DataFrame:
     """Premises whose search key equals each request's normalised postcode.
 
     Returns one row per (request, hit) with ``rank`` (0-based) in result order:
-    room, number, street, id with NULLs last (SRT1); when a request has at most
-    ``sort_limit`` hits they are first stably re-sorted by the leading integer
-    of the house number (SRT2).  ``trim=True`` adds the web form's trimming.
+    leading integer of the house number (SRT2), then room, number, street, id
+    with NULLs last (SRT1); ``by_number=False`` leaves the plain text order.
+    ``trim=True`` adds the web form's trimming.
     """
     raw = F.col(postcode_col)
     key = normalize_postcode(F.trim(raw) if trim else raw)
@@ -49,9 +49,8 @@ def search_premises(
         premises.select("id", *[c for c in RESULT_NAMES if c != "id"], "search_postcode"),
         F.col("_key") == F.col("search_postcode"),
     ).drop("_key", "search_postcode")
-    counts = hits.groupBy("request_id").agg(F.count(F.lit(1)).alias("_hits"))
-    sorter = F.when(F.col("_hits") <= sort_limit, leading_int("address_number")).otherwise(F.lit(0).cast("decimal(38,0)"))
-    keyed = hits.join(counts, "request_id").withColumn("_sorter", sorter)
+    sorter = leading_int("address_number") if by_number else F.lit(0).cast("decimal(38,0)")
+    keyed = hits.withColumn("_sorter", sorter)
     ranked = sequence_within(
         keyed,
         ["request_id"],
@@ -86,11 +85,9 @@ def postcode_jobs(
     jobs: DataFrame,
     requests: DataFrame,
     postcode_col: str = "postcode",
-    max_postcodes: int = MAX_POSTCODES,
 ) -> DataFrame:
     """Distinct (postcode, date, bin) of the jobs of premises in each request's
-    postcode list (exact, case-sensitive spaced postcode).  A request listing
-    ``max_postcodes`` or more postcodes (duplicates counted) gets nothing.
+    postcode list (exact, case-sensitive spaced postcode), however long.
 
     The premises are cut down to requested postcodes *before* the jobs join,
     so the large jobs table only meets matching premises ids; (postcode,
@@ -98,14 +95,9 @@ def postcode_jobs(
     (partial aggregation absorbs a hot postcode), and the fan-out join then
     yields distinct rows by construction.
     """
-    sizes = requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-    allowed = (
-        requests.join(sizes.where(F.col("_n") < max_postcodes), "request_id", "left_semi")
-        .select("request_id", F.col(postcode_col).alias("_rq"))
-        .dropDuplicates(["request_id", "_rq"])
-    )
-    pj = postcode_job_set(premises, jobs, allowed.select(F.col("_rq").alias("postcode")))
-    matched = allowed.join(pj, F.col("_rq") == F.col("postcode"))
+    wanted = requests.select("request_id", F.col(postcode_col).alias("_rq")).distinct()
+    pj = postcode_job_set(premises, jobs, wanted.select(F.col("_rq").alias("postcode")))
+    matched = wanted.join(pj, F.col("_rq") == F.col("postcode"))
     return matched.select("request_id", "postcode", "date", "bin")
 
 
@@ -153,10 +145,12 @@ def premises_with_jobs(premises: DataFrame, jobs: DataFrame, requests: DataFrame
 
 # --------------------------------------------------------------------------- LIM1 / LIM2
 def random_premises(premises: DataFrame, k: int = 1, seed: int | None = None) -> DataFrame:
-    """k uniformly random premises (id, addressPostcode): a top-k by a random
-    key (TakeOrderedAndProject), never a full sort."""
-    r = F.rand(seed) if seed is not None else F.rand()
-    return premises.select("id", F.col("address_postcode").alias("addressPostcode")).orderBy(r).limit(k)
+    """k uniformly random premises (id, addressPostcode): a top-k by a hash of
+    (seed, id) (TakeOrderedAndProject), never a full sort.  The same seed picks
+    the same premises anywhere; without one every call draws its own."""
+    seed = random.getrandbits(62) if seed is None else seed
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    return premises.select("id", F.col("address_postcode").alias("addressPostcode")).orderBy(key, "id").limit(k)
 
 
 # --------------------------------------------------------------------------- FIL8 / FIL9

@@ -100,7 +100,8 @@ def _unique_batch(batch: DataFrame, key: str, value_cols: Sequence[str]) -> Data
     """One row per key; a key repeated in the batch fails the job."""
     agg = batch.groupBy(key).agg(F.count(F.lit(1)).alias("_dups"), *[F.first(c).alias(c) for c in value_cols])
     guard = F.when(F.col("_dups") > 1, F.raise_error(F.concat(F.lit(f"duplicate {key} in upsert batch: "), F.col(key).cast("string"))))
-    return agg.select(key, *[F.coalesce(guard, F.col(c)).alias(c) if i == 0 else F.col(c) for i, c in enumerate(value_cols)])
+    # in the key, which every use of the batch needs: no projection prunes it
+    return agg.select(F.coalesce(guard, F.col(key)).alias(key), *value_cols)
 
 
 def upsert_postcodes(old: DataFrame, batch: DataFrame, now: dt.datetime | Column) -> DataFrame:

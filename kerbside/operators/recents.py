@@ -8,13 +8,14 @@ all events never lands in one window partition.
 
 With removes the list is a fold (an entry pushed out by the cap never comes
 back).  ``recents_fold`` computes it exactly as a batch plan with no per-user
-task (see its docstring); ``kerbside.streaming.recents`` maintains the same
-list incrementally as bounded per-user state over an event stream.
+task (see its docstring).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
@@ -84,7 +85,16 @@ def parse_saved_list(docs: DataFrame, col: str = "document") -> DataFrame:
         lambda e: F.forall(F.array(*[F.lit(k) for k in _KEYS]), lambda k: F.array_contains(F.json_object_keys(e), k)),
     )
     ids_ok = F.forall(typed, lambda e: e["id"].isNotNull())
-    valid = raw_items.isNotNull() & typed.isNotNull() & has_keys & ids_ok
+
+    def kind(e: Column, key: str) -> Column:
+        return F.schema_of_variant(F.variant_get(F.try_parse_json(e), f"$.{key}", "variant"))
+
+    # JSON types as written: a numeric address part or a textual id is invalid
+    parts_ok = F.forall(
+        raw_items,
+        lambda e: functools.reduce(lambda a, b: a & b, [kind(e, k).isin("STRING", "VOID") for k in _KEYS[1:]]),
+    )
+    valid = raw_items.isNotNull() & typed.isNotNull() & has_keys & ids_ok & F.coalesce(parts_ok, F.lit(False))
     items = F.when(valid, typed).otherwise(F.array().cast(T.ArrayType(SAVED_ELEMENT)))
     others = [c for c in docs.columns if c != col]
     exploded = docs.select(*others, F.posexplode(items).alias("position", "e"))

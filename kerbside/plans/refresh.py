@@ -64,7 +64,7 @@ def refresh(
                 replaced = store.replace_if_nonempty(d.load(spark), d.name)
                 commit_urls.append(d.url)  # marker committed only after success
             except Exception as exc:  # noqa: BLE001 - one dataset must not stop the next
-                error = str(exc).splitlines()[0][:500]
+                error = str(exc)
         elif decision == "unchanged":
             commit_urls.append(d.url)  # refresh checked_at / updated_at
         store.append(run_record(spark, d.name, start, now(), decision, error), "runs")

@@ -176,12 +176,12 @@ def search_requests(t: fx.Tables):
     return a.unionByName(b).unionByName(c)
 
 
-def _search_oracle(limit: int) -> str:
+def _search_oracle(by_number: bool) -> str:
     return fx.oracle(
         f"""
 SELECT request_id, postcode, rank, {RESULT_SQL} FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
-      CASE WHEN n <= {limit} THEN {LEADING_INT_SQL} ELSE 0 END,
+      {LEADING_INT_SQL if by_number else '1 + 0'},
       address_room ASC NULLS LAST, address_number ASC NULLS LAST, address_street ASC NULLS LAST, id) - 1 AS rank
   FROM (SELECT r.request_id, r.postcode, p.*, count(*) OVER (PARTITION BY r.request_id) AS n
         FROM requests r JOIN premises p ON upper(replace(r.postcode, ' ', '')) = p.search_postcode) h) x
@@ -190,18 +190,17 @@ SELECT request_id, postcode, rank, {RESULT_SQL} FROM (
     )
 
 
-@register("fil1_srt2_search_premises", _search_oracle(100))
+@register("fil1_srt2_search_premises", _search_oracle(True))
 def q_search_premises(spark, sf_dir):
     t = fx.load(spark, sf_dir)
     return LK.search_premises(t.premises, search_requests(t))
 
 
-@register("srt1_search_premises_over_limit", _search_oracle(20))
-def q_search_premises_limit20(spark, sf_dir):
-    """The same search with the re-sort limit at 20, so requests with more
-    hits take the plain text order (SRT1) branch."""
+@register("srt1_search_premises_text_order", _search_oracle(False))
+def q_search_premises_text_order(spark, sf_dir):
+    """The same search in plain text order."""
     t = fx.load(spark, sf_dir)
-    return LK.search_premises(t.premises, search_requests(t), sort_limit=20)
+    return LK.search_premises(t.premises, search_requests(t), by_number=False)
 
 
 @register(
@@ -210,7 +209,7 @@ def q_search_premises_limit20(spark, sf_dir):
         f"""
 SELECT request_id, CAST(rank AS BIGINT) AS seq, false AS is_error, CAST(id AS VARCHAR) || ': ' || {ONE_LINE_SQL} AS text
 FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
-      CASE WHEN n <= 100 THEN {LEADING_INT_SQL} ELSE 0 END,
+      {LEADING_INT_SQL},
       address_room ASC NULLS LAST, address_number ASC NULLS LAST, address_street ASC NULLS LAST, id) - 1 AS rank
   FROM (SELECT r.request_id, r.postcode, p.*, count(*) OVER (PARTITION BY r.request_id) AS n
         FROM requests r JOIN premises p ON upper(replace(r.postcode, ' ', '')) = p.search_postcode) h) x
@@ -301,15 +300,14 @@ PC_REQUESTS_SQL = """
 requests AS (
   SELECT DISTINCT address_city AS request_id, address_postcode AS postcode FROM premises WHERE address_postcode IS NOT NULL
   UNION ALL
-  SELECT address_street, address_postcode FROM premises WHERE address_postcode IS NOT NULL),
-sizes AS (SELECT request_id, count(*) AS n FROM requests GROUP BY request_id)
+  SELECT address_street, address_postcode FROM premises WHERE address_postcode IS NOT NULL)
 """
 
 
 def postcode_requests(t: fx.Tables):
     pc = t.premises.where(F.col("address_postcode").isNotNull())
     per_city = pc.select(F.col("address_city").alias("request_id"), F.col("address_postcode").alias("postcode")).distinct()
-    # every premises' postcode per street, duplicates counted: long lists (≥ 150) get nothing
+    # every premises' postcode per street: long lists with duplicates
     every = pc.select(F.col("address_street").alias("request_id"), F.col("address_postcode").alias("postcode"))
     return per_city.unionByName(every)
 
@@ -319,7 +317,7 @@ def postcode_requests(t: fx.Tables):
     fx.oracle(
         """
 SELECT DISTINCT r.request_id, p.address_postcode AS postcode, j.date, j.bin
-FROM requests r JOIN sizes s ON r.request_id = s.request_id AND s.n < 150
+FROM requests r
 JOIN premises p ON p.address_postcode = r.postcode
 JOIN jobs j ON p.id = j.premises_id
 """,
@@ -688,7 +686,7 @@ def q_nearby_jobs(spark, sf_dir):
 @register("agg7_date_facets", fx.oracle("SELECT DISTINCT origin, date FROM nj WHERE date IS NOT NULL", NEARBY_JOBS_SQL))
 def q_date_facets(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    return GEO.date_facets(GEO.nearby_jobs(_near(t), t.premises, t.jobs))
+    return GEO.date_facets(_near(t), t.premises, t.jobs)
 
 
 AGG8_SQL = f"""
@@ -700,7 +698,7 @@ FROM nj GROUP BY origin
 @register("agg8_default_dates", fx.oracle(AGG8_SQL, NEARBY_JOBS_SQL))
 def q_default_dates(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    return GEO.default_dates(GEO.nearby_jobs(_near(t), t.premises, t.jobs), AS_OF)
+    return GEO.default_dates(_near(t), t.premises, t.jobs, AS_OF)
 
 
 @register(
@@ -718,8 +716,9 @@ GROUP BY nj.origin, d.default_date, nj.rank, nj.postcode, nj.distance
 )
 def q_map_markers(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    nj = GEO.nearby_jobs(_near(t), t.premises, t.jobs)
-    sel = GEO.default_dates(nj, AS_OF).select("origin", F.col("default_date").alias("selected_date"))
+    near = _near(t)
+    nj = GEO.nearby_jobs(near, t.premises, t.jobs)
+    sel = GEO.default_dates(near, t.premises, t.jobs, AS_OF).select("origin", F.col("default_date").alias("selected_date"))
     m = GEO.map_markers(nj, sel)
     return m.select(
         "origin", "selected_date", F.col("rank").cast("long").alias("rank"), "postcode", "is_self",
@@ -742,16 +741,34 @@ def q_pending_geocodes(spark, sf_dir):
     return GEO.pending_geocodes(t.premises, t.postcodes)
 
 
-@register("lim1_random_premises")
+@register(
+    "lim1_random_premises",
+    fx.oracle(
+        """
+SELECT id, address_postcode AS addressPostcode FROM premises ORDER BY md5('7:' || CAST(id AS VARCHAR)), id LIMIT 5
+"""
+    ),
+)
 def q_random_premises(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    return LK.random_premises(t.premises, k=1, seed=7)
+    return LK.random_premises(t.premises, k=5, seed=7)
 
 
-@register("lim2_random_pending_geocode")
+@register(
+    "lim2_random_pending_geocode",
+    fx.oracle(
+        """
+SELECT postcode FROM (
+  SELECT address_postcode AS postcode, count(*) AS n FROM premises
+  WHERE address_postcode IS NOT NULL AND address_postcode NOT IN (SELECT id FROM postcodes)
+  GROUP BY address_postcode) p
+ORDER BY -ln((('0x' || substr(md5('7:' || postcode), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / n, postcode LIMIT 20
+"""
+    ),
+)
 def q_random_pending(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    return GEO.random_pending_geocodes(t.premises, t.postcodes, k=1, seed=7)
+    return GEO.random_pending_geocodes(t.premises, t.postcodes, k=20, seed=7)
 
 
 # =========================================================================== SNK2-6 / JOIN6 / CHG1 / JOIN5
@@ -876,7 +893,7 @@ URLS = {
 
 def marker_sql(table: str, cols: list[str]) -> str:
     row = "concat_ws(chr(1), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(2))" for c in cols) + ")"
-    return f"(SELECT CAST(count(*) AS VARCHAR) || '-' || CAST(sum(('0x' || substr(md5({row}), 1, 8))::BIGINT) AS VARCHAR) FROM {table})"
+    return f"(SELECT CAST(count(*) AS VARCHAR) || '-' || CAST(sum(('0x' || substr(md5({row}), 1, 15))::BIGINT) AS VARCHAR) FROM {table})"
 
 
 P_COLS = ["id"] + list(A.PARTS)
@@ -980,7 +997,7 @@ def q_dataset_status(spark, sf_dir):
 
 # =========================================================================== WIN1 / JSN1
 RECENTS_SQL = """
-adds AS (SELECT user_id, event_id % 1500 AS pid, ts, event_id FROM events WHERE event_type <> 'error'),
+adds AS (SELECT user_id, event_id % 1500 AS pid, ts, event_id FROM events),
 last_add AS (SELECT user_id, pid, ts AS last_ts, event_id AS last_ev FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, pid ORDER BY ts DESC, event_id DESC) AS rn FROM adds) a WHERE rn = 1),
 recents AS (SELECT * FROM (
@@ -990,7 +1007,8 @@ recents AS (SELECT * FROM (
 
 
 def _adds(spark, sf_dir):
-    return fx.recents_log(spark, sf_dir).where(F.col("op") == "add")
+    """Every event as an add."""
+    return fx.recents_log(spark, sf_dir).withColumn("op", F.lit("add"))
 
 
 @register("win1_recents_add_only", fx.oracle("SELECT user_id, position, pid, last_ts FROM recents", RECENTS_SQL))
@@ -1026,20 +1044,6 @@ def q_saved_list(spark, sf_dir):
     return parse_saved_list(docs)
 
 
-@register("win1_recents_fold_stream")
-def q_recents_fold(spark, sf_dir):
-    from kerbside.streaming.recents import run_recents
-
-    def to_log(raw):
-        return raw.select(
-            "user_id", "ts", "event_id",
-            F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"),
-            (F.col("event_id") % 1500).alias("pid"),
-        )
-
-    return run_recents(spark, sf_dir, "events.parquet", to_log)
-
-
 # =========================================================================== SRC1-3 / SRC5 / ING1-9 round trips
 # Each query exports data Spark derives from the tables in the source file
 # format to a scratch folder under the shared checkpoint folder, then ingests
@@ -1189,6 +1193,87 @@ def q_validate_tool_ids(spark, sf_dir):
     return LK.validate_tool_ids(raw)
 
 
+# --------------------------------------------------------------------------- dirty exports (ING1-3)
+_DIRTY_STREET_SQL = (
+    "CASE id % 6 WHEN 0 THEN address_street || ', \"THE\" END' WHEN 1 THEN '6\" ' || address_street ELSE address_street END"
+)
+_DIRTY_ROOM_SQL = "CASE WHEN id % 499 = 0 THEN repeat('x', 100000) ELSE address_room END"
+
+
+@register(
+    "ing1_ing2_dirty_premises_csv",
+    fx.oracle(
+        f"""
+SELECT id, {_DIRTY_ROOM_SQL} AS address_room, address_number, {_DIRTY_STREET_SQL} AS address_street,
+  address_locality, address_city, address_postcode FROM premises
+"""
+    ),
+)
+def q_dirty_premises(spark, sf_dir):
+    """Every premises exported with what real files hold: NUL bytes, carriage
+    returns, blank lines, commas and doubled quotes in quoted fields, bare
+    quotes in unquoted ones, empty quoted fields and fields of 100,000
+    characters; the reader must give the clean values back."""
+    rows = fx.premises_source(spark, sf_dir)
+    i = F.col("id")
+    street = (
+        F.when(i % 6 == 0, F.concat("address_street", F.lit(', "THE" END')))
+        .when(i % 6 == 1, F.concat(F.lit('6" '), "address_street"))
+        .otherwise(F.col("address_street"))
+    )
+    room = F.when(i % 499 == 0, F.lit("x" * 100_000)).otherwise(F.col("address_room"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    text = lambda c: F.when(i % 6 == 0, quoted(c)).otherwise(F.coalesce(c, F.lit("")))
+    fields = [i.cast("string"), quoted(room), *(text(street if p == "address_street" else F.col(p)) for p in A.PARTS[1:])]
+    line = F.concat_ws(",", *fields)
+    line = F.when(i % 5 == 0, F.concat(F.lit("\u0000"), line, F.lit("\u0000"))).otherwise(line)
+    line = F.when(i % 4 == 0, F.concat(line, F.lit("\r"))).otherwise(line)
+    line = F.when(i % 9 == 0, F.concat(line, F.lit("\n"))).otherwise(line)
+    path = _scratch(spark, "premises-dirty")
+    rows.select(line.alias("value")).write.text(path)
+    return ING.read_premises_csv(spark, path, fx.LOAD_TS).select("id", *A.PARTS)
+
+
+@register(
+    "ing3_bad_lines",
+    fx.oracle(
+        """
+SELECT value, reason FROM (
+  SELECT CASE id % 50 WHEN 1 THEN 'x' || premises_id || ',' || bin || ',' || d WHEN 2 THEN premises_id || ',' || bin || ',32/13/00'
+              WHEN 3 THEN premises_id || ',' || bin WHEN 4 THEN premises_id || ',"' || bin || ',' || d END AS value,
+         CASE id % 50 WHEN 1 THEN 'integer premises_id' WHEN 2 THEN 'date' WHEN 3 THEN 'field count'
+              WHEN 4 THEN 'unterminated quote' END AS reason
+  FROM (SELECT id, CAST(premises_id AS VARCHAR) AS premises_id, bin, strftime(date, '%d/%m/%y') AS d FROM jobs) j) x
+WHERE value IS NOT NULL
+"""
+    ),
+)
+def q_bad_lines(spark, sf_dir):
+    """A jobs export in which every fiftieth row has one of four faults."""
+    jobs = fx.jobs_source(spark, sf_dir)
+    i, p, d = F.col("id") % 50, F.col("premises_id").cast("string"), F.date_format("date", "dd/MM/yy")
+    line = (
+        F.when(i == 1, F.concat(F.lit("x"), F.concat_ws(",", p, "bin", d)))
+        .when(i == 2, F.concat_ws(",", p, "bin", F.lit("32/13/00")))
+        .when(i == 3, F.concat_ws(",", p, "bin"))
+        .when(i == 4, F.concat(p, F.lit(',"'), F.col("bin"), F.lit(","), d))
+        .otherwise(F.concat_ws(",", p, "bin", d))
+    )
+    path = _scratch(spark, "jobs-bad")
+    jobs.select(line.alias("value")).write.text(path)
+    return ING.bad_lines(spark, path, "jobs").select("value", "reason")
+
+
+@register(
+    "ing8_job_ids",
+    fx.oracle("SELECT count(*) AS jobs, count(*) AS ids FROM jobs"),
+)
+def q_job_ids(spark, sf_dir):
+    """Every loaded job has an id of its own."""
+    loaded = ING.read_jobs_csv(spark, _export_jobs_csv(spark, sf_dir))
+    return loaded.agg(F.count(F.lit(1)).alias("jobs"), F.countDistinct("id").alias("ids"))
+
+
 # =========================================================================== SNK1 / SRC4 / AGG3 / CHG2 / CHG3
 
 
@@ -1198,8 +1283,10 @@ def q_guarded_replace(spark, sf_dir):
     snapshot: the guard keeps the first version current; read it back."""
     t = fx.load(spark, sf_dir)
     store = TableStore(spark, _scratch(spark, "store"))
-    assert store.replace_if_nonempty(t.premises, "premises") is True
-    assert store.replace_if_nonempty(t.premises.where(F.lit(False)), "premises") is False
+    first = store.replace_if_nonempty(t.premises, "premises")
+    second = store.replace_if_nonempty(t.premises.where(F.lit(False)), "premises")
+    if not first or second:
+        raise RuntimeError(f"expected one replacement, got {first} and {second}")
     return store.load("premises").select("id", *A.PARTS, "search_postcode")
 
 
@@ -1229,17 +1316,19 @@ def q_refresh_runs(spark, sf_dir):
 # =========================================================================== oracles for the stateful queries
 # The saved-list fold (WIN1 with removes) as a recursive SQL fold over each
 # user's events in (ts, event_id) order: add = prepend + de-duplicate + cap at
-# 10, remove = drop.  Checks the streaming operator value for value.
-ORACLES["win1_recents_fold_stream"] = """
+# 10, remove = drop, clear = empty.
+RECENTS_FOLD_SQL = """
 WITH RECURSIVE ev AS (
   SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
-         CASE WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS op, event_id % 1500 AS pid
+         CASE WHEN event_id % 47 = 0 THEN 'clear' WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS op,
+         event_id % 1500 AS pid
   FROM events),
 fold(user_id, k, lst) AS (
   SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM ev
   UNION ALL
   SELECT f.user_id, e.k,
-    CASE WHEN e.op = 'add' THEN list_slice(list_prepend(e.pid, list_filter(f.lst, lambda x: x <> e.pid)), 1, 10)
+    CASE WHEN e.op = 'clear' THEN CAST([] AS BIGINT[])
+         WHEN e.op = 'add' THEN list_slice(list_prepend(e.pid, list_filter(f.lst, lambda x: x <> e.pid)), 1, 10)
          ELSE list_filter(f.lst, lambda x: x <> e.pid) END
   FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.k = f.k + 1),
 final AS (SELECT user_id, lst FROM fold WHERE (user_id, k) IN (SELECT user_id, max(k) FROM fold GROUP BY user_id))
@@ -1303,7 +1392,7 @@ def q_sitemap_index_xml(spark, sf_dir):
     return feeds.sitemap_index_document(feeds.sitemap_index_entries(t.premises, BUILD_TIME, BASE))
 
 
-@register("win1_recents_fold_batch", ORACLES["win1_recents_fold_stream"])
+@register("win1_recents_fold_batch", RECENTS_FOLD_SQL)
 def q_recents_fold_batch(spark, sf_dir):
     """WIN1 with removes as an exact batch plan (no per-user task)."""
     from kerbside.operators.recents import recents_fold
@@ -1311,6 +1400,38 @@ def q_recents_fold_batch(spark, sf_dir):
     return recents_fold(fx.recents_log(spark, sf_dir))
 
 
+_NESTED_SQL = """
+nested AS (
+  SELECT r.premises_id AS id, count(j.id) AS n,
+    coalesce(string_agg(CAST(j.date AS VARCHAR) || ' ' || j.bin, ';' ORDER BY j.date, j.bin, j.id), '') AS jobs,
+    coalesce(string_agg(CAST(j.date AS VARCHAR) || ' ' || CASE WHEN j.date < DATE '2000-06-01' THEN 'Expired'
+      WHEN j.date > DATE '2000-06-01' THEN 'Upcoming' ELSE 'Today' END, ';' ORDER BY j.date, j.bin, j.id), '') AS statuses,
+    min(CASE WHEN j.date >= DATE '2000-06-01' THEN j.date END) AS next_date
+  FROM requests r JOIN premises p ON p.id = r.premises_id LEFT JOIN jobs j ON j.premises_id = r.premises_id
+  GROUP BY r.premises_id)
+"""
+
+
+@register(
+    "join2_arr1_nested_jobs",
+    fx.oracle("SELECT id, n, jobs, statuses, next_date FROM nested", ID_REQUESTS_SQL + "," + _NESTED_SQL),
+)
+def q_nested_jobs(spark, sf_dir):
+    """The nested answer of every requested premises, with the array steps:
+    map (status of each job) and find (first job from today on)."""
+    t = fx.load(spark, sf_dir)
+    nested = LK.premises_with_jobs(t.premises, t.jobs, id_requests(t))
+    seen = LK.first_upcoming(LK.jobs_with_status(nested, AS_OF), AS_OF)
+    show = lambda x, f: F.concat_ws(" ", x["date"].cast("string"), x[f])
+    return seen.select(
+        "id",
+        F.size("jobs").cast("long").alias("n"),
+        F.array_join(F.transform("jobs", lambda x: show(x, "bin")), ";").alias("jobs"),
+        F.array_join(F.transform("jobs", lambda x: show(x, "status")), ";").alias("statuses"),
+        F.col("next_job.date").alias("next_date"),
+    )
+
+
 @register(
     "fil8_validate_postcode_requests",
     fx.oracle(

@@ -54,6 +54,15 @@ def parse_csv_lines(clean: DataFrame, columns: Sequence[str], strict: bool = Tru
     return parsed.select(*[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in columns])
 
 
+def _outside_quotes(value: Column) -> Column:
+    """The line without its quoted fields' contents.  Doubled quotes go first;
+    a quote opens a field only at the field's start, and elsewhere it is an
+    ordinary character.  The possessive loop needs no stack, so a field of any
+    length is read."""
+    single = F.regexp_replace(value, '""', "")
+    return F.regexp_replace(single, '(^|,)"[^"]*+"', "$1")
+
+
 def _field_count_check(clean: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Raise on rows whose field count differs from the schema, or with a
     field that opens a quote and never closes it.
@@ -64,7 +73,7 @@ def _field_count_check(clean: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     n = len(columns)
     value = F.col("value")
-    unquoted = F.regexp_replace(value, '"([^"]|"")*"', "")
+    unquoted = _outside_quotes(value)
     fields = F.length(unquoted) - F.length(F.regexp_replace(unquoted, ",", "")) + 1
     open_quote = unquoted.rlike('(^|,)"')
     checked = (
@@ -258,7 +267,7 @@ def bad_lines(spark: SparkSession, paths: str | Sequence[str], kind: str) -> Dat
     clean = raw.select(F.regexp_replace(F.translate("value", "\u0000", ""), "\r$", "").alias("value"), "file").where(
         F.col("value") != ""
     )
-    unquoted = F.regexp_replace(F.col("value"), '"([^"]|"")*"', "")
+    unquoted = _outside_quotes(F.col("value"))
     fields = F.length(unquoted) - F.length(F.regexp_replace(unquoted, ",", "")) + 1
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     parsed = F.from_csv(F.col("value"), schema.simpleString(), {"mode": "PERMISSIVE", "escape": '"', "quote": '"', "sep": ","})

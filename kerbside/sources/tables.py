@@ -3,7 +3,7 @@ scans (SRC4).
 
 A table is a folder of immutable version folders plus a pointer dataset:
 
-    <root>/<name>/v=000000000007/part-*.parquet
+    <root>/<name>/v=<time>-<uuid>/part-*.parquet
     <root>/<name>/pointer/part-*.parquet      one row (version, committed_at) per commit
 
 ``replace_if_nonempty`` writes the staged rows, every column, to a new
@@ -19,6 +19,8 @@ works.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -34,7 +36,6 @@ TABLE_SCHEMAS: dict[str, T.StructType] = {
     "postcodes": schemas.POSTCODES,
     "markers": schemas.MARKERS,
 }
-MAX_VERSION_TRIES = 100
 
 # Sort order of the files of each table: equality lookups then prune row
 # groups by min/max (the reference's secondary indexes).
@@ -53,18 +54,20 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def version_path(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/v={version:012d}"
+    def version_path(self, name: str, version: str) -> str:
+        return f"{self.root}/{name}/v={version}"
 
     def _pointer_path(self, name: str) -> str:
         return f"{self.root}/{name}/pointer"
 
-    def current_version(self, name: str) -> int | None:
-        """Highest committed version (a one-row aggregate), or None."""
+    def current_version(self, name: str) -> str | None:
+        """Last committed version (a one-row aggregate), or None."""
         try:
             pointer = self.spark.read.parquet(self._pointer_path(name))
-        except AnalysisException:  # nothing committed yet
-            return None
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":  # nothing committed yet
+                return None
+            raise
         return pointer.agg(F.max("version").alias("v")).first()["v"]
 
     # -- SRC4 ----------------------------------------------------------------
@@ -92,21 +95,13 @@ class TableStore:
         if keys:
             n = num_partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions") or "200")
             out = staged.repartitionByRange(n, *[F.col(k).asc_nulls_last() for k in keys]).sortWithinPartitions(*keys)
-        version = (self.current_version(name) or 0) + 1
-        for _ in range(MAX_VERSION_TRIES):
-            path = self.version_path(name, version)
-            try:
-                out.write.mode("errorifexists").parquet(path)
-                break
-            except AnalysisException as exc:
-                if "already exists" not in str(exc).lower() and "PATH_ALREADY_EXISTS" not in str(exc):
-                    raise
-                version += 1  # left over by an interrupted writer: take the next number
-        else:
-            raise RuntimeError(f"no free version folder for table {name}")
+        # a name of its own for every attempt: leftovers of failed loads are no matter
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        path = self.version_path(name, version)
+        out.write.mode("errorifexists").parquet(path)
         if self.spark.read.parquet(path).isEmpty():  # one-row decision
             return False
-        commit = self.spark.createDataFrame([(version,)], "version long").select(
+        commit = self.spark.createDataFrame([(version,)], "version string").select(
             "version", F.current_timestamp().alias("committed_at")
         )
         commit.coalesce(1).write.mode("append").parquet(self._pointer_path(name))

@@ -136,3 +136,18 @@ def test_bad_lines_lists_every_rejected_line(spark, tmp_dir):
     ])
     jobs = write(tmp_dir, "jobs.csv", JOBS + b"1,BLACK,31/02/24\n1,BLACK,\n")
     assert sorted(r.value for r in ING.bad_lines(spark, jobs, "jobs").collect()) == ["1,BLACK,", "1,BLACK,31/02/24"]
+
+
+def test_quotes_of_any_length_and_place(spark, tmp_dir):
+    """A long quoted field, bare quotes, doubled quotes; faults still raise."""
+    from kerbside.sources.ingest import csv_from_lines
+
+    rows = ["1,\"" + "x" * 300_000 + "\",a", '2,6" PIPE,2" YARD', '3,"a ""b"", c",""', '4,"""q""",d"e']
+    raw = spark.createDataFrame([(r,) for r in rows], "value string")
+    got = {r.a: (r.b, r.c) for r in csv_from_lines(raw, ["a", "b", "c"]).collect()}
+    assert got["1"] == ("x" * 300_000, "a")
+    assert got["2"] == ('6" PIPE', '2" YARD')
+    assert got["3"] == ('a "b", c', "") and got["4"] == ('"q"', 'd"e')
+    for bad in ['5,"open,x', "6,only two", '7,a,b,"c,d"']:
+        with pytest.raises(Exception):
+            csv_from_lines(spark.createDataFrame([(bad,)], "value string"), ["a", "b", "c"]).collect()

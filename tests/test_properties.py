@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from kerbside import fixtures as fx
 from kerbside.operators import geo as GEO
 from kerbside.operators import merge as MG
-from kerbside.operators.recents import recents_add_only
+from kerbside.operators.recents import recents_add_only, recents_fold
 from kerbside.plans import feeds
 from kerbside.plans.ordering import global_sequence, sequence_within
-from kerbside.streaming.recents import apply_ops, run_recents
 from tests.conftest import SF001
 
 
@@ -107,6 +106,15 @@ def test_snapshot_diff_then_apply_gives_new(spark):
     assert merged.exceptAll(want).count() == 0 and want.exceptAll(merged).count() == 0
 
 
+def apply_ops(current: list, events: pd.DataFrame) -> list:
+    """The list after the events, one at a time (brute force)."""
+    for op, pid in zip(events["op"], events["pid"]):
+        current = [] if op == "clear" else [p for p in current if p != pid]
+        if op == "add":
+            current = [pid, *current][:10]
+    return current
+
+
 def _python_replay(log: pd.DataFrame) -> dict:
     out = {}
     for user, g in log.sort_values(["ts", "event_id"], kind="stable").groupby("user_id"):
@@ -116,20 +124,11 @@ def _python_replay(log: pd.DataFrame) -> dict:
     return out
 
 
-def test_recents_fold_stream_equals_replay(spark):
+def test_recents_fold_equals_replay(spark):
     log = fx.recents_log(spark, SF001)
     want = _python_replay(log.toPandas())
-
-    def to_log(raw):
-        return raw.select(
-            "user_id", "ts", "event_id",
-            F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"),
-            (F.col("event_id") % 1500).alias("pid"),
-        )
-
-    got_rows = run_recents(spark, SF001, "events.parquet", to_log).collect()
     got: dict = {}
-    for r in sorted(got_rows, key=lambda r: (r.user_id, r.position)):
+    for r in sorted(recents_fold(log).collect(), key=lambda r: (r.user_id, r.position)):
         got.setdefault(r.user_id, []).append(r.pid)
     assert got == want
 
