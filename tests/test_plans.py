@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kerbside import fixtures as fx
-from kerbside.plans import feeds
+from kerbside.plans import feeds, registry
 from kerbside.sources.tables import TableStore
 from tests.conftest import SF001
 
-QUERIES = entry.queries()
-STREAMING = {"win1_recents_fold_stream"}
+QUERIES = {n: q for n, q in entry.queries().items() if n in registry.QUERIES}
 
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMING))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_or_cartesian(spark, name):
     plan = plan_of(QUERIES[name](spark, SF001))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
