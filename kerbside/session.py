@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -47,12 +45,10 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting one only where none is configured.
+    """Return the session's checkpoint folder.
 
-    On a cluster the folder must be shared storage named by
-    ``spark.checkpoint.dir``; it is read from the session.  Only a local
-    session (tests, the single-machine smoke check) may fall back to a fresh
-    folder under /tmp.
+    The folder must be shared storage; it is read from the session's
+    ``spark.checkpoint.dir`` and never made up here.
     """
     try:
         sc = spark.sparkContext
@@ -73,10 +69,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if sc.master.startswith("local"):
-        local = tempfile.mkdtemp(prefix="kerbside-ckpt-", dir="/tmp")
-        sc.setCheckpointDir(local)
-        return sc.getCheckpointDir() or local
     raise RuntimeError(
         "spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/ABFS) "
         "so checkpointed stages survive executor loss"

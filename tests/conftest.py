@@ -16,8 +16,8 @@ SF0001 = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[8]", 8)
-    ensure_checkpoint_dir(s)  # local scratch folder: unset in tests
+    s = build_session("local[8]", 8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="kerbside-ckpt-", dir="/tmp")})
+    ensure_checkpoint_dir(s)
     yield s
     s.stop()
 
