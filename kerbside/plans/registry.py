@@ -1130,6 +1130,33 @@ def q_geocode_documents(spark, sf_dir):
     return g.select("postcode", F.round("longitude", 6).alias("longitude"), F.round("latitude", 6).alias("latitude"), F.round("distance", 3).alias("distance"))
 
 
+@register(
+    "src3_geocode_faulty_documents",
+    fx.oracle(
+        """
+SELECT id AS postcode, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM postcodes
+WHERE ascii(md5(id)) % 4 = 0
+"""
+    ),
+)
+def q_geocode_faulty_documents(spark, sf_dir):
+    """One document per geocoded postcode, without ``distance``; three in four
+    are cut short, refused (500) or not found (404), and give no row."""
+    t = fx.load(spark, sf_dir)
+    doc = F.to_json(F.struct(F.array(F.struct(F.col("id").alias("postcode"), "longitude", "latitude")).alias("result")))
+    kind = F.ascii(F.md5("id")) % 4
+    body = (
+        F.when(kind == 1, F.substring(doc, 1, 30))
+        .when(kind == 2, F.lit('{"status":500,"error":"Server error"}'))
+        .when(kind == 3, F.lit('{"status":404,"error":"Postcode not found"}'))
+        .otherwise(doc)
+    )
+    path = _scratch(spark, "geocodes-faulty")
+    t.postcodes.select(body.alias("value")).write.text(path)
+    g = ING.read_geocodes(spark, path, on_invalid="drop", multi_line=False)
+    return g.select("postcode", F.round("longitude", 6).alias("longitude"), F.round("latitude", 6).alias("latitude"))
+
+
 # =========================================================================== FIL8
 RAW_REQUESTS_SQL = """
 raw AS (SELECT o_orderkey AS request_id,

@@ -80,7 +80,9 @@ GEOCODE_ELEMENT = T.StructType(
         T.StructField("distance", T.DoubleType(), True),
     ]
 )
-GEOCODE_DOCUMENT = T.StructType([T.StructField("result", T.ArrayType(GEOCODE_ELEMENT), True)])
+GEOCODE_DOCUMENT = T.StructType(
+    [T.StructField("result", T.ArrayType(GEOCODE_ELEMENT), True), T.StructField("status", T.LongType(), True)]
+)
 
 # Saved-list document: {"premises": [{id, six nullable address strings}]}
 SAVED_ELEMENT = T.StructType(

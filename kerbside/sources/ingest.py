@@ -8,6 +8,7 @@ the line is what lets NUL bytes in front of a quote parse at all.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -208,32 +209,38 @@ def read_sqlite_premises(spark: SparkSession, paths: str | Sequence[str], load_t
 
 
 def read_geocodes(
-    spark: SparkSession, paths: str | Sequence[str], on_invalid: str = "raise", multi_line: bool = True
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    on_invalid: str = "raise",
+    multi_line: bool = True,
+    require_distance: bool = False,
 ) -> DataFrame:
     """SRC3: flatten geocode documents to (postcode, longitude, latitude, distance).
 
-    Every field is required; one bad element rejects its whole document
-    (``on_invalid='raise'`` fails the job, ``'drop'`` skips the document).  A
-    payload without ``result`` (e.g. a 404 body) is an empty list.
+    Every field but ``distance`` is required (that one too with
+    ``require_distance``); one bad element rejects its whole document.  A body
+    with status 404 and no ``result`` is an empty list; a corrupt document, or
+    any other body without ``result``, is invalid.  ``on_invalid='raise'``
+    fails the job, ``'drop'`` skips the document.
     ``multi_line=True`` reads one document per file (a saved response body);
     ``False`` reads JSON Lines, one document per line (bulk archives).
     """
+    schema = T.StructType([*schemas.GEOCODE_DOCUMENT.fields, T.StructField("_corrupt", T.StringType(), True)])
     docs = (
-        spark.read.schema(schemas.GEOCODE_DOCUMENT)
+        spark.read.schema(schema)
         .option("multiLine", "true" if multi_line else "false")
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt")
         .json(paths if isinstance(paths, str) else list(paths))
         .withColumn("_doc", F.input_file_name())
     )
     result = F.coalesce(F.col("result"), F.array().cast(T.ArrayType(schemas.GEOCODE_ELEMENT)))
-    valid = F.forall(
-        result,
-        lambda e: e.isNotNull()
-        & e["postcode"].isNotNull()
-        & e["longitude"].isNotNull()
-        & e["latitude"].isNotNull()
-        & e["distance"].isNotNull(),
+    needed = ("postcode", "longitude", "latitude", *(["distance"] if require_distance else []))
+    whole = F.forall(
+        result, lambda e: functools.reduce(lambda a, b: a & b, [e.isNotNull(), *(e[c].isNotNull() for c in needed)])
     )
+    answered = F.col("result").isNotNull() | F.coalesce(F.col("status") == 404, F.lit(False))
+    valid = F.col("_corrupt").isNull() & answered & whole
     checked = docs.select("_doc", result.alias("result"), valid.alias("_valid"))
     if on_invalid == "raise":
         checked = checked.select(

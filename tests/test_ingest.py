@@ -114,7 +114,7 @@ def test_geocodes(spark, tmp_dir):
 
 
 def test_geocodes_bad_element_rejects_document(spark, tmp_dir):
-    write(tmp_dir, "a.json", b'{"result":[{"postcode":"A","longitude":1,"latitude":2,"distance":0},{"postcode":"B","longitude":1,"latitude":2}]}')
+    write(tmp_dir, "a.json", b'{"result":[{"postcode":"A","longitude":1,"latitude":2,"distance":0},{"postcode":"B","longitude":1}]}')
     write(tmp_dir, "b.json", b'{"result":[{"postcode":"C","longitude":1,"latitude":2,"distance":3}]}')
     assert [r.postcode for r in ING.read_geocodes(spark, tmp_dir, on_invalid="drop").collect()] == ["C"]
     with pytest.raises(Exception):
@@ -151,3 +151,15 @@ def test_quotes_of_any_length_and_place(spark, tmp_dir):
     for bad in ['5,"open,x', "6,only two", '7,a,b,"c,d"']:
         with pytest.raises(Exception):
             csv_from_lines(spark.createDataFrame([(bad,)], "value string"), ["a", "b", "c"]).collect()
+
+
+@pytest.mark.parametrize(
+    "body", [b'{"result":[{"postcode":"A","longitude":1,"latit', b'{"status":500,"error":"no"}', b'{"result":[{"postcode":"A","longitude":"x","latitude":2}]}']
+)
+def test_geocodes_corrupt_or_failed_documents(spark, tmp_dir, body):
+    write(tmp_dir, "a.json", body)
+    write(tmp_dir, "b.json", b'{"result":[{"postcode":"C","longitude":1,"latitude":2}]}')
+    assert [(r.postcode, r.distance) for r in ING.read_geocodes(spark, tmp_dir, on_invalid="drop").collect()] == [("C", None)]
+    assert ING.read_geocodes(spark, tmp_dir, on_invalid="drop", require_distance=True).count() == 0
+    with pytest.raises(Exception):
+        ING.read_geocodes(spark, tmp_dir).collect()
