@@ -57,27 +57,29 @@ def max_dates(premises: DataFrame, jobs: DataFrame, as_of: dt.date | str | Colum
 
 
 def bins_by_date(jobs: DataFrame, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
-    """AGG5: per (premises, date) the bins of that day in (bin, id) order with
-    duplicates, and their dot classes (unknown bins keep an empty slot)."""
+    """AGG5: the bins of each (premises, date), one row a bin with the number
+    of its jobs and its dot class (an unknown bin has an empty one).  Counts
+    combine map-side, so a day with any number of jobs stays a few rows."""
     j = jobs
     if date_from is not None:
         j = j.where(F.col("date") >= date_from)
     if date_to is not None:
         j = j.where(F.col("date") <= date_to)
-    counts = j.groupBy("premises_id", "date", "bin").agg(F.count(F.lit(1)).alias("_n"))
-    per_day = counts.groupBy("premises_id", "date").agg(F.array_sort(F.collect_list(F.struct("bin", "_n"))).alias("_bn"))
-    bins = F.flatten(F.transform(F.col("_bn"), lambda x: F.array_repeat(x["bin"], x["_n"].cast("int"))))
-    return per_day.select("premises_id", "date", bins.alias("bins")).withColumn(
-        "classes", F.transform(F.col("bins"), lambda b: bin_dot_class(b))
+    return (
+        j.groupBy("premises_id", "date", "bin")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("premises_id", "date", "bin", "n", bin_dot_class("bin").alias("dot_class"))
     )
 
 
 def calendar_grid(premises: DataFrame, jobs: DataFrame, as_of: dt.date | str | Column) -> DataFrame:
     """CAL1: per premises, every day from the Monday of (today − 7) to
     min(max(latest job, today + 7), Sunday of the week of today + 28), with
-    that day's bins (possibly none) and an ``is_today`` flag.
+    that day's bins and an ``is_today`` flag.
 
-    Output: (premises_id, day, is_today, bins, classes).
+    Output: (premises_id, day, is_today, bin, n, dot_class), one row for each
+    bin of a day, in bin order for display; a day without jobs is one row with
+    a null bin and n = 0.
     """
     today = as_date(as_of)
     start = calendar_start(as_of)
@@ -87,11 +89,11 @@ def calendar_grid(premises: DataFrame, jobs: DataFrame, as_of: dt.date | str | C
     )
     days = ends.select("premises_id", F.explode(F.sequence(start, F.col("_end"))).alias("day"))
     bins = bins_by_date(jobs, start, last)
-    empty = F.array().cast("array<string>")
     return days.join(bins, (days["premises_id"] == bins["premises_id"]) & (F.col("day") == F.col("date")), "left").select(
         days["premises_id"],
         F.col("day"),
         (F.col("day") == today).alias("is_today"),
-        F.coalesce(F.col("bins"), empty).alias("bins"),
-        F.coalesce(F.col("classes"), empty).alias("classes"),
+        "bin",
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        "dot_class",
     )

@@ -492,16 +492,14 @@ DOT_CLASS_SQL = "CASE {b} WHEN 'BLACK' THEN 'bg-gray-900/90' WHEN 'BROWN' THEN '
     "agg5_bins_by_date",
     fx.oracle(
         f"""
-SELECT premises_id, date, string_agg(bin, ',' ORDER BY bin) AS bins,
-  string_agg({DOT_CLASS_SQL.format(b='bin')}, ',' ORDER BY bin) AS classes
-FROM jobs GROUP BY premises_id, date
+SELECT premises_id, date, bin, count(*) AS n, {DOT_CLASS_SQL.format(b='bin')} AS dot_class
+FROM jobs GROUP BY premises_id, date, bin
 """
     ),
 )
 def q_bins_by_date(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    b = CAL.bins_by_date(t.jobs)
-    return b.select("premises_id", "date", F.array_join("bins", ",").alias("bins"), F.array_join("classes", ",").alias("classes"))
+    return CAL.bins_by_date(t.jobs)
 
 
 @register(
@@ -509,8 +507,7 @@ def q_bins_by_date(spark, sf_dir):
     fx.oracle(
         f"""
 SELECT d.premises_id, d.day, d.day = {fx.AS_OF_SQL} AS is_today,
-  coalesce(string_agg(j.bin, ',' ORDER BY j.bin), '') AS bins,
-  coalesce(string_agg({DOT_CLASS_SQL.format(b='j.bin')}, ',' ORDER BY j.bin), '') AS classes
+  j.bin, count(j.id) AS n, CASE WHEN j.bin IS NOT NULL THEN {DOT_CLASS_SQL.format(b='j.bin')} END AS dot_class
 FROM (
   SELECT e.premises_id, CAST(unnest(generate_series(CAST(date_trunc('week', {fx.AS_OF_SQL} - INTERVAL 7 DAY) AS DATE), e.last_day, INTERVAL 1 DAY)) AS DATE) AS day
   FROM (SELECT p.id AS premises_id,
@@ -518,14 +515,13 @@ FROM (
                 CAST(date_trunc('week', {fx.AS_OF_SQL} + INTERVAL 28 DAY) + INTERVAL 6 DAY AS DATE)) AS last_day
         FROM premises p LEFT JOIN (SELECT premises_id, max(date) AS mx FROM jobs GROUP BY premises_id) m ON p.id = m.premises_id) e
 ) d LEFT JOIN jobs j ON j.premises_id = d.premises_id AND j.date = d.day
-GROUP BY d.premises_id, d.day
+GROUP BY d.premises_id, d.day, j.bin
 """
     ),
 )
 def q_calendar_grid(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    g = CAL.calendar_grid(t.premises, t.jobs, AS_OF)
-    return g.select("premises_id", "day", "is_today", F.array_join("bins", ",").alias("bins"), F.array_join("classes", ",").alias("classes"))
+    return CAL.calendar_grid(t.premises, t.jobs, AS_OF)
 
 
 @register(

@@ -28,11 +28,16 @@ def test_grid_is_capped_and_keeps_duplicate_and_unknown_bins(spark):
          (4, 1001, "BLACK", d(2024, 12, 25))],  # far future: the grid stops at the cap
         schemas.JOBS,
     )
-    rows = {r.day: r for r in CAL.calendar_grid(p, j, TODAY).collect()}
-    assert max(rows) == dt.date(2024, 8, 25)  # Sunday of the week of today + 28
-    assert rows[dt.date(2024, 7, 26)].bins == ["BROWN", "BROWN", "FOOD"]
-    assert rows[dt.date(2024, 7, 26)].classes == ["bg-amber-900/90", "bg-amber-900/90", ""]
-    assert rows[TODAY].is_today and rows[TODAY].bins == []
+    rows = CAL.calendar_grid(p, j, TODAY).orderBy("day", "bin").collect()
+    assert rows[-1].day == dt.date(2024, 8, 25)  # Sunday of the week of today + 28
+    busy = [(r.bin, r.n, r.dot_class) for r in rows if r.day == dt.date(2024, 7, 26)]
+    assert busy == [("BROWN", 2, "bg-amber-900/90"), ("FOOD", 1, "")]
+    assert [(r.is_today, r.bin, r.n) for r in rows if r.day == TODAY] == [(True, None, 0)]
+
+
+def test_hot_day_stays_a_few_rows(spark):
+    j = spark.range(200_000).selectExpr("id", "cast(1 as long) premises_id", "concat('B', id % 3) bin", "date'2024-07-26' date")
+    assert sorted((r.bin, r.n) for r in CAL.bins_by_date(j).collect()) == [("B0", 66667), ("B1", 66667), ("B2", 66666)]
 
 
 def test_upcoming_by_bin_order(spark):
