@@ -255,7 +255,10 @@ SITEMAP_INDEX_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n  <sitemapindex xm
 SITEMAP_INDEX_TAIL = "\n</sitemapindex>\n  "
 
 
-def sitemap_index_document(entries: DataFrame) -> DataFrame:
-    """The sitemap index XML as one row (its size is bounded by the page count)."""
-    body = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "xml"))), lambda x: x["xml"]))
-    return entries.agg(F.concat(F.lit(SITEMAP_INDEX_HEAD), body, F.lit(SITEMAP_INDEX_TAIL)).alias("xml"))
+def sitemap_index_lines(entries: DataFrame) -> DataFrame:
+    """The sitemap index as ordered rows (part, pos, text): its head, one row
+    an entry, its tail.  The document is the head, the entries joined by line
+    feeds, and the tail."""
+    spark = entries.sparkSession
+    ends = spark.createDataFrame([(0, 0, SITEMAP_INDEX_HEAD), (2, 0, SITEMAP_INDEX_TAIL)], "part int, pos long, text string")
+    return ends.unionByName(entries.select(F.lit(1).alias("part"), "pos", F.col("xml").alias("text")))

@@ -1395,8 +1395,10 @@ def q_export_documents(spark, sf_dir):
     "snk11_sitemap_index_xml",
     fx.oracle(
         f"""
-SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '  <sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || '  '
-  || string_agg(xml, chr(10) ORDER BY pos) || chr(10) || '</sitemapindex>' || chr(10) || '  ' AS xml
+SELECT 0 AS part, CAST(0 AS BIGINT) AS pos,
+  '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '  <sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || '  ' AS text
+UNION ALL SELECT 2, 0, chr(10) || '</sitemapindex>' || chr(10) || '  '
+UNION ALL SELECT 1, pos, xml
 FROM (
   SELECT pos, chr(10) || '  <sitemap>' || chr(10) || '    <loc>' || loc || '</loc>' || chr(10) || '    ' ||
     CASE WHEN lastmod IS NOT NULL THEN '<lastmod>' || lastmod || '</lastmod>' ELSE '' END ||
@@ -1410,9 +1412,9 @@ FROM (
     ),
 )
 def q_sitemap_index_xml(spark, sf_dir):
-    """The sitemap index as one XML document (its size is bounded by the page count)."""
+    """The sitemap index as ordered rows of its XML text."""
     t = fx.load(spark, sf_dir)
-    return feeds.sitemap_index_document(feeds.sitemap_index_entries(t.premises, BUILD_TIME, BASE))
+    return feeds.sitemap_index_lines(feeds.sitemap_index_entries(t.premises, BUILD_TIME, BASE))
 
 
 @register("win1_recents_fold_batch", RECENTS_FOLD_SQL)

@@ -93,7 +93,9 @@ def test_ical_document(spark):
 def test_sitemap_index_document(spark):
     p = samples.premises(spark)
     entries = feeds.sitemap_index_entries(p, dt.datetime(2024, 1, 1), "https://example.org", page_size=3)
-    xml = feeds.sitemap_index_document(entries).first()[0]
+    rows = feeds.sitemap_index_lines(entries).orderBy("part", "pos").collect()
+    xml = rows[0].text + "\n".join(r.text for r in rows[1:-1]) + rows[-1].text
+    assert [r.part for r in rows] == [0, 1, 1, 1, 1, 2] and xml.startswith("<?xml") and xml.endswith("</sitemapindex>\n  ")
     assert xml.count("<sitemap>") == 4  # 2 static + ceil(4/3)
     assert "<loc>https://example.org/premises/sitemap/1.xml</loc>" in xml
     assert xml.count("<lastmod>2024-01-01T00:00:00.000Z</lastmod>") == 2
