@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import worker_state
 from kerbside.plans.stage import materialize
 
 SHINGLE = 5
@@ -38,8 +37,8 @@ STEP = 16
 TOLERANCE = 1e-7
 BLOCK = 128
 NO_ID = 2**63 - 1  # stands for a null id in joins and in the order of ids
-FOUND = "set_key binary, links long, other binary, label binary"
-WORDS_KEPT = 400_000  # words whose hash a worker remembers
+FOUND = "rep long, links long, other long, label long"
+WORDS_KEPT = 150_000  # words whose hash a task remembers
 
 WORD = re.compile(r"\w+")
 _MIX = np.array(
@@ -175,7 +174,7 @@ def sign(rows: DataFrame) -> DataFrame:
         import xxhash
 
         a = multipliers()
-        known = worker_state("jaccard-words", dict)
+        known: dict[str, int] = {}
         for batch in batches:
             keys, sizes, sigs = [], [], []
             for t in batch.column(2):
@@ -250,31 +249,32 @@ def join(
         signed.where("n > 0")
         .groupBy("set_key")
         .agg(F.count("*").alias("copies"), F.min(who).alias("who"), F.first("sig").alias("sig"))
-        .select("set_key", "copies", "who.doc", "who.text_hash", "sig"),
+        # numbers that are stored with the rows: the graph's vertices
+        .select(F.monotonically_increasing_id().alias("rep"), "set_key", "copies", "who.doc", "who.text_hash", "sig"),
         "llm-copies",
     )
 
     # candidate components over shared bands
     bands = copies.select(
-        "set_key",
+        "rep",
         F.explode(
             F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * ROWS * 4 + 1, ROWS * 4)) for b in range(BANDS)])
         ).alias("band"),
     )
-    first = bands.groupBy("band").agg(F.min("set_key").alias("first"), F.count("*").alias("size")).where("size > 1")
-    edges = bands.join(first.drop("size"), "band").where("set_key <> first").select(F.col("set_key").alias("u"), F.col("first").alias("v"))
+    first = bands.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
+    edges = bands.join(first.drop("size"), "band").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v"))
     component = components(edges)
     sizes = component.groupBy("label").agg(F.count("*").alias("size"))
     member = materialize(
         component.join(sizes, "label")
-        .select(F.col("v").alias("set_key"), F.col("label").alias("comp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        .join(copies.drop("sig"), "set_key"),
+        .select(F.col("v").alias("rep"), F.col("label").alias("comp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        .join(copies.select("rep", "copies", "doc", "text_hash"), "rep"),
         "llm-members",
     )
     # block pairs: a document goes to every pair that its block is in
     placed = (
-        rows.join(member, ["doc", "text_hash"])
-        .withColumn("mine", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+        rows.join(member.hint("merge"), ["doc", "text_hash"])  # members grow with the corpus: never broadcast
+        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "comp",
@@ -282,8 +282,7 @@ def join(
             F.least("mine", "other").alias("a"),
             F.greatest("mine", "other").alias("b"),
             "mine",
-            "set_key",
-            "doc",
+            "rep",
             "copies",
             "text",
         )
@@ -292,17 +291,17 @@ def join(
         placed.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b").mapInArrow(_unit_runner(threshold), FOUND),
         "llm-links",
     )
-    links = found.where("links is not null").groupBy("set_key").agg(F.sum("links").alias("links"))
+    links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     # components of one block come with their label, larger ones with edges
-    settled = found.where("label is not null").select("set_key", "label")
-    large = found.where("other is not null").select(F.col("set_key").alias("u"), F.col("other").alias("v"))
+    settled = found.where("label is not null").select("rep", "label")
+    large = found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))
     if large.limit(1).count():
-        settled = settled.unionByName(components(large).select(F.col("v").alias("set_key"), "label"))
+        settled = settled.unionByName(components(large).select(F.col("v").alias("rep"), "label"))
     classes = (
         copies.drop("sig")
-        .join(settled, "set_key", "left")
-        .join(links, "set_key", "left")
-        .withColumn("label", F.coalesce("label", "set_key"))
+        .join(settled, "rep", "left")
+        .join(links, "rep", "left")
+        .withColumn("label", F.coalesce("label", "rep"))
     )
     least = classes.groupBy("label").agg(F.min(who).alias("first"))
     by_set = classes.join(least, "label").select(
@@ -336,11 +335,11 @@ def _unit_runner(threshold: float):
     """Streams sorted (comp, a, b) units; one unit is held at a time."""
 
     multipliers_ = multipliers()
+    known: dict[str, int] = {}
 
     def unit(key, rows):
         comp, blocks, a, b = key
-        known = worker_state("jaccard-words", dict)
-        rows = list({r["set_key"]: r for r in rows}.values())  # repeated rows came twice
+        rows = list({r["rep"]: r for r in rows}.values())  # repeated rows came twice
         for r in rows:
             r["set"] = shingles(r.pop("text"), known)
             r["sig"] = signature(r["set"], multipliers_)
@@ -350,7 +349,7 @@ def _unit_runner(threshold: float):
         else:
             left, right = [r for r in rows if r["mine"] == a], [r for r in rows if r["mine"] == b]
             i, j = links_between(left, right, threshold) if left and right else ([], [])
-        root = {r["set_key"]: r["set_key"] for r in rows}
+        root = {r["rep"]: r["rep"] for r in rows}
 
         def find(x):
             while root[x] != x:
@@ -358,16 +357,16 @@ def _unit_runner(threshold: float):
                 x = root[x]
             return x
 
-        links: dict[bytes, int] = {}
+        links: dict[int, int] = {}
         forest = []
         for x, y in zip(i, j, strict=True):
             p, q = left[x], right[y]
-            links[p["set_key"]] = links.get(p["set_key"], 0) + q["copies"]
-            links[q["set_key"]] = links.get(q["set_key"], 0) + p["copies"]
-            s, t = find(p["set_key"]), find(q["set_key"])
+            links[p["rep"]] = links.get(p["rep"], 0) + q["copies"]
+            links[q["rep"]] = links.get(q["rep"], 0) + p["copies"]
+            s, t = find(p["rep"]), find(q["rep"])
             if s != t:
                 root[max(s, t)] = min(s, t)
-                forest.append((p["set_key"], q["set_key"]))
+                forest.append((p["rep"], q["rep"]))
         out = [(k, n, None, None) for k, n in links.items()]
         if blocks > 1:
             out += [(u, None, v, None) for u, v in forest]
@@ -376,7 +375,7 @@ def _unit_runner(threshold: float):
         return out
 
     def run(batches):
-        schema = pa.schema([("set_key", pa.binary()), ("links", pa.int64()), ("other", pa.binary()), ("label", pa.binary())])
+        schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("label", pa.int64())])
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays(
