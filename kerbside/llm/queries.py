@@ -31,8 +31,7 @@ def op5_toxicity(spark, sf_dir):
     docs = doc_text(table(spark, sf_dir, "documents"))
     held_out = split_of(F.col("doc_id"), 5) == 0
     labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & ~held_out).select("doc_id", "toxic")
-    fitted = toxicity.fit(docs.join(labels.distinct(), "doc_id"), docs)
-    return toxicity.score(docs, fitted).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op6_decontaminate(spark, sf_dir):

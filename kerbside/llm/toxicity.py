@@ -37,18 +37,17 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def sample(labelled: DataFrame, per_class: int = TRAIN_DOCS_PER_CLASS) -> DataFrame:
-    """(doc_id, text, toxic, role): at most ``per_class`` documents of a class,
-    those with the smallest hash of their id."""
+def sample(labels: DataFrame, per_class: int = TRAIN_DOCS_PER_CLASS) -> DataFrame:
+    """(doc_id, toxic, role): at most ``per_class`` labelled ids of a class,
+    those with the smallest hash."""
     order = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    picked = (
-        labelled.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
+    return (
+        labels.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
         .distinct()
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_class)
         .select("doc_id", "toxic", F.when(F.col("rank") % CALIBRATION_SHARE == 0, "calibrate").otherwise("fit").alias("role"))
     )
-    return labelled.join(F.broadcast(picked), ["doc_id", "toxic"])  # at most 2 x per_class ids
 
 
 def _expressions(rows: DataFrame) -> DataFrame:
@@ -214,18 +213,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return b / np.append(scale, 1)
 
 
-def fit(labelled: DataFrame, corpus: DataFrame, per_class: int = TRAIN_DOCS_PER_CLASS) -> tuple[dict | None, np.ndarray]:
-    """(model, curve) from rows (doc_id, text, toxic 0/1) and the corpus's
-    texts.  No label of some class: no model, and the curve is the share of
-    toxic labels alone."""
-    classes = labelled.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).toPandas().set_index("toxic")["n"]
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS_PER_CLASS) -> tuple[dict | None, np.ndarray]:
+    """(model, curve) from the corpus (doc_id, text) and the labels (doc_id,
+    toxic 0/1) to learn from.  No label of some class: no model, and the curve
+    says the other class always."""
+    classes = labels.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).toPandas().set_index("toxic")["n"]
     toxic_n, plain_n = int(classes.get(1, 0)), int(classes.get(0, 0))
     if not toxic_n or not plain_n:
         return None, np.array([0.0, 0.0, 30.0 if toxic_n else -30.0])
-    rows = materialize(sample(labelled, per_class), "llm-toxic-sample")
+    # the sample's ids are at most 2 x per_class: the corpus is not shuffled for them
+    rows = materialize(docs.join(F.broadcast(sample(labels, per_class)), "doc_id"), "llm-toxic-sample")
     fitting = rows.where("role = 'fit'")
     sizes = fitting.groupBy("toxic").count().toPandas().set_index("toxic")["count"]
     docs_by_class = int(sizes.get(0, 0)), int(sizes.get(1, 0))
+    if not all(docs_by_class):
+        return None, np.array([0.0, 0.0, -30.0 if docs_by_class[0] else 30.0])
     seen = materialize(_expressions(fitting), "llm-toxic-expressions")
     totals = seen.where("v is null").agg(F.sum("plain_n"), F.sum("toxic_n")).first()
     totals = tuple(float(max(t or 0, 1)) for t in totals)
@@ -245,9 +247,11 @@ def fit(labelled: DataFrame, corpus: DataFrame, per_class: int = TRAIN_DOCS_PER_
         [pairs[c].to_numpy()[ok] for c in ("plain_n", "toxic_n")],
     )
     counts = [words[c].to_numpy(dtype=np.int64) for c in ("plain_n", "toxic_n")]
-    model = kneser_ney(vocabulary, counts, bigrams, totals, document_counts(corpus, vocabulary))
+    model = kneser_ney(vocabulary, counts, bigrams, totals, document_counts(docs, vocabulary))
     calibration = rows.where("role = 'calibrate'").select("text", F.col("toxic").cast("int").alias("toxic"))
     known = _evidence_rows(calibration, model, "toxic").toPandas()
+    if known.empty:
+        return model, np.array([0.0, 1.0, -1.0])
     y = known["toxic"].to_numpy(dtype=np.float64)
     share = max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)
     rate = toxic_n / (toxic_n + plain_n)
