@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import doc_text, spans_of, unpack_ints
-from kerbside.llm.words import blocks, code_table, coded
+from kerbside.llm.common import doc_text, spans_of, unpack_ints, worker_state
+from kerbside.llm.words import blocks, coded, coded_blocks
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,36 +49,28 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
 
     def assemble(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc_ids, per_doc, stream, bucket_of, codes = (batch.column(i)[row].as_py() for i in range(5))
-                lens, units = unpack_ints(per_doc).astype(np.int64), unpack_ints(stream)
-                starts, sizes, raw = code_table(unpack_ints(bucket_of), codes)
-                flat = np.frombuffer(raw, "<u4")
-                starts, sizes = starts // 4, sizes // 4
-                ends = np.cumsum(lens)
-                for first in range(0, len(doc_ids), 256):  # a slice of the block's documents at a time
-                    last = min(first + 256, len(doc_ids))
-                    lo = int(ends[first] - lens[first])
-                    part = units[lo : int(ends[last - 1])]
-                    ids = flat[spans_of(starts[part], sizes[part])]
-                    counts = np.concatenate([[0], np.cumsum(sizes[part])])
-                    cuts = counts[np.concatenate([[0], ends[first:last] - lo])]
-                    out = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc_ids[first:last], pa.int64()),
-                            pa.array(np.diff(cuts), pa.int64()),
-                            pa.array(out, pa.binary()),
-                        ],
-                        schema=schema,
-                    )
-
-    staged = blocks(doc_text(docs), pattern, frequencies=False)
-    joined = coded(staged, make_encoder)
-    return joined.select("doc_ids", "doc_units", "units", "bucket_of", "codes").mapInArrow(
-        assemble, "doc_id long, n_tokens long, ids binary"
-    )
+        for head, starts, sizes, flat in coded_blocks(batches):
+            doc_ids, lens = head["doc_ids"], unpack_ints(head["doc_units"]).astype(np.int64)
+            units, ends = unpack_ints(head["units"]), np.cumsum(lens)
+            for first in range(0, len(doc_ids), 256):  # a slice of the block's documents at a time
+                last = min(first + 256, len(doc_ids))
+                lo = int(ends[first] - lens[first])
+                part = units[lo : int(ends[last - 1])]
+                ids = flat[spans_of(starts[part], sizes[part])]
+                counts = np.concatenate([[0], np.cumsum(sizes[part])])
+                cuts = counts[np.concatenate([[0], ends[first:last] - lo])]
+                out = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc_ids[first:last], pa.int64()),
+                        pa.array(np.diff(cuts), pa.int64()),
+                        pa.array(out, pa.binary()),
+                    ],
+                    schema=schema,
+                )
+
+    rows = blocks(doc_text(docs), pattern, frequencies=False)
+    return coded(rows, lambda: worker_state(f"tiktoken:{ranks_path}", make_encoder)).mapInArrow(assemble, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -113,7 +103,3 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -40,30 +40,59 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pack_bytes(items: list[bytes], level: int = 3) -> bytes:
-    """Byte strings as one zstandard frame: lengths, then the bytes."""
-    lens = np.fromiter(map(len, items), dtype="<u4", count=len(items))
+def pack_ints(values: np.ndarray, level: int = 3) -> bytes:
+    """Unsigned 32-bit integers as byte planes in one zstandard frame.  The low
+    bytes of small values (below 256) stand apart from the others': they are
+    distributed differently."""
+    v = values.astype("<u4")
+    planes = v.view(np.uint8).reshape(-1, 4)
+    small = v < 256
+    parts = [planes[:, 3], planes[:, 2], planes[:, 1], planes[small, 0], planes[~small, 0]]
     return zstandard.ZstdCompressor(level=level).compress(
-        np.uint32(len(items)).tobytes() + lens.tobytes() + b"".join(items)
+        np.uint32(len(v)).tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
     )
 
 
+def _ints(raw: bytes) -> tuple[np.ndarray, int]:
+    """Values of an unpacked ``pack_ints`` frame, and where they end."""
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    planes = np.zeros((n, 4), dtype=np.uint8)
+    high = np.frombuffer(raw, np.uint8, 3 * n, 4).reshape(3, n)
+    planes[:, 3], planes[:, 2], planes[:, 1] = high
+    small = ~high.any(axis=0)
+    low = np.frombuffer(raw, np.uint8, n, 4 + 3 * n)
+    k = int(small.sum())
+    planes[small, 0], planes[~small, 0] = low[:k], low[k:]
+    return planes.reshape(-1).view("<u4"), 4 + 4 * n
+
+
+def unpack_ints(blob: bytes) -> np.ndarray:
+    return _ints(zstandard.ZstdDecompressor().decompress(blob))[0]
+
+
+def pack_bytes(items: list[bytes], level: int = 3) -> bytes:
+    """Byte strings as zstandard frames: lengths, then the bytes."""
+    lens = pack_ints(np.fromiter(map(len, items), dtype="<u4", count=len(items)), level)
+    body = zstandard.ZstdCompressor(level=level).compress(b"".join(items))
+    return np.uint32(len(lens)).tobytes() + lens + body
+
+
 def unpack_bytes(blob: bytes) -> tuple[np.ndarray, bytes]:
     """(lengths, concatenated bytes) of ``pack_bytes``."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    return np.frombuffer(raw, "<u4", n, 4), raw[4 + 4 * n :]
+    at = 4 + int(np.frombuffer(blob, "<u4", 1)[0])
+    return unpack_ints(blob[4:at]), zstandard.ZstdDecompressor().decompress(blob[at:])
 
 
-def pack_ints(values: np.ndarray, level: int = 3) -> bytes:
-    """Unsigned 32-bit integers as byte planes in one zstandard frame."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
+def pack_codes(items: list[bytes], level: int = 3) -> bytes:
+    """Strings of 32-bit integers: how many each holds, then all as planes."""
+    lens = pack_ints(np.fromiter(map(len, items), dtype="<u4", count=len(items)) // 4, level)
+    return np.uint32(len(lens)).tobytes() + lens + pack_ints(np.frombuffer(b"".join(items), "<u4"), level)
 
 
-def unpack_ints(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4")
+def unpack_codes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(how many, all integers) of ``pack_codes``."""
+    at = 4 + int(np.frombuffer(blob, "<u4", 1)[0])
+    return unpack_ints(blob[4:at]), unpack_ints(blob[at:])
 
 
 def spans_of(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

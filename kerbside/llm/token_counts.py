@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kerbside.llm.common import doc_text, unpack_ints
-from kerbside.llm.words import blocks, code_table, coded
+from kerbside.llm.common import doc_text, unpack_ints, worker_state
+from kerbside.llm.words import blocks, coded, coded_blocks
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, limit: int = 1024) -> DataFrame:
@@ -42,32 +42,24 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, limit: int
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())]
         )
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc_ids, sizes, per_doc, units, freqs, bucket_of, codes = (
-                    batch.column(i)[row].as_py() for i in range(7)
-                )
-                lens = unpack_ints(per_doc).astype(np.int64)
-                starts, _, raw = code_table(unpack_ints(bucket_of), codes)
-                counts = np.frombuffer(raw, "<u4")[starts // 4].astype(np.int64)
-                sums = np.concatenate([[0], np.cumsum(counts[unpack_ints(units)] * unpack_ints(freqs))])
-                ends = np.cumsum(lens)
-                tokens = sums[ends] - sums[ends - lens]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc_ids, pa.int64()),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(tokens, pa.int64()),
-                        pa.array(tokens > limit, pa.bool_()),
-                    ],
-                    schema=schema,
-                )
+        for head, starts, _, flat in coded_blocks(batches):
+            lens = unpack_ints(head["doc_units"]).astype(np.int64)
+            counts = flat[starts].astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum(counts[unpack_ints(head["units"])] * unpack_ints(head["freqs"]))])
+            ends = np.cumsum(lens)
+            tokens = sums[ends] - sums[ends - lens]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(head["doc_ids"], pa.int64()),
+                    pa.array(head["doc_bytes"], pa.int64()),
+                    pa.array(tokens, pa.int64()),
+                    pa.array(tokens > limit, pa.bool_()),
+                ],
+                schema=schema,
+            )
 
-    staged = blocks(doc_text(docs), pattern, frequencies=True)
-    joined = coded(staged, make_encoder)
-    return joined.select("doc_ids", "doc_bytes", "doc_units", "units", "freqs", "bucket_of", "codes").mapInArrow(
-        total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    )
+    rows = blocks(doc_text(docs), pattern, frequencies=True)
+    return coded(rows, lambda: worker_state(f"tokenizers:{tokenizer_path}", make_encoder)).mapInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def special_first(tokenizer_path: str, pattern: str) -> str:
