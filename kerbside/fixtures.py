@@ -47,7 +47,7 @@ def premises_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             # some ids that no job has
             F.when(k % 101 == 50, k + 10_000_000).otherwise(k).alias("id"),
             F.when(k % 7 == 0, F.concat(F.lit("FLAT "), _s(k % 9))).alias("address_room"),
-            F.when(k % 11 == 0, F.lit("THE MEWS"))
+            F.when(k % 11 == 0, F.lit("THE ROW"))
             .when(k % 5 == 0, F.concat(_s(k % 30), F.lit("A")))
             .when(k % 13 == 0, F.lit(None).cast("string"))
             .otherwise(_s(k % 30))
@@ -56,7 +56,7 @@ def premises_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("FERNHOLT")).alias("address_locality"),
             F.col("n_name").alias("address_city"),
             F.when(k % 97 == 0, F.lit(None).cast("string"))
-            .otherwise(F.concat(F.lit("LS"), _s(F.col("c_nationkey")), F.lit(" "), _s(_unit(k)), F.lit("aB")))
+            .otherwise(F.concat(F.lit("QX"), _s(F.col("c_nationkey")), F.lit(" "), _s(_unit(k)), F.lit("aB")))
             .alias("address_postcode"),
         )
     )
@@ -96,7 +96,7 @@ def postcodes_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = (F.col("n") * 4001 + F.col("u") * 17 + F.col("b") * 92821) % 1013
     dense = F.col("u") == 0
     return unit.select(
-        F.concat(F.lit("LS"), _s(F.col("n")), F.lit(" "), _s(F.col("b") * 10 + F.col("u")), F.lit("aB")).alias("id"),
+        F.concat(F.lit("QX"), _s(F.col("n")), F.lit(" "), _s(F.col("b") * 10 + F.col("u")), F.lit("aB")).alias("id"),
         F.when(dense, F.lit(53.85) + (x % 41) * F.lit(1e-5)).otherwise(F.lit(53.8) + x * F.lit(1e-4)).alias("latitude"),
         F.when(dense, F.lit(-1.5) + (y % 37) * F.lit(1.3e-5)).otherwise(F.lit(-1.55) + y * F.lit(1.5e-4)).alias("longitude"),
     )
@@ -159,7 +159,7 @@ def recents_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREMISES_SOURCE_SQL = """
 SELECT CASE WHEN c_custkey % 101 = 50 THEN c_custkey + 10000000 ELSE c_custkey END AS id,
   CASE WHEN c_custkey % 7 = 0 THEN concat('FLAT ', CAST(c_custkey % 9 AS STRING)) END AS address_room,
-  CASE WHEN c_custkey % 11 = 0 THEN 'THE MEWS'
+  CASE WHEN c_custkey % 11 = 0 THEN 'THE ROW'
        WHEN c_custkey % 5 = 0 THEN concat(CAST(c_custkey % 30 AS STRING), 'A')
        WHEN c_custkey % 13 = 0 THEN NULL
        ELSE CAST(c_custkey % 30 AS STRING) END AS address_number,
@@ -167,7 +167,7 @@ SELECT CASE WHEN c_custkey % 101 = 50 THEN c_custkey + 10000000 ELSE c_custkey E
   CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'FERNHOLT' END AS address_locality,
   n_name AS address_city,
   CASE WHEN c_custkey % 97 = 0 THEN NULL
-       ELSE concat('LS', CAST(c_nationkey AS STRING), ' ',
+       ELSE concat('QX', CAST(c_nationkey AS STRING), ' ',
                    CAST(CAST(floor(c_custkey / 250) * 10 + c_custkey % 4 AS BIGINT) AS STRING), 'aB') END AS address_postcode
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
@@ -181,7 +181,7 @@ FROM orders
 """
 
 POSTCODES_SQL = """
-SELECT concat('LS', CAST(n AS STRING), ' ', CAST(b * 10 + u AS STRING), 'aB') AS id,
+SELECT concat('QX', CAST(n AS STRING), ' ', CAST(b * 10 + u AS STRING), 'aB') AS id,
   CASE WHEN u = 0 THEN CAST(53.85 AS DOUBLE) + (x % 41) * CAST(1e-5 AS DOUBLE)
        ELSE CAST(53.8 AS DOUBLE) + x * CAST(1e-4 AS DOUBLE) END AS latitude,
   CASE WHEN u = 0 THEN CAST(-1.5 AS DOUBLE) + (y % 37) * CAST(1.3e-5 AS DOUBLE)
