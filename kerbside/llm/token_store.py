@@ -12,7 +12,9 @@ at all, and the index columns are read without the planes.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from kerbside.plans.stage import stage_path
 BLOCK_IDS = 1 << 16
 END_ID = 1
 PART_CHARS = 4_000_000  # text that a task tokenizes at a time
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 
 CHUNK_SCHEMA = (
     "shard int, chunk int, first long, n_ids int, first_doc long, doc_ids array<long>, doc_starts array<int>, "
@@ -63,9 +65,24 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return ids
 
 
+PLAIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: printable
+    Latin-1 characters stand for themselves, the others follow from U+0100."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordEncoder:
     """Encodes white-space-free words, remembering up to ``CACHE_WORDS`` of
-    them; for tokenizers that drop white space before they split."""
+    them; for tokenizers that drop white space before they split.
+
+    A word of Latin letters needs no normalisation but lower case and no
+    splitting, so the tokenizer's model is asked directly; any other word goes
+    through the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -76,33 +93,44 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
-        self.lowers = bool(self.tokenizer.normalizer) and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.letters = byte_letters()
         self.whole: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
+        probes = ["Table", "éLÈVE", "straße", "Über", "niño"]
+        self.direct = [self._plain(w.lower()) for w in probes] == [self._any(w) for w in probes] and self._any(
+            "Table,."
+        ) == self._any("table") + self._any(",.")
+
+    def _plain(self, core: str) -> bytes:
+        letters = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _any(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _fill(self, missing: set[str]) -> None:
         if len(self.whole) + len(missing) > CACHE_WORDS:
             self.whole = {"": b""}
         if len(self.cores) > CACHE_WORDS:
             self.cores = {}
-        # "word," is "word" and ","; plain words are looked up in lower case
-        split = []
+        cores, whole = self.cores, self.whole
         for w in missing:
-            core = w.rstrip(".,") or w
-            tail = w[len(core) :]
-            if core.isascii() and core.isalpha():
-                split.append((w, core.lower() if self.lowers else core, tail))
+            core = w.rstrip(".,")
+            if self.direct and PLAIN(core):  # "word," is "word" and ","
+                tail, core = w[len(core) :], core.lower()
+                found = cores.get(core)
+                if found is None:
+                    found = cores[core] = self._plain(core)
+                if tail:
+                    ending = cores.get(tail)
+                    if ending is None:
+                        ending = cores[tail] = self._any(tail)
+                    found += ending
+                whole[w] = found
             else:
-                split.append((w, w, ""))
-        new = list({x for _, core, tail in split for x in (core, tail) if x and x not in self.cores})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cores[w] = np.array(e.ids, dtype="<u4").tobytes()
-        cores = self.cores
-        for w, core, tail in split:
-            self.whole[w] = cores[core] + cores[tail] if tail else cores[core]
+                whole[w] = self._any(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         seen: set[str] = set()
