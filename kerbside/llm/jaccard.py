@@ -262,7 +262,14 @@ def join(
         ).alias("band"),
     )
     first = bands.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
-    edges = bands.join(first.drop("size"), "band").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+    shared = bands.join(first.drop("size"), "band").select("rep", "first")
+    # a document and the first ones of its bands (at most BANDS) all hang on
+    # the smallest of them: as connected, with far fewer different edges
+    tied = shared.groupBy("rep").agg(F.collect_set("first").alias("firsts"))
+    tied = tied.select(F.array_union("firsts", F.array("rep")).alias("tied"))
+    edges = (
+        tied.select(F.array_min("tied").alias("v"), F.explode("tied").alias("u")).where("u <> v").select("u", "v").distinct()
+    )
     component = components(edges)
     sizes = component.groupBy("label").agg(F.count("*").alias("size"))
     member = materialize(
