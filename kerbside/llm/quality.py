@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = "[ \\t-\\r]+"
 NOT_WHITE = "[^ \\t-\\r]"
 SYMBOLS = "#*$%&|<>"
@@ -18,6 +17,7 @@ SENTENCE_MARK = "[.!?…。！？؟।]"
 NAVIGATION = "|»›•·"
 MIN_SEPARATORS = 3
 MAX_SYMBOL_PERCENT = 10  # symbols for each hundred words of a line
+SEARCHED = 64  # up to so many repeated windows are looked up, more are found by sorting
 BOILERPLATE_CHARS = 300  # a boilerplate phrase condemns only lines shorter than this
 BOILERPLATE = (
     "all rights reserved",
@@ -34,7 +34,7 @@ BOILERPLATE = (
 
 def _count_of(text: Column, chars: str) -> Column:
     """Characters of ``text`` among ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
 def _words(text: Column) -> Column:
@@ -48,27 +48,33 @@ def line_passes(line: Column) -> Column:
     * navigation: fewer than three menu separators;
     * boilerplate: a short line has none of the phrases.
     """
-    low = F.lower(line)
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | low.contains(p)
-    n_words = F.length(line) - F.length(F.translate(line, " \t", "")) + 1
+    n_words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     return (
         line.rlike(SENTENCE_MARK)
         & (_count_of(line, SYMBOLS) * 100 <= n_words * MAX_SYMBOL_PERCENT)
         & (_count_of(line, NAVIGATION) < MIN_SEPARATORS)
-        & ~((F.length(line) < BOILERPLATE_CHARS) & phrase)
+        & ~((F.length(line) < BOILERPLATE_CHARS) & line.rlike("(?i)" + "|".join(BOILERPLATE)))
     )
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text.
+def _twice(hashes: Column, in_order: Column) -> Column:
+    """Values that occur twice or more; ``in_order`` is ``hashes`` sorted."""
+    return F.array_distinct(F.filter(in_order, lambda x, i: x == F.get(in_order, i - 1)))
 
-    Sorting (window, position) brings equal windows together; the flagged
-    positions then cover themselves and the two words after.
-    """
+
+def _covered(places: Column) -> Column:
+    """Words that 3-word windows at these places cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
+
+
+def _places_by_search(hashes: Column, twice: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(twice, F.get(hashes, i)))
+
+
+def _places_by_sort(hashes: Column) -> Column:
+    """Sorting (window, place) brings equal windows together; each is compared
+    with its neighbours through two shifted copies, in one pass."""
     placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # equal neighbours through two shifted copies, in one pass over the array
     flagged = F.filter(
         F.zip_with(
             F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
@@ -80,7 +86,7 @@ def _repeat_words(hashes: Column) -> Column:
         ),
         lambda x: x["twice"],
     )
-    return F.size(F.array_distinct(F.flatten(F.transform(flagged, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    return F.transform(flagged, lambda x: x["i"])
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -113,6 +119,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         "text",
         "lines",
         F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.when(
             F.size("words") >= 3,
             F.transform(
@@ -124,20 +131,27 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         .alias("hashes"),
         F.filter("lines", line_passes).alias("good"),
     )
-    counted = hashed.select(
+    sorted_ = hashed.select(
         *row,
         "doc_id",
         "n_words",
-        F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"),
-        _count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        "word_chars",
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _repeat_words(F.col("hashes")))
-        .otherwise(F.lit(0))
-        .cast("long")
-        .alias("n_repeat_words"),
+        "hashes",
+        # only texts with a repeated window need them sorted
+        F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array("hashes")).alias("in_order"),
         F.array_join("lines", "\n").alias("all_text"),
         F.array_join("good", "\n").alias("clean_text"),
     )
+    repeated = sorted_.withColumn("twice", _twice(F.col("hashes"), F.col("in_order"))).drop("in_order")
+    counted = repeated.withColumn(
+        "n_repeat_words",
+        F.when(F.col("twice").isNull(), F.lit(0))
+        .when(F.size("twice") <= SEARCHED, _covered(_places_by_search(F.col("hashes"), F.col("twice"))))
+        .otherwise(_covered(_places_by_sort(F.col("hashes"))))
+        .cast("long"),
+    )
     judged = counted.withColumn(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
@@ -184,7 +198,7 @@ WITH d AS (
     SELECT *, list_filter(ls, lambda x:
         regexp_matches(x, '[.!?…。！？؟।]')
         AND (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 100
-            <= (length(x) - length(regexp_replace(x, '[ \t]', '', 'g')) + 1) * 10
+            <= (length(x) - length(replace(x, ' ', '')) + 1) * 10
         AND length(x) - length(regexp_replace(x, '[|»›•·]', '', 'g')) < 3
         AND NOT (length(x) < 300 AND (
             contains(lower(x), 'all rights reserved') OR contains(lower(x), 'privacy policy')
