@@ -1,11 +1,24 @@
 """Substring deduplication over sliding sentence spans.
 
-Texts are cut into sentences; a *run* is a stretch of two or more consecutive
-sentences with at least ``MIN_WORDS`` words: for every sentence the shortest
-run that begins with it, and the shortest that ends with it, so that every
-repeated passage is covered up to its last sentence.  Runs are compared by
-128-bit hashes over all documents.  The first occurrence, by (doc_id,
-position), stays; sentences covered by any other occurrence are removed.
+Texts are cut into sentences, and sentences of more than ``WINDOW`` words
+further, where the words themselves say so: of every ``WINDOW`` neighbouring
+words the one with the smallest hash of itself and the word before it begins a
+piece (winnowing; a sentence's first word counts as smaller than all others).
+Whether a word begins a piece depends only on the words around it, never on
+how far away its sentence began.
+
+A *run* is a stretch of two or more consecutive pieces with at least
+``MIN_WORDS`` words: for every piece the shortest run that begins with it, and
+the shortest that ends with it, so that every repeated passage is covered up
+to its last piece.  A run's hash is over its words, not its pieces.  So any
+``3 * WINDOW + MIN_WORDS - 1`` = 49 words that two places share have a common
+run, wherever they are set: one of their first ``WINDOW`` + 1 words begins a
+piece at both places, and from ``WINDOW`` words on until ``WINDOW`` words
+before their end all pieces are the same.
+
+Runs are compared by 128-bit hashes over all documents.  The first occurrence,
+by (doc_id, position), stays; pieces covered by any other occurrence are
+removed.
 
 Map tasks pre-aggregate: a block of documents sends each distinct run once,
 with its smallest place, to the run's bucket.  A bucket task sorts its runs
@@ -16,7 +29,6 @@ share costs one row per block, not one per document.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,15 +37,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from kerbside.llm.common import doc_text, pack_bytes, shuffle_width, unpack_bytes
+from kerbside.llm.common import doc_text, pack_bytes, shuffle_width, unpack_bytes, worker_state
 
-MIN_WORDS = 30
-LONG_SENTENCE = 20  # longer sentences count as pieces of this many words
+MIN_WORDS = 20
+WINDOW = 10  # sentences of up to so many words stay whole
 BLOCK_CHARS = 5_000_000
+HASHED_WORDS = 500_000  # word hashes kept by a worker; others are made again
 NO_ID = 2**63 - 1
 
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+\s*|\n\s*)|[^.!?\n]+\Z")
-WORD_AND_SPACE = re.compile(r"\S+\s*")
+MARKS = ".!?"
+SPACE, MARK = 1, 2
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 ROWS = "block long, bucket int, deal int, blob binary, doc_ids array<long>, texts binary"
@@ -52,25 +65,58 @@ def row_schema() -> pa.Schema:
     )
 
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-case words) of the sentences that have words."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        words = m.group().lower().split()
-        if not words:
-            continue
-        if len(words) <= LONG_SENTENCE:
-            out.append((m.start(), m.end(), words))
-            continue
-        places = [p.span() for p in WORD_AND_SPACE.finditer(text, m.start() + _lead(m.group()), m.end())]
-        for i in range(0, len(places), LONG_SENTENCE):
-            part = places[i : i + LONG_SENTENCE]
-            out.append((part[0][0], part[-1][1], text[part[0][0] : part[-1][1]].lower().split()))
-    return out
-
-
-def _lead(s: str) -> int:
-    return len(s) - len(s.lstrip())
+def _kinds() -> np.ndarray:
+    """SPACE or MARK by code point; other characters 0."""
+    kinds = np.zeros(0x110000, dtype=np.uint8)
+    kinds[[c for c in range(0x3001) if chr(c).isspace()]] = SPACE
+    kinds[[ord(c) for c in MARKS]] = MARK
+    return kinds
+
+
+class _Hashes(dict):
+    """64-bit hash of a word in lower case."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= HASHED_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+        return found
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, whether a sentence begins) of the words of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = worker_state("runs:kinds", _kinds)[points]
+    solid = kind != SPACE
+    ended = np.zeros(len(kind), dtype=bool)  # the character before ends a sentence
+    ended[1:] = (kind[:-1] == MARK) & (kind[1:] != MARK)
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1] | ended[1:]
+    start = np.flatnonzero(begins)
+    if not len(start):
+        return start, np.zeros(0, np.uint64), np.zeros(0, bool)
+    end = solid.copy()
+    end[:-1] &= ~solid[1:] | ended[1:]
+    end = np.flatnonzero(end) + 1
+    # a sentence mark or line feed between the word's start and the last one's
+    breaks = np.cumsum(ended | (points == 10))
+    opens = np.ones(len(start), dtype=bool)
+    opens[1:] = breaks[start[1:]] > breaks[start[:-1]]
+    hashes = worker_state("runs:hashes", _Hashes)
+    found = [hashes[text[a:b]] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return start, np.array(found, dtype=np.uint64), opens
+
+
+def _least(v: np.ndarray) -> np.ndarray:
+    """Which values are the smallest of some WINDOW neighbours."""
+    if len(v) < WINDOW:
+        return np.zeros(len(v), dtype=bool)
+    low = np.lib.stride_tricks.sliding_window_view(v, WINDOW).min(axis=1)
+    edge = np.zeros(WINDOW - 1, dtype=v.dtype)
+    held = np.concatenate([edge, low, edge])
+    return v == np.lib.stride_tricks.sliding_window_view(held, WINDOW).max(axis=1)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,22 +129,25 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(texts: list[str]) -> dict[str, np.ndarray]:
-    """Sentences and runs of a block: sentence start, end, document; run
-    first and last sentence (indices into the block) and 128-bit hash."""
-    import xxhash
-
-    starts, ends, sizes, hashes, doc = [], [], [], [], []
-    for d, text in enumerate(texts):
-        for a, b, words in sentences(text):
-            starts.append(a)
-            ends.append(b)
-            sizes.append(len(words))
-            hashes.append(xxhash.xxh3_64_intdigest(" ".join(words)))
-            doc.append(d)
-    n = len(starts)
-    doc = np.array(doc, dtype=np.int64)
-    total = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
+    """Pieces and runs of a block: piece start, end, document; run first and
+    last piece (indices into the block) and 128-bit hash."""
+    found = [words(text) for text in texts]
+    count = np.array([len(f[0]) for f in found], dtype=np.int64)
+    at, h, opens = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
+    h, opens = h.astype(np.uint64), opens.astype(bool)
+    doc_of = np.repeat(np.arange(len(texts)), count)
+    order = h.copy()
+    order[1:] = (h[1:] + h[:-1] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    order = (order ^ (order >> np.uint64(31))) | np.uint64(1)
+    order[opens] = 0
+    cuts = np.flatnonzero(opens | _least(order))
+    n = len(cuts)
+    start, doc = at[cuts], doc_of[cuts]
+    end = np.append(start[1:], 0)
     of_doc = np.searchsorted(doc, np.arange(len(texts) + 1))
+    lasts = of_doc[1:][np.diff(of_doc) > 0] - 1
+    end[lasts] = [len(texts[d]) for d in doc[lasts].tolist()]
+    total = np.append(cuts, len(h))  # words before each piece
     index = np.arange(n)
     # shortest run that begins with i: ends at the first j with enough words
     j = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS) - 1, index + 1)
@@ -106,22 +155,20 @@ def runs(texts: list[str]) -> dict[str, np.ndarray]:
     # shortest run that ends with i
     k = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1, index - 1)
     back = k >= of_doc[doc] if n else np.zeros(0, bool)
-    pairs = np.unique(
-        np.concatenate([np.stack([index[ok], j[ok]], 1), np.stack([k[back], index[back]], 1)]).astype(np.int64), axis=0
-    ) if n else np.zeros((0, 2), np.int64)
-    first, last = pairs[:, 0], pairs[:, 1]
-    h = np.array(hashes, dtype=np.uint64)
+    ways = np.concatenate([index[ok] * (n + 1) + j[ok], k[back] * (n + 1) + index[back]]).astype(np.int64)
+    first, last = np.divmod(np.unique(ways), n + 1)
+    a, b = cuts[first], total[last + 1]
     keys = []
     for base in _BASES:
-        power, inverse = _powers(base, n + 1)
+        power, inverse = _powers(base, len(h) + 1)
         mixed = (h ^ (h >> np.uint64(31))) * np.uint64(base)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * power[:n], dtype=np.uint64)])
-        key = (sums[last + 1] - sums[first]) * inverse[first]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * power[: len(h)], dtype=np.uint64)])
+        key = (sums[b] - sums[a]) * inverse[a]
         keys.append((key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9))
         h = h * np.uint64(0x94D049BB133111EB) + np.uint64(1)
     return {
-        "start": np.array(starts, dtype=np.int64),
-        "end": np.array(ends, dtype=np.int64),
+        "start": start.astype(np.int64),
+        "end": end.astype(np.int64),
         "doc": doc,
         "first": first,
         "last": last,
@@ -160,7 +207,8 @@ def _ids(doc_ids: list) -> np.ndarray:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_sentences, n_removed, removed, text) of every document.
+    """(doc_id, n_sentences, n_removed, removed, text) of every document; the
+    pieces of a long sentence count as sentences.
 
     ``removed`` lists the removed stretches as start:end in code points of the
     given text, comma-joined; ``text`` is what is left.  Null texts count as

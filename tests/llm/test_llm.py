@@ -381,6 +381,49 @@ def test_substring_edges(edge):
     assert long.n_sentences == 20_000 and 0 < len(long.text) < 1000  # repeats inside one text
 
 
+def set_in(rng, passage, n, mark=""):
+    """The passage between n other words on both sides, in mid-sentence."""
+    before, after = ([f"o{x}" for x in rng.integers(0, 10**9, n)] for _ in range(2))
+    return f"{' '.join(before)} {passage} {' '.join(after)}{mark}"
+
+
+def common_runs(texts):
+    keys = [set(zip(r["hi"].tolist(), r["lo"].tolist(), strict=True)) for r in map(substrings.runs, [[t] for t in texts])]
+    return set.intersection(*keys)
+
+
+def test_substring_passages_in_mid_sentence(spark):
+    rng = np.random.default_rng(71)
+    vocabulary = [f"v{x}" for x in range(3000)]
+    made = []
+    for i in range(400):
+        passage = rng.choice(vocabulary, rng.integers(51, 71)).tolist()
+        if i % 2:  # prose; else one stretch without a mark
+            for k in np.cumsum(rng.integers(4, 30, 12)):
+                if k < len(passage) - 1:
+                    passage[k] += "."
+        passage = " ".join(passage)
+        pair = [set_in(rng, passage, n) for n in rng.integers(1, 60, 2)]
+        assert common_runs(pair), pair
+        made.append((passage, pair))
+    made = made[:40]
+    rows = spark.createDataFrame(
+        [(2 * i + k, t) for i, (_, pair) in enumerate(made) for k, t in enumerate(pair)], "doc_id long, text string"
+    )
+    got = {r.doc_id: r.text for r in substrings.dedup(rows).collect()}
+    for i, (passage, pair) in enumerate(made):
+        assert got[2 * i] == pair[0]
+        left = [w for w in got[2 * i + 1].split() if w.startswith("v")]
+        assert len(left) <= 2 * substrings.WINDOW and len(got[2 * i + 1]) < len(pair[1])
+
+
+def test_substring_word_floor(spark):
+    passage = "One two three four five six seven eight nine ten. Eleven twelve red blue green brown black white grey pink."
+    texts = [f"{a}.\n{passage}\n{b}." for a, b in (("Apple tree", "Far away"), ("Stone wall", "Near by"))]
+    got = {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: texts[0], 1: "Stone wall.\nNear by."}
+
+
 # --- op9 -------------------------------------------------------------------
 def test_quality_equals_oracle(spark):
     s, d, *_ = compare(queries.op9_quality_rules(spark, SF001), quality.ORACLE, SF001)
