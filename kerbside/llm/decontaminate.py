@@ -2,11 +2,11 @@
 DataFrame functions only.
 
 1. Items and documents become five-word shingles (64-bit hashes).
-2. A window worth comparing shares a shingle with an item of its size; where
-   they share one, the item's place inside the document is given by the
-   shingle's two positions.  These item-sized windows, each once, are all that
-   can reach a similarity above zero at that alignment.
-3. Every window and item gets a 126-bit SimHash over all its shingles.
+2. Similarity 0.8 takes a least number of shared shingles (8/9 of them, for a
+   window of the item's size).  Sliding item-sized windows over a document,
+   every window with that many shingles of items of the size is fingerprinted,
+   in whatever order the shingles stand; no other window can reach 0.8.
+3. Every such window and item gets a 126-bit SimHash over all its shingles.
 4. Multi-index Hamming search: with B blocks and radius R, two fingerprints
    within R agree in some block up to floor(R / B) bits (pigeonhole), so
    probing the items' blocks with up to that many bits flipped finds all
@@ -105,6 +105,28 @@ def _hint(small: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_LIMIT else small
 
 
+def _least_common(sizes: Column, min_similarity: float) -> Column:
+    """Shared shingles that a window and an item of ``sizes`` shingles together
+    need: common / (sizes - common) >= min_similarity."""
+    return F.greatest(F.lit(1), F.ceil(sizes * min_similarity / (1 + min_similarity) - 1e-9).cast("int"))
+
+
+def _starts() -> Column:
+    """Starts of the windows of ``size`` that hold at least ``least`` of the
+    sorted positions ``hits``.  Such a window has a first hit i that is not
+    before its start, and its hit i + least - 1 is not behind its end; starts up
+    to the hit before i belong to that one."""
+    hits = F.col("hits")
+
+    def with_first(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get(hits, i + F.col("least") - 1) - F.col("size") + 1, F.coalesce(F.get(hits, i - 1) + 1, F.lit(0)))
+        high = F.least(F.get(hits, i), F.col("total") - F.col("size"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    ranges = F.transform(F.sequence(F.lit(0), F.size(hits) - F.col("least")), with_first)
+    return F.when(F.size(hits) >= F.col("least"), F.flatten(ranges)).otherwise(F.array().cast("array<int>"))
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -139,24 +161,20 @@ def leaks(
     key = [F.xxhash64("doc_id", "text").alias("doc_key"), F.col("doc_id")]
     doc_rows = _hashed(base, key, "text")
 
-    # windows of shared shingles, in shingle positions
-    places = item_at.select("h", "place", "size").distinct()
+    # windows with enough shared shingles, in shingle positions
+    known = item_at.select("h", F.col("size").alias("item_size")).distinct()
     # outer, so that no filter on the array's size is pushed below its making
     found = doc_rows.select(
         "doc_key", "doc_id", F.size("hashes").alias("total"), F.posexplode_outer("hashes").alias("at", "h")
     )
-    size = F.least("size", "total")
-    windows = (
-        found.join(_hint(places, 32), "h")
-        .select(
-            "doc_key",
-            "doc_id",
-            F.col("size").alias("item_size"),
-            size.alias("size"),
-            F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("total") - size)).alias("start"),
-        )
-        .distinct()
+    hits = (
+        found.join(_hint(known, 32), "h")
+        .groupBy("doc_key", "doc_id", "total", "item_size")
+        .agg(F.sort_array(F.collect_set("at")).alias("hits"))
+        .withColumn("size", F.least("item_size", "total"))
+        .withColumn("least", _least_common(F.col("size") + F.col("item_size"), min_similarity))
     )
+    windows = hits.select("doc_key", "doc_id", "item_size", "size", F.explode(_starts()).alias("start"))
     windows = materialize(windows, "llm-windows")
 
     # all shingles of those windows

@@ -331,6 +331,29 @@ def test_leaks_edges(spark, edge, none):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(edge, items.limit(0)).count() == 0
 
 
+def test_leaks_in_another_order(spark):
+    rng = np.random.default_rng(61)
+    item = [f"w{i}" for i in range(56)]
+    orders = {
+        1: item[28:] + item[:28],
+        2: item[10:] + item[:10],
+        3: item[-12:] + item[:-12],
+        4: ["x0", *item[1:27], "new", "word", *item[27:55], "x1"],
+        5: item[14:28] + item[:14] + item[42:] + item[28:42],  # too far
+        6: item,
+    }
+    texts = []
+    for d, words in orders.items():
+        around = [f"f{x}" for x in rng.integers(0, 10**6, 120)]
+        texts.append((d, " ".join([*around[:60], *words, *around[60:]])))
+    texts.append((7, " ".join(orders[1])))  # nothing around it
+    items = [(1, " ".join(item)), (2, " ".join(f"u{i % 9}" for i in range(56)))]
+    found = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found.collect()}
+    want = {k: round(v, 6) for k, v in brute_leaks(texts, items).items()}
+    assert got == want and {d for d, _ in got} >= {1, 2, 3, 6, 7} and (5, 1) not in got
+
+
 def test_block_probes_reach_the_radius():
     rng = np.random.default_rng(6)
     flips = set(decontaminate._flips(decontaminate.RADIUS))
