@@ -16,6 +16,10 @@ run, wherever they are set: one of their first ``WINDOW`` + 1 words begins a
 piece at both places, and from ``WINDOW`` words on until ``WINDOW`` words
 before their end all pieces are the same.
 
+In scripts without spaces (Han, kana, Thai, Khmer, ...) every letter counts as a
+word for the cuts and ``1 / WORD_LETTERS`` word for the floor, so 69 shared
+letters are enough.
+
 Runs are compared by 128-bit hashes over all documents.  The first occurrence,
 by (doc_id, position), stays; pieces covered by any other occurrence are
 removed.
@@ -29,6 +33,7 @@ share costs one row per block, not one per document.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from kerbside.llm.common import doc_text, pack_bytes, shuffle_width, unpack_bytes, worker_state
+from kerbside.llm.quality import SENTENCE_MARK
 
 MIN_WORDS = 20
 WINDOW = 10  # sentences of up to so many words stay whole
@@ -45,8 +51,12 @@ BLOCK_CHARS = 5_000_000
 HASHED_WORDS = 500_000  # word hashes kept by a worker; others are made again
 NO_ID = 2**63 - 1
 
-MARKS = ".!?"
-SPACE, MARK = 1, 2
+MARKS = SENTENCE_MARK[1:-1] + "\u0964\u0965\u06d4\u1362\u17d4\u104b\uff61"
+SPACE, MARK, LETTER = 1, 2, 3
+# scripts without spaces between words: Thai to Myanmar, Khmer, kana, Han
+UNSPACED = ((0x0E00, 0x10A0), (0x1780, 0x1800), (0x1950, 0x1AB0), (0x3040, 0x3100), (0xA980, 0xA9E0), (0xAA60, 0xAAE0))
+HAN = ((0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA4D0), (0xF900, 0xFB00), (0xFF66, 0xFF9E), (0x20000, 0x40000))
+WORD_LETTERS = 2  # so many letters of those scripts measure as a word
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 ROWS = "block long, bucket int, deal int, blob binary, doc_ids array<long>, texts binary"
@@ -66,8 +76,12 @@ def row_schema() -> pa.Schema:
 
 
 def _kinds() -> np.ndarray:
-    """SPACE or MARK by code point; other characters 0."""
+    """SPACE, MARK or LETTER by code point; other characters 0."""
     kinds = np.zeros(0x110000, dtype=np.uint8)
+    for a, b in HAN:
+        kinds[a:b] = LETTER
+    for a, b in UNSPACED:  # vowel and tone signs stay with their letter
+        kinds[[c for c in range(a, b) if unicodedata.category(chr(c))[0] == "L"]] = LETTER
     kinds[[c for c in range(0x3001) if chr(c).isspace()]] = SPACE
     kinds[[ord(c) for c in MARKS]] = MARK
     return kinds
@@ -85,20 +99,22 @@ class _Hashes(dict):
         return found
 
 
-def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash, whether a sentence begins) of the words of a text."""
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, whether a sentence begins, length in letters of scripts
+    without spaces) of the words of a text.  Letters of such scripts are words
+    of their own, with the signs behind them; others measure WORD_LETTERS."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     kind = worker_state("runs:kinds", _kinds)[points]
     solid = kind != SPACE
     ended = np.zeros(len(kind), dtype=bool)  # the character before ends a sentence
     ended[1:] = (kind[:-1] == MARK) & (kind[1:] != MARK)
     begins = solid.copy()
-    begins[1:] &= ~solid[:-1] | ended[1:]
+    begins[1:] &= ~solid[:-1] | ended[1:] | (kind[1:] == LETTER)
     start = np.flatnonzero(begins)
     if not len(start):
-        return start, np.zeros(0, np.uint64), np.zeros(0, bool)
+        return start, np.zeros(0, np.uint64), np.zeros(0, bool), start
     end = solid.copy()
-    end[:-1] &= ~solid[1:] | ended[1:]
+    end[:-1] &= ~solid[1:] | begins[1:]
     end = np.flatnonzero(end) + 1
     # a sentence mark or line feed between the word's start and the last one's
     breaks = np.cumsum(ended | (points == 10))
@@ -106,7 +122,7 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     opens[1:] = breaks[start[1:]] > breaks[start[:-1]]
     hashes = worker_state("runs:hashes", _Hashes)
     found = [hashes[text[a:b]] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-    return start, np.array(found, dtype=np.uint64), opens
+    return start, np.array(found, dtype=np.uint64), opens, np.where(kind[start] == LETTER, 1, WORD_LETTERS)
 
 
 def _least(v: np.ndarray) -> np.ndarray:
@@ -133,7 +149,7 @@ def runs(texts: list[str]) -> dict[str, np.ndarray]:
     last piece (indices into the block) and 128-bit hash."""
     found = [words(text) for text in texts]
     count = np.array([len(f[0]) for f in found], dtype=np.int64)
-    at, h, opens = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
+    at, h, opens, length = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(4))
     h, opens = h.astype(np.uint64), opens.astype(bool)
     doc_of = np.repeat(np.arange(len(texts)), count)
     order = h.copy()
@@ -147,17 +163,19 @@ def runs(texts: list[str]) -> dict[str, np.ndarray]:
     of_doc = np.searchsorted(doc, np.arange(len(texts) + 1))
     lasts = of_doc[1:][np.diff(of_doc) > 0] - 1
     end[lasts] = [len(texts[d]) for d in doc[lasts].tolist()]
-    total = np.append(cuts, len(h))  # words before each piece
+    border = np.append(cuts, len(h))  # words before each piece
+    total = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)[border]
+    least = MIN_WORDS * WORD_LETTERS
     index = np.arange(n)
     # shortest run that begins with i: ends at the first j with enough words
-    j = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS) - 1, index + 1)
+    j = np.maximum(np.searchsorted(total, total[:-1] + least) - 1, index + 1)
     ok = j < of_doc[doc + 1] if n else np.zeros(0, bool)
     # shortest run that ends with i
-    k = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1, index - 1)
+    k = np.minimum(np.searchsorted(total, total[1:] - least, side="right") - 1, index - 1)
     back = k >= of_doc[doc] if n else np.zeros(0, bool)
     ways = np.concatenate([index[ok] * (n + 1) + j[ok], k[back] * (n + 1) + index[back]]).astype(np.int64)
     first, last = np.divmod(np.unique(ways), n + 1)
-    a, b = cuts[first], total[last + 1]
+    a, b = cuts[first], border[last + 1]
     keys = []
     for base in _BASES:
         power, inverse = _powers(base, len(h) + 1)

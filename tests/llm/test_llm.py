@@ -440,6 +440,22 @@ def test_substring_passages_in_mid_sentence(spark):
         assert len(left) <= 2 * substrings.WINDOW and len(got[2 * i + 1]) < len(pair[1])
 
 
+def test_substring_other_scripts():
+    rng = np.random.default_rng(72)
+
+    def letters(n, first, last):
+        return "".join(map(chr, rng.integers(first, last, n)))
+
+    for first, last, mark in ((0x4E00, 0x9FA5, "\u3002"), (0x0E01, 0x0E2E, " "), (0x3041, 0x3094, "")):
+        for n, gap in ((1000, 25), (120, 200), (70, 200)):
+            passage = letters(n, first, last)
+            passage = mark.join(passage[i : i + gap] for i in range(0, n, gap))
+            assert common_runs([letters(k, first, last) + passage + letters(k, first, last) for k in (7, 33)])
+    for mark in ("\u0964", "\u061f", "\u06d4", "\u2026"):
+        r = substrings.runs([f"one two{mark} three four{mark}\nfive"])
+        assert len(r["start"]) == 3
+
+
 def test_substring_word_floor(spark):
     passage = "One two three four five six seven eight nine ten. Eleven twelve red blue green brown black white grey pink."
     texts = [f"{a}.\n{passage}\n{b}." for a, b in (("Apple tree", "Far away"), ("Stone wall", "Near by"))]
