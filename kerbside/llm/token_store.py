@@ -78,7 +78,7 @@ def byte_letters() -> list[str]:
 
 class WordEncoder:
     """Encodes white-space-free words, remembering up to ``CACHE_WORDS`` of
-    them; for tokenizers that drop white space before they split.
+    them, or all of the texts at hand; for tokenizers that drop white space before they split.
 
     A word of Latin letters needs no normalisation but lower case and no
     splitting, so the tokenizer's model is asked directly; any other word goes
@@ -111,8 +111,6 @@ class WordEncoder:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _fill(self, missing: set[str]) -> None:
-        if len(self.whole) + len(missing) > CACHE_WORDS:
-            self.whole = {"": b""}
         if len(self.cores) > CACHE_WORDS:
             self.cores = {}
         cores, whole = self.cores, self.whole
@@ -136,10 +134,11 @@ class WordEncoder:
         seen: set[str] = set()
         for t in texts:
             seen.update(t.replace("\n", " ").split(" "))
-        self._fill(seen - self.whole.keys())
-        if not seen <= self.whole.keys():  # the cache was emptied on the way
-            self._fill(seen - self.whole.keys())
-        del seen
+        missing = seen - self.whole.keys()
+        if len(self.whole) + len(missing) > CACHE_WORDS:  # keep what these texts need
+            self.whole = {"": b""} | {w: self.whole[w] for w in seen - missing}
+        self._fill(missing)
+        del seen, missing
         get = self.whole.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 

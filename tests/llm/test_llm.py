@@ -137,6 +137,17 @@ def test_token_store_blocks(spark, none, docs):
     assert token_store.store(none).count() == 0
 
 
+def test_token_store_small_cache(monkeypatch):
+    import public_tokenizers
+
+    encoder = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    parts = [["alpha, beta"], ["alpha, beta gamma\ndelta", "epsilon zeta"], ["zeta eta"]]
+    want = [encoder.encode(p) for p in parts]
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 3)
+    encoder.whole, encoder.cores = {"": b""}, {}
+    assert [encoder.encode(p) for p in parts] == want
+
+
 def test_planes_and_crc():
     rng = np.random.default_rng(3)
     for n in (1, 7, 8, 9, 5000):
