@@ -839,7 +839,7 @@ batch AS (
   SELECT id, latitude + 0.001 AS latitude, longitude FROM postcodes WHERE id LIKE '% 0aB'
   UNION ALL
   SELECT postcode AS id,
-    53.8 + CAST(regexp_extract(postcode, '^LS([0-9]+) ', 1) AS INTEGER) * 0.004 AS latitude,
+    53.8 + CAST(regexp_extract(postcode, '^QX([0-9]+) ', 1) AS INTEGER) * 0.004 AS latitude,
     -1.55 + CAST(regexp_extract(postcode, ' ([0-9]+)aB$', 1) AS INTEGER) * 0.006 AS longitude
   FROM (SELECT DISTINCT address_postcode AS postcode FROM premises
         WHERE address_postcode IS NOT NULL AND address_postcode NOT IN (SELECT id FROM postcodes)) pend)
@@ -849,7 +849,7 @@ batch AS (
 def geocode_batch(t: fx.Tables):
     moved = t.postcodes.where(F.col("id").like("% 0aB")).select("id", (F.col("latitude") + F.lit(0.001)).alias("latitude"), "longitude")
     pend = GEO.pending_geocodes(t.premises, t.postcodes).select("postcode")
-    n = F.regexp_extract("postcode", r"^LS([0-9]+) ", 1).cast("int")
+    n = F.regexp_extract("postcode", r"^QX([0-9]+) ", 1).cast("int")
     k = F.regexp_extract("postcode", r" ([0-9]+)aB$", 1).cast("int")
     fresh = pend.select(
         F.col("postcode").alias("id"), (F.lit(53.8) + n * F.lit(0.004)).alias("latitude"), (F.lit(-1.55) + k * F.lit(0.006)).alias("longitude")
