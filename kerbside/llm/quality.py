@@ -98,6 +98,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     are neither kept nor counted as lost.  Repeated rows are measured each.
     3-word windows are compared by a 64-bit hash.  A text without repeated
     windows is not sorted.  ``carry`` adds the input row as struct ``row``.
+    The measures leave through a generator, so that a filter on any of them
+    stays above and never evaluates them inside one another.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     row = ["row"] if carry else []
@@ -156,7 +158,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     ).withColumn("lost_chars", (F.length("all_text") - F.length("clean_text")).cast("long"))
-    return judged.select(
+    measured = F.struct(
         *row,
         "doc_id",
         "n_words",
@@ -169,21 +171,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         "lost_chars",
         "clean_text",
     )
+    return judged.select(F.explode_outer(F.array(measured)).alias("measured")).select("measured.*")
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The documents that are kept, with their failing lines removed; same
     columns as ``docs``."""
     changed = {text_col: F.col("clean_text"), chars_col: F.length("clean_text").cast("long")}
-    out = F.struct(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
-    # kept documents through a generator: a filter would be pushed below the
-    # measures and compute them twice
-    return (
-        measure(docs, docs.columns[0], text_col, carry=True)
-        .select(F.explode_outer(F.when(F.col("kept"), F.array(out))).alias("out"))
-        .where(F.col("out").isNotNull())
-        .select("out.*")
-    )
+    out = [changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    return measure(docs, docs.columns[0], text_col, carry=True).where("kept").select(*out)
 
 
 ORACLE = """

@@ -9,6 +9,7 @@ import collections
 import hashlib
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -616,3 +617,21 @@ def test_pipeline_stages_keep_columns(spark, edge):
     docs = edge.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF0001).columns == docs.columns, name
+
+
+def test_quality_filters_end(spark):
+    """A filter on any measure stays above the measures (seconds, not minutes)."""
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    measured = quality.measure(docs)
+    rows = measured.collect()
+    tests = {
+        "base_failed": lambda r: r.base_failed,
+        "not kept": lambda r: not r.kept,
+        "n_repeat_words > 10": lambda r: r.n_repeat_words > 10,
+        "lost_chars > 5 and n_dup_lines = 0": lambda r: r.lost_chars > 5 and r.n_dup_lines == 0,
+        "length(clean_text) > 5 and n_symbols = 0": lambda r: len(r.clean_text) > 5 and r.n_symbols == 0,
+    }
+    began = time.time()
+    for rule, holds in tests.items():
+        assert measured.where(rule).count() == sum(map(holds, rows)), rule
+    assert time.time() - began < 60
