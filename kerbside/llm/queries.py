@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, decontaminate, jaccard, langid, pii, quality, substrings, token_counts, token_store, toxicity
+from kerbside.llm import ann, bpe, decontaminate, jaccard, langid, pii, quality, substrings, token_counts, token_store, toxicity
 from kerbside.llm.common import doc_text, split_of, table
 
 
@@ -54,6 +54,10 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_vectors(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_store": op2_token_store,
@@ -65,5 +69,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_nearest_vectors": op11_nearest_vectors,
 }
 ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kerbside.llm import (
+    ann,
     bpe,
     common,
     decontaminate,
@@ -635,3 +636,84 @@ def test_quality_filters_end(spark):
     for rule, holds in tests.items():
         assert measured.where(rule).count() == sum(map(holds, rows)), rule
     assert time.time() - began < 60
+
+
+# --- op11 ------------------------------------------------------------------
+def brute_nearest(rows, k, asks):
+    """{query id: [(vec_id, score)]} over (vec_id, vector) rows that take part."""
+    rows = sorted({(i, tuple(v)) for i, v in rows})
+    out = {}
+    for i, v in rows:
+        if asks(i):
+            found = sorted((-float((np.array(v) * np.array(w)).sum()), j) for j, w in rows if j != i)
+            out[i] = [(j, -s) for s, j in found[:k]]
+    return out
+
+
+def nearest_of(frame, k, asks):
+    got = collections.defaultdict(list)
+    for r in ann.search(frame, asks, k).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+        assert r["rank"] == len(got[r.query_id])
+    return got
+
+
+def test_nearest_recall_on_embeddings(spark):
+    table = pq.read_table(f"{SF001}/embeddings.parquet").to_pandas()
+    x, ids = np.stack(table.embedding.values).astype("f8"), table.vec_id.values
+    got = collections.defaultdict(list)
+    for r in queries.op11_nearest_vectors(spark, SF001).collect():
+        got[r.query_id].append(r)
+    asked = [i for i in range(len(ids)) if ids[i] % 20 == 0]
+    assert set(got) == {ids[i] for i in asked}
+    hits = 0
+    for i in asked:
+        scores = (x * x[i]).sum(axis=1)
+        rows = sorted(got[ids[i]], key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, 21))
+        assert all(r.score == scores[np.nonzero(ids == r.vec_id)[0][0]] and r.vec_id != ids[i] for r in rows)
+        assert sorted(rows, key=lambda r: (-r.score, r.vec_id)) == rows
+        order = [j for j in np.lexsort((ids, -scores)) if j != i][:20]
+        hits += len({ids[j] for j in order} & {r.vec_id for r in rows})
+    assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_nearest_ties_bands_and_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(a) for a in rng.integers(-3, 4, 3)]) for i in range(60)]  # many ties
+    rows += [(100 + i, [1.0, 2.0, 0.0]) for i in range(40)]  # one vector, many ids
+    rows += [(200 + i, [1e6 * (i + 1), 0.0, 1.0]) for i in range(5)] + [(300, [1e-9, 0.0, 0.0])]  # other norms
+    rows += rows[:3]  # repeated rows
+    odd = [(400, None), (401, []), (402, [0.0, 0.0, 0.0]), (403, [1.0, None, 2.0]), (404, [float("nan"), 1.0, 1.0])]
+    odd += [(405, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (406, [1.0, 2.0])]
+    frame = spark.createDataFrame([(i, v, 1, 2, [0.5]) for i, v in rows + odd], "vec_id long, embedding array<double>, gid long, unit int, v array<double>")
+    want = brute_nearest([r for r in rows if any(r[1])], 7, lambda i: i % 3 == 0)
+    assert nearest_of(frame, 7, F.col("vec_id") % 3 == 0) == want
+    assert ann.search(frame.limit(0), F.col("vec_id") % 3 == 0).count() == 0
+    alone = frame.where("vec_id = 300")
+    assert ann.search(alone, F.col("vec_id") % 3 == 0).count() == 0  # no candidate but itself
+    few = nearest_of(frame.where("vec_id between 200 and 204"), 7, F.col("vec_id") % 3 == 0)
+    assert {q: len(f) for q, f in few.items()} == {201: 4, 204: 4}
+
+
+def test_nearest_long_lists_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(ann, "UNIT", 16)
+    monkeypatch.setattr(ann, "TARGET", 1.0)
+    rows = [(i, [float(a) for a in rng.normal(size=8)]) for i in range(400)]
+    rows += [(1000 + i, [1.0 + 1e-7 * i] + [0.0] * 7) for i in range(200)]  # a hot place
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = nearest_of(frame, 10, F.col("vec_id") % 5 == 0), brute_nearest(rows, 10, lambda i: i % 5 == 0)
+    assert set(got) == set(want) and all(len(f) == 10 for f in got.values())
+    assert sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_lists_are_balanced_and_walked():
+    x = ann.unit_rows(np.random.default_rng(1).normal(size=(3000, 16)))
+    assert {len(p) for p in ann.halve(x, 100)} <= {93, 94}
+    lists = ann.Lists(x, 60)
+    d = lists.walk(x[:200], 1.3)
+    true = ann.spread(x[:200], lists.centroids)
+    assert (np.argmin(d, axis=1) == np.argmin(true, axis=1)).mean() > 0.98
+    near = true <= 1.3 * true.min(axis=1, keepdims=True)
+    assert np.isfinite(d)[near].mean() > 0.98
