@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbside.llm import ann, bpe, decontaminate, jaccard, langid, pii, quality, substrings, token_counts, token_store, toxicity
+from kerbside.llm import ann, bpe, decontaminate, filter_audit, jaccard, langid, pii, quality, substrings, token_counts, token_store, toxicity
 from kerbside.llm.common import doc_text, split_of, table
 
 
@@ -58,6 +58,10 @@ def op11_nearest_vectors(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_store": op2_token_store,
@@ -70,5 +74,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_nearest_vectors": op11_nearest_vectors,
+    "op12_filter_audit": op12_filter_audit,
 }
-ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE, "op12_filter_audit": filter_audit.ORACLE}

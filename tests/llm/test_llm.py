@@ -7,6 +7,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import itertools
 import os
 import re
 import time
@@ -24,6 +25,7 @@ from kerbside.llm import (
     bpe,
     common,
     decontaminate,
+    filter_audit,
     jaccard,
     langid,
     pii,
@@ -717,3 +719,75 @@ def test_lists_are_balanced_and_walked():
     assert (np.argmin(d, axis=1) == np.argmin(true, axis=1)).mean() > 0.98
     near = true <= 1.3 * true.min(axis=1, keepdims=True)
     assert np.isfinite(d)[near].mean() > 0.98
+
+
+# --- op12 ------------------------------------------------------------------
+def brute_audit(rows, labels):
+    """{(part, order, step): numbers} over (doc_id, text, part) rows."""
+    label = collections.defaultdict(lambda: [False, False])
+    for d, quality_, toxic in labels:
+        if d is not None:
+            label[d] = [label[d][0] or quality_ == 1, label[d][1] or toxic == 1]
+    docs = []
+    for d, text, part in rows:
+        t = text or ""
+        words = re.findall(r"[^ \t-\r]+", t)
+        fails = {
+            "A": len(words) < 200,
+            "B": 100 * len(set(words)) < 50 * len(words),
+            "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t),
+            "D": bool(re.search(r"[#$%&*|]", t)),
+            "E": d is not None and any(e is not None and e < d and (u or "") == t for e, u, _ in rows),
+        }
+        docs.append((part or "", {f for f in fails if fails[f]}, *(label[d] if d is not None else (False, False))))
+    out = {}
+    for part in {p for p, *_ in docs}:
+        own = [x for x in docs if x[0] == part]
+        shapley = collections.Counter()
+        for order in itertools.permutations("ABCDE"):
+            for step, f in enumerate(order, 1):
+                gone = [bool(fails & set(order[: step - 1])) for _, fails, *_ in own]
+                removed = [x for x, g in zip(own, gone) if not g and f in x[1]]
+                shapley[f] += len(removed)
+                out[part, "".join(order), step] = [
+                    sum(not (g or f in x[1]) for x, g in zip(own, gone)),
+                    len(removed),
+                    sum(g and f in x[1] for x, g in zip(own, gone)),
+                    sum(x[1] == {f} for x in own),
+                    sum(x[2] for x in removed),
+                    sum(x[3] for x in removed),
+                ]
+        for (p, order, step), numbers in out.items():
+            if p == part:
+                numbers.append(shapley[order[step - 1]])
+    return out
+
+
+def test_filter_audit_equals_brute_force(spark, edge, none, monkeypatch):
+    monkeypatch.setattr(filter_audit, "RANGE", 2)  # many short lists
+    rng = np.random.default_rng(2)
+    rows = [(r.doc_id, r.text, "s") for r in edge.collect()]
+    words = ["Alpha", "beta", "gamma", "delta#", "x", "y", "z"]
+    for i in range(120):
+        text = " ".join(rng.choice(words[: 2 + i % 6] + [f"w{j}" for j in range((i % 3) * 150)], 150 + 20 * (i % 10)))
+        rows.append((int(rng.integers(100, 200)), text, [None, "p", "q"][i % 3]))
+    rows += rows[20:40] + [(None, rows[30][1], "p"), (5, rows[30][1], "q")]
+    labels = [(d, int(rng.integers(0, 2)), int(rng.integers(0, 2))) for d in range(100, 180)] + [(120, 1, None), (None, 1, 1)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, rid long, block int")
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    columns = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    got = {(r.part, r.filter_order, r.step): [r[c] for c in columns] for r in filter_audit.audit(docs, frame).collect()}
+    assert got == brute_audit(rows, labels)
+    assert filter_audit.audit(docs.limit(0), frame).count() == 0
+    alone = filter_audit.audit(docs, frame.limit(0)).where("good_lost + toxic_lost > 0")
+    assert alone.count() == 0
+
+
+def test_gallop_unions_and_differences():
+    rng = np.random.default_rng(8)
+    for n, m, top in [(0, 5, 9), (5, 0, 9), (1, 1, 2), (300, 3, 1000), (3, 5000, 6000), (4000, 4100, 5000)]:
+        a = np.unique(rng.integers(0, top, n)).astype(np.int64)
+        b = np.unique(rng.integers(0, top, m)).astype(np.int64)
+        assert (filter_audit.gallop(a, b) == np.searchsorted(b, a)).all()
+        assert (filter_audit.union(a, b) == np.union1d(a, b)).all()
+        assert (filter_audit.missing(a, b) == np.setdiff1d(a, b)).all()
