@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbside.llm import ann, bpe, decontaminate, filter_audit, jaccard, langid, pii, quality, substrings, token_counts, token_store, toxicity
+from kerbside.llm import ann, bpe, decontaminate, filter_audit, jaccard, langid, pii, prefix_trie, quality, substrings, token_counts, token_store, toxicity
 from kerbside.llm.common import doc_text, split_of, table
 
 
@@ -62,6 +62,10 @@ def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_store": op2_token_store,
@@ -75,5 +79,10 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_nearest_vectors": op11_nearest_vectors,
     "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
+}
+ORACLES: dict[str, str] = {
+    "op9_quality_rules": quality.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
-ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE, "op12_filter_audit": filter_audit.ORACLE}

@@ -8,6 +8,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import math
 import os
 import re
 import time
@@ -15,6 +16,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from kerbside.llm import (
     jaccard,
     langid,
     pii,
+    prefix_trie,
     quality,
     queries,
     substrings,
@@ -791,3 +794,78 @@ def test_gallop_unions_and_differences():
         assert (filter_audit.gallop(a, b) == np.searchsorted(b, a)).all()
         assert (filter_audit.union(a, b) == np.union1d(a, b)).all()
         assert (filter_audit.missing(a, b) == np.setdiff1d(a, b)).all()
+
+
+# --- op13 ------------------------------------------------------------------
+def brute_trie(rows):
+    """Rows of the trie over (conv_id, turn, role, text) rows without ties."""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0)):
+        own[c].append((role or "", text or ""))
+    members, ends = collections.defaultdict(list), collections.defaultdict(list)
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 4
+        s = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + own[c][h:])
+        for d in range(len(s) + 1):
+            members[s[:d]].append(c)
+        ends[s].append(c)
+    children = collections.Counter(p[:-1] for p in members if p)
+    out = set()
+    for p, convs in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        saved = sum((len(members[q]) - 1) * len(re.findall(r"[^ \t-\r]+", q[-1][1])) for q in below if q)
+        digest = hashlib.sha256(",".join(map(str, sorted(ends[p]))).encode()).hexdigest()
+        parent = min(members[p[:-1]]) if p else None
+        leaves = sum(not children[q] for q in below)
+        out.add((min(convs), len(p), parent, len(convs), children[p], leaves, saved, digest))
+    return out
+
+
+def trie_of(frame):
+    rows = [tuple(r) for r in prefix_trie.trie(frame).collect()]
+    assert len(set(rows)) == len(rows)
+    return set(rows)
+
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string, key string, node string, n long, part int, chunk long"
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 8192])
+def test_trie_equals_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(prefix_trie, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    rows = []
+    for c in [int(c) for c in rng.choice(200, 70, replace=False)] + [-25, -20, 10**12]:
+        turns = int(rng.integers(1, 7))
+        rows += [(c, t if t else None, "user" if t % 2 else None, str(rng.choice(["a b", "c", "", "d  e\tf"], p=[0.7, 0.1, 0.1, 0.1]))) for t in range(turns)]
+    rows += [(500 + c, 1, "user", "a b") for c in range(30)]  # copies, many of them without turns of their own
+    rows += [(600, t, "user", f"w{t} x") for t in range(150)] + [(601, t, "user", f"w{t} x") for t in range(149)]
+    rows += [(602, 1, "user", None), (602, 1, "user", None)]  # a repeated row is a turn of its own
+    frame = spark.createDataFrame([(*r, "k", "n", 1, 2, 3) for r in rows + [(None, 1, "user", "x")]], CONVERSATIONS)
+    assert trie_of(frame) == brute_trie(rows)
+
+
+def test_trie_edges(spark, edge):
+    empty = spark.createDataFrame([], CONVERSATIONS)
+    assert prefix_trie.trie(empty).count() == 0
+    texts = [r.text for r in edge.collect()]
+    rows = [(7, i, "user", t) for i, t in enumerate(texts)] + [(8, 0, "user", LONG)]
+    frame = spark.createDataFrame([(*r, "k", "n", 1, 2, 3) for r in rows], CONVERSATIONS)
+    assert trie_of(frame) == brute_trie(rows)
+    lone = [(c, 0, "user", "x") for c in range(1, 200) if zlib.crc32(str(c).encode()) % 4 == 1 and c % 20][:3]
+    frame = spark.createDataFrame([(*r, "k", "n", 1, 2, 3) for r in lone], CONVERSATIONS)  # turnless: only the root
+    assert trie_of(frame) == brute_trie(lone) and len(lone) == 3
+
+
+def test_trie_id_blocks(monkeypatch):
+    monkeypatch.setattr(prefix_trie, "TEXT_BLOCK", 60)  # three ids a block
+    ids = {b"a": list(range(-5, 9)), b"b": [4], b"c": list(range(100, 110))}
+    flat = [(n, i) for n in sorted(ids) for i in ids[n]]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.binary()), pa.array([i for _, i in part], pa.int64())], names=["node", "conv_id"])
+        for part in (flat[:3], flat[3:17], flat[17:])
+    ]
+    blocks = list(prefix_trie._id_blocks(iter(batches)))
+    assert all(len(t.split(",")) <= 3 for b in blocks for t in b.column(2).to_pylist())
+    got = {n: e for b in prefix_trie._hashes(iter(blocks)) for n, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert got == {n: hashlib.sha256(",".join(map(str, v)).encode()).hexdigest() for n, v in ids.items()}
