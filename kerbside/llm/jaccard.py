@@ -2,17 +2,21 @@
 
 1. Texts become sets of five-word shingles; documents with equal sets form
    one *copy class*, and only its smallest row goes on, with the class size.
-2. MinHash signatures, cut into bands, tie documents that may be similar:
-   documents that share a band belong to one candidate component.
-3. Inside a component, documents are dealt into blocks of about ``BLOCK``
-   documents; every pair of blocks is one task-sized unit.  There, signatures
-   are compared 16 values at a time; a pair is dropped as soon as the
-   posterior probability of reaching the threshold, given the values that
-   agree so far, is below ``TOLERANCE``.  The pairs that are left are verified
-   exactly on their shingle sets.  Pairs never become rows: a unit gives each
-   document's number of links and the edges of a spanning forest.
-4. The forests' edges give the classes.  A component of one block is settled
-   where it is compared; larger ones by min-label propagation.
+2. MinHash signatures, cut into bands, tie documents that may be similar.
+   Those that bands connect form a candidate *component*.  A component is one
+   group of work; if bands merely chain it together, so that its *buckets*
+   (documents that share one band) hold fewer pairs, every bucket is a group.
+3. A group is dealt into blocks.  Inside a block, and then between every two
+   blocks of a group, signatures are compared 16 values at a time; a pair is
+   dropped as soon as the posterior probability of reaching the threshold,
+   given the values that agree so far, is below ``TOLERANCE``.  The pairs that
+   are left are verified exactly on their shingle sets.  In buckets, a pair
+   counts at the first band that it shares.
+4. Pairs never become rows.  A block gives each document's number of links and
+   its label, the smallest document it is connected to inside the block; two
+   blocks give numbers of links, and links between labels.  Texts are read
+   once a group, by its blocks; between blocks only signatures and shingle sets
+   move.  Labels that links connect are one class.
 
 The band scheme misses a pair at similarity 0.8 with probability 3e-6.
 """
@@ -24,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.plans.stage import materialize
@@ -35,9 +39,11 @@ BANDS, ROWS = 32, 5
 VALUES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-7
-BLOCK = 128
+BLOCK = 512  # documents of a block
+BLOCK_SHINGLES = 1 << 20  # and their shingles
 NO_ID = 2**63 - 1  # stands for a null id in joins and in the order of ids
-FOUND = "rep long, links long, other long, label long"
+BLOCKS = "rep long, kind int, grp long, blocks int, mine int, copies long, links long, label long, sig binary, hashes binary"
+CROSS = "rep long, links long, u long, v long"
 WORDS_KEPT = 150_000  # words whose hash a task remembers
 
 WORD = re.compile(r"\w+")
@@ -143,8 +149,9 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray
     return counts[np.searchsorted(used_l, i), np.searchsorted(used_r, j)].astype(np.int64)
 
 
-def links_between(left: list[dict], right: list[dict] | None, threshold: float) -> tuple[list[int], list[int]]:
-    """Linked index pairs of two blocks, or inside one (``right`` is None)."""
+def links_between(left: list[dict], right: list[dict] | None, threshold: float, band: int = -1) -> tuple[list[int], list[int]]:
+    """Linked index pairs of two blocks, or inside one (``right`` is None); in
+    a bucket of ``band``, those that share no band before it."""
     same = right is None
     right = left if same else right
     sl = np.stack([r["sig"] for r in left])
@@ -152,6 +159,10 @@ def links_between(left: list[dict], right: list[dict] | None, threshold: float)
     i, j = survivors(sl, sr)
     if same:
         i, j = i[i < j], j[i < j]
+    for k in range(band):
+        if len(i):
+            apart = (sl[i, k * ROWS : (k + 1) * ROWS] != sr[j, k * ROWS : (k + 1) * ROWS]).any(axis=1)
+            i, j = i[apart], j[apart]
     if not len(i):
         return [], []
     hl, hr = [r["set"] for r in left], [r["set"] for r in right]
@@ -234,9 +245,9 @@ def join(
     largest).  ``copy_id``: smallest doc_id with the same shingle set.  Texts
     without a word, and null texts, link with nothing and are their own class;
     texts of one to four words equal only the same words.  Repeated rows are
-    copies of each other.  ``keep_rows`` gives (row, is_first) instead: one
-    struct of the input's columns for each row, equal rows once, and whether
-    it is the one that stands for its class.
+    copies of each other.  ``keep_rows`` gives (row, is_first) instead: a
+    struct of the input's columns for each id and text (of several rows, the one
+    whose other columns come first as JSON), and whether it stands for its class.
     """
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -248,21 +259,21 @@ def join(
     copies = materialize(
         signed.where("n > 0")
         .groupBy("set_key")
-        .agg(F.count("*").alias("copies"), F.min(who).alias("who"), F.first("sig").alias("sig"))
+        .agg(F.count("*").alias("copies"), F.min(who).alias("who"), F.first("sig").alias("sig"), F.first("n").alias("n"))
         # numbers that are stored with the rows: the graph's vertices
-        .select(F.monotonically_increasing_id().alias("rep"), "set_key", "copies", "who.doc", "who.text_hash", "sig"),
+        .select(F.monotonically_increasing_id().alias("rep"), "set_key", "copies", "who.doc", "who.text_hash", "sig", "n"),
         "llm-copies",
     )
 
     # candidate components over shared bands
-    bands = copies.select(
-        "rep",
-        F.explode(
-            F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * ROWS * 4 + 1, ROWS * 4)) for b in range(BANDS)])
-        ).alias("band"),
+    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * ROWS * 4 + 1, ROWS * 4)) for b in range(BANDS)])
+    bands = copies.select("rep", "n", F.posexplode(keys).alias("kind", "band"))
+    buckets = (
+        bands.groupBy("band")
+        .agg(F.min("rep").alias("first"), F.count("*").alias("size"), F.sum("n").alias("shingles"))
+        .where("size > 1")
     )
-    first = bands.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
-    shared = bands.join(first.drop("size"), "band").select("rep", "first")
+    shared = bands.join(buckets.select("band", "first"), "band").select("rep", "first")
     # a document and the first ones of its bands (at most BANDS) all hang on
     # the smallest of them: as connected, with far fewer different edges
     tied = shared.groupBy("rep").agg(F.collect_set("first").alias("firsts"))
@@ -271,41 +282,37 @@ def join(
         tied.select(F.array_min("tied").alias("v"), F.explode("tied").alias("u")).where("u <> v").select("u", "v").distinct()
     )
     component = components(edges)
-    sizes = component.groupBy("label").agg(F.count("*").alias("size"))
-    member = materialize(
-        component.join(sizes, "label")
-        .select(F.col("v").alias("rep"), F.col("label").alias("comp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        .join(copies.select("rep", "copies", "doc", "text_hash"), "rep"),
-        "llm-members",
-    )
-    # block pairs: a document goes to every pair that its block is in
+    member = _groups(copies, bands, buckets, component)
     placed = (
         rows.join(member.hint("merge"), ["doc", "text_hash"])  # members grow with the corpus: never broadcast
         .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "comp",
-            "blocks",
-            F.least("mine", "other").alias("a"),
-            F.greatest("mine", "other").alias("b"),
-            "mine",
-            "rep",
-            "copies",
-            "text",
-        )
+        .select("kind", "grp", "mine", "blocks", "rep", "copies", "text")
+    )
+    unit = ["kind", "grp", "mine"]
+    blocks = materialize(
+        placed.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_by_unit(unit, _block(threshold), BLOCKS), BLOCKS), "llm-blocks"
+    )
+    # block pairs: a document's signature and set go to every pair its block is in
+    pair = ["kind", "grp", "a", "b"]
+    pairs = (
+        blocks.where("blocks > 1")
+        .withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine"))))
+        .select("kind", "grp", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "rep", "copies", "label", "sig", "hashes")
     )
-    found = materialize(
-        placed.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b").mapInArrow(_unit_runner(threshold), FOUND),
-        "llm-links",
+    cross = materialize(
+        pairs.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_by_unit(pair, _block_pair(threshold), CROSS), CROSS), "llm-cross"
     )
-    links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    # components of one block come with their label, larger ones with edges
-    settled = found.where("label is not null").select("rep", "label")
-    large = found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))
-    if large.limit(1).count():
-        settled = settled.unionByName(components(large).select(F.col("v").alias("rep"), "label"))
+    counted = blocks.where("links > 0").select("rep", "links").unionByName(cross.where("rep is not null").select("rep", "links"))
+    links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
+    # a component of one block is settled; other labels are tied by their links
+    alone = (F.col("blocks") == 1) & (F.col("kind") < 0)
+    settled = blocks.where(alone).select("rep", "label")
+    ties = blocks.where(~alone & (F.col("rep") != F.col("label"))).select(F.col("rep").alias("u"), F.col("label").alias("v"))
+    ties = ties.unionByName(cross.where("u is not null").select("u", "v"))
+    if ties.limit(1).count():
+        settled = settled.unionByName(components(ties).select(F.col("v").alias("rep"), "label"))
     classes = (
-        copies.drop("sig")
+        copies.drop("sig", "n")
         .join(settled, "rep", "left")
         .join(links, "rep", "left")
         .withColumn("label", F.coalesce("label", "rep"))
@@ -331,79 +338,153 @@ def join(
             shown(F.coalesce("copy", "doc")).alias("copy_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
-    standing = every.select("doc", "text_hash", F.coalesce(F.col("first") == who, F.lit(True)).alias("is_first"))
+    standing = every.select("doc", "text_hash", F.coalesce(F.col("first") == who, F.lit(True)).alias("is_first")).distinct()
+    others = [c for c in docs.columns if c != text_col]
     whole = docs.select(
-        doc.alias("doc"), F.xxhash64(text).alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        doc.alias("doc"), F.xxhash64(text).alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])).alias("others"),
+    )
+    # of rows of one id and text, the one whose other columns come first
+    first_row = Window.partitionBy("doc", "text_hash").orderBy("others")
+    return (
+        whole.join(standing, ["doc", "text_hash"])
+        .withColumn("place", F.row_number().over(first_row))
+        .where("place = 1")
+        .select("row", "is_first")
+    )
+
+
+def _groups(copies: DataFrame, bands: DataFrame, buckets: DataFrame, component: DataFrame) -> DataFrame:
+    """(rep, kind, grp, blocks, copies, doc, text_hash): the groups of work that
+    documents belong to.  A component is one (kind -1), unless its buckets hold
+    fewer pairs than it; then each of them is (kind: its band's place)."""
+    known = copies.select("rep", "n")
+    sizes = (
+        component.join(known, F.col("v") == F.col("rep"))
+        .groupBy("label")
+        .agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     )
-    return whole.join(standing, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select("row", "is_first")
+    pairs = F.sum(F.col("size").cast("double") * F.col("size")).alias("pairs")
+    in_buckets = buckets.join(component, F.col("first") == F.col("v")).groupBy("label").agg(pairs)
+
+    def blocks(size: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(size / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+    parted = materialize(
+        sizes.join(in_buckets, "label").select(
+            "label",
+            blocks(F.col("size"), F.col("shingles")),
+            ((F.col("size") > BLOCK) & (F.col("pairs") < F.col("size").cast("double") * F.col("size"))).alias("chained"),
+        ),
+        "llm-components",
+    )
+    placed = component.join(parted, "label")
+    groups = placed.where("not chained").select(F.col("v").alias("rep"), F.lit(-1).alias("kind"), F.col("label").alias("grp"), "blocks")
+    if parted.where("chained").limit(1).count():
+        chained = placed.where("chained").select(F.col("v").alias("rep"))
+        sized = buckets.select("band", blocks(F.col("size"), F.col("shingles")))
+        groups = groups.unionByName(
+            bands.join(chained, "rep").join(sized, "band").select("rep", "kind", F.col("band").alias("grp"), "blocks")
+        )
+    return materialize(groups.join(copies.select("rep", "copies", "doc", "text_hash"), "rep"), "llm-members")
+
+
+class _Labels:
+    """Union-find: everything is labelled by the smallest it is connected to."""
+
+    def __init__(self, items):
+        self.root = {x: x for x in items}
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def tie(self, x: int, y: int) -> bool:
+        a, b = self.find(x), self.find(y)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
 
 
-def _unit_runner(threshold: float):
-    """Streams sorted (comp, a, b) units; one unit is held at a time."""
+def _count_links(left: list[dict], right: list[dict], i: list[int], j: list[int]) -> dict[int, int]:
+    links: dict[int, int] = {}
+    for x, y in zip(i, j, strict=True):
+        p, q = left[x], right[y]
+        links[p["rep"]] = links.get(p["rep"], 0) + q["copies"]
+        links[q["rep"]] = links.get(q["rep"], 0) + p["copies"]
+    return links
 
-    multipliers_ = multipliers()
+
+def _block(threshold: float):
+    """One block of a group: (BLOCKS) rows, sets kept where other blocks ask."""
+    factors = multipliers()
     known: dict[str, int] = {}
 
-    def unit(key, rows):
-        comp, blocks, a, b = key
+    def unit(rows: list[dict]) -> list[tuple]:
         rows = list({r["rep"]: r for r in rows}.values())  # repeated rows came twice
         for r in rows:
             r["set"] = shingles(r.pop("text"), known)
-            r["sig"] = signature(r["set"], multipliers_)
-        if a == b:
-            left = right = rows
-            i, j = links_between(rows, None, threshold)
-        else:
-            left, right = [r for r in rows if r["mine"] == a], [r for r in rows if r["mine"] == b]
-            i, j = links_between(left, right, threshold) if left and right else ([], [])
-        root = {r["rep"]: r["rep"] for r in rows}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        links: dict[int, int] = {}
-        forest = []
+            r["sig"] = signature(r["set"], factors)
+        i, j = links_between(rows, None, threshold, rows[0]["kind"])
+        links, labels = _count_links(rows, rows, i, j), _Labels(r["rep"] for r in rows)
         for x, y in zip(i, j, strict=True):
-            p, q = left[x], right[y]
-            links[p["rep"]] = links.get(p["rep"], 0) + q["copies"]
-            links[q["rep"]] = links.get(q["rep"], 0) + p["copies"]
-            s, t = find(p["rep"]), find(q["rep"])
-            if s != t:
-                root[max(s, t)] = min(s, t)
-                forest.append((p["rep"], q["rep"]))
-        out = [(k, n, None, None) for k, n in links.items()]
-        if blocks > 1:
-            out += [(u, None, v, None) for u, v in forest]
-        else:
-            out += [(k, None, None, find(k)) for k in root]
+            labels.tie(rows[x]["rep"], rows[y]["rep"])
+        out = []
+        for r in rows:
+            kept = (r["sig"].tobytes(), r["set"].tobytes()) if r["blocks"] > 1 else (None, None)
+            out.append((r["rep"], r["kind"], r["grp"], r["blocks"], r["mine"], r["copies"], links.get(r["rep"], 0), labels.find(r["rep"]), *kept))
         return out
 
-    def run(batches):
-        schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("label", pa.int64())])
+    return unit
 
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
-            )
 
+def _block_pair(threshold: float):
+    """Two blocks of a group: (CROSS) rows, links of documents and of labels."""
+
+    def unit(rows: list[dict]) -> list[tuple]:
+        for r in rows:
+            r["sig"], r["set"] = np.frombuffer(r["sig"], np.uint32), np.frombuffer(r["hashes"], np.uint64)
+        left, right = [r for r in rows if r["mine"] == r["a"]], [r for r in rows if r["mine"] == r["b"]]
+        if not left or not right:
+            return []
+        i, j = links_between(left, right, threshold, rows[0]["kind"])
+        labels, ties = _Labels({r["label"] for r in rows}), []
+        for x, y in zip(i, j, strict=True):
+            u, v = left[x]["label"], right[y]["label"]
+            if labels.tie(u, v):
+                ties.append((None, None, u, v))
+        return [(k, n, None, None) for k, n in _count_links(left, right, i, j).items()] + ties
+
+    return unit
+
+
+def _by_unit(key_columns: list[str], work, result: str):
+    """Streams rows sorted by unit; one unit is held at a time."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in result.split(", ")])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
+        )
+
+    def run(batches):
         key, held, ready = None, [], []
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(c)[k].as_py() for c, n in enumerate(batch.schema.names)}
-                at = (row["comp"], row["blocks"], row["a"], row["b"])
+                at = tuple(row[c] for c in key_columns)
                 if at != key:
                     if held:
-                        ready += unit(key, held)
+                        ready += work(held)
                     key, held = at, []
-                    if len(ready) > 5000:
+                    if len(ready) > 1000:
                         yield batch_of(ready)
                         ready = []
                 held.append(row)
         if held:
-            ready += unit(key, held)
+            ready += work(held)
         if ready:
             yield batch_of(ready)
 

@@ -563,8 +563,10 @@ def near_rows(n=330):
     return list(enumerate(rows))
 
 
-def test_join_equals_brute_force(spark):
-    rows = near_rows()  # one group of several blocks, exact copies, short texts
+@pytest.mark.parametrize("block", [512, 40])
+def test_join_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = near_rows()  # one group (of several blocks), exact copies, short texts
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, rep string, comp int")
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(frame).collect()}
     assert got == brute_join(rows)
@@ -579,6 +581,57 @@ def test_join_on_documents(spark):
     assert got == brute_join(list(zip(docs.doc_id, docs.text)))
 
 
+def chained_rows():
+    """Documents that bands tie into one component of few links: each shares
+    most of its words with the next, and so on; and a few near copies of one."""
+    rng = np.random.default_rng(4)
+    words = [f"c{i}" for i in range(2400)]
+    rows = [" ".join(words[30 * k : 30 * k + 150]) for k in range(75)]
+    for _ in range(6):
+        w = words[300:450]
+        w[rng.integers(150)] = f"n{rng.integers(10**9)}"
+        rows.append(" ".join(w))
+    return list(enumerate(rows))
+
+
+def staged(spark, tag, rule="true"):
+    """Rows of everything staged so far under a tag."""
+    root = os.path.dirname(stage_path(spark, "x").removeprefix("file:"))
+    return sum(spark.read.parquet(f"{root}/{d}").where(rule).count() for d in (os.listdir(root) if os.path.isdir(root) else []) if d.startswith(f"{tag}-"))
+
+
+def test_chained_component_is_joined_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rows = chained_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    before = staged(spark, "llm-members", "kind >= 0")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(frame).collect()}
+    assert got == brute_join(rows)
+    assert staged(spark, "llm-members", "kind >= 0") > before  # documents went to buckets
+    assert len({c for c, _ in got.values()}) == 75
+
+
+def test_join_work_follows_the_input(spark, monkeypatch):
+    """One class of n near copies: label links grow with pairs of blocks, rows
+    of the blocks with n."""
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    made = []
+    for n in (200, 400, 800):
+        before = [staged(spark, t) for t in ("llm-blocks", "llm-edges")]
+        frame = spark.createDataFrame(near_rows(n), "doc_id long, text string")
+        assert jaccard.join(frame).where("class_id = 0").count() >= n
+        made.append([staged(spark, t) - b for t, b in zip(("llm-blocks", "llm-edges"), before)])
+    for (blocks, edges), (more_blocks, more_edges) in zip(made, made[1:]):
+        assert more_blocks < 2.3 * blocks and more_edges < 2.6 * edges
+
+
+def test_rows_of_one_id_and_text(spark):
+    rows = [(1, "one two three four five six", s) for s in ("b", "a", "c", None)] + [(None, "x y", "q"), (None, "x y", "p")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = jaccard.first_of_class(frame).collect()
+    assert {(r.doc_id, r.source) for r in kept} == {(1, "a"), (None, "p")}
+
+
 def test_join_edges(spark, edge, none):
     got = jaccard.join(edge).collect()
     assert ids_of(got) == expected_ids(edge)
