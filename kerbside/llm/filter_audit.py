@@ -15,13 +15,12 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm.common import shuffle_width
 from kerbside.plans.stage import materialize
 
 FILTERS = "ABCDE"
@@ -156,15 +155,25 @@ def _merged(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def _steps() -> list[tuple[str, int, str, int, int]]:
-    """(filter_order, step, letter, filters before, after) of every order."""
-    out = []
-    for order in itertools.permutations(range(len(FILTERS))):
-        before = 0
-        for step, f in enumerate(order, 1):
-            out.append(("".join(FILTERS[i] for i in order), step, FILTERS[f], before, before | 1 << f))
-            before |= 1 << f
-    return out
+def in_every_order(per_part: DataFrame) -> DataFrame:
+    """Adds (filter_order, step, letter, before, after): every order of the
+    filters grown a filter at a time; ``before`` and ``after`` are the sets of
+    filters around the step."""
+    filters = F.array(*[F.lit(1 << i) for i in range(len(FILTERS))])
+    grown = per_part.withColumn("steps", F.array().cast("array<int>"))
+    for _ in FILTERS:
+        left = F.filter(filters, lambda f: ~F.array_contains("steps", f))
+        grown = grown.withColumn("next", F.explode(left)).withColumn("steps", F.array_append("steps", F.col("next"))).drop("next")
+    letter = {1 << i: f for i, f in enumerate(FILTERS)}
+    names = F.create_map(*[F.lit(v) for p in letter.items() for v in p])
+    stepped = grown.withColumn("filter_order", F.array_join(F.transform("steps", lambda f: F.element_at(names, f)), "")).select(
+        "*", F.posexplode("steps").alias("at", "own")
+    )
+    before = F.aggregate(F.slice("steps", F.lit(1), F.col("at")), F.lit(0), lambda a, f: a + f)
+    return stepped.select(
+        *per_part.columns, "filter_order", (F.col("at") + 1).alias("step"), F.element_at(names, F.col("own")).alias("letter"),
+        before.alias("before"), (before + F.col("own")).alias("after"),
+    )
 
 
 def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
@@ -179,7 +188,8 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     postings = materialize(posting_lists(failures(docs, id_col, text_col, part_col), labels), "llm-postings")
     totals = postings.where("name = 'all'").groupBy("part").agg(F.sum("n").alias("total"))
-    sizes = postings.where("name <> 'all'").groupBy("part", "block").applyInArrow(_merged, SIZES)
+    lists = postings.where("name <> 'all'").repartition(shuffle_width(spark), "part", "block")  # lists are small, merging them is not
+    sizes = lists.groupBy("part", "block").applyInArrow(_merged, SIZES)
     summed = sizes.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("all", "good", "toxic")])
     # a part's 32 unions in one row
     unions = F.map_from_entries(F.collect_list(F.struct("mask", F.struct("all", "good", "toxic"))))
@@ -188,10 +198,9 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def of(mask: Column, what: str = "all") -> Column:
         return F.coalesce(F.element_at("u", mask)[what], F.lit(0))
 
-    steps = spark.createDataFrame(_steps(), "filter_order string, step int, letter string, before int, after int")
-    own = F.col("after").bitwiseXOR(F.col("before"))
+    own = F.col("after") - F.col("before")
     every = (1 << len(FILTERS)) - 1
-    rows = per_part.join(F.broadcast(steps)).select(  # 600 fixed rows: every part goes through every order
+    rows = in_every_order(per_part).select(
         "part",
         "filter_order",
         "step",
@@ -199,7 +208,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         (F.col("total") - of(F.col("after"))).alias("kept"),
         (of(F.col("after")) - of(F.col("before"))).alias("removed"),
         (of(own) - of(F.col("after")) + of(F.col("before"))).alias("redundant"),
-        (of(F.lit(every)) - of(F.lit(every).bitwiseXOR(own))).alias("unique_fails"),
+        (of(F.lit(every)) - of(every - own)).alias("unique_fails"),
         (of(F.col("after"), "good") - of(F.col("before"), "good")).alias("good_lost"),
         (of(F.col("after"), "toxic") - of(F.col("before"), "toxic")).alias("toxic_lost"),
     )
