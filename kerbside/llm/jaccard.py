@@ -39,8 +39,8 @@ BANDS, ROWS = 32, 5
 VALUES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-7
-BLOCK = 512  # documents of a block
-BLOCK_SHINGLES = 1 << 20  # and their shingles
+BLOCK = 256  # documents of a block
+BLOCK_SHINGLES = 1 << 19  # and their shingles
 NO_ID = 2**63 - 1  # stands for a null id in joins and in the order of ids
 BLOCKS = "rep long, kind int, grp long, blocks int, mine int, copies long, links long, label long, sig binary, hashes binary"
 CROSS = "rep long, links long, u long, v long"
@@ -140,7 +140,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray
     order = np.argsort(number, kind="stable")
     owner, number = owner[order], number[order]
     counts = np.zeros((len(used_l), len(used_r)), dtype=np.float32)
-    width = 8192
+    width = max(512, (1 << 20) // (len(used_l) + len(used_r)))
     for lo in range(0, len(vocabulary), width):
         s, e = np.searchsorted(number, [lo, lo + width])
         m = np.zeros((len(used_l) + len(used_r), width), dtype=np.float32)

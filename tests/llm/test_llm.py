@@ -563,7 +563,7 @@ def near_rows(n=330):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [512, 40])
+@pytest.mark.parametrize("block", [256, 40])
 def test_join_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = near_rows()  # one group (of several blocks), exact copies, short texts
