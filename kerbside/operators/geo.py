@@ -1,270 +1,20 @@
-"""Nearest postcodes and what the nearby map shows (NEAR1, JOIN3-4, FIL7,
-AGG7-8, LIM2).
-
-NEAR1 is a range join (distance ≤ radius, nearest ``limit`` per origin).
-Spark would run the raw predicate as a cartesian/nested-loop join, so the
-plan is written as an equi-join on grid cells with *ring expansion*:
-
-* cells are ``cell_m`` metres on a side (latitude exact; longitude widened by
-  the data's largest |latitude| so a cell is never narrower than ``cell_m``);
-* a round joins the still-open origins with the points of the cells at
-  Chebyshev distance first..r (rings 0-1 first, then the rest);
-* after a round ending at ring r every point within r·cell_m of the origin
-  has been seen, so an origin closes as soon as it holds ``limit``
-  candidates no farther than that; otherwise it closes after the round that
-  covers the radius.
-
-Dense areas therefore close after one or two small rings instead of pairing
-every point of a radius-sized 3×3 block.  Top-``limit`` selection is two
-phase: first per (origin, cell, salt) then per origin, so no window partition
-holds more than ``limit × cells × salts`` rows even when one cell holds a
-third of all points.  Postcodes sharing one exact point are cut to the
-``limit`` smallest names per point before pairing (the rest can never rank),
-so a point holding a third of all postcodes costs O(origins × limit) pairs.
-Origins in coarse cells holding ≥ ``limit`` points are resolved first at
-their own fine level (``_resolve_dense``): cells are halved until the cell
-around the origin would hold fewer than ``limit`` points, and one join with
-the (2R+1)² cells of that level answers the origin exactly, so a dense
-cluster of distinct points costs about (2R+1)² × 4 × ``limit`` pairs per
-origin (for locally even density) instead of the whole cluster.
-Each round's state is written to the shared checkpoint folder.
-
-Not handled: the antimeridian and the poles (longitude cells assume
-|latitude| < 89.9°).
-"""
+"""What the nearby map shows (JOIN3-4, FIL7, AGG7-8, LIM2) from the nearest
+postcodes (NEAR1, ``operators.nearest``)."""
 
 from __future__ import annotations
 
 import datetime as dt
 import random
-import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.address import bin_dot_class
 from kerbside.functions.dates import as_date
 from kerbside.operators.lookup import postcode_job_set
-from kerbside.plans.stage import materialize
-
-# Fixed values of the nearby search.
-NEARBY_LIMIT = 100
-NEARBY_RADIUS_M = 2000.0
-EARTH_RADIUS_M = 6_371_000.0
-METRES_PER_DEGREE = EARTH_RADIUS_M * math.pi / 180.0
-TOPK_SALTS = 16
-LON_PAD = 1.001
-
-
-def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres."""
-    p1, p2 = F.radians(lat1), F.radians(lat2)
-    dp = p2 - p1
-    dl = F.radians(lon2) - F.radians(lon1)
-    a = F.pow(F.sin(dp / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
-
-
-def _ring_offsets(first: int, last: int) -> list[tuple[int, int]]:
-    """Cell offsets at Chebyshev distance first..last (inclusive)."""
-    return [(dx, dy) for dx in range(-last, last + 1) for dy in range(-last, last + 1) if first <= max(abs(dx), abs(dy)) <= last]
-
-
-def _ring_batches(rings: int, early: int) -> list[tuple[int, int]]:
-    """Rounds of rings: 0..early first (dense areas close there), then the rest."""
-    if rings <= early:
-        return [(0, rings)]
-    return [(0, early), (early + 1, rings)]
-
-
-def _topk(df: DataFrame, k: int, order: list[Column], group: list[str]) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
-
-
-MAX_LEVELS = 20  # finest level: cell side = coarse side / 2**20 (under a millimetre at radius/4)
-
+from kerbside.operators.nearest import NEARBY_LIMIT, NEARBY_RADIUS_M, haversine_m, nearest_postcodes
 
-def _resolve_dense(
-    targets: DataFrame,
-    org: DataFrame,
-    limit: int,
-    radius_m: float,
-    widest: float,
-    order: list[Column],
-    salts: int,
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """Exact answers for origins in dense coarse cells, with bounded pairs.
-
-    Cells are halved level by level (cell id at level l is floor(x · 2**l) of
-    the same grid coordinate x, so levels nest).  For an origin in a coarse
-    cell holding ≥ ``limit`` points, take the finest level L whose cell around
-    the origin still holds ≥ ``limit`` points: its ``limit`` nearest (itself
-    included) lie within that cell's diagonal, hence within rings 0..R at
-    level L where R·side ≥ diagonal.  One join with those (2R+1)² cells
-    resolves the origin exactly, however dense the cluster, pairing it with
-    about (2R+1)² cells of about ``limit`` points instead of the whole area.
-    Only points of dense coarse cells and their neighbours enter the pyramid.
-    Returns (answers, resolved origins), or (None, None) when no cell is dense.
-    """
-    coarse = targets.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("_cn"))
-    dense = coarse.where(F.col("_cn") >= limit).select("cy", "cx")
-    if dense.isEmpty():  # one-row decision
-        return None, None
-    reach = math.ceil(math.sqrt(1.0 + widest * widest) * 1.001)
-    # rings of reach R at level ≥ 1 extend at most ceil(R/2) coarse cells, so
-    # the pyramid holds the points of dense cells and of their neighbours
-    spill = math.ceil(reach / 2)
-    spread = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _ring_offsets(0, spill)])
-    around = dense.select(F.explode(spread).alias("_o"), "cy", "cx").select(
-        (F.col("cy") + F.col("_o.dy")).alias("cy"), (F.col("cx") + F.col("_o.dx")).alias("cx")
-    ).distinct()
-    levels = F.sequence(F.lit(1), F.lit(MAX_LEVELS))
-    scale = F.pow(F.lit(2.0), F.col("lv"))
-    pyramid = materialize(
-        targets.join(around, ["cy", "cx"], "left_semi")
-        .select("postcode", "latitude", "longitude", "_gy", "_gx", F.explode(levels).alias("lv"))
-        .select(
-            "postcode", "latitude", "longitude", "lv",
-            F.floor(F.col("_gy") * scale).alias("fy"), F.floor(F.col("_gx") * scale).alias("fx"),
-        ),
-        "near-pyramid",
-    )
-    counts = pyramid.groupBy("lv", "fy", "fx").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit)
-    dense_org = org.join(dense.select(F.col("cy").alias("ocy"), F.col("cx").alias("ocx")), ["ocy", "ocx"], "left_semi")
-    own = dense_org.select("origin", "ogy", "ogx", F.explode(levels).alias("lv")).select(
-        "origin", "lv", F.floor(F.col("ogy") * scale).alias("fy"), F.floor(F.col("ogx") * scale).alias("fx")
-    )
-    finest = own.join(counts, ["lv", "fy", "fx"]).groupBy("origin").agg(F.max("lv").alias("lv"))
-    chosen = dense_org.join(finest, "origin").select(
-        "origin", "olat", "olon", "lv",
-        F.floor(F.col("ogy") * scale).alias("ofy"), F.floor(F.col("ogx") * scale).alias("ofx"),
-    )
-    chosen = materialize(chosen, "near-fine-origins")
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _ring_offsets(0, reach)])
-    probe = chosen.select("*", F.explode(offsets).alias("_o")).select(
-        "origin", "olat", "olon", "lv", (F.col("ofy") + F.col("_o.dy")).alias("fy"), (F.col("ofx") + F.col("_o.dx")).alias("fx")
-    )
-    cand = (
-        probe.join(pyramid, ["lv", "fy", "fx"])
-        .where(F.col("postcode") != F.col("origin"))
-        .select("origin", "postcode", "latitude", "longitude", "fy", "fx",
-                haversine_m(F.col("olat"), F.col("olon"), F.col("latitude"), F.col("longitude")).alias("distance"))
-        .where(F.col("distance") <= radius_m)
-    )
-    self_rows = chosen.select(
-        "origin", F.col("origin").alias("postcode"), F.col("olat").alias("latitude"), F.col("olon").alias("longitude"),
-        F.col("ofy").alias("fy"), F.col("ofx").alias("fx"), F.lit(0.0).alias("distance"),
-    )
-    salted = cand.unionByName(self_rows).withColumn("_salt", F.pmod(F.xxhash64("postcode"), F.lit(salts)))
-    local = _topk(salted, limit, order, ["origin", "fy", "fx", "_salt"]).drop("fy", "fx", "_salt")
-    answers = materialize(_topk(local, limit, order, ["origin"]), "near-fine")
-    return answers, chosen.select("origin")
-
-
-def nearest_postcodes(
-    postcodes: DataFrame,
-    origins: DataFrame | None = None,
-    limit: int = NEARBY_LIMIT,
-    radius_m: float = NEARBY_RADIUS_M,
-    cell_m: float | None = None,
-    salts: int = TOPK_SALTS,
-    early_rings: int = 1,
-) -> DataFrame:
-    """Up to ``limit`` postcodes within ``radius_m`` of each origin, nearest
-    first (ties by postcode), the origin itself first at distance 0.
-
-    ``postcodes``: (id, latitude, longitude).  ``origins``: a DataFrame with a
-    ``postcode`` column (default: every postcode).  Origins without a geocode
-    get no rows.  Output: (origin, rank, postcode, latitude, longitude,
-    distance) with 0-based ``rank``.  Rings 0..``early_rings`` form the first
-    round; origins still open then take the remaining rings in one more round.
-    """
-    spark = postcodes.sparkSession
-    cell_m = cell_m or radius_m / 4.0
-    dlat = cell_m / METRES_PER_DEGREE
-    pts = postcodes.select(F.col("id").alias("postcode"), "latitude", "longitude")
-    # Two scalars from a one-row aggregate decide the longitude cell width.
-    lat_range = pts.agg(F.max(F.abs("latitude")).alias("hi"), F.min(F.abs("latitude")).alias("lo")).first()
-    if lat_range["hi"] is None:
-        return spark.createDataFrame([], "origin string, rank int, postcode string, latitude double, longitude double, distance double")
-    phi = min(lat_range["hi"] + radius_m / METRES_PER_DEGREE, 89.9)
-    dlon = dlat / math.cos(math.radians(phi)) * LON_PAD
-    # widest longitude cell relative to its height, over the data's latitudes
-    widest = math.cos(math.radians(lat_range["lo"])) / math.cos(math.radians(phi)) * LON_PAD
-    cells = pts.select(
-        "*",
-        (F.col("latitude") / dlat).alias("_gy"),
-        (F.col("longitude") / dlon).alias("_gx"),
-    ).select("postcode", "latitude", "longitude", "_gy", "_gx", F.floor("_gy").alias("cy"), F.floor("_gx").alias("cx"))
-    origin_cols = [
-        F.col("postcode").alias("origin"), F.col("latitude").alias("olat"), F.col("longitude").alias("olon"),
-        F.col("_gy").alias("ogy"), F.col("_gx").alias("ogx"), F.col("cy").alias("ocy"), F.col("cx").alias("ocx"),
-    ]
-    if origins is None:
-        org = cells.select(*origin_cols)
-    else:
-        wanted = origins.select(F.col("postcode").alias("_want")).distinct()
-        org = cells.join(wanted, F.col("postcode") == F.col("_want"), "left_semi").select(*origin_cols)
-    order = [F.col("distance").asc(), (F.col("postcode") != F.col("origin")).asc(), F.col("postcode").asc()]
-    # Postcodes sharing one exact point tie on distance for every origin and
-    # break by name, so only the ``limit`` smallest names of a point can ever
-    # rank; keep those (a map-side limited window) and add each origin's own
-    # row explicitly.  Bounds the pairs of a point holding many postcodes.
-    at_point = Window.partitionBy("latitude", "longitude").orderBy("postcode")
-    targets = cells.withColumn("_n", F.row_number().over(at_point)).where(F.col("_n") <= limit).drop("_n")
-    rings = math.ceil(radius_m / cell_m)
-    finished: list[DataFrame] = []
-    # Dense areas first: origins resolved exactly at their own fine level.
-    fine_done, fine_origins = _resolve_dense(targets, org, limit, radius_m, widest, order, salts)
-    if fine_done is not None:
-        finished.append(fine_done)
-        org = org.join(fine_origins, "origin", "left_anti")
-    # open origins: recomputed from the scan minus the closed ones (lineage of
-    # at most two rounds); the carried top-k state is what gets written
-    pending = org
-    best = None
-    batches = _ring_batches(rings, early_rings)
-    for first, r in batches:
-        offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _ring_offsets(first, r)])
-        probe = pending.select("*", F.explode(offsets).alias("_o")).select(
-            "origin", "olat", "olon", (F.col("ocy") + F.col("_o.dy")).alias("cy"), (F.col("ocx") + F.col("_o.dx")).alias("cx")
-        )
-        cand = (
-            probe.join(targets, ["cy", "cx"])
-            .where(F.col("postcode") != F.col("origin"))
-            .select("origin", "postcode", "latitude", "longitude", "cy", "cx", haversine_m(F.col("olat"), F.col("olon"), F.col("latitude"), F.col("longitude")).alias("distance"))
-            .where(F.col("distance") <= radius_m)
-        )
-        if first == 0:
-            own = pending.select(
-                "origin", F.col("origin").alias("postcode"), F.col("olat").alias("latitude"), F.col("olon").alias("longitude"),
-                F.col("ocy").alias("cy"), F.col("ocx").alias("cx"), F.lit(0.0).alias("distance"),
-            )
-            cand = cand.unionByName(own)
-        # phase 1: per (origin, cell, salt); phase 2: per origin with the kept state
-        salted = cand.withColumn("_salt", F.pmod(F.xxhash64("postcode"), F.lit(salts)))
-        local = _topk(salted, limit, order, ["origin", "cy", "cx", "_salt"]).drop("cy", "cx", "_salt")
-        merged = local if best is None else best.unionByName(local)
-        best = materialize(_topk(merged, limit, order, ["origin"]), "near-best")
-        if r >= rings:
-            finished.append(best)
-            break
-        covered = r * cell_m
-        stats = best.groupBy("origin").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_far"))
-        closed = stats.where((F.col("_n") >= limit) & (F.col("_far") <= covered)).select("origin")
-        finished.append(best.join(closed, "origin", "left_semi"))
-        pending = pending.join(closed, "origin", "left_anti")
-        best = best.join(closed, "origin", "left_anti")
-        if pending.isEmpty():
-            break
-    result = finished[0]
-    for part in finished[1:]:
-        result = result.unionByName(part)
-    w = Window.partitionBy("origin").orderBy(*order)  # ≤ limit rows per origin
-    return result.select(
-        "origin", (F.row_number().over(w) - 1).alias("rank"), "postcode", "latitude", "longitude", "distance"
-    )
+__all__ = ["NEARBY_LIMIT", "NEARBY_RADIUS_M", "haversine_m", "nearest_postcodes"]
 
 
 # --------------------------------------------------------------------------- JOIN3 / LIM2
@@ -325,14 +75,25 @@ def default_dates(near: DataFrame, premises: DataFrame, jobs: DataFrame, as_of:
     )
 
 
-def map_markers(nj: DataFrame, selected: DataFrame) -> DataFrame:
+def map_markers(near: DataFrame, premises: DataFrame, jobs: DataFrame, selected: DataFrame) -> DataFrame:
     """FIL7: for each origin's selected date, the nearby postcodes with jobs
     that day and their bins; postcodes with none that day are not shown;
-    ``is_self`` marks distance 0.  ``selected``: (origin, selected_date)."""
-    day = nj.join(selected, "origin").where(F.col("date") == F.col("selected_date"))
-    return day.groupBy("origin", "selected_date", "rank", "postcode", "latitude", "longitude", "distance").agg(
-        F.array_sort(F.collect_list("bin")).alias("bins")
-    ).select(
+    ``is_self`` marks distance 0.  ``selected``: (origin, selected_date).
+
+    The chosen dates meet the neighbours first.  Jobs are cut to the
+    (postcode, date) pairs that are asked for, and become one row for each
+    before they meet the origins.
+    """
+    shown = near.join(selected.where(F.col("selected_date").isNotNull()), "origin")
+    asked = shown.select(F.col("postcode").alias("_pc"), F.col("selected_date").alias("_day")).distinct()
+    places = premises.select("id", "address_postcode").join(asked, F.col("address_postcode") == F.col("_pc"))
+    that_day = (F.col("premises_id") == F.col("id")) & (F.col("date") == F.col("_day"))
+    day = (
+        places.join(jobs.select("premises_id", "date", "bin"), that_day)
+        .groupBy("_pc", "_day")
+        .agg(F.array_sort(F.collect_set("bin")).alias("bins"))  # at most the bins there are
+    )
+    return shown.join(day, (F.col("postcode") == F.col("_pc")) & (F.col("selected_date") == F.col("_day"))).select(
         "origin",
         "selected_date",
         "rank",

@@ -669,6 +669,21 @@ def q_nearest(spark, sf_dir):
     return _near(t).select("origin", F.col("rank").cast("long").alias("rank"), "postcode", F.round("distance", 3).alias("distance"))
 
 
+@register(
+    "near1_of_one_postcode",
+    fx.oracle(
+        "SELECT origin, rank, postcode, round(distance, 3) AS distance FROM near WHERE origin = (SELECT max(id) FROM postcodes)",
+        NEAR_SQL,
+    ),
+)
+def q_nearest_of_one(spark, sf_dir):
+    """One origin, as a visitor's page asks."""
+    t = fx.load(spark, sf_dir)
+    origin = t.postcodes.agg(F.max("id").alias("postcode"))
+    near = GEO.nearest_postcodes(t.postcodes, origin)
+    return near.select("origin", F.col("rank").cast("long").alias("rank"), "postcode", F.round("distance", 3).alias("distance"))
+
+
 @register(
     "join4_nearby_jobs",
     fx.oracle("SELECT origin, rank, postcode, round(distance, 3) AS distance, date, bin FROM nj", NEARBY_JOBS_SQL),
@@ -713,9 +728,8 @@ GROUP BY nj.origin, d.default_date, nj.rank, nj.postcode, nj.distance
 def q_map_markers(spark, sf_dir):
     t = fx.load(spark, sf_dir)
     near = _near(t)
-    nj = GEO.nearby_jobs(near, t.premises, t.jobs)
     sel = GEO.default_dates(near, t.premises, t.jobs, AS_OF).select("origin", F.col("default_date").alias("selected_date"))
-    m = GEO.map_markers(nj, sel)
+    m = GEO.map_markers(near, t.premises, t.jobs, sel)
     return m.select(
         "origin", "selected_date", F.col("rank").cast("long").alias("rank"), "postcode", "is_self",
         F.array_join("bins", ",").alias("bins"), F.array_join("classes", ",").alias("classes"),

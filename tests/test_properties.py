@@ -226,6 +226,58 @@ def test_nearest_dense_cluster_of_distinct_points(spark):
     assert got == _brute_nearest(pts)
 
 
+def test_nearest_at_the_antimeridian_and_the_poles(spark):
+    rnd = random.Random(11)
+    pts = [(f"F{i:04d}", -17.0 + rnd.random() * 0.03, (179.98 + rnd.random() * 0.04 + 180) % 360 - 180) for i in range(250)]
+    pts += [(f"N{i:04d}", 89.95 + rnd.random() * 0.05, rnd.random() * 360 - 180) for i in range(250)]
+    pts += [("N9998", 90.0, 12.0), ("N9999", 90.0, -77.0), ("E0001", 0.0, 180.0), ("E0002", 0.0, -180.0), ("E0003", 0.001, 179.999)]
+    pts += [(f"S{i:04d}", -89.99 - rnd.random() * 0.01, rnd.random() * 360 - 180) for i in range(150)]
+    pts += [(f"A{i:04d}", 70.0 + rnd.random() * 0.002, 25.0 + rnd.random() * 0.006) for i in range(300)]
+    df = spark.createDataFrame(pts + [("X", None, 1.0), ("Y", 1.0, None)], "id string, latitude double, longitude double")
+    got = {(r.origin, r.postcode): r.rank for r in GEO.nearest_postcodes(df).select("origin", "rank", "postcode").collect()}
+    want = _brute_nearest(pts)
+    assert got == want
+    some = ["F0000", "N9998", "S0001", "A0007", "E0002", "X"]
+    frame = spark.createDataFrame([(p,) for p in some + some[:2]], "postcode string")
+    one = {(r.origin, r.postcode): r.rank for r in GEO.nearest_postcodes(df, frame).select("origin", "rank", "postcode").collect()}
+    assert one == {k: v for k, v in want.items() if k[0] in some}
+    few = {(r.origin, r.postcode): r.rank for r in GEO.nearest_postcodes(df, limit=5, radius_m=300.0).select("origin", "rank", "postcode").collect()}
+    assert few == _brute_nearest(pts, 5, 300.0)
+
+
+def test_one_origin_reads_only_its_box(spark, tmp_dir):
+    """The origin's box reaches the scan, and only its surroundings are staged."""
+    from kerbside.operators import nearest
+
+    rows = [(f"P{i:05d}", 50.0 + i * 0.001, -1.0) for i in range(5000)]
+    spark.createDataFrame(rows, "id string, latitude double, longitude double").write.parquet(f"{tmp_dir}/pc")
+    stored = spark.read.parquet(f"{tmp_dir}/pc")
+    staged = {}
+    keep, nearest.materialize = nearest.materialize, lambda df, tag: staged.setdefault(tag, (df, keep(df, tag)))[1]
+    try:
+        spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+        out = nearest.nearest_postcodes(stored, spark.createDataFrame([("P02500",)], "postcode string"))
+        assert out.count() == 35
+    finally:
+        nearest.materialize = keep
+    points, written = staged["near-points"]
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(latitude" in plan and "LessThanOrEqual(longitude" in plan
+    assert written.count() < 60 and staged["near-origins"][1].count() == 1
+
+
+def test_grid_cells_are_as_wide_as_high_and_few(spark):
+    from kerbside.operators.nearest import Grid
+
+    grid = Grid(2000.0)
+    rows = [(float(lat), lon) for lat in (-90, -89.99, -60, 0, 33, 70, 89.9, 89.97, 89.999, 90) for lon in (-180.0, -0.01, 179.99)]
+    df = spark.createDataFrame(rows, "latitude double, longitude double")
+    probes = grid.around(F.col("latitude"), F.col("longitude"), F.lit(2000.0), F.lit(0))
+    got = df.select("latitude", F.size(probes).alias("n"), F.size(F.array_distinct(probes)).alias("d")).collect()
+    assert all(r.n == r.d for r in got)
+    assert max(r.n for r in got) <= 110 and max(r.n for r in got if abs(r.latitude) < 89) <= 30
+
+
 def test_add_only_uses_the_last_add_as_a_pair(spark):
     """Event ids need not follow time: order by the last add's own (ts, id)."""
     import datetime as dt
