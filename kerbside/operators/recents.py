@@ -7,8 +7,7 @@ then per user over at most ``10 × salts`` rows, so a user holding a third of
 all events never lands in one window partition.
 
 With removes the list is a fold (an entry pushed out by the cap never comes
-back).  ``recents_fold`` computes it exactly as a batch plan with no per-user
-task (see its docstring).
+back): mergeable summaries of sorted slices, joined per user.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
+from kerbside.operators.list_fold import fold_lists
 from kerbside.schemas import SAVED_DOCUMENT, SAVED_ELEMENT
 
 MAX_SAVED = 10  # fixed value: entries kept in the list
@@ -76,15 +76,16 @@ _KEYS = ["id", "addressRoom", "addressNumber", "addressStreet", "addressLocality
 
 def parse_saved_list(docs: DataFrame, col: str = "document") -> DataFrame:
     """JSN1: parse saved-list documents; every element needs all seven keys and
-    a numeric id (address parts may be null).  One bad element empties the
-    whole list; unknown keys are dropped.  Output: (…, position, id, parts)."""
+    a whole number as id (address parts may be null).  One bad element empties
+    the whole list, so a fractional id is refused and never cut; unknown keys are dropped.  Output: (…, position, id, parts)."""
     raw_items = F.from_json(F.col(col), "struct<premises: array<string>>")["premises"]
     typed = F.from_json(F.col(col), SAVED_DOCUMENT)["premises"]
     has_keys = F.forall(
         raw_items,
         lambda e: F.forall(F.array(*[F.lit(k) for k in _KEYS]), lambda k: F.array_contains(F.json_object_keys(e), k)),
     )
-    ids_ok = F.forall(typed, lambda e: e["id"].isNotNull())
+    whole = lambda e: e["id"] == F.rint(e["id"])
+    ids_ok = F.forall(typed, lambda e: e["id"].isNotNull() & whole(e) & (F.abs(e["id"]) < float(1 << 53)))
 
     def kind(e: Column, key: str) -> Column:
         return F.schema_of_variant(F.variant_get(F.try_parse_json(e), f"$.{key}", "variant"))
@@ -106,73 +107,10 @@ def parse_saved_list(docs: DataFrame, col: str = "document") -> DataFrame:
     )
 
 
-def _top_by_recency(cands: DataFrame, limit: int, salts: int) -> DataFrame:
-    """The ``limit`` most recent candidates per user (two-phase top-k)."""
-    order = [F.col("t_ts").desc(), F.col("t_ev").desc()]
-    salted = cands.withColumn("_salt", F.pmod(F.xxhash64("pid"), F.lit(salts)))
-    w1 = Window.partitionBy("user_id", "_salt").orderBy(*order)
-    local = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= limit)
-    w2 = Window.partitionBy("user_id").orderBy(*order)
-    return local.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= limit).drop("_salt", "_r")
-
-
-def recents_fold(log: DataFrame, limit: int = MAX_SAVED, salts: int = SALTS) -> DataFrame:
-    """WIN1 with removes (and clears) as an exact batch plan with no per-user task.
-
-    ``log``: (user_id, ts, event_id, op, pid), op in add / remove / clear,
-    applied in (ts, event_id) order.  Characterisation used: premises p whose
-    last event is an add at time T survives iff, at no later time t, 10 or
-    more other premises have an add as their latest event in (T, t] (those
-    are the entries in front of p; the cap drops p when there are 10).  That
-    count is a running sum of +1/-1 steps, each decided by the event and the
-    previous event of the same premises; only the ``limit`` most recent
-    candidates can survive.  Built from a skew-safe lag (``sequence_within``
-    + a join on unique keys), a join with ≤ ``limit`` thresholds per user,
-    and ``running_sum_within``.
-
-    Output: (user_id, position, pid), position 0 = most recent.
+def recents_fold(log: DataFrame, limit: int = MAX_SAVED) -> DataFrame:
+    """WIN1 with removes and clears: every user's list after the whole log
+    (user_id, ts, event_id, op, pid), op in add / remove / clear, in (ts,
+    event_id) order.  Output: (user_id, position, pid), position 0 = most
+    recent.  See ``operators.list_fold``.
     """
-    from kerbside.plans.ordering import running_sum_within, sequence_within
-
-    ev = log.select("user_id", "ts", "event_id", "op", "pid")
-    key = F.struct("ts", "event_id")
-    # a clear empties the list: only events after a user's last clear matter
-    clears = ev.where(F.col("op") == "clear").groupBy("user_id").agg(F.max(key).alias("_clear"))
-    ev = (
-        ev.join(clears, "user_id", "left")
-        .where(F.col("_clear").isNull() | (key > F.col("_clear")))
-        .where(F.col("op") != "clear")
-        .drop("_clear")
-    )
-    # candidates: premises whose last event is an add; keep the most recent ones
-    last = ev.groupBy("user_id", "pid").agg(F.max(F.struct("ts", "event_id", "op")).alias("_last"))
-    cands = last.where(F.col("_last.op") == "add").select(
-        "user_id", "pid", F.col("_last.ts").alias("t_ts"), F.col("_last.event_id").alias("t_ev")
-    )
-    top = _top_by_recency(cands, limit, salts)
-    # previous event of the same (user, premises)
-    seq = sequence_within(ev, ["user_id", "pid"], ["ts", "event_id"], out="_k")
-    prev = seq.select(
-        "user_id", "pid", (F.col("_k") + 1).alias("_k"),
-        F.col("op").alias("prev_op"), F.col("ts").alias("prev_ts"), F.col("event_id").alias("prev_ev"),
-    )
-    steps = seq.join(prev, ["user_id", "pid", "_k"], "left")
-    # every event after each candidate's last add: +1 when a premises turns
-    # "added after T", -1 when such a premises is removed
-    thresholds = top.select("user_id", F.col("pid").alias("cand"), "t_ts", "t_ev")
-    after = steps.join(thresholds, "user_id").where(key > F.struct("t_ts", "t_ev"))
-    prev_after_add = (F.col("prev_op") == "add") & (F.struct("prev_ts", "prev_ev") > F.struct("t_ts", "t_ev"))
-    step = (
-        F.when((F.col("op") == "add") & ~F.coalesce(prev_after_add, F.lit(False)), 1)
-        .when((F.col("op") == "remove") & F.coalesce(prev_after_add, F.lit(False)), -1)
-        .otherwise(0)
-    )
-    run = running_sum_within(
-        after.select("user_id", "cand", "ts", "event_id", step.alias("_d")), ["user_id", "cand"], ["ts", "event_id"], "_d"
-    )
-    peak = run.groupBy("user_id", "cand").agg(F.max("running").alias("_peak"))
-    survivors = top.join(peak, (top["user_id"] == peak["user_id"]) & (top["pid"] == peak["cand"]), "left").where(
-        F.coalesce(F.col("_peak"), F.lit(0)) <= limit - 1
-    ).select(top["user_id"], "pid", "t_ts", "t_ev")
-    w = Window.partitionBy("user_id").orderBy(F.col("t_ts").desc(), F.col("t_ev").desc())  # ≤ limit rows per user
-    return survivors.select("user_id", (F.row_number().over(w) - 1).cast("int").alias("position"), "pid")
+    return fold_lists(log, limit)

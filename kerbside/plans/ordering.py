@@ -18,14 +18,14 @@ recomputing.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.plans.stage import materialize
 
-_P, _I, _OFF, _G = "_kb_part", "_kb_pos", "_kb_off", "_kb_rank"
+_P, _I, _OFF, _RUN = "_kb_part", "_kb_pos", "_kb_off", "_kb_run"
 
 
 def _as_order(c: Column | str) -> Column:
@@ -82,8 +82,35 @@ def global_sequence(
     )
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+def _number_runs(group_keys: Sequence[str]):
+    """Arrow batches of a sorted partition, with each row's place in the
+    partition and in its run of equal group keys."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        pos, length, last = 0, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(g)) for g in group_keys]
+            new = np.zeros(n, dtype=bool)
+            for c in columns:  # equal values have equal codes, nulls included
+                codes = np.asarray(c.dictionary_encode(null_encoding="encode").indices)
+                new[1:] |= codes[1:] != codes[:-1]
+            first = [c[0].as_py() for c in columns]
+            if first != last:
+                new[0], length = True, 0
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            place = np.where(start >= 0, at - start, at + length)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(pos + at, pa.int64()), pa.array(place, pa.int64())], names=[*batch.schema.names, _I, _RUN]
+            )
+            pos, length, last = pos + n, int(place[-1]) + 1, [c[n - 1].as_py() for c in columns]
+
+    return run
 
 
 def sequence_within(
@@ -96,58 +123,35 @@ def sequence_within(
     """0-based position of every row inside its group, in ``order_keys`` order.
 
     Equals ``row_number() OVER (PARTITION BY group_keys ORDER BY order_keys) - 1``
-    for unique keys.  A group's rows may span many partitions; its start rank
-    is the minimum over one row per (partition, group), and the join back is
-    on (partition, group), which no hot group can skew.
+    for unique keys.  The rows are exchanged once, by range; a row's place in
+    its run of equal keys is counted while the partition is sorted.  Only the
+    first run of a partition can have begun earlier: how many rows earlier
+    partitions hold of it is one number per partition, which is broadcast.
     """
     if not group_keys:
         return global_sequence(df, order_keys, out, num_partitions)
     keys = [F.col(g).asc_nulls_last() for g in group_keys] + [_as_order(k) for k in order_keys]
-    tagged, offsets = tag_sorted(df, keys, num_partitions)
-    ranked = tagged.join(F.broadcast(offsets), _P).withColumn(_G, F.col(_OFF) + F.col(_I))
-    firsts = ranked.groupBy(_P, *group_keys).agg(F.min(_G).alias("_kb_first"))
-    starts = firsts.groupBy(*group_keys).agg(F.min("_kb_first").alias("_kb_start"))
-    fs = firsts.alias("f")
-    st = starts.alias("s")
-    per_part = fs.join(st, _null_safe_on(fs, st, group_keys)).select(
-        F.col(f"f.{_P}").alias(_P), *[F.col(f"f.{g}").alias(g) for g in group_keys], F.col("s._kb_start")
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    kept = ranged.sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias(_P))
+    schema = T.StructType([*kept.schema.fields, T.StructField(_I, T.LongType()), T.StructField(_RUN, T.LongType())])
+    tagged = materialize(kept.mapInArrow(_number_runs(list(group_keys)), schema), "ordered")
+    # the first run of every partition, and the last with its length
+    group = F.struct(*[F.col(g) for g in group_keys])
+    edges = tagged.groupBy(_P).agg(
+        F.min_by(group, _I).alias("_kb_first"), F.max_by(group, _I).alias("_kb_last"), (F.max_by(_RUN, _I) + 1).alias("_kb_len")
     )
-    r = ranked.alias("r")
-    pp = per_part.alias("pp")
-    cond = (F.col(f"r.{_P}") == F.col(f"pp.{_P}")) & _null_safe_on(r, pp, group_keys)
-    return r.join(pp, cond).select(
-        *[F.col(f"r.{c}") for c in df.columns], (F.col(f"r.{_G}") - F.col("pp._kb_start")).alias(out)
+    ends = edges.select(
+        _P,
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("_kb_end"), F.col("_kb_first").alias("_kb_key"), F.lit(0).cast("long").alias("_kb_n")),
+                F.struct(F.lit(1).alias("_kb_end"), F.col("_kb_last").alias("_kb_key"), F.col("_kb_len").alias("_kb_n")),
+            )
+        ),
     )
-
-
-def running_sum_within(
-    df: DataFrame,
-    group_keys: Sequence[str],
-    order_keys: Sequence[Column | str],
-    value_col: str,
-    out: str = "running",
-    num_partitions: int | None = None,
-) -> DataFrame:
-    """Inclusive running sum of ``value_col`` inside each group, in
-    ``order_keys`` order, without a per-group task.
-
-    Equals ``sum(value) OVER (PARTITION BY g ORDER BY o ROWS UNBOUNDED
-    PRECEDING)`` for unique keys.  Rows are range-partitioned as in
-    ``sequence_within``; the running sum inside one (partition, group) run is a
-    window whose partition is bounded by the partition size, and the carry of
-    a group from earlier partitions comes from one total per (partition,
-    group), summed over at most ``num_partitions`` rows per group.
-    """
-    keys = [F.col(g).asc_nulls_last() for g in group_keys] + [_as_order(k) for k in order_keys]
-    tagged, _ = tag_sorted(df, keys, num_partitions)
-    upto = Window.partitionBy(_P, *group_keys).orderBy(_I).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tagged.withColumn("_kb_local", F.sum(value_col).over(upto))
-    totals = tagged.groupBy(_P, *group_keys).agg(F.sum(value_col).alias("_kb_tot"))
-    earlier = Window.partitionBy(*group_keys).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(_P, *group_keys, F.coalesce(F.sum("_kb_tot").over(earlier), F.lit(0)).alias("_kb_carry"))
-    lo = local.alias("l")
-    ca = carry.alias("c")
-    cond = (F.col(f"l.{_P}") == F.col(f"c.{_P}")) & _null_safe_on(lo, ca, group_keys)
-    return lo.join(ca, cond).select(
-        *[F.col(f"l.{c}") for c in df.columns], (F.col("c._kb_carry") + F.col("l._kb_local")).alias(out)
+    before = Window.partitionBy("_kb_key").orderBy(_P, "_kb_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # two rows per partition
+    carry = ends.withColumn(_OFF, F.sum("_kb_n").over(before)).where(F.col("_kb_end") == 0).select(_P, _OFF)
+    in_first_run = F.col(_I) == F.col(_RUN)
+    return tagged.join(F.broadcast(carry), _P).select(
+        *[F.col(c) for c in df.columns], (F.col(_RUN) + F.when(in_first_run, F.col(_OFF)).otherwise(F.lit(0))).alias(out)
     )

@@ -117,10 +117,12 @@ def test_saved_list_validation(spark):
             (3, '{"premises":[' + text_id + "]}"),  # a non-numeric id empties the list
             (4, "not json"),
             (5, '{"other":[]}'),
+            (6, '{"premises":[' + ok.replace('"id":1', '"id":1.5') + "]}"),  # an id is a whole number
+            (7, '{"premises":[' + ok.replace('"id":1', '"id":2.0') + "]}"),
         ],
         "user_id int, document string",
     )
     got = {}
     for r in parse_saved_list(docs).collect():
         got.setdefault(r.user_id, []).append((r.position, r.id, r.addressRoom))
-    assert got == {1: [(0, 1, None), (1, 1, None)]}
+    assert got == {1: [(0, 1, None), (1, 1, None)], 7: [(0, 2, None)]}

@@ -162,15 +162,22 @@ def test_hot_premises_spreads_over_partitions(spark):
     assert hot == list(range(n // 3))
 
 
-@pytest.mark.parametrize("parts", [1, 7, 13])
-def test_running_sum_within_equals_window(spark, parts):
-    from kerbside.plans.ordering import running_sum_within
-
-    df = skewed(spark).withColumn("v", (F.col("u") % 7) - 3)
-    got = running_sum_within(df, ["g"], ["o", "u"], "v", num_partitions=parts)
-    w = Window.partitionBy("g").orderBy("o", "u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    want = df.withColumn("running", F.sum("v").over(w))
-    assert sorted(map(tuple, got.select("g", "u", "running").collect())) == sorted(map(tuple, want.select("g", "u", "running").collect()))
+def test_ordering_exchanges_base_rows_once(spark, monkeypatch):
+    """One range exchange before the numbering; afterwards only one row per
+    partition is shuffled, and the carries are broadcast."""
+    from kerbside.plans import ordering
+
+    staged = []
+    keep = ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df, tag: staged.append(df) or keep(df, tag))
+    t = fx.load(spark, SF001)
+    jobs = feeds.numbered_jobs(t.premises, t.jobs)
+    before = staged[0]._jdf.queryExecution().executedPlan().toString()
+    assert before.count("Exchange rangepartitioning(premises_id") == 1 and "Exchange hashpartitioning(seq" not in before
+    after = jobs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in after and "SortMergeJoin" not in after
+    base = after.split("BroadcastExchange")[0]  # the side with the rows themselves
+    assert "Exchange hashpartitioning" not in base and "Exchange rangepartitioning" not in base
 
 
 def test_recents_fold_batch_random_logs(spark):
@@ -197,6 +204,58 @@ def test_recents_fold_batch_random_logs(spark):
     assert got == want
 
 
+def test_list_summaries_join_in_any_grouping():
+    """Summaries of slices, joined left to right, as a tree or all at once,
+    leave the list that a plain replay leaves."""
+    from kerbside.operators.list_fold import Summary
+
+    rnd = random.Random(17)
+    for trial in range(400):
+        limit, ids = rnd.choice([1, 2, 3, 10]), rnd.choice([2, 4, 8, 30])
+        weights = rnd.choice([(6, 4, 0), (5, 5, 1), (1, 9, 0), (9, 1, 1)])
+        events = [(rnd.choices(["add", "remove", "clear"], weights)[0], rnd.randrange(ids)) for _ in range(rnd.randrange(0, 80))]
+        want: list = []
+        for op, pid in events:
+            want = [] if op == "clear" else [x for x in want if x != pid]
+            want = ([pid] + want)[:limit] if op == "add" else want
+        cuts = sorted(rnd.randrange(len(events) + 1) for _ in range(rnd.randrange(5)))
+        runs = []
+        for a, b in zip([0, *cuts], [*cuts, len(events)]):
+            one = Summary(limit)
+            for op, pid in events[a:b]:
+                one.event(op, pid)
+            runs.append(one)
+        left = runs[0]
+        for one in runs[1:]:
+            left = left.then(one)
+        tree = list(runs)
+        while len(tree) > 1:
+            k = rnd.randrange(len(tree) - 1)
+            tree[k : k + 2] = [tree[k].then(tree[k + 1])]
+        lists = []
+        for one in runs:
+            lists = one.after(lists)
+        assert left.after([]) == tree[0].after([]) == lists == want, (trial, events, cuts)
+        assert all(len(x.touched) <= ids and len(x.front) <= limit for x in runs)
+
+
+def test_hot_user_is_many_summaries(spark):
+    """One user holds most events: every partition that holds some of them
+    gives one small row."""
+    from kerbside.operators.list_fold import slice_summaries
+
+    n = 40_000
+    log = spark.range(n).select(
+        F.when(F.col("id") % 3 < 2, F.lit(1)).otherwise(F.col("id") % 500 + 2).alias("user_id"),
+        F.timestamp_seconds(F.col("id")).alias("ts"),
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 5 == 0, "remove").otherwise("add").alias("op"),
+        (F.col("id") * 7 % 1000).alias("pid"),
+    )
+    hot = slice_summaries(log, 10).where("user_id = 1").collect()
+    assert len(hot) >= 4 and all(r.fresh and not r.touched and len(r.front) <= 10 for r in hot)
+
+
 def _brute_nearest(pts, limit=100, radius=2000.0):
     import numpy as np
 
