@@ -262,3 +262,30 @@ def sitemap_index_lines(entries: DataFrame) -> DataFrame:
     spark = entries.sparkSession
     ends = spark.createDataFrame([(0, 0, SITEMAP_INDEX_HEAD), (2, 0, SITEMAP_INDEX_TAIL)], "part int, pos long, text string")
     return ends.unionByName(entries.select(F.lit(1).alias("part"), "pos", F.col("xml").alias("text")))
+
+
+# --------------------------------------------------------------------------- EXP1, one page
+def page_index(premises: DataFrame, page_size: int = SITEMAP_PAGE_SIZE) -> DataFrame:
+    """(page, first_id): where every page begins, to be stored beside the
+    table.  One row for each ``page_size`` premises; ids are unique."""
+    seq = global_sequence(premises.select("id"), [F.col("id").asc()], out="seq")
+    return seq.where(F.col("seq") % page_size == 0).select((F.col("seq") / page_size).cast("long").alias("page"), F.col("id").alias("first_id"))
+
+
+def page_of(premises: DataFrame, index: DataFrame, page: int) -> DataFrame:
+    """EXP1: one page (ORDER BY id LIMIT size OFFSET page * size) as a range of
+    ids that reaches the scan, from the stored index; empty = not found."""
+    ends = {r["page"]: r["first_id"] for r in index.where(F.col("page").isin(page, page + 1)).collect()}  # two rows
+    if page not in ends:
+        return premises.where(F.lit(False))
+    inside = F.col("id") >= ends[page]
+    return premises.where(inside & (F.col("id") < ends[page + 1]) if page + 1 in ends else inside)
+
+
+def indexed_sitemap_page(premises: DataFrame, index: DataFrame, page: int, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
+    """SNK10 for one page: (id, url, lastmod) of its premises."""
+    return page_of(premises, index, page).select(
+        "id",
+        F.concat(F.lit(f"{base_url}/premises/"), F.col("id").cast("string")).alias("url"),
+        F.date_format("updated_at", ISO_MILLIS).alias("lastmod"),
+    )

@@ -8,10 +8,12 @@ identical on both sides.
 from __future__ import annotations
 
 import datetime as _dt
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside import fixtures as fx
 from kerbside.functions import address as A
@@ -418,6 +420,28 @@ def q_sitemap_rows(spark, sf_dir):
     return feeds.sitemap_rows(t.premises, BASE)
 
 
+SITEMAP_TEST_PAGE = 400  # premises of a page here, so that small tables have several
+
+
+@register(
+    "exp1_sitemap_page",
+    fx.oracle(
+        f"""
+SELECT id, 'https://example.org/premises/' || CAST(id AS VARCHAR) AS url,
+  strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000Z') AS lastmod
+FROM premises ORDER BY id LIMIT {SITEMAP_TEST_PAGE} OFFSET {SITEMAP_TEST_PAGE}
+"""
+    ),
+)
+def q_sitemap_page(spark, sf_dir):
+    """The second page, by id range, from a stored table and its page index."""
+    store = TableStore(spark, _scratch(spark, "paged"))
+    store.replace_if_nonempty(fx.load(spark, sf_dir).premises, "premises", sort_by=["id"])
+    stored = store.load("premises")
+    store.replace_if_nonempty(feeds.page_index(stored, SITEMAP_TEST_PAGE), "premises_pages")
+    return feeds.indexed_sitemap_page(stored, store.load("premises_pages", T.StructType.fromDDL("page long, first_id long")), 1)
+
+
 @register(
     "agg2_sitemap_page_count",
     fx.oracle("SELECT count(*) AS n, CAST(ceil(count(*) / 50000) AS BIGINT) AS pages FROM premises"),
@@ -1303,12 +1327,24 @@ def q_bad_lines(spark, sf_dir):
 
 @register(
     "ing8_job_ids",
-    fx.oracle("SELECT count(*) AS jobs, count(*) AS ids FROM jobs"),
+    fx.oracle(
+        """
+SELECT row_number() OVER (ORDER BY CASE WHEN id % 10 = 0 THEN 0 WHEN id % 10 < 4 THEN 1 ELSE 2 END, id) AS id,
+  premises_id, bin, date
+FROM jobs
+"""
+    ),
 )
 def q_job_ids(spark, sf_dir):
-    """Every loaded job has an id of its own."""
-    loaded = ING.read_jobs_csv(spark, _export_jobs_csv(spark, sf_dir))
-    return loaded.agg(F.count(F.lit(1)).alias("jobs"), F.countDistinct("id").alias("ids"))
+    """Ids in load order: three exports of unequal size, each sorted over
+    several files, are loaded together; an id is the line's number over all."""
+    path = _scratch(spark, "jobs-parts")
+    jobs = fx.jobs_source(spark, sf_dir)
+    last = F.col("id") % 10
+    for k, part in enumerate([last == 0, last.between(1, 3), last > 3]):
+        ordered = jobs.where(part).orderBy("id").select("premises_id", "bin", F.date_format("date", "d/M/yy").alias("date"))
+        ordered.write.options(**_CSV_OUT).csv(f"{path}/{k}")
+    return ING.read_jobs_csv(spark, [f"{path}/{k}" for k in range(3)])
 
 
 # =========================================================================== SNK1 / SRC4 / AGG3 / CHG2 / CHG3
@@ -1341,13 +1377,16 @@ def q_refresh_runs(spark, sf_dir):
     obs = CHG.marker_rows(CHG.snapshot_marker(fx.premises_source(spark, sf_dir), P_COLS), URLS["premises"], fx.MERGE_TS, fx.MERGE_TS).unionByName(
         CHG.marker_rows(CHG.snapshot_marker(fx.jobs_source(spark, sf_dir), J_COLS), URLS["jobs"], fx.MERGE_TS, fx.MERGE_TS)
     )
-    clock = lambda: fx.MERGE_TS
+    tick = itertools.count()
+    clock = lambda: fx.MERGE_TS + _dt.timedelta(seconds=next(tick))  # noqa: E731 - every look at it is a second later
     refresh(spark, store, datasets, obs, now=clock)
     refresh(spark, store, datasets, obs, now=clock)
     counts = store.load("premises").agg(F.count(F.lit(1)).alias("n")).select(F.lit("premises").alias("dataset"), "n").unionByName(
         store.load("jobs").agg(F.count(F.lit(1)).alias("n")).select(F.lit("jobs").alias("dataset"), "n")
     )
-    return store.load_appended("runs").join(counts, "dataset").select("dataset", "decision", "error", "n")
+    return store.load_appended("runs").join(counts, "dataset").select(
+        "dataset", "decision", "error", "n", F.col("start").alias("started_at"), F.col("end").alias("ended_at"), "duration_ms"
+    )
 
 
 # =========================================================================== oracles for the stateful queries
@@ -1377,10 +1416,12 @@ FROM final, unnest(range(1, len(lst) + 1)) AS t(i)
 # load every row, then both are unchanged.
 ORACLES["chg2_chg3_refresh_runs"] = fx.oracle(
     """
-SELECT d.dataset, r.decision, CAST(NULL AS VARCHAR) AS error, d.n
-FROM (SELECT 'premises' AS dataset, (SELECT count(*) FROM premises) AS n
-      UNION ALL SELECT 'jobs', (SELECT count(*) FROM jobs)) d,
-     (SELECT 'changed' AS decision UNION ALL SELECT 'unchanged') r
+SELECT d.dataset, r.decision, CAST(NULL AS VARCHAR) AS error, d.n,
+  TIMESTAMP '2000-06-01 03:00:00' + to_seconds(d.k + r.k) AS started_at,
+  TIMESTAMP '2000-06-01 03:00:00' + to_seconds(d.k + r.k + 1) AS ended_at, CAST(1000 AS BIGINT) AS duration_ms
+FROM (SELECT 'premises' AS dataset, (SELECT count(*) FROM premises) AS n, 0 AS k
+      UNION ALL SELECT 'jobs', (SELECT count(*) FROM jobs), 2) d,
+     (SELECT 'changed' AS decision, 0 AS k UNION ALL SELECT 'unchanged', 5) r
 """
 )
 

@@ -11,7 +11,7 @@ import datetime as dt
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,31 +28,51 @@ def lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(paths if isinstance(paths, str) else list(paths))
 
 
+LOAD_KEY = ["file", "block", "row"]
+
+
+def lines_in_order(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``lines`` with the place of each: its file, the start of its split, and a
+    number that increases inside the split."""
+    raw = lines(spark, paths)
+    return raw.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
 def dedupe_lines(raw: DataFrame) -> DataFrame:
-    """ING5: identical raw lines keep one (legacy jobs path, before NUL stripping)."""
-    return raw.dropDuplicates(["value"])
+    """ING5: identical raw lines keep one, the first in load order where lines
+    have a place (legacy jobs path, before NUL stripping)."""
+    if not set(LOAD_KEY) <= set(raw.columns):
+        return raw.dropDuplicates(["value"])
+    return raw.groupBy("value").agg(F.min(F.struct(*LOAD_KEY)).alias("_first")).select("value", "_first.*")
 
 
 def strip_nul(raw: DataFrame) -> DataFrame:
     """ING1: drop every NUL byte from the raw line."""
-    return raw.select(F.translate("value", "\u0000", "").alias("value"))
+    return raw.withColumn("value", F.translate("value", "\u0000", ""))
 
 
 def strip_cr(raw: DataFrame) -> DataFrame:
     """ING2: strip one trailing CR (a CR inside the line survives)."""
-    return raw.select(F.regexp_replace("value", "\r$", "").alias("value"))
+    return raw.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
 def parse_csv_lines(clean: DataFrame, columns: Sequence[str], strict: bool = True) -> DataFrame:
-    """Parse comma/double-quote CSV lines into text columns; blank lines are skipped.
+    """Parse comma/double-quote CSV lines into text columns; blank lines are
+    skipped, other columns stay.
 
     Strict mode (FAILFAST) raises on ragged rows and unterminated quotes, as the
     reference's importer aborts.  Empty fields come back as '' (V2).
     """
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     options = {"mode": "FAILFAST" if strict else "PERMISSIVE", "escape": '"', "quote": '"', "sep": ","}
-    parsed = clean.where(F.col("value") != "").select(F.from_csv("value", schema.simpleString(), options).alias("r"))
-    return parsed.select(*[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in columns])
+    others = [c for c in clean.columns if c != "value"]
+    parsed = clean.where(F.col("value") != "").select(*others, F.from_csv("value", schema.simpleString(), options).alias("_r"))
+    return parsed.select(*others, *[F.coalesce(F.col(f"_r.{c}"), F.lit("")).alias(c) for c in columns])
 
 
 def _outside_quotes(value: Column) -> Column:
@@ -82,7 +102,7 @@ def _field_count_check(clean: DataFrame, columns: Sequence[str]) -> DataFrame:
         .when(fields != n, F.raise_error(F.concat(F.lit(f"expected {n} fields in line: "), value)))
         .otherwise(value)
     )
-    return clean.where(value != "").select(checked.alias("value"))
+    return clean.where(value != "").withColumn("value", checked)
 
 
 def read_csv_text(
@@ -97,9 +117,9 @@ def read_csv_text(
 
 
 def csv_from_lines(raw: DataFrame, columns: Sequence[str], dedupe: bool = False, strict: bool = True) -> DataFrame:
-    """The CSV route on a DataFrame of raw lines (column ``value``), e.g. a
-    micro-batch of a file stream."""
-    raw = raw.select("value")
+    """The CSV route on a DataFrame of raw lines (column ``value``); the place
+    of a line (``LOAD_KEY``) stays with it."""
+    raw = raw.select("value", *[c for c in LOAD_KEY if c in raw.columns])
     if dedupe:
         raw = dedupe_lines(raw)
     clean = strip_cr(strip_nul(raw))
@@ -151,9 +171,23 @@ def with_search_postcode(df: DataFrame) -> DataFrame:
     )
 
 
-def with_job_id(df: DataFrame) -> DataFrame:
-    """ING8: surrogate id in load order (unique, increasing, not dense)."""
-    return df.withColumn("id", F.monotonically_increasing_id())
+def split_offsets(placed: DataFrame) -> DataFrame:
+    """(file, block, base): what to subtract from ``row`` so that a split's lines
+    go on counting where the split before it ends; files in the order of their
+    names.  One row per split, from a scan that parses nothing."""
+    splits = placed.groupBy("file", "block").agg(F.min("row").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select("file", "block", (F.col("_low") - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("base"))
+
+
+def with_job_id(df: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """ING8: surrogate id in load order, from 1: the line's number over all
+    files (a skipped line leaves a gap).  ``df`` and ``placed``, the lines it
+    comes from, have their places; without them ids follow partitions."""
+    if placed is None:
+        return df.withColumn("id", F.monotonically_increasing_id())
+    offsets = split_offsets(placed)
+    return df.join(offsets, ["file", "block"]).withColumn("id", F.col("row") - F.col("base") + 1).drop(*LOAD_KEY, "base")
 
 
 def with_load_ts(df: DataFrame, load_ts: dt.datetime) -> DataFrame:
@@ -189,18 +223,20 @@ def premises_from_lines(raw: DataFrame, load_ts: dt.datetime, names: Sequence[st
 
 def read_jobs_csv(spark: SparkSession, paths: str | Sequence[str], dedupe: bool = False) -> DataFrame:
     """SRC2 (+ ING1-4, ING8): the jobs snapshot; '' bins stay ''."""
-    return jobs_from_lines(lines(spark, paths), dedupe=dedupe)
+    return jobs_from_lines(lines_in_order(spark, paths), dedupe=dedupe)
 
 
 def jobs_from_lines(raw: DataFrame, dedupe: bool = False) -> DataFrame:
-    """SRC2 on a DataFrame of raw lines."""
+    """SRC2 on a DataFrame of raw lines, with or without their places."""
     text = csv_from_lines(raw, schemas.JOBS_CSV_COLUMNS, dedupe=dedupe)
+    known = set(LOAD_KEY) <= set(raw.columns)
     typed = text.select(
+        *(LOAD_KEY if known else []),
         strict_int(F.col("premises_id"), "premises_id").alias("premises_id"),
         F.col("bin"),
         strict_dmy(F.col("date"), "date").alias("date"),
     )
-    return with_job_id(typed).select("id", "premises_id", "bin", "date")
+    return with_job_id(typed, raw if known else None).select("id", "premises_id", "bin", "date")
 
 
 def read_sqlite_premises(spark: SparkSession, paths: str | Sequence[str], load_ts: dt.datetime) -> DataFrame:

@@ -152,3 +152,25 @@ def test_weighted_pick_returns_k(spark):
     assert random_pending_geocodes(many, none, k=20, seed=3).distinct().count() == 20
     assert random_pending_geocodes(many, none, k=100).count() == 25
     assert p.count() == 4
+
+
+def test_sitemap_page_reads_an_id_range(spark, tmp_dir):
+    """Pages by the stored index equal the numbered ones; the range is pushed
+    to the scan and the files are sorted on it."""
+    import datetime as dt
+
+    from kerbside.plans import feeds
+
+    rows = [(i * 3 % 1009 + 1, dt.datetime(2024, 1, 1)) for i in range(1000)]
+    store = TableStore(spark, tmp_dir)
+    table = spark.createDataFrame(rows, "id long, updated_at timestamp")
+    store.replace_if_nonempty(table, "paged", sort_by=["id"])
+    stored = store.load("paged", table.schema)
+    index = feeds.page_index(stored, 300)
+    assert sorted(r.page for r in index.collect()) == [0, 1, 2, 3]
+    ids = sorted(i for i, _ in rows)
+    for page in range(5):
+        got = sorted(r.id for r in feeds.indexed_sitemap_page(stored, index, page).collect())
+        assert got == ids[page * 300 : (page + 1) * 300]
+    plan = feeds.page_of(stored, index, 1)._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(id,{ids[300]})" in plan and f"LessThan(id,{ids[600]})" in plan
