@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from kerbside.functions.address import bin_dot_class
 from kerbside.functions.dates import as_date
-from kerbside.operators.lookup import postcode_job_set
+from kerbside.operators.lookup import jobs_at_postcodes, postcode_job_set
 from kerbside.operators.nearest import NEARBY_LIMIT, NEARBY_RADIUS_M, haversine_m, nearest_postcodes
 
+WORD = 64  # days whose bits one long holds
+
 __all__ = ["NEARBY_LIMIT", "NEARBY_RADIUS_M", "haversine_m", "nearest_postcodes"]
 
 
@@ -55,11 +57,36 @@ def nearby_jobs(near: DataFrame, premises: DataFrame, jobs: DataFrame) -> DataFr
 
 
 # --------------------------------------------------------------------------- AGG7 / AGG8 / FIL7
+def day_sets(premises: DataFrame, jobs: DataFrame, postcodes: DataFrame) -> DataFrame:
+    """(postcode, days): the job dates of each postcode as a set of bits, one
+    long for each ``WORD`` days that have any.  Bits need no distinct before
+    them: or-ing a date twice changes nothing."""
+    day = F.unix_date("date")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(day, F.lit(WORD)))
+    words = (
+        jobs_at_postcodes(premises, jobs, postcodes)
+        .groupBy("postcode", F.floor(day / WORD).alias("word"))
+        .agg(F.bit_or(bit).alias("bits"))
+    )
+    return words.groupBy("postcode").agg(F.collect_list(F.struct("word", "bits")).alias("days"))
+
+
 def date_facets(near: DataFrame, premises: DataFrame, jobs: DataFrame) -> DataFrame:
     """AGG7: the distinct job dates across each origin's nearby set.  A
-    postcode's dates are made distinct before they meet the origins."""
-    days = postcode_job_set(premises, jobs, near.select("postcode")).select("postcode", "date").distinct()
-    return near.select("origin", "postcode").join(days, "postcode").select("origin", "date").distinct()
+    neighbour brings its dates as one row of bits; the sets of an origin are
+    or-ed, and only the result becomes dates."""
+    sets = day_sets(premises, jobs, near.select("postcode"))
+    merged = (
+        near.select("origin", "postcode")
+        .join(sets, "postcode")
+        .select("origin", F.inline("days"))
+        .groupBy("origin", "word")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+    held = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("bits", i) == 1)
+    return merged.select("origin", "word", F.explode(held).alias("bit")).select(
+        "origin", F.date_from_unix_date((F.col("word") * WORD + F.col("bit")).cast("int")).alias("date")
+    )
 
 
 def default_dates(near: DataFrame, premises: DataFrame, jobs: DataFrame, as_of: dt.date | str | Column) -> DataFrame:

@@ -103,15 +103,18 @@ def postcode_jobs(
 
 def postcode_job_set(premises: DataFrame, jobs: DataFrame, postcodes: DataFrame) -> DataFrame:
     """Distinct (postcode, date, bin) of the jobs of premises at the given
-    postcodes.  Premises are cut to those postcodes before the jobs join, and
-    the distinct runs once, before any fan-out to requests."""
+    postcodes; the distinct runs once, before any fan-out to requests."""
+    return jobs_at_postcodes(premises, jobs, postcodes).dropDuplicates(["postcode", "date", "bin"])
+
+
+def jobs_at_postcodes(premises: DataFrame, jobs: DataFrame, postcodes: DataFrame) -> DataFrame:
+    """(postcode, date, bin) of every job of premises at the given postcodes.
+    Premises are cut to those postcodes before the jobs join."""
     wanted = premises.select("id", "address_postcode").join(
         postcodes.select(F.col("postcode").alias("_pc")).distinct(), F.col("address_postcode") == F.col("_pc"), "left_semi"
     )
-    return (
-        wanted.join(jobs.select("premises_id", "bin", "date"), F.col("id") == F.col("premises_id"))
-        .select(F.col("address_postcode").alias("postcode"), "date", "bin")
-        .dropDuplicates(["postcode", "date", "bin"])
+    return wanted.join(jobs.select("premises_id", "bin", "date"), F.col("id") == F.col("premises_id")).select(
+        F.col("address_postcode").alias("postcode"), "date", "bin"
     )
 
 

@@ -126,3 +126,21 @@ def test_saved_list_validation(spark):
     for r in parse_saved_list(docs).collect():
         got.setdefault(r.user_id, []).append((r.position, r.id, r.addressRoom))
     assert got == {1: [(0, 1, None), (1, 1, None)], 7: [(0, 2, None)]}
+
+
+def test_date_facets_are_sets_of_days(spark):
+    """Dates before 1970, on both sides of a word's end, and shared by several
+    neighbours; an origin brings one row per neighbour to the join."""
+    import datetime as dt
+
+    from kerbside.operators.geo import date_facets, day_sets
+
+    days = [dt.date(1969, 12, 31), dt.date(1970, 1, 1), dt.date(2024, 2, 29), dt.date(2024, 3, 1)]
+    days += [dt.date(1970, 1, 1) + dt.timedelta(days=k) for k in (63, 64, 127, 128)]
+    premises = spark.createDataFrame([(i, ["A", "B", None][i % 3]) for i in range(9)], "id long, address_postcode string")
+    jobs = spark.createDataFrame([(i, "BLACK", d) for i in range(9) for k, d in enumerate(days) if (i + k) % 2], "premises_id long, bin string, date date")
+    near = spark.createDataFrame([("o", 0, "A"), ("o", 1, "B"), ("p", 0, "B"), ("q", 0, "C")], "origin string, rank int, postcode string")
+    assert {r.postcode for r in day_sets(premises, jobs, near).collect()} == {"A", "B"}
+    got = [(r.origin, r.date) for r in date_facets(near, premises, jobs).collect()]
+    want = {(o, d) for o, pc in (("o", "A"), ("o", "B"), ("p", "B")) for i in range(9) if ["A", "B", None][i % 3] == pc for k, d in enumerate(days) if (i + k) % 2}
+    assert len(got) == len(set(got)) and set(got) == want
