@@ -145,7 +145,34 @@ def leaks(
     Rows with equal id and text count once; equal ids with different texts
     are compared each and give one row.  Repeated item rows count once.
     """
-    spark = docs.sparkSession
+    scored = _matches(docs, items, id_col, item_col, text_col, min_similarity, radius)
+    best = F.max_by(
+        F.struct("hamming", "start", "window_size"), F.struct("similarity", -F.col("start"))
+    )
+    return (
+        scored.groupBy("doc_id", "item_id")
+        .agg(F.max("similarity").alias("similarity"), best.alias("best"))
+        .select(
+            "doc_id",
+            "item_id",
+            "similarity",
+            F.col("best.hamming").cast("int").alias("hamming"),
+            F.col("best.start").alias("start_word"),
+            (F.col("best.window_size") + (SHINGLE - 1)).cast("int").alias("n_words"),
+        )
+    )
+
+
+def _doc_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart that differ in id or text."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
+def _matches(
+    docs: DataFrame, items: DataFrame, id_col: str, item_col: str, text_col: str, min_similarity: float, radius: int
+) -> DataFrame:
+    """Every window of a document that is similar to an item, with its
+    ``doc_key`` and ``similarity``."""
     item_rows = _hashed(
         items.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{text_col}`").alias("text")).distinct(),
         [F.col("item_id"), F.xxhash64("item_id", "text").alias("item_key")],
@@ -157,8 +184,8 @@ def leaks(
         ).where(F.col("h").isNotNull()),
         "llm-items",
     )
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    key = [F.xxhash64("doc_id", "text").alias("doc_key"), F.col("doc_id")]
+    base = docs.select(_doc_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    key = [F.col("key").alias("doc_key"), F.col("doc_id")]
     doc_rows = _hashed(base, key, "text")
 
     # windows with enough shared shingles, in shingle positions
@@ -177,9 +204,11 @@ def leaks(
     windows = hits.select("doc_key", "doc_id", "item_size", "size", F.explode(_starts()).alias("start"))
     windows = materialize(windows, "llm-windows")
 
-    # all shingles of those windows
+    # all shingles of those windows; only documents with a window move
+    chosen = materialize(windows.select("doc_key").distinct(), "llm-chosen")
+    holders = doc_rows.select("doc_key", "hashes").join(_hint(chosen, 16), "doc_key", "left_semi").dropDuplicates(["doc_key"])
     inside = (
-        windows.join(doc_rows.select("doc_key", "hashes").dropDuplicates(["doc_key"]), "doc_key")
+        windows.join(holders, "doc_key")
         .select(
             "doc_key", "doc_id", "item_size", "start", F.explode_outer(F.slice("hashes", F.col("start") + 1, F.col("size"))).alias("h")
         )
@@ -227,28 +256,14 @@ def leaks(
         .groupBy("doc_key", "doc_id", "item_size", "start", "item_id", "item_key")
         .agg(F.sum(F.least("n", "m")).alias("common"), F.first("window_size").alias("window_size"), F.first("hamming").alias("hamming"))
     )
-    scored = shared.withColumn(
+    return shared.withColumn(
         "similarity", F.col("common") / (F.col("window_size") + F.col("item_size") - F.col("common"))
     ).where(F.col("similarity") >= min_similarity)
-    best = F.max_by(
-        F.struct("hamming", "start", "window_size"), F.struct("similarity", -F.col("start"))
-    )
-    return (
-        scored.groupBy("doc_id", "item_id")
-        .agg(F.max("similarity").alias("similarity"), best.alias("best"))
-        .select(
-            "doc_id",
-            "item_id",
-            "similarity",
-            F.col("best.hamming").cast("int").alias("hamming"),
-            F.col("best.start").alias("start_word"),
-            (F.col("best.window_size") + (SHINGLE - 1)).cast("int").alias("n_words"),
-        )
-    )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without a leaked item; same columns.  A null id is kept
-    with its row (leaks of a null id do not remove other rows)."""
-    found = leaks(docs, items, id_col).select(F.col("doc_id").alias("__leaked_id")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`") == F.col("__leaked_id"), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without a leaked item; same columns.  A row goes if its own
+    id and text leak, whatever its id: null and repeated ids stand for
+    nothing else."""
+    found = _matches(docs, items, id_col, "item_id", text_col, MIN_SIMILARITY, RADIUS).select(F.col("doc_key").alias("__leaked_key")).distinct()
+    return docs.join(found, _doc_key(id_col, text_col) == F.col("__leaked_key"), "left_anti")
