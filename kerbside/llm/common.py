@@ -9,6 +9,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
@@ -27,6 +28,22 @@ def split_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
+def smallest_hashes(rows: DataFrame, group: str, per_group: int) -> DataFrame:
+    """(doc_id, group, rank) of distinct (doc_id, group): at most ``per_group``
+    of each group, ranked by the ids' hash.
+
+    A threshold from the group's row count leaves about ``per_group`` rows (ten
+    standard deviations more) before they are ranked, so no task ranks a group.
+    Repeated rows lower the threshold, and may leave fewer."""
+    h = F.xxhash64("doc_id")
+    share = (per_group + 10 * per_group**0.5 + 100) / F.col("n")
+    rows = rows.select("doc_id", group)
+    few = rows.join(F.broadcast(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))), group).where(h / 2.0**64 + 0.5 <= share)
+    order = Window.partitionBy(group).orderBy("h", "doc_id")
+    ranked = few.select("doc_id", group, h.alias("h")).distinct().withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= per_group).select("doc_id", group, "rank")
+
+
 def worker_state(key: str, make):
     """A value kept by the Python worker across tasks (caches, tokenizers)."""
     store = sys.modules.setdefault("_kerbside_llm_worker", types.ModuleType("_kerbside_llm_worker"))

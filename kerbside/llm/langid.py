@@ -7,9 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from kerbside.llm.common import worker_state
+from kerbside.llm.common import smallest_hashes, worker_state
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -79,14 +78,7 @@ def fit(labelled: DataFrame, per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> tup
     At most ``per_language`` documents of each language, those with the
     smallest hash of their id; priors are counted over all rows.
     """
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    sample = (
-        labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    sample = smallest_hashes(labelled, "lang", per_language).select("doc_id", "lang")
     rows = labelled.join(F.broadcast(sample), ["doc_id", "lang"])  # at most per_language ids a language
 
     def count(batches):

@@ -1,174 +1,218 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
 Two interpolated bigram models, one of toxic and one of ordinary labelled
-documents, over document counts (a word that one document repeats counts
-once).  An expression whose counts do not differ significantly between the
-classes is rare or says nothing: both classes then back off to the same shared
-counts, and it adds nothing to their difference.  The lowest level is shared
-as well: how many documents of the whole corpus use a word.
+documents, over document counts (a bigram that one document repeats counts
+once).  Below each lie two orders of continuation counts: in how many distinct
+left contexts the class has a word, and, shared by both classes, in how many
+the whole corpus has it.  An absolute discount, the same share of either
+class's counts, moves the mass of rare expressions to the shared counts: both
+models then rest on them, and a rare expression hardly tells the classes apart.
+Nothing that the sample holds is left out of the models.
 
 A document's evidence is the difference of its two log-likelihoods, normalised
 by length, over the whole text and over its most suspicious stretch of
 ``STRETCH`` words; a logistic curve fitted on labelled documents that the
-models did not see turns both into a probability.
+models did not see turns both into a probability, and its loss chooses among
+``DISCOUNTS``.
+
+Words are held as 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from kerbside.llm.common import smallest_hashes, worker_state
 from kerbside.plans.stage import materialize
 
 TRAIN_DOCS_PER_CLASS = 4000  # bound of the labelled sample; whole texts
 CALIBRATION_SHARE = 4  # every fourth sampled document calibrates
-DISCOUNT = 0.75
-SIGNIFICANT = 15.0  # G-squared of an expression's document counts in the two classes
-STRETCH = 24
-WORD = re.compile(r"\w+")
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+STRETCH = 4
+DISCOUNTS = ((0.0, 0.0), (1e-5, 1e-4), (3e-5, 3e-4), (6e-5, 6e-4), (2e-4, 2e-3))  # shares of a class's word types, of its bigrams
+LEAST_DISCOUNT = 0.75
+START = 0  # stands before a text's first word
+SLICE_CHARS = 1 << 20
+
+
+def _letters() -> np.ndarray:
+    """Which code points belong to a word, as the pattern ``\\w`` has it."""
+    return np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of ``\\w``, in lower case) of the texts (null:
+    none), and each text's number of words.  A hash is a polynomial in the
+    word's code points, summed for all words at once."""
+    lowered = [(t or "").lower() + "\n" for t in texts]
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = worker_state("toxicity-letters", _letters)[points]
+    at = np.flatnonzero(inside)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    length = np.diff(first, append=len(at))
+    place = np.arange(len(at)) - np.repeat(first, length)
+    power = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+    letter = _mixed((points[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    words = _mixed(np.add.reduceat(letter * power[place], first)).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, lowered), dtype=np.int64, count=len(texts)))
+    lens = np.diff(np.searchsorted(at[first], ends), prepend=0)
+    return words, lens
+
+
+def _before(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The word before each one, START at a text's first."""
+    out = np.empty_like(words)
+    out[1:] = words[:-1]
+    ends = np.cumsum(lens)
+    out[(ends - lens)[lens > 0]] = START
+    return out
+
+
+def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hash of a bigram."""
+    return _mixed(v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)).view(np.int64)
+
+
+def _slices(batches):
+    """(columns but the first, texts) of about SLICE_CHARS characters each,
+    from batches whose first column is the text."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        first, chars = 0, 0
+        for k, t in enumerate(texts):
+            chars += len(t or "")
+            if chars >= SLICE_CHARS or k + 1 == len(texts):
+                part = batch.slice(first, k + 1 - first)
+                yield part.columns[1:], texts[first : k + 1]
+                first, chars = k + 1, 0
 
 
 def sample(labels: DataFrame, per_class: int = TRAIN_DOCS_PER_CLASS) -> DataFrame:
     """(doc_id, toxic, role): at most ``per_class`` labelled ids of a class,
     those with the smallest hash."""
-    order = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    return (
-        labels.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
-        .distinct()
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_class)
-        .select("doc_id", "toxic", F.when(F.col("rank") % CALIBRATION_SHARE == 0, "calibrate").otherwise("fit").alias("role"))
-    )
+    role = F.when(F.col("rank") % CALIBRATION_SHARE == 0, "calibrate").otherwise("fit")
+    return smallest_hashes(labels, "toxic", per_class).select("doc_id", "toxic", role.alias("role"))
 
 
-def _expressions(rows: DataFrame) -> DataFrame:
-    """(v, w, toxic_n, plain_n): documents by class that have the bigram v w,
-    or, with a null v, the word w; v is '' at a text's start."""
+def bigram_counts(rows: DataFrame) -> DataFrame:
+    """(v, w, toxic_n, plain_n): documents by class that have the word w after v."""
 
     def count(batches):
-        for batch in batches:
-            seen: tuple[dict, dict] = ({}, {})
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                mine = seen[1 if toxic else 0]
-                for pair in {*zip(["", *words], words, strict=False), *((None, w) for w in words)}:
-                    mine[pair] = mine.get(pair, 0) + 1
-            for k, counts in enumerate(seen):
-                if counts:
-                    v, w = zip(*counts, strict=True)
-                    n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-                    zero = np.zeros(len(n), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, pa.string()), pa.array(w, pa.string()), pa.array(n if k else zero), pa.array(zero if k else n)],
-                        names=["v", "w", "toxic_n", "plain_n"],
-                    )
+        for (toxic,), texts in _slices(batches):
+            words, lens = word_hashes(texts)
+            doc = np.repeat(np.arange(len(texts)), lens)
+            v = _before(words, lens)
+            pair = _pair_key(v, words)
+            order = np.lexsort((pair, doc))
+            once = order[np.diff(pair[order], prepend=0).astype(bool) | np.diff(doc[order], prepend=-1).astype(bool)]  # a document's repeats once
+            is_toxic = np.asarray(toxic.to_pylist(), dtype=bool)[doc[once]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[once]), pa.array(words[once]), pa.array(is_toxic), pa.array(1 - is_toxic)], names=["v", "w", "toxic_n", "plain_n"]
+            )
 
     return (
-        rows.select("text", "toxic")
-        .mapInArrow(count, "v string, w string, toxic_n long, plain_n long")
+        rows.select("text", F.col("toxic") == 1)
+        .mapInArrow(count, "v long, w long, toxic_n long, plain_n long")
         .groupBy("v", "w")
         .agg(F.sum("toxic_n").alias("toxic_n"), F.sum("plain_n").alias("plain_n"))
     )
 
 
-def _g_squared(toxic_docs: int, plain_docs: int) -> Column:
-    """Of the 2 x 2 table: has the expression or not, by class."""
-    a, b = F.col("toxic_n").cast("double"), F.col("plain_n").cast("double")
-    share = (a + b) / (toxic_docs + plain_docs)
-
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    return 2 * (
-        part(a, toxic_docs * share)
-        + part(b, plain_docs * share)
-        + part(toxic_docs - a, toxic_docs * (1 - share))
-        + part(plain_docs - b, plain_docs * (1 - share))
-    )
-
-
-def document_counts(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """How many documents of the corpus use each word of the vocabulary, and
-    the sum of that over all words of the corpus."""
+def continuations(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """In how many distinct left contexts the corpus has each word of the
+    sorted ``vocabulary``; last, the number of bigrams that end in any other
+    word.  A bigram is a row once per slice, then once in all; 32 bits of its
+    hash tell the contexts of one word apart."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def count(batches):
-        number = shared.value
-        total = np.zeros(len(number) + 1, dtype=np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                words = set(words_of(t.as_py()))
-                total[[number[w] for w in words & number.keys()]] += 1
-                total[-1] += len(words)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["word", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    def pairs(batches):
+        known = shared.value
+        for _, texts in _slices(batches):
+            words, lens = word_hashes(texts)
+            context = _pair_key(_before(words, lens), words) & 0xFFFFFFFF
+            once = np.unique(_index(known, words) << 32 | context)
+            word, context = (once >> 32).astype(np.int32), once.astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(context)], names=["word", "context"])
+
+    seen = docs.select("text").mapInArrow(pairs, "word int, context int").distinct()
+    counted = seen.groupBy("word").agg(F.count("context").alias("n")).toPandas()  # a row for each word of the sample
     out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
     out[counted["word"].to_numpy(dtype=np.int64)] = counted["n"]
-    return out[:-1], int(out[-1])
+    return out
+
 
+def _index(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in the sorted ``known``; its length where there is none."""
+    if not len(known):
+        return np.zeros(len(wanted), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, len(known))
 
-def kneser_ney(vocabulary: dict[str, int], words, bigrams, totals: tuple[float, float], shared: tuple[np.ndarray, int]) -> dict:
-    """Log-likelihood ratios (toxic to ordinary), as plain arrays.
 
-    ``words``: document counts (plain, toxic) of the words; ``bigrams``: (v, w,
-    (plain, toxic)); ``totals``: word occurrences of each class, a document's
-    repeats once; ``shared``: of ``document_counts``.  The last index stands
-    for every other word: its probabilities are the shared ones."""
-    size = len(vocabulary) + 1
-    low = (shared[0] + 0.5) / (shared[1] + 0.5 * size)
+def kneser_ney(bigrams: tuple, shared: np.ndarray, discounts: tuple[float, float] = DISCOUNTS[0]) -> dict:
+    """Probabilities of both classes (0 ordinary, 1 toxic), as plain arrays.
+
+    ``bigrams``: (v, w, (plain, toxic)) with places of words and document
+    counts; ``shared``: of ``continuations``, its last place stands for every
+    other word; ``discounts``: shares of a class's word types and bigrams, at
+    least LEAST_DISCOUNT of one.  ``low`` is the shared order; of each class,
+    ``word`` is its continuation order over that, ``left`` the mass that a
+    context leaves to it, ``pair`` the interpolated bigrams."""
     v, w, counts = bigrams
-    keys = v * size + w
+    size = len(shared)
+    low = (shared + 0.5) / (shared.sum() + 0.5 * size)
+    out = {"v": v, "w": w, "low": low, "word": [], "left": [], "pair": []}
+    for n in counts:
+        types = np.bincount(w[n > 0], minlength=size)
+        given = np.minimum(types, max(LEAST_DISCOUNT, discounts[0] * types.sum()))
+        word = (types - given + given.sum() * low) / types.sum() if types.any() else low
+        given = np.minimum(n, max(LEAST_DISCOUNT, discounts[1] * n.sum()))
+        seen = np.bincount(v, weights=n, minlength=size)
+        some = np.maximum(seen, 1)
+        left = np.where(seen > 0, np.bincount(v, weights=given, minlength=size) / some, 1.0)
+        out["word"].append(word)
+        out["left"].append(left)
+        out["pair"].append((n - given) / some[v] + left[v] * word[w])
+    return out
+
+
+def ratios(vocabulary: np.ndarray, p: dict) -> dict:
+    """Log-likelihood ratios (toxic to ordinary) of ``kneser_ney``'s models."""
+    keys = _pair_key(vocabulary[p["v"]], vocabulary[p["w"]])
     order = np.argsort(keys)
-    v, w = v[order], w[order]
-    by_word, by_context, by_pair = [], [], []
-    for k in range(2):
-        n = words[k].astype(np.float64)
-        kept = np.maximum(n - DISCOUNT, 0)
-        left = 1 - kept.sum() / totals[k]
-        p = kept / totals[k] + left * low
-        discounted = np.maximum(counts[k][order].astype(np.float64) - DISCOUNT, 0)
-        seen = np.maximum(n, 1)
-        lam = np.maximum(1 - np.bincount(v, weights=discounted, minlength=size - 1)[: size - 1] / seen, 0.05)
-        by_word.append(np.append(np.log(p), 0))
-        by_context.append(np.append(np.log(lam), 0))
-        by_pair.append(np.log(discounted / seen[v] + lam[v] * p[w]))
-    return {
-        "vocabulary": vocabulary,
-        "keys": keys[order],
-        "words": (by_word[1] - by_word[0]).astype(np.float32),
-        "contexts": (by_context[1] - by_context[0]).astype(np.float32),
-        "pairs": (by_pair[1] - by_pair[0]).astype(np.float32),
-    }
-
-
-def evidence(model: dict, words: list[str]) -> tuple[float, float]:
-    """(mean ratio, mean ratio of the most suspicious stretch)."""
-    if not words:
-        return 0.0, 0.0
-    get, other = model["vocabulary"].get, len(model["words"]) - 1
-    w = np.array([get(x, other) for x in words], dtype=np.int64)
-    v = np.empty_like(w)
-    v[0], v[1:] = other, w[:-1]
-    r = model["words"][w] + model["contexts"][v]
-    keys = v * len(model["words"]) + w
-    if len(model["keys"]):
-        at = np.minimum(np.searchsorted(model["keys"], keys), len(model["keys"]) - 1)
-        hit = model["keys"][at] == keys
-        r[hit] = model["pairs"][at[hit]]
+    log = {k: (np.log(p[k][1]) - np.log(p[k][0])).astype(np.float32) for k in ("word", "left", "pair")}
+    return {"vocabulary": vocabulary, "keys": keys[order], "words": log["word"], "contexts": log["left"], "pairs": log["pair"][order]}
+
+
+def evidence(model: dict, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(mean ratio, mean ratio of the most suspicious stretch) of each text."""
+    words, lens = word_hashes(texts)
+    v = _before(words, lens)
+    w = _index(model["vocabulary"], words)
+    before = _before(w, lens)
+    before[v == START] = _index(model["vocabulary"], np.array([START]))[0]
+    r = model["words"][w] + model["contexts"][before]
+    at = _index(model["keys"], _pair_key(v, words))
+    hit = at < len(model["keys"])
+    r[hit] = model["pairs"][at[hit]]
     total = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
-    n = min(len(w), STRETCH)
-    return float(total[-1] / len(w)), float((total[n:] - total[:-n]).max() / STRETCH)
+    ends = np.cumsum(lens)
+    mean = (total[ends] - total[ends - lens]) / np.maximum(lens, 1)
+    top = np.zeros(len(texts))
+    for k, (n, end) in enumerate(zip(lens, ends, strict=True)):
+        if n:
+            inside, step = total[end - n : end + 1], min(n, STRETCH)
+            top[k] = (inside[step:] - inside[:-step]).max() / STRETCH
+    return mean, top
 
 
 def _evidence_rows(rows: DataFrame, model: dict, carry: str) -> DataFrame:
@@ -177,14 +221,11 @@ def _evidence_rows(rows: DataFrame, model: dict, carry: str) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            found = [evidence(model, words_of(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())],
-                names=[carry, "mean_ratio", "top_ratio"],
-            )
+        for (carried,), texts in _slices(batches):
+            mean, top = evidence(model, texts)
+            yield pa.RecordBatch.from_arrays([carried, pa.array(mean), pa.array(top)], names=[carry, "mean_ratio", "top_ratio"])
 
-    return rows.select(carry, "text").mapInArrow(run, f"{carry} {kind}, mean_ratio double, top_ratio double")
+    return rows.select("text", carry).mapInArrow(run, f"{carry} {kind}, mean_ratio double, top_ratio double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1) -> np.ndarray:
@@ -228,35 +269,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS_PER_CLAS
     docs_by_class = int(sizes.get(0, 0)), int(sizes.get(1, 0))
     if not all(docs_by_class):
         return None, np.array([0.0, 0.0, -30.0 if docs_by_class[0] else 30.0])
-    seen = materialize(_expressions(fitting), "llm-toxic-expressions")
-    totals = seen.where("v is null").agg(F.sum("plain_n"), F.sum("toxic_n")).first()
-    totals = tuple(float(max(t or 0, 1)) for t in totals)
-    telling = seen.where(_g_squared(docs_by_class[1], docs_by_class[0]) >= SIGNIFICANT)
-    pairs = telling.where("v is not null").toPandas()  # bounded by the sample
-    single = telling.where("v is null").select("w", "plain_n", "toxic_n")
-    # words of telling bigrams need their counts too
-    wanted = telling.where("v is not null").select(F.explode(F.array("v", "w")).alias("w")).distinct()
-    context = seen.where("v is null").join(wanted, "w").select("w", "plain_n", "toxic_n")
-    words = single.union(context).distinct().orderBy("w").toPandas()
-    vocabulary = {w: i for i, w in enumerate(words["w"])}
-    v, w = pairs["v"].map(vocabulary), pairs["w"].map(vocabulary)
-    ok = (v.notna() & w.notna()).to_numpy()
-    bigrams = (
-        v[ok].to_numpy(dtype=np.int64),
-        w[ok].to_numpy(dtype=np.int64),
-        [pairs[c].to_numpy()[ok] for c in ("plain_n", "toxic_n")],
-    )
-    counts = [words[c].to_numpy(dtype=np.int64) for c in ("plain_n", "toxic_n")]
-    model = kneser_ney(vocabulary, counts, bigrams, totals, document_counts(docs, vocabulary))
+    seen = bigram_counts(fitting).toPandas()  # bounded by the sample
+    v, w = (seen[c].to_numpy(dtype=np.int64) for c in ("v", "w"))
+    vocabulary = np.unique(np.concatenate([v, w]))
+    bigrams = _index(vocabulary, v), _index(vocabulary, w), [seen[c].to_numpy(dtype=np.int64) for c in ("plain_n", "toxic_n")]
+    shared = continuations(docs, vocabulary)
     calibration = rows.where("role = 'calibrate'").select("text", F.col("toxic").cast("int").alias("toxic"))
-    known = _evidence_rows(calibration, model, "toxic").toPandas()
-    if known.empty:
-        return model, np.array([0.0, 1.0, -1.0])
-    y = known["toxic"].to_numpy(dtype=np.float64)
-    share = max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)
     rate = toxic_n / (toxic_n + plain_n)
-    weight = np.where(y == 1, rate / share[0], (1 - rate) / share[1])
-    return model, logistic(known[["mean_ratio", "top_ratio"]].to_numpy(), y, weight)
+    best = None
+    for discounts in DISCOUNTS:
+        model = ratios(vocabulary, kneser_ney(bigrams, shared, discounts))
+        known = _evidence_rows(calibration, model, "toxic").toPandas()
+        if known.empty:
+            return model, np.array([0.0, 1.0, -1.0])
+        x, y = known[["mean_ratio", "top_ratio"]].to_numpy(), known["toxic"].to_numpy(dtype=np.float64)
+        share = max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)
+        weight = np.where(y == 1, rate / share[0], (1 - rate) / share[1])
+        curve = logistic(x, y, weight)
+        z = x @ curve[:2] + curve[2]
+        loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
+        if best is None or loss < best[0]:
+            best = loss, model, curve
+    return best[1:]
 
 
 def score(docs: DataFrame, fitted: tuple[dict | None, np.ndarray]) -> DataFrame:

@@ -284,6 +284,74 @@ def test_toxicity_held_out(spark):
     assert len(english) and english.predicted.mean() > 0.7
 
 
+def test_toxicity_probabilities(spark):
+    """Both models against a plain Kneser-Ney over dictionaries; every context's probabilities sum to one."""
+    rng = np.random.default_rng(5)
+    words = ["a", "b", "c", "dd", "Été", "x_1"]
+    texts = [(k, " ".join(rng.choice(words, rng.integers(0, 9))), int(k % 3 == 0)) for k in range(40)]
+    outside = [(100, "zz a zz b yy", None), (101, None, None), (102, "", None), (103, "b A", None)]
+    docs = spark.createDataFrame(texts + outside, "doc_id long, text string, toxic int")
+    seen = toxicity.bigram_counts(docs.where("toxic is not null")).toPandas()
+    v, w = seen["v"].to_numpy(), seen["w"].to_numpy()
+    vocabulary = np.unique(np.concatenate([v, w]))
+    shared = toxicity.continuations(docs, vocabulary)
+    place = {x: int(toxicity._index(vocabulary, toxicity.word_hashes([x])[0])[0]) for x in ["a", "b", "c", "dd", "été", "x_1"]}
+    place[None] = int(np.searchsorted(vocabulary, toxicity.START))
+
+    def pairs(text):
+        mine = re.findall(r"\w+", (text or "").lower())
+        return list(zip([None, *mine], mine, strict=False))
+
+    corpus = {p for _, text, *_ in texts + outside for p in pairs(text)}
+    for x, k in place.items():
+        assert shared[k] == sum(b == x for _, b in corpus)
+    assert shared[-1] == sum(b not in place for _, b in corpus)
+    bigrams = toxicity._index(vocabulary, v), toxicity._index(vocabulary, w), [seen[c].to_numpy() for c in ("plain_n", "toxic_n")]
+    size = len(shared)
+    for discounts in [*toxicity.DISCOUNTS, (0.1, 0.05)]:
+        p = toxicity.kneser_ney(bigrams, shared, discounts)
+        low = [(n + 0.5) / (sum(shared) + 0.5 * size) for n in shared]
+        for toxic in range(2):
+            count = collections.Counter(q for _, text, t in texts if t == toxic for q in set(pairs(text)))
+            types = collections.Counter(b for _, b in count)
+            d1 = max(toxicity.LEAST_DISCOUNT, discounts[0] * len(count))
+            d2 = max(toxicity.LEAST_DISCOUNT, discounts[1] * sum(count.values()))
+            given = sum(min(n, d1) for n in types.values()) / len(count)
+            word = {x: max(types[x] - d1, 0) / len(count) + given * low[place[x]] for x in place}
+            assert abs(p["word"][toxic].sum() - 1) < 1e-9
+            found = dict(zip(zip(p["v"], p["w"], strict=True), p["pair"][toxic], strict=True))
+            for a, i in place.items():
+                after = {b: n for (x, b), n in count.items() if x == a}
+                total = sum(after.values())
+                left = sum(min(n, d2) for n in after.values()) / total if total else 1
+                assert abs(p["left"][toxic][i] - left) < 1e-9
+                for b, j in place.items():
+                    want = (max(after.get(b, 0) - d2, 0) / total if total else 0) + left * word[b]
+                    assert abs(found.get((i, j), left * p["word"][toxic][j]) - want) < 1e-9
+                mass = sum(found.get((i, j), left * p["word"][toxic][j]) for j in range(size))
+                assert abs(mass - 1) < 1e-9
+
+
+def test_toxicity_words():
+    texts = ["Éa_b ÿ9 x", "", None, "İI ß", "\U0001f600a a\u0301b", "one two  one\n", "a" * 50_000, *[t for t in EDGE_TEXTS if t]]
+    hashes, lens = toxicity.word_hashes(texts)
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    assert lens.tolist() == [len(x) for x in words]
+    flat = [x for one in words for x in one]
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+def test_smallest_hashes(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 29_000, 0).otherwise(1).alias("toxic"))
+    got = common.smallest_hashes(rows, "toxic", 500).toPandas()
+    every = rows.withColumn("h", F.xxhash64("doc_id")).toPandas().sort_values(["h", "doc_id"])
+    for k in range(2):
+        mine = got[got.toxic == k].sort_values("rank")
+        assert mine.doc_id.tolist() == every[every.toxic == k].head(500).doc_id.tolist()
+        assert mine["rank"].tolist() == list(range(1, 501))
+    assert common.smallest_hashes(rows.limit(0), "toxic", 500).count() == 0
+
+
 def test_toxicity_edges(spark, edge, none):
     rows = edge.select("doc_id", "text")
     labels = rows.where("doc_id < 4").select("doc_id", F.lit(0).alias("toxic"))
