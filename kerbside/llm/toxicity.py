@@ -144,9 +144,9 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(context)], names=["word", "context"])
 
     seen = docs.select("text").mapInArrow(pairs, "word int, context int").distinct()
-    counted = seen.groupBy("word").agg(F.count("context").alias("n")).toPandas()  # a row for each word of the sample
+    counted = seen.groupBy("word").agg(F.count("context").alias("n")).toArrow()  # a row for each word of the sample
     out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    out[counted["word"].to_numpy(dtype=np.int64)] = counted["n"]
+    out[counted.column("word").to_numpy()] = counted.column("n").to_numpy()
     return out
 
 
@@ -269,10 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS_PER_CLAS
     docs_by_class = int(sizes.get(0, 0)), int(sizes.get(1, 0))
     if not all(docs_by_class):
         return None, np.array([0.0, 0.0, -30.0 if docs_by_class[0] else 30.0])
-    seen = bigram_counts(fitting).toPandas()  # bounded by the sample
-    v, w = (seen[c].to_numpy(dtype=np.int64) for c in ("v", "w"))
-    vocabulary = np.unique(np.concatenate([v, w]))
-    bigrams = _index(vocabulary, v), _index(vocabulary, w), [seen[c].to_numpy(dtype=np.int64) for c in ("plain_n", "toxic_n")]
+    seen = bigram_counts(fitting).toArrow()  # bounded by the sample
+    v, w, plain, toxic = (seen.column(c).to_numpy() for c in ("v", "w", "plain_n", "toxic_n"))
+    vocabulary = np.union1d(v, w)
+    bigrams = _index(vocabulary, v).astype(np.int32), _index(vocabulary, w).astype(np.int32), [plain.astype(np.int32), toxic.astype(np.int32)]
+    del seen, v, w, plain, toxic
     shared = continuations(docs, vocabulary)
     calibration = rows.where("role = 'calibrate'").select("text", F.col("toxic").cast("int").alias("toxic"))
     rate = toxic_n / (toxic_n + plain_n)
