@@ -129,27 +129,34 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
 
 def continuations(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """In how many distinct left contexts the corpus has each word of the
-    sorted ``vocabulary``; last, the number of bigrams that end in any other
-    word.  A bigram is a row once per slice, then once in all; 32 bits of its
-    hash tell the contexts of one word apart."""
+    sorted ``vocabulary``.  A bigram is a row once per slice, then once in all;
+    32 bits of its hash tell the contexts of one word apart."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def pairs(batches):
         known = shared.value
         for _, texts in _slices(batches):
             words, lens = word_hashes(texts)
-            context = _pair_key(_before(words, lens), words) & 0xFFFFFFFF
-            once = np.unique(_index(known, words) << 32 | context)
-            word, context = (once >> 32).astype(np.int32), once.astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(context)], names=["word", "context"])
-
-    seen = docs.select("text").mapInArrow(pairs, "word int, context int").distinct()
-    counted = seen.groupBy("word").agg(F.count("context").alias("n")).toArrow()  # a row for each word of the sample
-    out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    out[counted.column("word").to_numpy()] = counted.column("n").to_numpy()
+            at = _index(known, words)
+            key = (at << 32 | _pair_key(_before(words, lens), words) & 0xFFFFFFFF)[at < len(known)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(key))], names=["bigram"])
+
+    seen = docs.select("text").mapInArrow(pairs, "bigram long").distinct()
+    counted = seen.groupBy(F.shiftright("bigram", 32).alias("word")).count().toArrow()  # a row for each word of the sample
+    out = np.zeros(len(vocabulary), dtype=np.int64)
+    out[counted.column("word").to_numpy()] = counted.column("count").to_numpy()
     return out
 
 
+def with_others(shared: np.ndarray, vocabulary: np.ndarray, words: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """``continuations`` with the bigrams that end in any other word as its last
+    entry: their share is that among the bigrams of texts that the vocabulary
+    was not made from."""
+    pair, once = np.unique(_pair_key(_before(words, lens), words), return_index=True)
+    other = int((_index(vocabulary, words[once]) == len(vocabulary)).sum())
+    return np.append(shared, shared.sum() * other / max(len(pair) - other, 1))
+
+
 def _index(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places in the sorted ``known``; its length where there is none."""
     if not len(known):
@@ -162,7 +169,7 @@ def kneser_ney(bigrams: tuple, shared: np.ndarray, discounts: tuple[float, float
     """Probabilities of both classes (0 ordinary, 1 toxic), as plain arrays.
 
     ``bigrams``: (v, w, (plain, toxic)) with places of words and document
-    counts; ``shared``: of ``continuations``, its last place stands for every
+    counts; ``shared``: of ``with_others``, its last place stands for every
     other word; ``discounts``: shares of a class's word types and bigrams, at
     least LEAST_DISCOUNT of one.  ``low`` is the shared order; of each class,
     ``word`` is its continuation order over that, ``left`` the mass that a
@@ -193,9 +200,9 @@ def ratios(vocabulary: np.ndarray, p: dict) -> dict:
     return {"vocabulary": vocabulary, "keys": keys[order], "words": log["word"], "contexts": log["left"], "pairs": log["pair"][order]}
 
 
-def evidence(model: dict, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(mean ratio, mean ratio of the most suspicious stretch) of each text."""
-    words, lens = word_hashes(texts)
+def evidence(model: dict, words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean ratio, mean ratio of the most suspicious stretch) of each text
+    of ``word_hashes``."""
     v = _before(words, lens)
     w = _index(model["vocabulary"], words)
     before = _before(w, lens)
@@ -207,7 +214,7 @@ def evidence(model: dict, texts: list) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
     ends = np.cumsum(lens)
     mean = (total[ends] - total[ends - lens]) / np.maximum(lens, 1)
-    top = np.zeros(len(texts))
+    top = np.zeros(len(lens))
     for k, (n, end) in enumerate(zip(lens, ends, strict=True)):
         if n:
             inside, step = total[end - n : end + 1], min(n, STRETCH)
@@ -215,17 +222,19 @@ def evidence(model: dict, texts: list) -> tuple[np.ndarray, np.ndarray]:
     return mean, top
 
 
-def _evidence_rows(rows: DataFrame, model: dict, carry: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    kind = dict(rows.dtypes)[carry]
+def _hashed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(toxic, words, lens) of sampled rows (text, toxic), on the driver."""
 
     def run(batches):
-        model = shared.value
-        for (carried,), texts in _slices(batches):
-            mean, top = evidence(model, texts)
-            yield pa.RecordBatch.from_arrays([carried, pa.array(mean), pa.array(top)], names=[carry, "mean_ratio", "top_ratio"])
+        for (toxic,), texts in _slices(batches):
+            words, lens = word_hashes(texts)
+            parts = [part.tobytes() for part in np.split(words, np.cumsum(lens)[:-1])]
+            yield pa.RecordBatch.from_arrays([toxic, pa.array(parts, pa.binary())], names=["toxic", "words"])
 
-    return rows.select("text", carry).mapInArrow(run, f"{carry} {kind}, mean_ratio double, top_ratio double")
+    found = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, words binary").toArrow()
+    parts = found.column("words").to_pylist()
+    lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 8
+    return found.column("toxic").to_numpy().astype(np.float64), np.frombuffer(b"".join(parts), dtype=np.int64), lens
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1) -> np.ndarray:
@@ -274,18 +283,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS_PER_CLAS
     vocabulary = np.union1d(v, w)
     bigrams = _index(vocabulary, v).astype(np.int32), _index(vocabulary, w).astype(np.int32), [plain.astype(np.int32), toxic.astype(np.int32)]
     del seen, v, w, plain, toxic
-    shared = continuations(docs, vocabulary)
-    calibration = rows.where("role = 'calibrate'").select("text", F.col("toxic").cast("int").alias("toxic"))
-    rate = toxic_n / (toxic_n + plain_n)
+    y, *unseen = _hashed(rows.where("role = 'calibrate'"))  # bounded by the sample
+    shared = with_others(continuations(docs, vocabulary), vocabulary, *unseen)
+    if not len(y):
+        return ratios(vocabulary, kneser_ney(bigrams, shared)), np.array([0.0, 1.0, -1.0])
+    share, rate = (max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)), toxic_n / (toxic_n + plain_n)
+    weight = np.where(y == 1, rate / share[0], (1 - rate) / share[1])
     best = None
     for discounts in DISCOUNTS:
         model = ratios(vocabulary, kneser_ney(bigrams, shared, discounts))
-        known = _evidence_rows(calibration, model, "toxic").toPandas()
-        if known.empty:
-            return model, np.array([0.0, 1.0, -1.0])
-        x, y = known[["mean_ratio", "top_ratio"]].to_numpy(), known["toxic"].to_numpy(dtype=np.float64)
-        share = max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)
-        weight = np.where(y == 1, rate / share[0], (1 - rate) / share[1])
+        x = np.column_stack(evidence(model, *unseen))
         curve = logistic(x, y, weight)
         z = x @ curve[:2] + curve[2]
         loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
@@ -303,7 +310,16 @@ def score(docs: DataFrame, fitted: tuple[dict | None, np.ndarray]) -> DataFrame:
     if model is None:
         seen = docs.select("doc_id", F.lit(0.0).alias("mean_ratio"), F.lit(0.0).alias("top_ratio"))
     else:
-        seen = _evidence_rows(docs, model, "doc_id")
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            model = shared.value
+            for (doc_id,), texts in _slices(batches):
+                mean, top = evidence(model, *word_hashes(texts))
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(mean), pa.array(top)], names=["doc_id", "mean_ratio", "top_ratio"])
+
+        kind = dict(docs.dtypes)["doc_id"]
+        seen = docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, mean_ratio double, top_ratio double")
     a, b, c = (float(x) for x in curve)
     z = F.col("mean_ratio") * a + F.col("top_ratio") * b + c
     return seen.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), z)))).select(
