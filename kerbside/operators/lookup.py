@@ -19,6 +19,8 @@ from kerbside.schemas import RESULT_NAMES
 # The result formats.
 RESULT_FORMATS = ["json", "csv", "ical"]
 
+SLICE_ROWS = 1_000_000  # premises of one postcode that a join task is given at most, on average
+
 
 def premises_result_columns(prefix: str = "") -> list[Column]:
     """PRJ1: id, six address parts, updatedAt under their camelCase names."""
@@ -26,29 +28,56 @@ def premises_result_columns(prefix: str = "") -> list[Column]:
 
 
 # --------------------------------------------------------------------------- FIL1 + SRT1/SRT2
+def hot_postcodes(premises: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(search_postcode, slices) of the postcodes with more than ``slice_rows``
+    premises: at most one row for every ``slice_rows`` premises.  Counting reads
+    one column; a store may keep the answer and hand it to ``search_premises``."""
+    counts = premises.where(F.col("search_postcode").isNotNull()).groupBy("search_postcode").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > slice_rows).select("search_postcode", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
+
+
+def _search_hits(premises: DataFrame, req: DataFrame, hot: DataFrame) -> DataFrame:
+    """Requests (with ``_key``) joined to the premises of that key.  The premises
+    of a hot postcode are dealt over its slices by a hash of their id, and each
+    request for it is repeated once per slice, so no task meets the whole of it."""
+    hot = F.broadcast(hot.select(F.col("search_postcode").alias("_hot"), F.col("slices").alias("_slices")))
+    slices = F.coalesce(F.col("_slices"), F.lit(1))
+    asked = req.join(hot, F.col("_key") == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), slices - 1)))
+    stored = (
+        premises.select("id", *[c for c in RESULT_NAMES if c != "id"], "search_postcode")
+        .join(hot, F.col("search_postcode") == F.col("_hot"), "left")
+        .withColumn("_slice", F.pmod(F.xxhash64("id"), slices).cast("int"))
+        .drop("_hot", "_slices")
+    )
+    return (
+        asked.drop("_hot", "_slices")
+        .join(stored, (F.col("_key") == F.col("search_postcode")) & (F.col("_part") == F.col("_slice")))
+        .drop("_key", "search_postcode", "_part", "_slice")
+    )
+
+
 def search_premises(
     premises: DataFrame,
     requests: DataFrame,
     postcode_col: str = "postcode",
     by_number: bool = True,
     trim: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Premises whose search key equals each request's normalised postcode.
 
     Returns one row per (request, hit) with ``rank`` (0-based) in result order:
     leading integer of the house number (SRT2), then room, number, street, id
     with NULLs last (SRT1); ``by_number=False`` leaves the plain text order.
-    ``trim=True`` adds the web form's trimming.
+    ``trim=True`` adds the web form's trimming.  ``hot`` is the stored answer of
+    ``hot_postcodes``; without it the premises are counted here.
     """
     raw = F.col(postcode_col)
     key = normalize_postcode(F.trim(raw) if trim else raw)
     req = requests.withColumn("_key", key)
     if trim:
         req = req.where(F.length(F.trim(raw)) >= 1)
-    hits = req.join(
-        premises.select("id", *[c for c in RESULT_NAMES if c != "id"], "search_postcode"),
-        F.col("_key") == F.col("search_postcode"),
-    ).drop("_key", "search_postcode")
+    hits = _search_hits(premises, req, hot if hot is not None else hot_postcodes(premises))
     sorter = leading_int("address_number") if by_number else F.lit(0).cast("decimal(38,0)")
     keyed = hits.withColumn("_sorter", sorter)
     ranked = sequence_within(
