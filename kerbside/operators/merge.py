@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.dates import ts_lit
+from kerbside.plans.stage import materialize
 from kerbside.schemas import ADDRESS_COLUMNS
 
 JOB_TRIPLE = ["premises_id", "bin", "date"]
@@ -52,6 +53,69 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("id",),
     )
 
 
+RANGE_ROWS = 10_000  # rows that a key range holds on average
+
+
+def range_width(rows: DataFrame, key: str = "id", range_rows: int = RANGE_ROWS) -> int:
+    """Width of key ranges that hold about ``range_rows`` rows each (a one-row
+    decision).  Where keys lie unevenly so do the rows of the ranges."""
+    seen = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("n")).first()
+    return max(1, (seen["high"] - seen["low"] + 1) * range_rows // seen["n"]) if seen["n"] else 1
+
+
+def _range_start(key: str, width: int) -> Column:
+    return (F.col(key) - F.pmod(F.col(key), F.lit(width))).alias("_range")
+
+
+def range_digests(rows: DataFrame, width: int, key: str = "id", cols: Sequence[str] = tuple(ADDRESS_COLUMNS)) -> DataFrame:
+    """One row per key range: its rows' number and four sums over the halves of
+    two 64-bit hashes of key and ``cols``.  Independent of row order; a row that
+    occurs twice counts twice.  Hashing skips NULLs, so every column's NULL
+    mark is hashed beside it."""
+    values = [F.col(key), *[v for c in cols for v in (F.col(c).isNull(), F.col(c))]]
+    hashes = [F.xxhash64(F.lit(seed), *values) for seed in (0, 1)]
+    halves = [half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    return rows.groupBy(_range_start(key, width)).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_d{i}") for i, x in enumerate(halves)])
+
+
+def changed_ranges(old_digests: DataFrame, new_digests: DataFrame) -> DataFrame:
+    """Starts of the key ranges whose digests differ or that one side lacks."""
+    digests = [c for c in new_digests.columns if c != "_range"]
+    both = old_digests.alias("o").join(new_digests.alias("n"), "_range", "full_outer")
+    return both.where(_any([~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in digests])).select("_range")
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, width: int, key: str = "id") -> DataFrame:
+    """The rows whose key lies in one of the ranges; same columns."""
+    return rows.join(ranges, _range_start(key, width) == F.col("_range"), "left_semi")
+
+
+def snapshot_changes(
+    old: DataFrame,
+    new: DataFrame,
+    key: str = "id",
+    cols: Sequence[str] = tuple(ADDRESS_COLUMNS),
+    width: int | None = None,
+    old_digests: DataFrame | None = None,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """``snapshot_diff`` without its unchanged rows, in two levels: digests of
+    key ranges first, then the full outer join of the changed ranges only.
+
+    ``old_digests`` are the stored digests (``range_digests`` of ``width``) of
+    the old snapshot, which is then not scanned for them.  Keys are whole
+    numbers, never NULL; two empty snapshots have no changes.
+    """
+    if old_digests is not None and width is None:
+        raise ValueError("old_digests need the width they were made with")
+    width = width or range_width(new, key, range_rows)
+    before = old_digests if old_digests is not None else range_digests(old, width, key, cols)
+    # staged: read by both sides, and its size is known to the planner
+    ranges = materialize(changed_ranges(before, range_digests(new, width, key, cols)), "changed-ranges")
+    diff = snapshot_diff(in_ranges(old, ranges, width, key), in_ranges(new, ranges, width, key), (key,), cols)
+    return diff.where(F.col("op") != "unchanged")
+
+
 # --------------------------------------------------------------------------- SNK3
 def merge_premises(old: DataFrame, new: DataFrame, now: dt.datetime | Column) -> DataFrame:
     """Apply a snapshot to the premises table: deletes vanish, inserts get
