@@ -28,6 +28,7 @@ from kerbside.plans import feeds
 from kerbside.plans import tools as TOOLS
 from kerbside.plans.refresh import Dataset, refresh
 from kerbside.schemas import SQLITE_PREMISES_COLUMNS
+from kerbside.sources import colocated as COL
 from kerbside.sources import ingest as ING
 from kerbside.sources.tables import TableStore
 
@@ -351,6 +352,22 @@ def q_premises_jobs(spark, sf_dir):
     return p.join(num, p["id"] == num["premises_id"], "left").select(*[p[c] for c in p.columns], "seq", "date", "bin")
 
 
+@register(
+    "join2_colocated_rows",
+    fx.oracle(
+        """
+SELECT p.id, p.address_postcode, j.id AS job_id, j.date, j.bin FROM premises p LEFT JOIN jobs j ON j.premises_id = p.id
+"""
+    ),
+)
+def q_colocated_rows(spark, sf_dir):
+    """JOIN2 over stored tables that are bucketed on the premises id."""
+    t = fx.load(spark, sf_dir)
+    jobs = t.jobs.withColumnRenamed("id", "job_id")
+    stored = COL.write_colocated(t.premises, jobs, _scratch(spark, "colocated"), buckets=16)
+    return COL.premises_job_rows(stored, ["id", "address_postcode"], ["job_id", "date", "bin"])
+
+
 # =========================================================================== SNK9
 def _ical_oracle() -> str:
     name = f"'Bin Days for ' || {SUMMARY_SQL}"
@@ -833,6 +850,39 @@ def q_snapshot_diff(spark, sf_dir):
     return MG.snapshot_diff(old, new)
 
 
+@register(
+    "snk2_snapshot_changes",
+    fx.oracle(
+        f"""
+SELECT coalesce(n.id, o.id) AS id,
+  CASE WHEN n.id IS NULL THEN 'delete' WHEN o.id IS NULL THEN 'insert' ELSE 'update' END AS op,
+  {", ".join(f"CASE WHEN n.id IS NULL THEN o.{c} ELSE n.{c} END AS {c}" for c in _ADDR)}
+FROM old_few o FULL OUTER JOIN new_few n ON o.id = n.id
+WHERE n.id IS NULL OR o.id IS NULL OR {_DISTINCT_SQL}
+""",
+        """
+old_few AS (SELECT * FROM premises WHERE id % 499 <> 7),
+new_few AS (SELECT id, CASE WHEN id % 701 = 5 THEN NULL ELSE address_room END AS address_room,
+                   CASE WHEN id % 701 = 6 THEN 'X' ELSE address_number END AS address_number,
+                   address_street, address_locality, address_city, address_postcode
+            FROM premises_src WHERE id % 499 <> 8)
+""",
+    ),
+)
+def q_snapshot_changes(spark, sf_dir):
+    """What a snapshot changes, where few key ranges differ: digests of ranges
+    choose what the full outer join reads."""
+    base = fx.premises_source(spark, sf_dir)
+    i = F.col("id")
+    new = base.where(i % 499 != 8).withColumns(
+        {
+            "address_room": F.when(i % 701 != 5, F.col("address_room")),
+            "address_number": F.when(i % 701 == 6, F.lit("X")).otherwise(F.col("address_number")),
+        }
+    )
+    return MG.snapshot_changes(base.where(i % 499 != 7), new, range_rows=50)
+
+
 MERGE_TS_SQL = "TIMESTAMP '2000-06-01 03:00:00'"
 
 
