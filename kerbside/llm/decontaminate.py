@@ -6,13 +6,19 @@ DataFrame functions only.
    window of the item's size).  Sliding item-sized windows over a document,
    every window with that many shingles of items of the size is fingerprinted,
    in whatever order the shingles stand; no other window can reach 0.8.
-3. Every such window and item gets a 126-bit SimHash over all its shingles.
+3. Every such window and item gets a 126-bit SimHash over all its shingles.  A
+   window's bit sums are the difference of two running sums over its document,
+   so overlapping windows share the work.
 4. Multi-index Hamming search: with B blocks and radius R, two fingerprints
    within R agree in some block up to floor(R / B) bits (pigeonhole), so
    probing the items' blocks with up to that many bits flipped finds all
    fingerprints within R.  Windows meet only items of their size.
 5. The exact weighted-shingle similarity (sum of the smaller over the sum of
-   the larger counts) decides.
+   the larger counts) decides.  It too is a running sum: every shared shingle
+   counts for an interval of starts.
+
+Rows grow with the documents' lengths and the number of windows, never with
+their product.
 """
 
 from __future__ import annotations
@@ -21,17 +27,18 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kerbside.llm.common import BROADCAST_LIMIT
 from kerbside.plans.stage import materialize
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
-BITS = 63  # of each of the two fingerprint words: 21 x 3 lanes
+BITS = 63  # of each of the two fingerprint words
 BLOCK_BITS = 7
 RADIUS = 35  # a pair at similarity 0.8 differs in 19.2 of 126 bits on average, s.d. 4.0
 
-_LANE = (1 << 0) | (1 << 21) | (1 << 42)
+LANE = 32  # bits i and i + LANE are counted together in one sum
 N_BLOCKS = 2 * BITS // BLOCK_BITS
 
 
@@ -56,28 +63,91 @@ def _hashed(rows: DataFrame, key: list[Column], text: str) -> DataFrame:
     )
 
 
-def _fingerprints(exploded: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash of the rows' shingles ``h`` by ``keys``: words f0 and f1 of 63 bits.
+# The many like expressions of a fingerprint are SQL text: built as Columns they
+# take the driver longer than the executors.
+def _bits(h: str) -> dict[str, str]:
+    """What one shingle adds to each sum.  A text has fewer than 2^31 shingles, so
+    no lane runs over."""
+    return {
+        f"s{k}_{i}": f"shiftrightunsigned({w}, {i}) & {1 << LANE | 1 if i + LANE < BITS else 1}L"
+        for k, w in enumerate((f"xxhash64({h})", f"xxhash64({h}, 1)"))
+        for i in range(LANE)
+    }
+
+
+def _majorities(n: str) -> list[Column]:
+    """The fingerprint words f0 and f1 from the sums over ``n`` shingles."""
+
+    def word(k: int) -> str:
+        lanes = [divmod(bit, LANE) for bit in range(BITS)]
+        counts = [f"(shiftrightunsigned(s{k}_{i}, {LANE * lane}) & {(1 << LANE) - 1}L)" for lane, i in lanes]
+        return " | ".join(f"if(2 * {count} > {n}, {1 << bit}L, 0L)" for bit, count in enumerate(counts))
 
-    Bits i, i + 21 and i + 42 are counted together in three 21-bit lanes of
-    one sum (up to two million shingles a window)."""
-    words = [F.xxhash64("h"), F.xxhash64("h", F.lit(1))]
-    sums = [
-        F.sum(F.shiftrightunsigned(w, i).bitwiseAND(F.lit(_LANE))).alias(f"s{k}_{i}")
-        for k, w in enumerate(words)
-        for i in range(21)
-    ]
-    counted = exploded.groupBy(*keys).agg(F.count("*").alias("n_shingles"), *sums)
+    return [F.expr(word(0)).alias("f0"), F.expr(word(1)).alias("f1")]
 
-    def word(k: int) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(21):
-            for lane in range(3):
-                count = F.shiftright(F.col(f"s{k}_{i}"), 21 * lane).bitwiseAND(F.lit((1 << 21) - 1))
-                out = out.bitwiseOR(F.when(2 * count > F.col("n_shingles"), F.lit(1 << (i + 21 * lane))).otherwise(F.lit(0).cast("long")))
-        return out
 
-    return counted.select(*keys, "n_shingles", word(0).alias("f0"), word(1).alias("f1"))
+def _item_prints(item_at: DataFrame) -> DataFrame:
+    sums = [F.expr(f"sum({v}) AS {c}") for c, v in _bits("h").items()]
+    counted = item_at.groupBy("item_id", "item_key").agg(F.count("*").alias("item_size"), *sums)
+    return counted.select("item_id", "item_key", "item_size", *_majorities("item_size"))
+
+
+def _window_prints(windows: DataFrame, positions: DataFrame) -> DataFrame:
+    """``windows`` with f0 and f1.  Shingles (at, h) and the windows' two ends
+    stand in one order per document; the running sums at the end less those
+    before the start are the window's."""
+    keys = windows.columns
+    none = [F.lit(None).cast(windows.schema[c].dataType).alias(c) for c in keys if c != "doc_key"]
+    ends = F.explode(
+        F.array(
+            F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign")),
+            F.struct((F.col("start") + F.col("size") - 1).alias("at"), F.lit(1).alias("sign")),
+        )
+    ).alias("end")
+    marks = windows.select(*keys, ends).select(*keys, "end.at", "end.sign", F.lit(None).cast("long").alias("h"))
+    shingles = positions.select("doc_key", *none, "at", F.lit(0).alias("sign"), "h")
+    # dealt before the sums are spelled out, so narrow rows are exchanged
+    dealt = shingles.unionByName(marks).repartition("doc_key")
+    added = _bits("h")
+    spelled = dealt.select(*keys, "at", "sign", *[F.expr(f"if(h IS NULL, 0L, {v}) AS {c}") for c, v in added.items()])
+    so_far = "OVER (PARTITION BY doc_key ORDER BY at, abs(sign) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    summed = spelled.select(*keys, "sign", *[F.expr(f"sum({c}) {so_far} AS {c}") for c in added]).where("sign <> 0")
+    sums = summed.groupBy(*keys).agg(*[F.expr(f"sum(sign * {c}) AS {c}") for c in added])
+    return sums.select(*keys, *_majorities("size"))
+
+
+def _common(pairs: DataFrame, positions: DataFrame, item_at: DataFrame) -> DataFrame:
+    """``pairs`` with ``common``: the sum over shingles of the smaller of the
+    window's and the item's counts.
+
+    An occurrence counts if fewer than m (the item's count) of its kind stand
+    before it in the window: for starts after its m-th predecessor, up to
+    itself.  Sums over such intervals are running sums over their borders."""
+    of = ["doc_key", "item_key"]
+    item_counts = item_at.groupBy("item_key", "h").agg(F.count("*").cast("int").alias("m"))
+    sought = pairs.select(*of, "size").distinct().join(_hint(item_counts, 32), "item_key")
+    found = (
+        positions.join(sought, ["doc_key", "h"])
+        .groupBy(*of, "h", "size", "m")
+        .agg(F.sort_array(F.collect_list("at")).alias("ats"))
+        .select(*of, "size", "m", "ats", F.posexplode("ats").alias("j", "at"))
+    )
+    before = F.when(F.col("j") >= F.col("m"), F.get("ats", F.col("j") - F.col("m")) + 1).otherwise(0)
+    borders = F.explode(
+        F.array(
+            F.struct(F.greatest(before, F.col("at") - F.col("size") + 1, F.lit(0)).alias("start"), F.lit(1).alias("step")),
+            F.struct((F.col("at") + 1).alias("start"), F.lit(-1).alias("step")),
+        )
+    ).alias("border")
+    steps = found.select(*of, borders).select(*of, "border.start", "border.step")
+    asked = pairs.withColumn("step", F.lit(0))
+    so_far = Window.partitionBy(*of).orderBy("start", F.col("step") == 0).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        asked.unionByName(steps, allowMissingColumns=True)
+        .withColumn("common", F.sum("step").over(so_far))
+        .where("step = 0")
+        .drop("step")
+    )
 
 
 def _blocks(f0: Column, f1: Column) -> Column:
@@ -204,24 +274,18 @@ def _matches(
     windows = hits.select("doc_key", "doc_id", "item_size", "size", F.explode(_starts()).alias("start"))
     windows = materialize(windows, "llm-windows")
 
-    # all shingles of those windows; only documents with a window move
-    chosen = materialize(windows.select("doc_key").distinct(), "llm-chosen")
-    holders = doc_rows.select("doc_key", "hashes").join(_hint(chosen, 16), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    inside = (
-        windows.join(holders, "doc_key")
-        .select(
-            "doc_key", "doc_id", "item_size", "start", F.explode_outer(F.slice("hashes", F.col("start") + 1, F.col("size"))).alias("h")
-        )
-    )
-    inside = materialize(inside, "llm-inside")
-    win = ["doc_key", "doc_id", "item_size", "start"]
-    window_prints = materialize(
-        _fingerprints(inside, win).select(*win, F.col("n_shingles").alias("window_size"), "f0", "f1"), "llm-prints"
+    # the shingles that those windows span; only documents with a window move
+    spans = windows.groupBy("doc_key").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("size")).alias("high"))
+    holders = doc_rows.select("doc_key", "hashes").join(_hint(materialize(spans, "llm-spans"), 32), "doc_key").dropDuplicates(["doc_key"])
+    positions = materialize(
+        holders.select("doc_key", "low", F.posexplode_outer(F.slice("hashes", F.col("low") + 1, F.col("high") - F.col("low"))).alias("k", "h"))
+        .select("doc_key", (F.col("low") + F.col("k")).alias("at"), "h"),
+        "llm-positions",
     )
+    win = ["doc_key", "doc_id", "item_size", "size", "start"]
+    window_prints = materialize(_window_prints(windows.select(*win), positions), "llm-prints")
     item_prints = materialize(
-        _fingerprints(item_at, ["item_id", "item_key"]).select(
-            "item_id", "item_key", F.col("n_shingles").alias("item_size"), F.col("f0").alias("g0"), F.col("f1").alias("g1")
-        ),
+        _item_prints(item_at).withColumnsRenamed({"f0": "g0", "f1": "g1"}),
         "llm-item-prints",
     )
 
@@ -236,26 +300,19 @@ def _matches(
         F.explode(F.array(*[F.col("b.bits").bitwiseXOR(F.lit(x)) for x in _flips(radius)])).alias("bits"),
     )
     sought = window_prints.select("*", F.explode(_blocks(F.col("f0"), F.col("f1"))).alias("b")).select(
-        *win, "window_size", "f0", "f1", F.col("b.block").alias("block"), F.col("b.bits").alias("bits")
+        *win, "f0", "f1", F.col("b.block").alias("block"), F.col("b.bits").alias("bits")
     )
     hamming = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
     pairs = (
         sought.join(_hint(materialize(probes, "llm-probes"), 64), ["item_size", "block", "bits"])
         .withColumn("hamming", hamming)
         .where(F.col("hamming") <= radius)
-        .select(*win, "window_size", "item_id", "item_key", "hamming")
+        .select(*win, "item_id", "item_key", "hamming")
         .distinct()
     )
 
     # exact similarity of the candidates
-    window_counts = inside.groupBy("doc_key", "item_size", "start", "h").agg(F.count("*").alias("n"))
-    item_counts = item_at.groupBy("item_key", "h").agg(F.count("*").alias("m"))
-    shared = (
-        pairs.join(window_counts, ["doc_key", "item_size", "start"])
-        .join(_hint(item_counts, 32), ["item_key", "h"])
-        .groupBy("doc_key", "doc_id", "item_size", "start", "item_id", "item_key")
-        .agg(F.sum(F.least("n", "m")).alias("common"), F.first("window_size").alias("window_size"), F.first("hamming").alias("hamming"))
-    )
+    shared = _common(materialize(pairs, "llm-leak-pairs"), positions, item_at).withColumnRenamed("size", "window_size")
     return shared.withColumn(
         "similarity", F.col("common") / (F.col("window_size") + F.col("item_size") - F.col("common"))
     ).where(F.col("similarity") >= min_similarity)

@@ -39,7 +39,7 @@ from kerbside.llm import (
     token_store,
     toxicity,
 )
-from kerbside.plans.stage import stage_path
+from kerbside.plans.stage import materialize, stage_path
 from tests.conftest import SF001, SF0001
 from tests.oracle_compare import compare
 
@@ -445,6 +445,41 @@ def test_leaks_in_another_order(spark):
     assert got == want and {d for d, _ in got} >= {1, 2, 3, 6, 7} and (5, 1) not in got
 
 
+def test_leaks_of_repeated_shingles(spark):
+    """Items and windows that hold a shingle several times, near each other."""
+    rng = np.random.default_rng(62)
+    items, texts = [], []
+    for k in range(6):
+        base = [f"i{k}w{x}" for x in rng.integers(0, 12, 9)]
+        items.append((k, " ".join(base * 4 + [f"i{k}end{x}" for x in range(k)])))
+        around = [f"f{x}" for x in rng.integers(0, 10**6, 30)]
+        texts += [(3 * k + j, " ".join([*around, *base * (3 + j), *around, *base * 4])) for j in range(3)]
+    found = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found.collect()}
+    want = {k: round(v, 6) for k, v in brute_leaks(texts, items).items()}
+    assert got == want and len(want) >= 12
+
+
+def test_window_rows_grow_with_the_text(spark, monkeypatch):
+    """Twice as long a copied item makes twice as many staged rows, not four times."""
+    rows = collections.Counter()
+
+    def counted(df, tag):
+        out = materialize(df, tag)
+        rows[tag] += out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialize", counted)
+    totals = []
+    for n in (250, 500, 1000):
+        rows.clear()
+        text = " ".join(f"w{i}" for i in range(n))
+        docs = spark.createDataFrame([(1, f"before it {text} and after it")], "doc_id long, text string")
+        assert decontaminate.leaks(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).count() == 1
+        totals.append(rows["llm-positions"] + rows["llm-windows"] + rows["llm-leak-pairs"])
+    assert totals[2] < 4.5 * totals[0]
+
+
 def test_block_probes_reach_the_radius():
     rng = np.random.default_rng(6)
     flips = set(decontaminate._flips(decontaminate.RADIUS))
