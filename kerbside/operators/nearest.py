@@ -13,11 +13,17 @@ equi-join on the cells of a grid on the sphere:
   corner of that cell, so the search may stop at that distance (the origin's
   *reach*); elsewhere the reach is the radius.  Levels are counted four at a
   time, and only among points whose last counted cell was dense.
-* An origin then probes the cells of its level that its reach can touch, a
-  bounded number (about 25 at most away from the poles, some 100 at one), and a
-  point is copied for the levels that origins around it use: mostly one.
-
-A cluster holding a third of all postcodes is thus met cell by cell.
+* The origins of one cell of their level are a *tile*, in parts of about
+  ``TILE_ORIGINS`` if they are many.  A tile gets one copy of every point in
+  the cells that its origins' reach can touch (about 25 cells for an origin
+  away from the poles, some 100 at one).  All pairs of an origin so come about
+  in one task, and none is ever shuffled.
+* Pairs are met twice.  The first time they are only counted by rings around
+  the origin, and the reach shrinks to the smallest ring with ``limit`` points;
+  the second time the pairs within it, hardly more than ``limit``, are ranked.
+
+What is exchanged and sorted thus grows with the points and the result, not
+with the pairs.  A cluster holding a third of all postcodes is met tile by tile.
 Postcodes sharing one exact point are cut to the ``limit`` smallest names
 (the rest can never rank).  What stays unbounded is a cell with many distinct
 points next to an origin whose own cell is not dense: those distances must be
@@ -36,6 +42,11 @@ from pyspark.sql import functions as F
 
 from kerbside.plans.stage import materialize
 
+TILE = ["lv", "trow", "tcol", "part"]
+TILE_ORIGINS = 512  # origins of one part of a tile, about
+TASK_ORIGINS = 8192  # origins whose pairs one task ranks: some hundred MB to sort
+RINGS = [0.8**i for i in range(16)]  # areas of the rings, of the circle within reach
+
 # Fixed values of the nearby search.
 NEARBY_LIMIT = 100
 NEARBY_RADIUS_M = 2000.0
@@ -165,6 +176,60 @@ def _dense(points: DataFrame, grid: Grid, limit: int) -> DataFrame | None:
     return out
 
 
+def _in_parts(org: DataFrame) -> DataFrame:
+    """Origins with the part of their tile: only points of one place (a few
+    millimetres) can be more than some hundreds."""
+    tile = TILE[:3]
+    crowd = org.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / TILE_ORIGINS).alias("_parts")).where(F.col("_parts") > 1)
+    part = F.pmod(F.xxhash64("origin"), F.coalesce("_parts", F.lit(1)))
+    return org.join(crowd, tile, "left").withColumn("part", part).drop("_parts")
+
+
+def _in_tiles(points: DataFrame, org: DataFrame, grid: Grid) -> DataFrame:
+    """(tile, point): the points in the cells that a tile's origins can reach,
+    once for each tile."""
+    place = [F.col("olat"), F.col("olon"), F.col("reach")]
+    used = org.select("lv", F.inline(grid.around(*place, F.lit(0)))).distinct()
+    copies = (
+        points.select("*", *_cell(grid, F.lit(0)))
+        .join(used, ["row", "col"])
+        .select(*points.columns, "lv", *_cell(grid, F.col("lv")))
+    )
+    needs = org.select(*TILE, F.inline(grid.around(*place, F.col("lv")))).distinct()
+    return needs.join(copies, ["lv", "row", "col"]).drop("row", "col")
+
+
+def _sphere(lat: Column, lon: Column, prefix: str) -> list[Column]:
+    """A place on the unit sphere."""
+    p, m = F.radians(lat), F.radians(lon)
+    return [c.alias(prefix + a) for a, c in (("x", F.cos(p) * F.cos(m)), ("y", F.cos(p) * F.sin(m)), ("z", F.sin(p)))]
+
+
+def _tighten(org: DataFrame, targets: DataFrame, grid: Grid, limit: int, n: int) -> DataFrame:
+    """Origins with their reach cut to the smallest ring that holds ``limit``
+    points, the origin's own among them.  Squares of chords are compared; the
+    ring is wider by 0.1 mm, so rounding never loses a point."""
+    columns = ["origin", "olat", "olon", "reach", "copies", *TILE]
+    lat, lon = F.col("latitude"), F.col("longitude")
+    met = _in_tiles(targets.select("latitude", "longitude"), org, grid).repartition(n, *TILE).select(*TILE, *_sphere(lat, lon, "p"))
+    half = F.least(F.col("reach") / (2 * EARTH_RADIUS_M), F.lit(math.pi / 2))
+    far = F.pow(2 * F.sin(half), 2)
+    seen = org.repartition(n, *TILE).select(*columns, *_sphere(F.col("olat"), F.col("olon"), "o"), far.alias("far"))
+    square = sum(((F.col("p" + a) - F.col("o" + a)) * (F.col("p" + a) - F.col("o" + a)) for a in "xyz"), F.lit(0.0))
+    counts = (
+        met.join(seen.hint("shuffle_hash"), TILE)
+        .withColumn("square", square)
+        .where(F.col("square") <= F.col("far"))
+        .groupBy(*columns, "far")
+        .agg(*[F.count_if(F.col("square") <= F.col("far") * area).alias(f"n{i}") for i, area in enumerate(RINGS)])
+    )
+    reach = F.col("reach")
+    for i, area in enumerate(RINGS[1:], 1):  # the smallest is asked first
+        ring = F.lit(2 * EARTH_RADIUS_M * (1 + 1e-9)) * F.asin(F.sqrt(F.col("far") * area) / 2) + 1e-4
+        reach = F.when(F.col(f"n{i}") >= limit, F.least(ring, F.col("reach"))).otherwise(reach)
+    return counts.select(*[reach.alias(c) if c == "reach" else c for c in columns])
+
+
 def nearest_postcodes(
     postcodes: DataFrame,
     origins: DataFrame | None = None,
@@ -185,7 +250,7 @@ def nearest_postcodes(
     lat, lon = F.col("latitude"), F.col("longitude")
     every = postcodes.select(F.col("id").alias("postcode"), "latitude", "longitude").where(lat.between(-90.0, 90.0) & lon.isNotNull())
     if origins is None:
-        asked = near = every
+        asked = near = materialize(every, "near-asked")
     else:
         wanted = origins.select(F.col("postcode").alias("_want")).distinct()
         asked = materialize(every.join(wanted, F.col("postcode") == F.col("_want"), "left_semi"), "near-asked")
@@ -197,7 +262,8 @@ def nearest_postcodes(
             every.where(box).select("*", *_cell(grid, F.lit(0))).join(cells, ["row", "col"], "left_semi").drop("row", "col")
         )
     at_point = Window.partitionBy("latitude", "longitude").orderBy("postcode")
-    cut = near.withColumn("_n", F.row_number().over(at_point)).where(F.col("_n") <= limit).drop("_n")
+    named = near.where(F.col("postcode").isNotNull())  # only these can be a neighbour
+    cut = named.withColumn("_n", F.row_number().over(at_point)).where(F.col("_n") <= limit).drop("_n")
     # pairs are far more work than the points' bytes suggest: as many files as tasks
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     targets = materialize(cut.repartition(tasks, "postcode"), "near-points")
@@ -222,30 +288,33 @@ def nearest_postcodes(
             F.coalesce("_lv", F.lit(0)).alias("lv"),
             F.when(F.col("_lv").isNull(), F.lit(radius_m)).otherwise(F.least(corner, F.lit(radius_m))).alias("reach"),
         )
-    org = materialize(org, "near-origins")
-
-    # points at the levels that origins around them use
-    place = [F.col("olat"), F.col("olon"), F.col("reach")]
-    used = org.select("lv", F.inline(grid.around(*place, F.lit(0)))).distinct()
-    copies = (
-        targets.select("*", *_cell(grid, F.lit(0)))
-        .join(used, ["row", "col"])
-        .select("postcode", "latitude", "longitude", "lv", *_cell(grid, F.col("lv")))
+    row = grid.row(F.col("olat"), F.col("lv"))
+    org = org.groupBy(*org.columns).agg(F.count(F.lit(1)).cast("int").alias("copies"))  # rows alike are met as one
+    org = materialize(org.select("*", row.alias("trow"), grid.column(F.col("olon"), row, F.col("lv")).alias("tcol")), "near-origins")
+    own_row = org.where(F.lit(limit) > 0).select(
+        "origin", F.lit(0).alias("rank"), F.col("origin").alias("postcode"), F.col("olat").alias("latitude"), F.col("olon").alias("longitude"), F.lit(0.0).alias("distance"), "copies"
     )
-    probes = org.select("origin", "olat", "olon", "reach", "lv", F.inline(grid.around(*place, F.col("lv"))))
+    twice = org.groupBy(F.col("origin").alias("_twice")).agg(F.sum("copies").alias("_n")).where(F.col("_n") > 1).select("_twice")
+    twice = materialize(twice, "near-twice")
+    n = max(tasks, math.ceil(org.count() / TASK_ORIGINS))
+    org = materialize(_tighten(_in_parts(org), targets, grid, limit, n), "near-reach")
+
+    met = _in_tiles(targets.select("postcode", "latitude", "longitude"), org, grid).repartition(n, *TILE)
     pairs = (
-        probes.join(copies, ["lv", "row", "col"])
+        met.join(org.repartition(n, *TILE).hint("shuffle_hash"), TILE)
         .where(F.col("postcode") != F.col("origin"))
-        .select("origin", "postcode", "latitude", "longitude", "reach", haversine_m(F.col("olat"), F.col("olon"), lat, lon).alias("distance"))
+        .withColumn("distance", haversine_m(F.col("olat"), F.col("olon"), lat, lon))
         .where(F.col("distance") <= F.least("reach", F.lit(radius_m)))
-        .drop("reach")
-    )
-    own_row = org.select(
-        "origin", F.col("origin").alias("postcode"), F.col("olat").alias("latitude"), F.col("olon").alias("longitude"), F.lit(0.0).alias("distance")
-    )
-    # the limit also runs before the shuffle, so an origin sends few rows a task
-    order = [F.col("distance").asc(), (F.col("postcode") != F.col("origin")).asc(), F.col("postcode").asc()]
-    ranked = pairs.unionByName(own_row).withColumn("_rn", F.row_number().over(Window.partitionBy("origin").orderBy(*order)))
-    return ranked.where(F.col("_rn") <= limit).select(
-        "origin", (F.col("_rn") - 1).alias("rank"), "postcode", "latitude", "longitude", "distance"
     )
+    order = [F.col("distance").asc(), F.col("postcode").asc()]
+    of_origin = Window.partitionBy(*TILE, "origin", "olat", "olon").orderBy(*order)  # in the tile's task
+    others = pairs.withColumn("rank", F.row_number().over(of_origin)).where(F.col("rank") < limit)
+    ranked = others.select(*own_row.columns).unionByName(own_row)
+    if twice.isEmpty():
+        return ranked.drop("copies")
+    # an id on several rows: the nearest of all its places
+    several = F.col("origin").eqNullSafe(F.col("_twice"))
+    by_id = Window.partitionBy("origin").orderBy(order[0], (F.col("postcode") != F.col("origin")).asc(), order[1])
+    again = ranked.join(twice, several, "left_semi").withColumn("_c", F.explode(F.sequence(F.lit(1), "copies"))).drop("_c")
+    merged = again.withColumn("rank", F.row_number().over(by_id) - 1).where(F.col("rank") < limit)
+    return ranked.join(twice, several, "left_anti").unionByName(merged).drop("copies")

@@ -325,6 +325,61 @@ def test_one_origin_reads_only_its_box(spark, tmp_dir):
     assert written.count() < 60 and staged["near-origins"][1].count() == 1
 
 
+def test_nearest_pairs_are_ranked_in_their_tile(spark):
+    """The pairs of an origin meet in one task: nothing is exchanged by origin,
+    and the reach is cut until it holds few more than ``limit`` points."""
+    from kerbside.operators import nearest
+
+    rnd = random.Random(13)
+    pts = [(f"C{i:05d}", 53.8 + rnd.random() * 0.02, -1.55 + rnd.random() * 0.03) for i in range(3000)]
+    df = spark.createDataFrame(pts, "id string, latitude double, longitude double")
+    staged = {}
+    keep, nearest.materialize = nearest.materialize, lambda df, tag: staged.update({tag: keep(df, tag)}) or staged[tag]
+    try:
+        out = nearest.nearest_postcodes(df, limit=20)
+    finally:
+        nearest.materialize = keep
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(origin" not in plan and "WindowGroupLimit" in plan
+    lat, lon = [p[1] for p in pts], [p[2] for p in pts]
+    for r in staged["near-reach"].limit(100).collect():
+        held = sum(_haversine((r.olat, r.olon), q) <= r.reach for q in zip(lat, lon))
+        assert 20 <= held <= 40
+    got = {(r.origin, r.postcode): r.rank for r in out.collect()}
+    assert got == _brute_nearest(pts, 20)
+
+
+def test_nearest_with_an_id_on_several_rows(spark):
+    """The nearest of all places of an id are ranked together; a null id has
+    its own row only, and is nobody's neighbour."""
+    rows = [("A", 53.8, -1.5), ("A", 53.801, -1.5), ("B", 53.8002, -1.5), ("C", 53.8011, -1.5), ("D", 53.85, -1.5), ("D", 53.85, -1.5), (None, 53.8, -1.5)]
+    df = spark.createDataFrame(rows, "id string, latitude double, longitude double")
+    got = sorted(((r.origin or "", r.rank, r.postcode) for r in GEO.nearest_postcodes(df, limit=4).collect()), key=str)
+    assert got == [
+        ("", 0, None),
+        ("A", 0, "A"), ("A", 1, "A"), ("A", 2, "C"), ("A", 3, "B"),
+        ("B", 0, "B"), ("B", 1, "A"), ("B", 2, "A"), ("B", 3, "C"),
+        ("C", 0, "C"), ("C", 1, "A"), ("C", 2, "B"), ("C", 3, "A"),
+        ("D", 0, "D"), ("D", 1, "D"),
+    ]
+
+
+def test_nearest_crowd_at_one_place_is_dealt(spark):
+    from kerbside.operators import nearest
+
+    pts = [(f"S{i:04d}", 53.8, -1.55) for i in range(1500)] + [("P", 53.8001, -1.55)]
+    df = spark.createDataFrame(pts, "id string, latitude double, longitude double")
+    staged = {}
+    keep, nearest.materialize = nearest.materialize, lambda df, tag: staged.update({tag: keep(df, tag)}) or staged[tag]
+    try:
+        out = nearest.nearest_postcodes(df, limit=10)
+        assert out.count() == 1501 * 10
+    finally:
+        nearest.materialize = keep
+    parts = [r["count"] for r in staged["near-reach"].groupBy(*nearest.TILE).count().collect()]
+    assert len(parts) > 3 and max(parts) < 800
+
+
 def test_grid_cells_are_as_wide_as_high_and_few(spark):
     from kerbside.operators.nearest import Grid
 
