@@ -57,36 +57,37 @@ def nearby_jobs(near: DataFrame, premises: DataFrame, jobs: DataFrame) -> DataFr
 
 
 # --------------------------------------------------------------------------- AGG7 / AGG8 / FIL7
-def day_sets(premises: DataFrame, jobs: DataFrame, postcodes: DataFrame) -> DataFrame:
-    """(postcode, days): the job dates of each postcode as a set of bits, one
-    long for each ``WORD`` days that have any.  Bits need no distinct before
-    them: or-ing a date twice changes nothing."""
-    day = F.unix_date("date")
+def _day_bits(keys: DataFrame, day: Column) -> DataFrame:
+    """(the key columns, word, bits): days as sets of bits, one long for each
+    ``WORD`` days that have any.  Bits need no distinct before them: or-ing a
+    date twice changes nothing."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(day, F.lit(WORD)))
-    words = (
-        jobs_at_postcodes(premises, jobs, postcodes)
-        .groupBy("postcode", F.floor(day / WORD).alias("word"))
-        .agg(F.bit_or(bit).alias("bits"))
-    )
-    return words.groupBy("postcode").agg(F.collect_list(F.struct("word", "bits")).alias("days"))
+    names = [c for c in keys.columns if c != "_day"]
+    return keys.groupBy(*names, F.floor(day / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _days_of() -> Column:
+    """The days of a word, as an array of days since 1970."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("bits", i) == 1)
+    return F.transform(held, lambda i: (F.col("word") * WORD + i).cast("int"))
+
+
+def day_sets(premises: DataFrame, jobs: DataFrame, postcodes: DataFrame) -> DataFrame:
+    """(postcode, days): the distinct job dates of each postcode, as days since
+    1970: four bytes a day when the row is sent to the origins around it."""
+    held = jobs_at_postcodes(premises, jobs, postcodes).select("postcode", F.unix_date("date").alias("_day"))
+    words = _day_bits(held, F.col("_day"))
+    return words.groupBy("postcode").agg(F.flatten(F.collect_list(_days_of())).alias("days"))
 
 
 def date_facets(near: DataFrame, premises: DataFrame, jobs: DataFrame) -> DataFrame:
     """AGG7: the distinct job dates across each origin's nearby set.  A
-    neighbour brings its dates as one row of bits; the sets of an origin are
-    or-ed, and only the result becomes dates."""
+    neighbour brings its dates as one row to its origin's task; only there are
+    they taken apart and merged, so no (origin, date) pair is exchanged."""
     sets = day_sets(premises, jobs, near.select("postcode"))
-    merged = (
-        near.select("origin", "postcode")
-        .join(sets, "postcode")
-        .select("origin", F.inline("days"))
-        .groupBy("origin", "word")
-        .agg(F.bit_or("bits").alias("bits"))
-    )
-    held = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("bits", i) == 1)
-    return merged.select("origin", "word", F.explode(held).alias("bit")).select(
-        "origin", F.date_from_unix_date((F.col("word") * WORD + F.col("bit")).cast("int")).alias("date")
-    )
+    brought = near.select("origin", "postcode").join(sets, "postcode").select("origin", "days").repartition("origin")
+    merged = _day_bits(brought.select("origin", F.explode("days").alias("_day")), F.col("_day"))
+    return merged.select("origin", F.explode(_days_of()).alias("day")).select("origin", F.date_from_unix_date("day").alias("date"))
 
 
 def default_dates(near: DataFrame, premises: DataFrame, jobs: DataFrame, as_of: dt.date | str | Column) -> DataFrame:

@@ -144,3 +144,17 @@ def test_date_facets_are_sets_of_days(spark):
     got = [(r.origin, r.date) for r in date_facets(near, premises, jobs).collect()]
     want = {(o, d) for o, pc in (("o", "A"), ("o", "B"), ("p", "B")) for i in range(9) if ["A", "B", None][i % 3] == pc for k, d in enumerate(days) if (i + k) % 2}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_date_facets_exchange_no_dates(spark):
+    """A neighbour's dates go to the origin as one row; they are taken apart
+    after the exchange, none is exchanged by (origin, word)."""
+    from kerbside.operators.geo import date_facets
+
+    p, j = samples.premises(spark), samples.jobs(spark)
+    near = spark.createDataFrame([("A", "AB1 2CD"), ("B", "AB1 2CD")], "origin string, postcode string")
+    out = date_facets(near, p, j)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(origin" in x and "word" in x]
+    assert [x for x in plan.splitlines() if "Exchange hashpartitioning(origin" in x]
+    assert {r.origin for r in out.collect()} == {"A", "B"}
