@@ -27,6 +27,7 @@ from kerbside.operators import merge as MG
 from kerbside.plans import feeds
 from kerbside.plans import tools as TOOLS
 from kerbside.plans.refresh import Dataset, refresh
+from kerbside.plans.stage import materialize
 from kerbside.schemas import SQLITE_PREMISES_COLUMNS
 from kerbside.sources import colocated as COL
 from kerbside.sources import ingest as ING
@@ -701,6 +702,11 @@ def _near(t: fx.Tables):
     return GEO.nearest_postcodes(t.postcodes)
 
 
+def _stored_near(t: fx.Tables):
+    """The nearest postcodes, written once for queries that read them more than once."""
+    return materialize(_near(t), "near")
+
+
 @register(
     "near1_nearest_postcodes",
     fx.oracle("SELECT origin, rank, postcode, round(distance, 3) AS distance FROM near", NEAR_SQL),
@@ -731,14 +737,14 @@ def q_nearest_of_one(spark, sf_dir):
 )
 def q_nearby_jobs(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    nj = GEO.nearby_jobs(_near(t), t.premises, t.jobs)
+    nj = GEO.nearby_jobs(_stored_near(t), t.premises, t.jobs)
     return nj.select("origin", F.col("rank").cast("long").alias("rank"), "postcode", F.round("distance", 3).alias("distance"), "date", "bin")
 
 
 @register("agg7_date_facets", fx.oracle("SELECT DISTINCT origin, date FROM nj WHERE date IS NOT NULL", NEARBY_JOBS_SQL))
 def q_date_facets(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    return GEO.date_facets(_near(t), t.premises, t.jobs)
+    return GEO.date_facets(_stored_near(t), t.premises, t.jobs)
 
 
 AGG8_SQL = f"""
@@ -750,7 +756,7 @@ FROM nj GROUP BY origin
 @register("agg8_default_dates", fx.oracle(AGG8_SQL, NEARBY_JOBS_SQL))
 def q_default_dates(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    return GEO.default_dates(_near(t), t.premises, t.jobs, AS_OF)
+    return GEO.default_dates(_stored_near(t), t.premises, t.jobs, AS_OF)
 
 
 @register(
@@ -768,7 +774,7 @@ GROUP BY nj.origin, d.default_date, nj.rank, nj.postcode, nj.distance
 )
 def q_map_markers(spark, sf_dir):
     t = fx.load(spark, sf_dir)
-    near = _near(t)
+    near = _stored_near(t)
     sel = GEO.default_dates(near, t.premises, t.jobs, AS_OF).select("origin", F.col("default_date").alias("selected_date"))
     m = GEO.map_markers(near, t.premises, t.jobs, sel)
     return m.select(

@@ -16,7 +16,7 @@ from kerbside.operators import merge as MG
 from kerbside.operators.recents import recents_add_only, recents_fold
 from kerbside.plans import feeds
 from kerbside.plans.ordering import global_sequence, sequence_within
-from tests.conftest import SF001
+from tests.conftest import SF001, SF0001
 
 
 def skewed(spark, n=3000):
@@ -380,6 +380,20 @@ def test_nearest_crowd_at_one_place_is_dealt(spark):
     assert len(parts) > 3 and max(parts) < 800
 
 
+def test_nearby_queries_search_once(spark):
+    """Queries that read the nearest postcodes more than once store them."""
+    from kerbside.plans import registry
+
+    tags, keep = [], registry.materialize
+    registry.materialize = lambda df, tag: (tags.append(tag), keep(df, tag))[1]
+    try:
+        for q in (registry.q_map_markers, registry.q_date_facets, registry.q_nearby_jobs, registry.q_default_dates):
+            q(spark, SF0001)
+    finally:
+        registry.materialize = keep
+    assert tags == ["near"] * 4
+
+
 def test_grid_cells_are_as_wide_as_high_and_few(spark):
     from kerbside.operators.nearest import Grid
 
