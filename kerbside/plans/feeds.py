@@ -120,6 +120,9 @@ def ical_lines(
     url with date and bin.  Text values are escaped and folded per RFC 5545.
     """
     numbered = numbered if numbered is not None else numbered_jobs(premises, jobs)
+    # lines are far more work than the premises' bytes suggest: one small file
+    # would be one task, so they are dealt first
+    premises = premises.repartition(int(premises.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     full = full_address()
     name = F.concat(F.lit("Bin Days for "), summary_address())
     desc = F.concat(
@@ -146,27 +149,39 @@ def ical_lines(
 
     # Event blocks need the premises' address: join the numbered jobs with the
     # premises (one row per premises id on that side; AQE splits a hot id).
-    p = premises.select(F.col("id").alias("_id"), full.alias("_full"))
+    # Its line is the same in every event, so it is escaped and folded once.
+    location = ical_fold(F.concat(F.lit("LOCATION:"), ical_escape(full)))
+    p = premises.select(F.col("id").alias("_id"), location.alias("_location"))
     ev = numbered.join(p, F.col("premises_id") == F.col("_id"))
     ymd = F.date_format(F.col("date"), "yyyyMMdd")
     uid = F.concat(F.col("premises_id").cast("string"), F.lit("_"), F.col("date").cast("string"), F.lit("_"), F.col("bin"))
-    event_values = [
+    own_values = {
+        "_uid": F.concat(F.lit("UID:"), ical_escape(uid)),
+        "_start": F.concat(F.lit("DTSTART;VALUE=DATE:"), ymd),
+        "_end": F.concat(F.lit("DTEND;VALUE=DATE:"), ymd),
+        "_summary": F.concat(F.lit("SUMMARY:"), ical_escape(F.concat(capital_case(F.col("bin")), F.lit(" Bin Collection")))),
+        "_url": F.concat(F.lit("URL;VALUE=URI:"), event_url("premises_id", "date", "bin", base_url)),
+    }
+    # values of an event are columns before they are folded: folding looks at
+    # a value several times
+    valued = ev.select("premises_id", "seq", "_location", *[v.alias(n) for n, v in own_values.items()])
+    event_lines = [
         F.lit("BEGIN:VEVENT"),
-        F.concat(F.lit("UID:"), ical_escape(uid)),
+        ical_fold(F.col("_uid")),
         F.lit("SEQUENCE:0"),
-        F.concat(F.lit("DTSTAMP:"), _ical_stamp(as_of)),
-        F.concat(F.lit("DTSTART;VALUE=DATE:"), ymd),
-        F.concat(F.lit("DTEND;VALUE=DATE:"), ymd),
+        ical_fold(F.concat(F.lit("DTSTAMP:"), _ical_stamp(as_of))),
+        ical_fold(F.col("_start")),
+        ical_fold(F.col("_end")),
         F.lit("X-MICROSOFT-CDO-ALLDAYEVENT:TRUE"),
         F.lit("X-MICROSOFT-MSNCALENDAR-ALLDAYEVENT:TRUE"),
-        F.concat(F.lit("SUMMARY:"), ical_escape(F.concat(capital_case(F.col("bin")), F.lit(" Bin Collection")))),
-        F.concat(F.lit("LOCATION:"), ical_escape(F.col("_full"))),
-        F.concat(F.lit("URL;VALUE=URI:"), event_url("premises_id", "date", "bin", base_url)),
+        ical_fold(F.col("_summary")),
+        F.col("_location"),
+        ical_fold(F.col("_url")),
         F.lit("END:VEVENT"),
     ]
-    body = ev.select(
-        "premises_id", "seq", F.posexplode(F.array(*[ical_fold(v) for v in event_values])).alias("sub", "line")
-    ).select(*_line(F.col("premises_id"), 1, F.col("seq"), F.col("sub"), F.col("line")))
+    body = valued.select("premises_id", "seq", F.posexplode(F.array(*event_lines)).alias("sub", "line")).select(
+        *_line(F.col("premises_id"), 1, F.col("seq"), F.col("sub"), F.col("line"))
+    )
     footer = premises.select(*_line(F.col("id"), 2, 0, 0, F.lit("END:VCALENDAR")))
     return header.unionByName(body).unionByName(footer)
 

@@ -416,3 +416,17 @@ def test_add_only_uses_the_last_add_as_a_pair(spark):
     log = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, op string, pid long")
     got = [r.pid for r in sorted(recents_add_only(log).collect(), key=lambda r: r.position)]
     assert got == _python_replay(pd.DataFrame(rows, columns=["user_id", "ts", "event_id", "op", "pid"]))[1] == [8, 7]
+
+
+def test_ical_lines_of_one_small_file_are_dealt(spark):
+    """A small file of premises is one scan task, but its lines are many: they
+    are made by several tasks, event lines of a premises alike."""
+    import datetime as dt
+
+    premises = fx.load(spark, SF0001).premises.coalesce(1)
+    jobs = fx.jobs_source(spark, SF0001)
+    lines = feeds.ical_lines(premises, jobs, dt.datetime(2000, 6, 1))
+    heads = lines.where("part = 0").select("premises_id", F.spark_partition_id().alias("task")).distinct()
+    assert heads.select("task").distinct().count() > 4
+    located = lines.where("part = 1 and line like 'LOCATION:%'").groupBy("premises_id").agg(F.countDistinct("line").alias("n"))
+    assert located.where("n <> 1").isEmpty() and not located.isEmpty()
