@@ -35,6 +35,8 @@ DISCOUNTS = ((0.0, 0.0), (1e-5, 1e-4), (3e-5, 3e-4), (6e-5, 6e-4), (2e-4, 2e-3))
 LEAST_DISCOUNT = 0.75
 START = 0  # stands before a text's first word
 SLICE_CHARS = 1 << 20
+HELD_BIGRAMS = 1 << 21  # distinct bigrams that a task holds before it hands them on
+SLOT_TYPES = 64  # distinct bigrams of the sample that make one slot of a word
 
 
 def _letters() -> np.ndarray:
@@ -127,22 +129,47 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def continuations(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+def _slots(batches, known: np.ndarray, parts: np.ndarray):
+    """(slot, contexts) rows of batches of texts: a known word's contexts, each
+    once, as 32 bits of the bigrams' hashes, dealt by these over the word's
+    ``parts``; ``slot`` is the word's place and its part."""
+
+    def rows(key):
+        word, context = key >> 32, key & 0xFFFFFFFF
+        slot = word << 32 | context * parts[word] >> 32
+        first = np.flatnonzero(np.diff(slot, prepend=-1))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(context.astype(np.uint32).view(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(slot[first]), lists], names=["slot", "contexts"])
+
+    held, size = [], 0
+    for _, texts in _slices(batches):
+        words, lens = word_hashes(texts)
+        at = _index(known, words)
+        held.append(np.unique((at << 32 | _pair_key(_before(words, lens), words) & 0xFFFFFFFF)[at < len(known)]))
+        size += len(held[-1])
+        if size >= HELD_BIGRAMS:
+            held = [np.unique(np.concatenate(held))]
+            size = len(held[0])
+            if size >= HELD_BIGRAMS // 2:  # else few are new, and more may come
+                yield rows(held[0])
+                held, size = [], 0
+    if size:
+        yield rows(np.unique(np.concatenate(held)))
+
+
+def continuations(docs: DataFrame, vocabulary: np.ndarray, types: np.ndarray | None = None) -> np.ndarray:
     """In how many distinct left contexts the corpus has each word of the
-    sorted ``vocabulary``.  A bigram is a row once per slice, then once in all;
-    32 bits of its hash tell the contexts of one word apart."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def pairs(batches):
-        known = shared.value
-        for _, texts in _slices(batches):
-            words, lens = word_hashes(texts)
-            at = _index(known, words)
-            key = (at << 32 | _pair_key(_before(words, lens), words) & 0xFFFFFFFF)[at < len(known)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(key))], names=["bigram"])
-
-    seen = docs.select("text").mapInArrow(pairs, "bigram long").distinct()
-    counted = seen.groupBy(F.shiftright("bigram", 32).alias("word")).count().toArrow()  # a row for each word of the sample
+    sorted ``vocabulary``; 32 bits of a bigram's hash tell the contexts of one
+    word apart.
+
+    The contexts of a word travel together, so that its name is not repeated
+    with each.  ``types``, some sample's bigrams by last word, tells which words
+    have many: theirs go to several slots, so no task gets all of a word."""
+    parts = np.ones(len(vocabulary), dtype=np.int64) if types is None else 1 + types.astype(np.int64) // SLOT_TYPES
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, parts))
+    lists = docs.select("text").mapInArrow(lambda batches: _slots(batches, *shared.value), "slot long, contexts array<int>")
+    seen = lists.repartition("slot").select("slot", F.explode("contexts").alias("context")).distinct()  # distinct where they are
+    counted = seen.groupBy(F.shiftright("slot", 32).alias("word")).count().toArrow()  # a row for each word of the sample
     out = np.zeros(len(vocabulary), dtype=np.int64)
     out[counted.column("word").to_numpy()] = counted.column("count").to_numpy()
     return out
@@ -284,7 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS_PER_CLAS
     bigrams = _index(vocabulary, v).astype(np.int32), _index(vocabulary, w).astype(np.int32), [plain.astype(np.int32), toxic.astype(np.int32)]
     del seen, v, w, plain, toxic
     y, *unseen = _hashed(rows.where("role = 'calibrate'"))  # bounded by the sample
-    shared = with_others(continuations(docs, vocabulary), vocabulary, *unseen)
+    types = np.bincount(bigrams[1], minlength=len(vocabulary))
+    shared = with_others(continuations(docs, vocabulary, types), vocabulary, *unseen)
     if not len(y):
         return ratios(vocabulary, kneser_ney(bigrams, shared)), np.array([0.0, 1.0, -1.0])
     share, rate = (max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)), toxic_n / (toxic_n + plain_n)

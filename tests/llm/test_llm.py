@@ -333,6 +333,40 @@ def test_toxicity_probabilities(spark):
                 assert abs(mass - 1) < 1e-9
 
 
+def test_toxicity_contexts_travel_together(spark, monkeypatch):
+    """One row for many bigrams that end in one word, those of a frequent word
+    in several slots; the counts are those of the distinct bigrams."""
+    monkeypatch.setattr(toxicity, "SLICE_CHARS", 2_000)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k} the" if k % 3 else f"w{k % 40} w{k % 7}" for k in rng.integers(0, 3_000, 400)) for _ in range(60)] + [None, "", "the"]
+    corpus = set()
+    for text in texts:
+        mine = (text or "").split()
+        corpus |= set(zip([None, *mine], mine, strict=False))
+    vocabulary = np.unique(toxicity.word_hashes(["the", *(f"w{k}" for k in range(0, 2_000, 2)), "never"])[0])
+    types = np.ones(len(vocabulary), dtype=np.int64)
+    the = int(toxicity._index(vocabulary, toxicity.word_hashes(["the"])[0])[0])
+    types[the] = 40 * toxicity.SLOT_TYPES
+    want = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    np.add.at(want, toxicity._index(vocabulary, toxicity.word_hashes([" ".join(w for _, w in corpus)])[0]), 1)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    whole = pa.Table.from_batches(toxicity._slots([batch], vocabulary, 1 + types // toxicity.SLOT_TYPES))
+    slots = whole.column("slot").to_numpy()
+    assert len(np.unique(slots[slots >> 32 == the])) == 41
+    assert len(slots) < want[:-1].sum() / 2  # a row for each bigram before
+    for held in (1 << 21, 500):  # all of a task at once, or in many lots
+        parts = 1 + types // toxicity.SLOT_TYPES
+        monkeypatch.setattr(toxicity, "HELD_BIGRAMS", held)
+        found = pa.Table.from_batches(toxicity._slots([batch], vocabulary, parts)).to_pydict()
+        pairs = {(s >> 32, c) for s, cs in zip(found["slot"], found["contexts"], strict=True) for c in cs}
+        assert np.bincount([s for s, _ in pairs], minlength=len(vocabulary)).tolist() == want[:-1].tolist()
+        assert (sum(map(len, found["contexts"])) > len(pairs)) == (held == 500)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for given in (None, types):
+        assert toxicity.continuations(docs, vocabulary, given).tolist() == want[:-1].tolist()
+
+
 def test_toxicity_words():
     texts = ["Éa_b ÿ9 x", "", None, "İI ß", "\U0001f600a a\u0301b", "one two  one\n", "a" * 50_000, *[t for t in EDGE_TEXTS if t]]
     hashes, lens = toxicity.word_hashes(texts)
